@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkroom.llm import decontam, secrets, sharding
+from sparkroom.llm import bitplane, decontam, secrets, sharding, simhash
 from sparkroom.llm.common import table
 
 
@@ -67,9 +67,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    got = bitplane.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return got.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_decontamination": op5_decontamination,
+    "op6_simhash": op6_simhash,
+    "op8_bitplane": op8_bitplane,
     "op10_secrets": op10_secrets,
 }
 
