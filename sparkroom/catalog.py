@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sparkroom import queries_colour, queries_metadata, queries_pixels, queries_statistics
+
+_MODULES = (queries_pixels, queries_colour, queries_statistics, queries_metadata)
+
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
