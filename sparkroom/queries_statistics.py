@@ -110,3 +110,62 @@ def frame_sequence(spark, sf):
 def size_ratio(spark, sf):
     items = views.table(spark, sf, "lineitem").withColumn("stored", F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return statistics.size_ratio(items, "stored", "l_extendedprice", "l_returnflag").withColumn("ratio", F.round("ratio", 6))
+
+
+def _frames(spark, sf):
+    """events as one image for every ten rows of a hundred."""
+    e = views.table(spark, sf, "events")
+    row = F.expr("event_id div 100")
+    v = F.floor(F.least(F.greatest(F.col("value") / 500.0, F.lit(0.0)), F.lit(1.0)) * 1023 + 0.5)
+    return e.select(F.expr("event_id div 1000").alias("image_id"), (row % 10).alias("y"), (F.col("event_id") % 100).alias("x"), v.alias("v"))
+
+
+_FRAMES = "f AS (SELECT event_id // 1000 AS image_id, event_id // 100 % 10 AS y, event_id % 100 AS x, CAST(floor(least(greatest(value / 5e2, 0e0), 1e0) * 1023 + 0.5e0) AS BIGINT) AS v FROM events)"
+
+
+@add("tiff_roundtrip", f"WITH {_FRAMES} SELECT image_id, bits, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y * 100 + x + 1)) AS BIGINT) AS weighted FROM f, (SELECT unnest([10, 16]) AS bits) GROUP BY ALL")
+def tiff_roundtrip(spark, sf):
+    """Frames written as containers of 10 and 16 bits and read again."""
+    from sparkroom.sources import tiff
+
+    parts = []
+    for bits in (10, 16):
+        files = tiff.encode_images(_frames(spark, sf), bits if bits != 16 else None)
+        got = tiff.pixels_of(files.select(F.col("image_id").cast("string").alias("path"), "content"))
+        parts.append(got.groupBy(F.col("path").cast("long").alias("image_id"), F.lit(bits).alias("bits")).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"), F.sum(F.col("v") * (F.col("y") * 100 + F.col("x") + 1)).cast("long").alias("weighted")))
+    return parts[0].union(parts[1])
+
+
+@add("tiff_tags", f"WITH {_FRAMES} SELECT image_id, max(CASE WHEN code = 256 THEN CAST(100 AS DOUBLE) END) AS width, max(CASE WHEN code = 257 THEN CAST(h AS DOUBLE) END) AS height, CAST(10 AS BIGINT) AS n_tags FROM (SELECT image_id, max(y) + 1 AS h FROM f GROUP BY image_id), (SELECT unnest([256, 257]) AS code) GROUP BY image_id")
+def tiff_tags(spark, sf):
+    """Tags of the frames' containers."""
+    from sparkroom.sources import tiff
+
+    t = tiff.tags_of(tiff.encode_images(_frames(spark, sf)).select(F.col("image_id").cast("string").alias("path"), "content"))
+    of = lambda code: F.max(F.when(F.col("code") == code, F.element_at("value", 1)))
+    return t.groupBy(F.col("path").cast("long").alias("image_id")).agg(of(256).alias("width"), of(257).alias("height"), F.count("*").alias("n_tags"))
+
+
+@add("fits_roundtrip", f"WITH {_FRAMES} SELECT image_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM f GROUP BY image_id")
+def fits_roundtrip(spark, sf):
+    """Frames written as FITS files and read again."""
+    import numpy as np
+    import pandas as pd
+
+    from sparkroom.sources import fits
+
+    def one(key, pdf):
+        a = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), np.uint16)
+        a[pdf.y.to_numpy(), pdf.x.to_numpy()] = pdf.v.to_numpy()
+        return pd.DataFrame({"path": [str(key[0])], "content": [fits.build(a, {"OBJECT": "frame"})]})
+
+    files = _frames(spark, sf).groupBy("image_id").applyInPandas(one, "path string, content binary")
+    return fits.pixels_of(files).groupBy(F.col("path").cast("long").alias("image_id")).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"))
+
+
+@add("hourly_levels", "SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY ALL")
+def hourly_levels(spark, sf):
+    """The streaming operator's windows over the whole table."""
+    from sparkroom.streaming import frames
+
+    return frames.windowed_levels(views.table(spark, sf, "events")).withColumn("mean", F.round("mean", 6))
