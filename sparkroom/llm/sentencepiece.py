@@ -14,7 +14,9 @@ lattice exists for each prefix, and it is the library's result (merges that
 cross a boundary would also cross it in the pair alone). The forward state is
 then the last piece of that path.
 
-Words met before are kept, up to ``MEMORY_WORDS``; then all are forgotten.
+A Python worker remembers the words it has met, ``MEMORY_WORDS`` at most, for all
+tasks that it runs: when the younger half is full, the older one is forgotten,
+save what has been asked for since.
 
 Defined results: a null or empty text has no ids; decoding drops the mark put
 before the text; characters without a piece are their bytes' pieces, or the
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 800_000
 _CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 
 
@@ -69,11 +72,18 @@ class Pieces:
 class Encoder:
     def __init__(self, path: str, memory: int = MEMORY_WORDS) -> None:
         self.pieces = p = Pieces(path)
-        self.memory = memory
+        self.half = memory // 2
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.floor = min(p.score, default=0.0) - 10.0
 
+    @classmethod
+    @lru_cache(maxsize=2)
+    def shared(cls, path: str) -> Encoder:
+        """One encoder for all tasks that a worker runs."""
+        return cls(path)
+
     def ids_of(self, piece: str) -> list[int]:
         p = self.pieces
         if (i := p.id.get(piece)) is not None:
@@ -148,10 +158,12 @@ class Encoder:
             before = word
 
     def learn(self, words: set[str]) -> None:
+        if len(self.words) > self.half:
+            self.words, self.older = {}, self.words
         new = words - self.words.keys()
-        if len(self.words) + len(new) > self.memory:
-            self.words, new = {}, words
-        for word, parts in self.segment(sorted(new)):
+        again = new & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        for word, parts in self.segment(sorted(new - again)):
             self.words[word] = np.fromiter(chain.from_iterable(map(self.ids_of, parts)), np.int32).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -188,7 +200,7 @@ def encode_column(text: Column, model: str) -> Column:
     """array<int>: the ids of whole texts."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(model)
+        encoder = Encoder.shared(model)
         for texts in batches:
             out = []
             for i in range(0, len(texts), 1024):
@@ -202,7 +214,7 @@ def decode_column(ids: Column, model: str) -> Column:
     """The texts of arrays of ids; null for null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(model)
+        encoder = Encoder.shared(model)
         for some in batches:
             yield pd.Series([None if x is None else encoder.decode(np.asarray(x)) for x in some], index=some.index, dtype=object)
 
