@@ -41,9 +41,18 @@ def balance_ratio(wb: Column, table: Sequence[tuple[float, float]] = BLUE_TABLE,
     return interpolate(wb, table) / interpolate(F.lit(float(at)), table)
 
 
+# The instrument whose tables these are, and its neutral red setting.
+TABLED_INSTRUMENT, NEUTRAL_RED = "ZWO ASI676MC", 80.0
+
+
 def camera_iso(instrument: Column, gain: Column) -> Column:
-    """By table for the camera it belongs to, else the gain as it is."""
-    return F.when(F.contains(F.upper(instrument), F.lit("ZWO")), iso_of_gain(gain)).otherwise(F.floor(gain).cast("long"))
+    """By table for the instrument it belongs to, else the whole part of the gain."""
+    return F.when(F.trim(instrument) == TABLED_INSTRUMENT, iso_of_gain(gain)).otherwise(F.floor(gain).cast("long"))
+
+
+def analog_balance(instrument: Column, red: Column, blue: Column) -> Column:
+    """Red, green and blue balance of the tabled instrument, null for others."""
+    return F.when((F.trim(instrument) == TABLED_INSTRUMENT) & red.isNotNull() & blue.isNotNull(), F.array(red / NEUTRAL_RED, F.lit(1.0), balance_ratio(blue)))
 
 
 def avm(header: Column) -> Column:

@@ -177,10 +177,12 @@ def interp_wb(spark, sf):
     return views.table(spark, sf, "part").select("p_partkey", F.round(fits.balance_ratio((F.col("p_partkey") % 120).cast("double")), 6).alias("ratio"))
 
 
-@add("camera_tags", f"WITH g AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'zwo 676' ELSE 'other' END AS instrument, CAST(s_suppkey % 220 AS DOUBLE) + 0.4e0 AS gain FROM supplier) SELECT s_suppkey, instrument, CAST(CASE WHEN upper(instrument) LIKE '%ZWO%' THEN floor(100 * 2.55e0 / {_knots('gain', fits.GAIN_TABLE)}) ELSE floor(gain) END AS BIGINT) AS iso FROM g")
+@add("camera_tags", f"WITH g AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN ' ZWO ASI676MC' ELSE 'other' END AS instrument, CAST(s_suppkey % 220 AS DOUBLE) + 0.4e0 AS gain, CAST(s_suppkey % 90 AS DOUBLE) AS wb FROM supplier) SELECT s_suppkey, instrument, CAST(CASE WHEN s_suppkey % 2 = 0 THEN floor(100 * 2.55e0 / {_knots('gain', fits.GAIN_TABLE)}) ELSE floor(gain) END AS BIGINT) AS iso, CASE WHEN s_suppkey % 2 = 0 THEN round(wb / 80e0, 6) END AS red, CASE WHEN s_suppkey % 2 = 0 THEN round({_knots('wb', fits.BLUE_TABLE)} / 1.34e0, 6) END AS blue FROM g")
 def camera_tags(spark, sf):
-    s = views.table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, "zwo 676").otherwise("other").alias("instrument"), ((F.col("s_suppkey") % 220).cast("double") + 0.4).alias("gain"))
-    return s.select("s_suppkey", "instrument", fits.camera_iso(F.col("instrument"), F.col("gain")).alias("iso"))
+    key = F.col("s_suppkey")
+    s = views.table(spark, sf, "supplier").select("s_suppkey", F.when(key % 2 == 0, " ZWO ASI676MC").otherwise("other").alias("instrument"), ((key % 220).cast("double") + 0.4).alias("gain"), (key % 90).cast("double").alias("wb"))
+    balance = fits.analog_balance(F.col("instrument"), F.col("wb"), F.col("wb"))
+    return s.select("s_suppkey", "instrument", fits.camera_iso(F.col("instrument"), F.col("gain")).alias("iso"), F.round(balance[0], 6).alias("red"), F.round(balance[2], 6).alias("blue"))
 
 
 def _headers(spark, sf):

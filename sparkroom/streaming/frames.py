@@ -18,7 +18,8 @@ def arriving(spark: SparkSession, path: str, schema: T.StructType, files_per_bat
 
 def windowed_levels(stream: DataFrame, time: str = "ts", value: str = "value", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count, mean and range of values in each window of time."""
-    held = stream.withWatermark(time, late)
+    # watermarks need an instant; the session's zone is UTC where it matters
+    held = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if stream.isStreaming else stream
     w = held.groupBy(F.window(time, window)).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
     return w.select(F.col("window.start").alias("start"), "n", "mean", "low", "high")
 
