@@ -160,3 +160,15 @@ def temperature_of_uv(u: float, v: float) -> tuple[float, float]:
             return (1e6 / mired if mired else math.inf), (du * a + dv * b) / n * TINT_SCALE
         last = now
     raise AssertionError("not reached")
+
+
+def neutral_of_white(xy: Sequence[float], xyz_to_camera: np.ndarray) -> np.ndarray:
+    """Camera neutral of a white point, its largest channel 1."""
+    n = np.array(xyz_to_camera, float) @ xyz_of_xy(xy)
+    return n / n.max()
+
+
+def default_tone(n: int = 256, contrast: float = 0.18) -> list[float]:
+    """A rising curve from 0 to 1 for images that bring none: a line bent into an
+    S by a sine. It is this library's own; published profiles bring their samples."""
+    return [i / (n - 1) - contrast * math.sin(2 * math.pi * i / (n - 1)) / (2 * math.pi) for i in range(n)]

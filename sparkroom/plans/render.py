@@ -72,3 +72,29 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = render(views.cfa(spark, sf_dir), FLAGSHIP)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), points.quantize(F.col(c), 255).alias("u")) for c in done.channels]))
     return done.df.select(cells.alias("p")).groupBy("p.c").agg(F.count("*").alias("n"), F.round(F.avg("p.u"), 6).alias("mean"), F.max("p.u").alias("top"))
+
+
+#: Operators of a node list by name.
+NODES = {
+    "sub_scalar": lambda r, k: r - k,
+    "mul_scalar": lambda r, k: r * k,
+    "crop": lambda r, **a: geometry.crop(r, **a),
+    "orientation": lambda r, code: geometry.orient(r, code),
+    "matrix_3x3": lambda r, m: r.map_rgb(lambda a, b, c: points.matrix3(m, a, b, c)),
+    "lut": lambda r, table: r.map(lambda v: points.lut(v, table)),
+    "bilinear_demosaic": lambda r, pattern: stencil.demosaic(r, pattern, "bilinear"),
+    "ea_demosaic": lambda r, pattern, fast=False: stencil.demosaic(r, pattern, "ea_fast" if fast else "ea"),
+    "cast_dtype": lambda r, dtype: r.map(lambda v: v.cast(dtype)),
+    "opcodes": lambda r, items: opcodes.apply_opcodes(r, items),
+}
+
+
+def apply_nodes(r: Raster, nodes: Sequence[dict]) -> Raster:
+    """A list of named operators with their arguments, as one plan."""
+    for node in nodes:
+        args = dict(node)
+        name = args.pop("op")
+        if name not in NODES:
+            raise ValueError(f"UNKNOWN_OP {name!r}")
+        r = NODES[name](r, **args)
+    return r

@@ -236,3 +236,53 @@ def warp_bilinear(spark, sf):
 def opcode_list(spark, sf):
     ops = [{"type": "fix_vignette", "k": (0.1,)}, {"type": "map_polynomial", "coefficients": (0.02, 0.9)}]
     return out(opcodes.apply_opcodes(views.cfa(spark, sf), ops))
+
+
+def _resize_sql(weight: str, reach: int) -> str:
+    """Every target pixel as weighted mean of the source pixels in reach."""
+    axis = lambda t, sc, s: weight.format(d=f"((({t} + 0.5e0) * {sc} - 0.5e0 - {s}) / greatest(1e0, {sc}))")
+    return f"""WITH {CFA}, t AS (SELECT h // 2 AS th, h / CAST(h // 2 AS DOUBLE) AS sy, 100 / 60e0 AS sx FROM dim),
+px AS (SELECT c.y, tx.x, c.v, {axis('tx.x', 'sx', 'c.x')} AS w FROM cfa c, t, (SELECT unnest(range(0, 60)) AS x) tx WHERE abs((tx.x + 0.5e0) * sx - 0.5e0 - c.x) <= {reach} * sx),
+hx AS (SELECT y, x, sum(v * w) / sum(w) AS v FROM px GROUP BY y, x),
+ty AS (SELECT unnest(range(0, th)) AS y FROM t),
+py AS (SELECT ty.y, hx.x, hx.v, {axis('ty.y', 'sy', 'hx.y')} AS w FROM hx, t, ty WHERE abs((ty.y + 0.5e0) * sy - 0.5e0 - hx.y) <= {reach} * sy)
+SELECT y, x, round(sum(v * w) / sum(w) + 0e0, 9) AS v FROM py GROUP BY y, x"""
+
+
+_CUBIC = "(CASE WHEN abs({d}) < 1 THEN (abs({d}) * 1.5e0 - 2.5e0) * abs({d}) * abs({d}) + 1 WHEN abs({d}) < 2 THEN ((abs({d}) * -0.5e0 + 2.5e0) * abs({d}) - 4) * abs({d}) + 2 ELSE 0 END)"
+_LANCZOS = "(CASE WHEN abs({d}) < 1e-12 THEN 1 WHEN abs({d}) < 3 THEN sin(pi() * {d}) * sin(pi() * {d} / 3) * 3 / (pi() * {d} * pi() * {d}) ELSE 0 END)"
+
+
+for _kind, _weight, _reach in (("catmull_rom", _CUBIC, 2), ("lanczos", _LANCZOS, 3)):
+
+    def _resized(spark, sf, kind=_kind):
+        r = views.cfa(spark, sf)
+        return out(geometry.resize(r, r.height // 2, 60, kind), 9)
+
+    add(f"resize_{_kind}", _resize_sql(_weight, _reach))(_resized)
+
+
+@add("stage_levels")
+def stage_levels(spark, sf):
+    """Mean and count of every channel after every stage of rendering."""
+    from sparkroom.plans.render import FLAGSHIP, STAGES, render
+
+    parts = []
+    for stage in STAGES:
+        r = render(views.cfa(spark, sf), FLAGSHIP, stage)
+        for c in r.channels:
+            parts.append(r.df.agg(F.lit(stage).alias("stage"), F.lit(c).alias("c"), F.count("*").alias("n"), F.round(F.avg(c), 9).alias("mean")))
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.union(p)
+    return df
+
+
+_NODES = [{"op": "sub_scalar", "k": 0.1}, {"op": "crop", "x": 3, "y": 1, "w": 60, "h": 8}, {"op": "orientation", "code": 6}, {"op": "mul_scalar", "k": 3.0}, {"op": "lut", "table": [0, 0.2, 1]}]
+
+
+@add("node_list", f"WITH {CFA}, a AS (SELECT x - 3 AS y, 8 - 1 - (y - 1) AS x, (v - 0.1e0) * 3e0 AS v FROM cfa WHERE y >= 1 AND y < 9 AND x >= 3 AND x < 63), b AS (SELECT y, x, least(greatest(v, 0e0), 1e0) AS v FROM a) SELECT y, x, round(CASE WHEN v < 0.5e0 THEN v * 2 * 0.2e0 ELSE 0.2e0 + 0.8e0 * (v * 2 - 1) END, 6) AS v FROM b")
+def node_list(spark, sf):
+    from sparkroom.plans.render import apply_nodes
+
+    return out(apply_nodes(views.cfa(spark, sf), _NODES))

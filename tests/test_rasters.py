@@ -131,3 +131,18 @@ def test_histogram_edges(spark):
     dark = statistics.histogram(spark.createDataFrame([(1, 50.0)] * 10, "image_id int, v double"), 100.0, 100)
     row = statistics.auto_exposure(dark, 100.0, 100).first()
     assert (row.black, row.median, row.clipped, row.exposure) == (50, 50, False, pytest.approx(np.log2(6 / 50)))
+
+
+def test_resampling_and_nodes(spark):
+    from sparkroom.plans.render import apply_nodes
+
+    flat = raster(spark, np.full((6, 8), 0.4))
+    for kind in geometry.FILTERS:
+        assert np.allclose(array(geometry.resize(flat, 9, 4, kind)), 0.4)
+        assert np.allclose(array(geometry.resize(raster(spark, np.arange(12.0).reshape(3, 4)), 3, 4, kind)), np.arange(12).reshape(3, 4))
+    assert np.allclose(array(apply_nodes(flat, [{"op": "sub_scalar", "k": 0.1}, {"op": "mul_scalar", "k": 2}])), 0.6)
+    with pytest.raises(ValueError, match="UNKNOWN_OP"):
+        apply_nodes(flat, [{"op": "nothing"}])
+    t = colour.default_tone()
+    assert t[0] == 0 and abs(t[-1] - 1) < 1e-12 and all(a < b for a, b in zip(t, t[1:]))
+    assert np.allclose(colour.neutral_of_white(colour.D65_XY, np.eye(3)).max(), 1)
