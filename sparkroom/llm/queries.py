@@ -80,7 +80,8 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double")).alias("vector"))
+    whole = table(spark, sf_dir, "embeddings").where(topk.whole(F.col("embedding")))  # floor() takes NaN for 0
+    vectors = whole.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double")).alias("vector"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 

@@ -100,7 +100,8 @@ def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
     return pd.DataFrame({"query_id": query_ids[rows[top]], "vec_id": ids[cols[top]], "score": np.rint(scores[top]).astype(np.int64)})
 
 
-def _whole(vector: Column) -> Column:
+def whole(vector: Column) -> Column:
+    """Whether a vector has components that are all finite numbers."""
     return vector.isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
 
@@ -108,8 +109,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, key: str = "vec
     """query_id, rank (from 1), vec_id and score of each query's k best.
 
     ``vector`` holds whole numbers as doubles."""
-    rows = candidates.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & _whole(F.col("v")))
-    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & _whole(F.col("v"))).dropDuplicates(["id"])
+    rows = candidates.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & whole(F.col("v")))
+    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & whole(F.col("v"))).dropDuplicates(["id"])
     lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     if lengths is None:
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -229,6 +229,14 @@ def test_top_k_edges(spark):
     assert topk.top_k(few.limit(0), few.limit(0), 5).count() == 0
 
 
+def test_top_k_query_leaves_odd_vectors_out(spark, tmp_path):
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    rows = [(0, [0.51, -0.26]), (1, [1.0, 1.0]), (20, [float("nan"), 0.0]), (40, None), (60, [None, 1.0]), (3, [float("-inf"), 1.0]), (80, [-0.01, 2.0])]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in queries.op9_top_k(spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 1, 32 * 64 - 17 * 64), (0, 2, 80, -32 - 17 * 128), (80, 1, 1, -64 + 128 * 64), (80, 2, 0, -32 - 17 * 128)]
+
+
 def test_sql_of_queries(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
