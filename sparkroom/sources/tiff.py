@@ -107,8 +107,21 @@ def unpack_bits(data: bytes, rows: int, cols: int, bits: int) -> np.ndarray:
     return (flat.reshape(rows, cols, bits).astype(np.uint32) << np.arange(bits - 1, -1, -1, dtype=np.uint32)).sum(2).astype(np.uint32)
 
 
-def build(images: list[tuple[np.ndarray, dict[int, tuple[int, tuple]]]], bits: int | None = None, order: str = "<") -> bytes:
-    """A container of one main IFD and sub-IFDs for the other images.
+def _blocks(a: np.ndarray, bits: int | None, order: str, tile: int | None) -> list[bytes]:
+    """The bytes of one strip, or of padded square tiles, row by row."""
+    parts = [a]
+    if tile:
+        h, w = (-(-n // tile) * tile for n in a.shape[:2])
+        full = np.pad(a, ((0, h - a.shape[0]), (0, w - a.shape[1]), (0, 0)), mode="edge")
+        parts = [full[y : y + tile, x : x + tile] for y in range(0, h, tile) for x in range(0, w, tile)]
+    if bits and bits not in (8, 16, 32):
+        return [pack_bits(p, bits) for p in parts]
+    return [p.astype(p.dtype.newbyteorder(order)).tobytes() for p in parts]
+
+
+def build(images: list[tuple[np.ndarray, dict[int, tuple[int, tuple]]]], bits: int | None = None, order: str = "<", tile: int | None = None) -> bytes:
+    """A container of one main IFD and sub-IFDs for the other images, in strips or
+    tiles of ``tile`` pixels.
 
     Each image is an array and its own tags; what describes the page is added."""
     parts: list[bytes] = [(b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8)]
@@ -117,8 +130,10 @@ def build(images: list[tuple[np.ndarray, dict[int, tuple[int, tuple]]]], bits: i
     for array, own in images:
         a = array if array.ndim == 3 else array[:, :, None]
         depth = bits or a.dtype.itemsize * 8
-        data = pack_bits(a, bits) if bits and bits not in (8, 16, 32) else a.astype(a.dtype.newbyteorder(order)).tobytes()
-        base = {WIDTH: (4, (a.shape[1],)), HEIGHT: (4, (a.shape[0],)), BITS: (3, (depth,)), COMPRESSION: (3, (1,)), SAMPLES: (3, (a.shape[2],)), ROWS: (4, (a.shape[0],)), STRIPS: (4, (0,)), STRIP_BYTES: (4, (len(data),)), FORMAT: (3, (3 if a.dtype.kind == "f" else 1,)), PHOTOMETRIC: (3, (GRAY if a.shape[2] == 1 else RGB_KIND,))}
+        data = _blocks(a, bits, order, tile)
+        sizes = (4, tuple(map(len, data)))
+        base = {WIDTH: (4, (a.shape[1],)), HEIGHT: (4, (a.shape[0],)), BITS: (3, (depth,)), COMPRESSION: (3, (1,)), SAMPLES: (3, (a.shape[2],)), FORMAT: (3, (3 if a.dtype.kind == "f" else 1,)), PHOTOMETRIC: (3, (GRAY if a.shape[2] == 1 else RGB_KIND,))}
+        base |= {TILE_W: (4, (tile,)), TILE_H: (4, (tile,)), TILES: (4, (0,) * len(data)), TILE_BYTES: sizes} if tile else {ROWS: (4, (a.shape[0],)), STRIPS: (4, (0,)), STRIP_BYTES: sizes}
         blobs.append(data)
         dirs.append(base | own)
     if len(dirs) > 1:
@@ -135,7 +150,8 @@ def build(images: list[tuple[np.ndarray, dict[int, tuple[int, tuple]]]], bits: i
         out = []
         for k, tags in enumerate(dirs):
             tags = dict(tags)
-            tags[STRIPS] = (4, (places[k],))
+            ends = np.cumsum([0, *map(len, blobs[k])])[:-1]
+            tags[TILES if tile else STRIPS] = (4, tuple(int(places[k] + e) for e in ends))
             if k == 0 and len(dirs) > 1:
                 tags[SUBIFDS] = (4, tuple(starts[1:]))
             entries, extra, where = [], b"", starts[k] + 2 + 12 * len(tags) + 4
@@ -154,8 +170,9 @@ def build(images: list[tuple[np.ndarray, dict[int, tuple[int, tuple]]]], bits: i
     zero = [0] * len(dirs)
     sizes = [len(d) for d in layout(zero, zero)]
     starts = [at + sum(sizes[:k]) for k in range(len(dirs))]
-    places = [at + sum(sizes) + sum(len(b) for b in blobs[:k]) for k in range(len(dirs))]
-    return b"".join([*parts, *layout(starts, places), *blobs])
+    totals = [sum(map(len, b)) for b in blobs]
+    places = [at + sum(sizes) + sum(totals[:k]) for k in range(len(dirs))]
+    return b"".join([*parts, *layout(starts, places), *[b for blob in blobs for b in blob]])
 
 
 def read_tags(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

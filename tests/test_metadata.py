@@ -69,6 +69,14 @@ def test_tiff_pages(order):
         tiff.pages(b"nothing here")
 
 
+@pytest.mark.parametrize("tile, bits, shape", [(4, None, (9, 6, 1)), (8, None, (5, 5, 3)), (4, 10, (7, 10, 1)), (None, 12, (3, 5, 1))])
+def test_tiff_tiles(tile, bits, shape):
+    a = np.random.default_rng(2).integers(0, 2 ** (bits or 16), shape).astype(np.uint16)
+    raw = tiff.build([(a, {}), (a[:2], {})], bits=bits, tile=tile)
+    for page, want in zip(tiff.pages(raw), (a, a[:2])):
+        assert np.array_equal(tiff.pixels(raw, page), want)
+
+
 @pytest.mark.parametrize("bits", [3, 10, 12])
 def test_bit_packing(bits):
     a = np.random.default_rng(1).integers(0, 2**bits, (5, 7)).astype(np.uint16)
