@@ -115,7 +115,9 @@ def test_blocks_and_regions():
     <footer>&copy;</footer> tail"""
     assert htmldiff.main_text(htmldiff.lines(page), []) == "Head & more\nOne two € 3\nNext end\na\nb\nc\ni\nj"
     assert htmldiff.lines(None) == [] and htmldiff.lines("") == []
-    assert htmldiff.lines("<p>a<p>b</div>c") == [(1, "a"), (1, "b"), (1, "c")]
+    assert htmldiff.lines("<p>a<p>b</div>c") == [(htmldiff.OPEN, "a"), (htmldiff.OPEN, "b"), (htmldiff.OPEN, "c")]
+    nested = '<main><p>lead<article><p>a<div class="sideBar">s</div><div id="readerComments">c</div><p class="with-ads">b</article><p>more</main>'
+    assert htmldiff.main_text(htmldiff.lines(nested), []) == "a\nb"
 
 
 def test_alignment_is_longest():
