@@ -27,18 +27,22 @@ other columns are carried along.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 400_000
+MEMORY_PAIRS = 300_000
+#: Texts encoded together.
+TEXTS = 256
 _CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 
 
@@ -69,14 +73,31 @@ class Pieces:
         self.bpe = bool(own) and all(float(s).is_integer() for s in own)
 
 
+class _PieceBytes(dict):
+    """The ids of a piece as bytes, worked out when first asked for."""
+
+    def __init__(self, ids_of: Callable[[str], list[int]]) -> None:
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = np.array(self.ids_of(piece), np.int32).tobytes()
+        return found
+
+
 class Encoder:
     def __init__(self, path: str, memory: int = MEMORY_WORDS) -> None:
         self.pieces = p = Pieces(path)
         self.half = memory // 2
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, bool] = {}
+        self.bytes_of = _PieceBytes(self.ids_of)
         self.floor = min(p.score, default=0.0) - 10.0
+        # finds the pieces that end at a place, the longest first
+        self.finder = ahocorasick.Automaton()
+        for piece in p.id:
+            self.finder.add_word(piece, piece)
+        self.finder.make_automaton()
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -105,23 +126,27 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def allowed(self, left: str, right: str) -> bool:
-        key = (left, right)
+        """Whether merging leaves a pair of pieces as it is."""
+        key = f"{left}\0{right}"
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= MEMORY_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == [left, right]
+            found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
-    def _step_bpe(self, word: str, end: int, last: list[str | None]) -> str:
-        """The last piece of the one allowed path to ``end``."""
-        known, longest = self.pieces.id, self.pieces.longest
-        for start in range(max(0, end - longest), end):
-            piece = word[start:end]
-            if (piece in known or start == end - 1) and (not start or self.allowed(last[start], piece)):
-                if start or self.merged(piece) == [piece]:
-                    return piece
-        raise AssertionError(f"no path to {end} of {word!r}")
+    def _extend_bpe(self, word: str, last: list[str]) -> None:
+        """The last piece of the one allowed path to every end that ``last``
+        lacks; ``last`` begins with the empty path."""
+        allowed = self.allowed
+        for end, piece in self.finder.iter(word):
+            end += 1
+            while len(last) < end:  # no piece fits there: a character without one
+                last.append(word[len(last) - 1])
+            if len(last) == end and allowed(last[end - len(piece)], piece):
+                last.append(piece)
+        while len(last) <= len(word):
+            last.append(word[len(last) - 1])
 
     def _step_unigram(self, word: str, end: int, last: list, best: list[float]) -> str:
         known, score = self.pieces.id, self.pieces.score
@@ -140,7 +165,7 @@ class Encoder:
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Pieces of sorted distinct words; forward states of the prefix that a
         word shares with the one before are used again."""
-        before, last, best = "", [None], [0.0]
+        before, last, best = "", [""], [0.0]
         for word in words:
             same = 0
             for a, b in zip(before, word):
@@ -148,8 +173,11 @@ class Encoder:
                     break
                 same += 1
             del last[same + 1 :], best[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                last.append(self._step_bpe(word, end, last) if self.pieces.bpe else self._step_unigram(word, end, last, best))
+            if self.pieces.bpe:
+                self._extend_bpe(word, last)
+            else:
+                for end in range(same + 1, len(word) + 1):
+                    last.append(self._step_unigram(word, end, last, best))
             out, at = [], len(word)
             while at:
                 out.append(last[at])
@@ -158,23 +186,25 @@ class Encoder:
             before = word
 
     def learn(self, words: set[str]) -> None:
+        """Work out the words not met before; a word is named without its first mark."""
         if len(self.words) > self.half:
             self.words, self.older = {}, self.words
-        new = words - self.words.keys()
-        again = new & self.older.keys()
+        new = words.difference(self.words)
+        again = new.intersection(self.older)
         self.words.update((w, self.older[w]) for w in again)
-        for word, parts in self.segment(sorted(new - again)):
-            self.words[word] = np.fromiter(chain.from_iterable(map(self.ids_of, parts)), np.int32).tobytes()
+        for word, parts in self.segment([MARK + w for w in sorted(new - again)]):
+            self.words[word[1:]] = b"".join(map(self.bytes_of.__getitem__, parts))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = []
+        cut: list[list[str]] = []
+        words: set[str] = set()
         for t in texts:
-            marked = (MARK + t.replace(" ", MARK)) if t else ""
-            if MARK + MARK in marked or marked.endswith(MARK):
-                cut.append(_CUT.split(marked))
-            else:
-                cut.append([MARK + w for w in marked.split(MARK)[1:]])
-        self.learn({w for c in cut for w in c})
+            c = t.split(" ") if t else []
+            if "" in c or t and MARK in t:  # runs of marks belong to the word after them
+                c = [w[1:] for w in _CUT.split(MARK + t.replace(" ", MARK))]
+            cut.append(c)
+            words.update(c)
+        self.learn(words)
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
 
@@ -196,32 +226,36 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def encode_column(text: Column, model: str) -> Column:
-    """array<int>: the ids of whole texts."""
+def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and ``decoded``, the text that the ids give back.
+
+    Arrow batches are cut into slices of ``TEXTS`` rows, so that a task holds the
+    words and ids of one slice, whatever the session's batch size; other columns
+    pass through as they are."""
+    kept = [f for f in df.schema.fields if f.name not in ("ids", "decoded")]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    names = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(model)
-        for texts in batches:
-            out = []
-            for i in range(0, len(texts), 1024):
-                out += encoder.encode(texts.iloc[i : i + 1024].tolist())
-            yield pd.Series(out, index=texts.index)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                ids = encoder.encode(some.column(text).to_pylist())
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                decoded = pa.array([encoder.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*[some.column(n) for n in names], lists, decoded], [*names, "ids", "decoded"])
 
-    return F.pandas_udf(run, T.ArrayType(T.IntegerType()))(text)
+    return df.mapInArrow(run, schema)
 
 
-def decode_column(ids: Column, model: str) -> Column:
-    """The texts of arrays of ids; null for null."""
+def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
+    """``df`` with ``decoded``, the text of arrays of ids; null for null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder.shared(model)
         for some in batches:
             yield pd.Series([None if x is None else encoder.decode(np.asarray(x)) for x in some], index=some.index, dtype=object)
 
-    return F.pandas_udf(run, T.StringType())(ids)
-
-
-def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` and ``decoded``, the text that the ids give back."""
-    with_ids = df.withColumn("ids", encode_column(F.col(f"`{text}`"), model))
-    return with_ids.withColumn("decoded", decode_column(F.col("ids"), model))
+    return df.withColumn("decoded", F.pandas_udf(run, T.StringType())(F.col(f"`{ids}`")))

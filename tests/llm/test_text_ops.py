@@ -73,7 +73,10 @@ def test_pieces_in_spark(spark):
     df = docs(spark, [None, "", "Hello  world", "Hello  world"]).withColumn("clash", F.lit(1))
     got = sentencepiece.encode(df, PIECES).orderBy("doc_id").collect()
     assert got[0].ids == [] and got[0].decoded == "" and got[2].ids == got[3].ids and got[2].decoded == "Hello  world"
+    assert [r.clash for r in got] == [1] * 4
     assert sentencepiece.encode(df.limit(0), PIECES).count() == 0
+    back = sentencepiece.decode(sentencepiece.encode(df, PIECES).select("doc_id", F.when(F.col("doc_id") > 1, F.col("ids")).alias("ids")), PIECES)
+    assert [r.decoded for r in back.orderBy("doc_id").collect()] == [None, None, "Hello  world", "Hello  world"]
 
 
 def test_shared_prefixes_forget_nothing():
