@@ -22,6 +22,8 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,20 +38,26 @@ END_ID = 2
 LEVEL = 3
 # Fixed value: the head of a chunk.
 MAGIC, HEAD = b"BPL1", struct.Struct("<4sIB")
-#: Words whose ids a task remembers; more are forgotten all at once.
-MEMORY_WORDS = 400_000
-#: Texts encoded together.
-TEXTS = 256
+#: Words whose ids a Python worker remembers, in two halves: when the younger is
+#: full the older one is forgotten, save what has been asked for since.
+MEMORY_WORDS = 800_000
+#: White space beside the blank and the newline.
+_OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Texts encoded together, and new pieces put into one text for the library.
+TEXTS, PIECES = 256, 64
 
 CHUNKS = "part int, chunk int, first long, n_ids int, payload binary, docs array<struct<no:long,doc_id:long,at:int,n:int,piece:int,last:boolean,start:long>>"
 
 
 def pack(ids: np.ndarray, level: int = LEVEL) -> bytes:
     """A chunk of one block of ids."""
-    ids = np.ascontiguousarray(ids, np.uint32)
+    ids = np.ascontiguousarray(ids, "<u4")
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    squeeze = zstandard.ZstdCompressor(level=level)
-    bits = [squeeze.compress(np.packbits((ids >> np.uint32(p)).astype(np.uint8) & 1).tobytes()) for p in range(planes)]
+    squeeze, cells, bits = zstandard.ZstdCompressor(level=level), ids.view(np.uint8).reshape(-1, 4), []
+    for p in range(planes):
+        if p % 8 == 0:
+            byte = np.ascontiguousarray(cells[:, p // 8])
+        bits.append(squeeze.compress(np.packbits(byte & np.uint8(1 << p % 8)).tobytes()))
     return HEAD.pack(MAGIC, len(ids), planes) + b"".join(struct.pack("<I", len(b)) for b in bits) + b"".join(bits)
 
 
@@ -59,12 +67,15 @@ def unpack(chunk: bytes) -> np.ndarray:
     if magic != MAGIC:
         raise ValueError("not a bit-plane chunk")
     sizes = struct.unpack_from(f"<{planes}I", chunk, HEAD.size)
-    at, ids, expand = HEAD.size + 4 * planes, np.zeros(n, np.uint32), zstandard.ZstdDecompressor()
+    at, expand = HEAD.size + 4 * planes, zstandard.ZstdDecompressor()
+    cells, byte = np.zeros((n, 4), np.uint8), np.zeros(n, np.uint8)
     for p, size in enumerate(sizes):
         raw = np.frombuffer(expand.decompress(chunk[at : at + size], max_output_size=(n + 7) // 8), np.uint8)
-        ids |= np.unpackbits(raw, count=n).astype(np.uint32) << np.uint32(p)
+        byte |= np.unpackbits(raw, count=n) << np.uint8(p % 8)
         at += size
-    return ids
+        if p % 8 == 7 or p == planes - 1:
+            cells[:, p // 8], byte = byte, np.zeros(n, np.uint8)
+    return cells.view("<u4").reshape(-1).astype(np.uint32)
 
 
 class WordEncoder:
@@ -84,35 +95,67 @@ class WordEncoder:
         size = self.lib.get_vocab_size()
         self.opens = np.array([(self.lib.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.memory = memory
-        self.words: dict[str, bytes] = {}
+        self.half = memory // 2
+        self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: np.array(self.lib.encode(m, add_special_tokens=False).ids, np.uint32).tobytes() for m in ".,"}
+
+    @classmethod
+    @lru_cache(maxsize=2)
+    def shared(cls, path: str) -> WordEncoder:
+        """One encoder for all tasks that a worker runs."""
+        return cls(path)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def plain(self, text: str) -> bool:
-        """Only single blanks and newlines are white space, inside the text."""
-        flat = text.replace("\n", " ")
-        words = flat.split(" ")
-        return all(words) and len(flat.split()) == len(words) and not any(x in text for x in self.special)
+    def cut(self, text: str) -> list[str] | None:
+        """The pieces of a text, or None: pieces need single blanks and newlines
+        inside the text to be all its white space."""
+        words = text.split(" ")
+        if "" in words or "\n\n" in text or "\n " in text or " \n" in text or text[0] == "\n" or text[-1] == "\n":
+            return None
+        if any(x in text for x in self.special) or any(x in text for x in _OTHER_BLANKS):
+            return None
+        return words
+
+    def learn(self, words: set[str]) -> None:
+        """Work out the pieces not met before.
+
+        A full stop or comma after a letter or digit is a token of its own, so
+        such a piece is its stem's ids and the mark's."""
+        if len(self.words) > self.half:
+            self.words, self.older = {"": b""}, self.words
+        missing = words.difference(self.words)
+        marked = [w for w in missing if w[-1] in self.marks and w[-2:-1].isalnum()]
+        wanted = missing.difference(marked).union([w[:-1] for w in marked]).difference(self.words)
+        again = wanted.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in again)
+        if new := list(wanted - again):
+            texts = ["".join([" " + w for w in new[i : i + PIECES]]) for i in range(0, len(new), PIECES)]
+            ids = np.array(list(chain.from_iterable(self.whole(texts))), np.uint32)
+            starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(starts) != len(new):
+                raise AssertionError("a piece is not opened by one blank")
+            raw = ids.tobytes()
+            self.words.update(zip(new, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]))
+        known, marks = self.words, self.marks
+        known.update([(w, known[w[:-1]] + marks[w[-1]]) for w in marked])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.split(" ") if self.plain(t) else None for t in texts]
+        cut = [self.cut(t) for t in texts]
         heads = iter(self.whole([c[0] for c in cut if c]))
         others = iter(self.whole([t for t, c in zip(texts, cut) if not c]))
-        rest = {w for c in cut if c for w in c[1:]}
-        if len(self.words) + len(rest - self.words.keys()) > self.memory:
-            self.words = {}
-        if new := list(rest - self.words.keys()):
-            ids = np.array(self.whole(["".join(" " + w for w in new)])[0], np.uint32)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(new):
-                raise AssertionError("a piece is not opened by one blank")
-            self.words.update((w, part.tobytes()) for w, part in zip(new, np.split(ids, starts[1:])))
+        words: set[str] = set()
+        for c in cut:
+            if c:
+                c[0] = ""  # the head has no blank before it
+                words.update(c)
+        self.learn(words)
         get, out = self.words.__getitem__, []
         for c in cut:
             head = np.array(next(heads if c else others), np.uint32)
-            out.append(np.concatenate((head, np.frombuffer(b"".join(map(get, c[1:])), np.uint32))) if c else head)
+            out.append(np.frombuffer(head.tobytes() + b"".join(map(get, c)), np.uint32) if c else head)
         return out
 
 
@@ -127,7 +170,7 @@ def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: s
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), WordEncoder(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), WordEncoder.shared(tokenizer)
         held: list[np.ndarray] = []
         docs: list[tuple] = []
         size = chunk = no = done = 0
@@ -170,20 +213,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         bases.append((part, base))
         base += n
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part, payload, docs in zip(pdf.part, pdf.payload, pdf.docs):
-                ids = unpack(payload).astype("<u4")
-                rows = [(part, d["no"], d["doc_id"], d["start"], d["piece"], d["piece"] == 0 and d["last"], ids[d["at"] : d["at"] + d["n"]].tobytes()) for d in docs]
-                out = pd.DataFrame(rows, columns=["part", "no", "doc_id", "start", "piece", "whole", "ids"])
-                out["doc_id"] = out.doc_id.astype("Int64")
-                yield out
-
-    got = chunks.select("part", "payload", "docs").mapInPandas(pieces, "part int, no long, doc_id long, start long, piece int, whole boolean, ids binary")
+    def pieces(whole: bool) -> DataFrame:
+        """Documents inside one chunk, or the pieces of the others."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for part, payload, docs in zip(pdf.part, pdf.payload, pdf.docs):
+                    chosen = [d for d in docs if (d["piece"] == 0 and d["last"]) == whole]
+                    if chosen:
+                        ids = unpack(payload).astype("<u4").tobytes()
+                        rows = [(part, d["no"], d["doc_id"], d["start"], d["piece"], ids[4 * d["at"] : 4 * (d["at"] + d["n"])]) for d in chosen]
+                        out = pd.DataFrame(rows, columns=["part", "no", "doc_id", "start", "piece", "ids"])
+                        out["doc_id"] = out.doc_id.astype("Int64")
+                        yield out
+
+        return chunks.select("part", "payload", "docs").mapInPandas(run, "part int, no long, doc_id long, start long, piece int, ids binary")
+
     columns = ["part", "no", "doc_id", "start", "ids"]
     # documents inside one chunk need no shuffle; the pieces of the others are few
-    parted = got.where("not whole").groupBy("part", "no").agg(F.max("doc_id").alias("doc_id"), F.max("start").alias("start"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
-    joined = got.where("whole").select(columns).union(parted.withColumn("ids", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))).select(columns))
+    parted = pieces(False).groupBy("part", "no").agg(F.max("doc_id").alias("doc_id"), F.max("start").alias("start"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    joined = pieces(True).select(columns).union(parted.withColumn("ids", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))).select(columns))
     if not bases:
         return joined
     place = spark.createDataFrame(bases, "part int, base long")
