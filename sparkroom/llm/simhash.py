@@ -17,6 +17,11 @@ Defined results: a null text, or one without words, has fingerprint 0 and is
 linked like any other; fewer words than a shingle are one shingle; equal rows
 each keep a row; a component whose doc_ids are all null has a null
 component_id; an empty table gives no rows; other columns are not read.
+
+``similar_documents`` links by the similarity (Jaccard) of shingle sets instead.
+A similarity of 0.8 lies at up to 16 bits or so, more than the walk can carry, so
+to the walk's links come those of texts that share a band of least hashes; every
+link is then decided by comparing the two sets.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from sparkroom.llm.common import cut
 
@@ -43,25 +48,39 @@ TASK_ROWS = 1024
 MIN_DEPTH, MAX_DEPTH = 6, 20
 #: Node pairs in memory at once, and fingerprint pairs from which a node pair is compared leaf by leaf.
 FRONTIER, LEAVES = 1 << 18, 64
+#: Bands of least hashes, and hashes in each: two texts of similarity 0.8 share none once in 38,000 times.
+BANDS, BAND_ROWS = 20, 4
+#: Texts of a band up to which all pairs are compared; in larger ones each meets so many others in a round.
+ALL_PAIRS, MEET = 32, 8
+#: Texts to compare up to which their names are broadcast.
+BROADCAST_ROWS = 500_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned SimHash of a whole text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of every shingle of a whole text."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space alone
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     size = min(shingle, len(words))
     start, stop = np.concatenate(([0], ends[: len(words) - size])), ends[size - 1 :] - 1
     view, digest = memoryview(line), xxhash.xxh64_intdigest
-    hashes = np.array([digest(view[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist())], np.uint64)
+    return np.array([digest(view[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist())], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned SimHash of a whole text."""
+    return _majority(shingle_hashes(text, shingle))
+
+
 def _fingerprints(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in text:
         yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64), index=batch.index)
@@ -211,5 +230,110 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return thin.join(cut(reduce(DataFrame.union, [alone, grouped])), "fp")
 
 
+_DRAW = np.random.default_rng(SEED)
+_MIX, _ODD = (_DRAW.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
+_ODD |= np.uint64(1)
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """Names of the bands of a set of hashes."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, ((hashes[at : at + 4096, None] ^ _MIX) * _ODD).min(0), out=least)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+
+
+def _sketch_column(text: Column, shingle: int) -> Column:
+    """fp, the set's name and its bands."""
+
+    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            out = []
+            for t in batch:
+                every = shingle_hashes(t, shingle)
+                one = np.unique(every)
+                name = np.array([_majority(every), xxhash.xxh64_intdigest(one.tobytes())], np.uint64).view(np.int64)
+                out.append((name[0], name[1], _bands(one).view(np.int64) if len(one) else np.empty(0, np.int64)))
+            yield pd.DataFrame(out, columns=["fp", "name", "bands"], index=batch.index)
+
+    return F.pandas_udf(sketch, "fp long, name long, bands array<long>")(text)
+
+
+def _set_column(text: Column, shingle: int) -> Column:
+    def sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch], index=batch.index)
+
+    return F.pandas_udf(sets, ArrayType(LongType()))(text)
+
+
+def _meetings(turn: int, every: bool):
+    """a, b of other components that meet in a band: all pairs of a small one
+    (in the first round), MEET others for each text of a large one."""
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, root = pdf["name"].to_numpy(), pdf["root"].to_numpy()
+        n = len(name)
+        if n <= ALL_PAIRS:
+            a, b = np.triu_indices(n if every else 0, 1)
+        else:
+            order = np.random.default_rng([turn, n]).permutation(np.argsort(name))
+            big = pd.Series(root).mode()[0]
+            few, most = order[root[order] != big], order[root[order] == big]
+            # texts outside the largest component meet it, and each other
+            meets = [(few, np.roll(few, k)) for k in range(1, min(MEET, len(few) - 1) + 1)]
+            meets += [(few, most[(np.arange(len(few)) + k) % len(most)]) for k in range(min(MEET, len(most)))]
+            a, b = (np.concatenate(x) for x in zip(*meets))
+        a, b = a[other := root[a] != root[b]], b[other]
+        return pd.DataFrame({"u": np.maximum(name[a], name[b]), "v": np.minimum(name[a], name[b])})
+
+    return meet
+
+
+def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_hash and root of every row: equal roots for texts that links of
+    at least ``similarity`` between shingle sets connect."""
+    hashed = df.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    thin = cut(hashed.select("doc_id", "text_hash", _sketch_column(F.col("text"), shingle).alias("s")).select("doc_id", "text_hash", "s.*"))
+    sets = cut(thin.groupBy("name").agg(F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands")))
+    # candidates of the walk, and of each band with its member of least hash
+    first = cut(sets.groupBy("fp").agg(F.min("name").alias("first")))
+    walked = links(first.select("fp"))
+    walked = walked.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    equal = sets.join(first, "fp").where("name <> first").select(F.col("name").alias("a"), F.col("first").alias("b"))
+    keyed = sets.select("name", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", "name").alias("h"), "name")).alias("hub")).where("n > 1")
+    members = cut(keyed.join(shared.select("band", "n", F.col("hub.name").alias("hub")), "band"))
+    hubs = members.where("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b"))
+    pairs = cut(walked.union(equal).union(hubs).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    # the sets of all candidates, once
+    asked = cut(members.select("name").union(pairs.select("u")).union(pairs.select("v")).distinct().join(sets.select("name", "text_hash"), "name"))
+    side = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda x: x)
+    texts = hashed.select("text_hash", "text").join(side(asked), "text_hash").dropDuplicates(["name"])
+    held = cut(texts.select("name", _set_column(F.col("text"), shingle).alias("set")))
+
+    def true(pairs: DataFrame) -> DataFrame:
+        a, b = (held.select(F.col("name").alias(c), F.col("set").alias(f"set_{c}")) for c in "uv")
+        n, m = F.size("set_u"), F.size("set_v")
+        near = pairs.join(a, "u").join(b, "v").where(F.least(n, m) >= similarity * F.greatest(n, m))
+        both = near.select("u", "v", (n + m).alias("all"), F.size(F.array_intersect("set_u", "set_v")).alias("both"))
+        return cut(both.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("u", "v"))
+
+    edges, turn = true(pairs), 0
+    while True:
+        found = cut(components(edges))
+        rooted = members.join(found, members["name"] == found.u, "left").select("band", "n", "name", F.coalesce("root", "name").alias("root"))
+        if turn:
+            rooted = rooted.where(F.col("n") > ALL_PAIRS)
+        apart = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+        open_ = rooted.join(apart, "band").where(F.col("n") > 2)
+        more = cut(open_.groupBy("band").applyInPandas(_meetings(turn, not turn), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"))
+        new = true(more)
+        if not new.count():
+            break
+        pairs, edges, turn = cut(pairs.union(more)), cut(edges.union(new)), turn + 1
+    return thin.join(found.withColumnRenamed("u", "name"), "name", "left").select("doc_id", "text_hash", F.coalesce("root", "name").alias("root"))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -254,3 +254,29 @@ def test_simhash_edges(spark):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
     nulls = spark.createDataFrame([(None, "lone words here now"), (None, "x"), (4, "x")], schema)
     assert sorted((r.doc_id is None, r.component_id) for r in simhash.near_duplicates(nulls).collect() if r.component_id is not None) == [(False, 4), (True, 4)]
+
+
+@pytest.mark.parametrize("all_pairs", [32, 2])
+def test_similar_documents_brute_force(spark, monkeypatch, all_pairs):
+    monkeypatch.setattr(simhash, "ALL_PAIRS", all_pairs)
+    rng = random.Random(8)
+    texts = [None, "", "lone", "two words", "Two  WORDS"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for edits in (0, 0, 1, 2, 3, 3, 4, 6, 12):  # similarity from 1 to under 0.5
+            w = list(base)
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(w))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    wide = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                wide += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > simhash.MAX_BITS
+                root = [root[j] if r == root[i] else r for r in root]
+    groups = lambda of: {frozenset(i for i, r in of.items() if r == k) for k in set(of.values())}
+    got = {r.doc_id: r.root for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert groups(got) == groups(dict(enumerate(root))) and wide
+    assert simhash.similar_documents(docs(spark, texts).limit(0)).count() == 0
