@@ -2,9 +2,11 @@
 
 A page becomes lines: the text of its blocks, white space folded and character
 references decoded, each with the region it stands in. Pages are sorted by host,
-path and key; each is paired with the neighbour on its host whose path shares the
-longest start with its own, their lines are aligned by the longest common
-subsequence, and shared lines are deleted.
+path and key; each is paired with a neighbour on its host, their lines are aligned
+by the longest common subsequence, and shared lines are deleted. Pages with just
+the same open lines are copies and tell nothing, so the neighbours of a run of
+copies are the last page before it and the first after it that differ; the one
+whose path shares the longest start with the page's own is taken.
 
 Differencing alone neither finds an advert that one page alone shows nor keeps a
 passage that two articles share. So the markup decides where it speaks: lines
@@ -13,8 +15,9 @@ lines inside menus, headers, footers, forms, asides and the like always go, and
 the alignment decides the lines outside both, on pages with neither element.
 
 Pages are dealt into ranges of the sorted URLs, so a host with a third of all
-pages is many ranges; a page at the end of a range pairs with its other
-neighbour. A neighbour with just the same open lines is a copy and tells nothing.
+pages is many ranges. Each range is handed the pages across its borders that its
+first and last run need, by a table of the ranges' ends: at most four pages of
+each range reach the driver.
 
 Defined results: null html is empty and gives an empty text; a null URL, or one
 without "://", has an empty host and path; rows that repeat are each extracted;
@@ -24,6 +27,7 @@ an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections.abc import Iterator
 from os.path import commonprefix
@@ -32,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkroom.llm.common import cut
 from sparkroom.llm.urlfilter import host_of, path_of
 
 ARTICLE, MAIN, OPEN, CHROME = range(4)
@@ -170,44 +175,108 @@ def main_text(own: list[tuple[int, str]], neighbours: list[list[str]]) -> str:
     return "\n".join(open_)
 
 
-class _Page:
-    def __init__(self, key, url, html, host, path) -> None:
-        self.key, self.url, self.host, self.path = key, url, host, path
-        self.lines = lines(html)
-        self.open = [t for r, t in self.lines if r == OPEN]
-
-
-def _nearest(page: _Page, before: _Page | None, after: _Page | None) -> list[list[str]]:
-    """Open lines of the neighbours on the page's host, the nearest path first."""
-    near = [p for p in (before, after) if p is not None and p.host == page.host]
-    near.sort(key=lambda p: -len(commonprefix([p.path, page.path])))
-    return [p.open for p in near]
-
-
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``key``, url and text of every page."""
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    order = ["host", "path", "key", "salt"]
-    dealt = rows.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-
+#: Host, path and open lines of a page.
+_End = tuple[str, str, list[str]]
+PARSED = "url string, host string, path string, salt long, text string, open array<string>"
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The open lines of every page, and its text where the markup decides."""
+    for pdf in batches:
+        found = [lines(page) for page in pdf["html"]]
+        pdf["text"] = [main_text(own, []) if any(r < OPEN for r, _ in own) else None for own in found]
+        pdf["open"] = [[t for r, t in own if r == OPEN] for own in found]
+        yield pdf.drop(columns="html")
+
+
+def _different(page: _End, near: list[_End | None]) -> _End | None:
+    """The first of ``near`` that is on the page's host and no copy."""
+    return next((x for x in near if x and x[0] == page[0] and x[2] != page[2]), None)
+
+
+def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A range's first page, the first of the next run, its last page, the last of
+    the run before, and whether it has several runs."""
+    first = second = last = prior = None
+    several, part = False, 0
+    for pdf in batches:
+        for part, *at in zip(pdf["part"], pdf["host"], pdf["path"], map(list, pdf["open"])):
+            page = tuple(at)
+            if first is None:
+                first = page
+            elif (page[0], page[2]) != (last[0], last[2]):
+                if not several:
+                    second = page
+                several, prior = True, last
+            last = page
+    if first is not None:
+        yield pd.DataFrame({"part": [part], "ends": [json.dumps([first, _different(first, [second]), last, _different(last, [prior]), several])]})
+
+
+def _borders(ends: dict[int, list]) -> dict[int, tuple[list, list]]:
+    """For each range, the nearest page before it and the nearest that differs from
+    that one, and the same after it."""
+    before, after = {}, {}
+    for out, order, near, next_ in ((before, sorted(ends), 2, 3), (after, sorted(ends, reverse=True), 0, 1)):
+        at: list = []
+        for part in order:
+            out[part] = at
+            page = ends[part][near]
+            at = [page, ends[part][next_] if ends[part][4] else _different(page, at)]
+    return {part: (before[part], after[part]) for part in ends}
+
+
+def _differenced(borders: dict[int, tuple[list, list]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before: _Page | None = None
-        page: _Page | None = None
+        own: _End | None = None  # the last page
+        before: _End | None = None
+        held: list[tuple] = []  # undecided pages of the run: key, url, path
+        part = None
+
+        def end(after: _End | None) -> list[tuple]:
+            kept: dict[int, str] = {}
+            out = []
+            near = [x for x in (before, after) if x]
+            for key, url, path in held:
+                x = max(near, key=lambda p: len(commonprefix([p[1], path])), default=None)
+                if id(x) not in kept:
+                    gone = shared(own[2], x[2]) if x else ()
+                    kept[id(x)] = "\n".join(t for j, t in enumerate(own[2]) if j not in gone)
+                out.append((key, url, kept[id(x)]))
+            return out
 
         def done(some: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(some, columns=["key", "url", "text"], dtype=object)
 
         for pdf in batches:
             out = []
-            for row in zip(pdf["key"].astype(object).where(pdf["key"].notna(), None), pdf.url, pdf.html, pdf.host, pdf.path):
-                after = _Page(*row)
-                if page is not None:
-                    out.append((page.key, page.url, main_text(page.lines, _nearest(page, before, after))))
-                before, page = page, after
+            for part, key, url, host, path, decided, open_ in zip(pdf["part"], pdf["key"].astype(object).where(pdf["key"].notna(), None), pdf["url"], pdf["host"], pdf["path"], pdf["decided"], map(list, pdf["open"])):
+                page = (host, path, open_)
+                if own is None:
+                    before = _different(page, borders[part][0])
+                elif (host, open_) != (own[0], own[2]):
+                    out += end(_different(own, [page]))
+                    before, held = _different(page, [own]), []
+                own = page
+                if not decided:
+                    held.append((key, url, path))
             yield done(out)
-        if page is not None:
-            yield done([(page.key, page.url, main_text(page.lines, _nearest(page, before, None)))])
+        if own is not None:
+            yield done(end(_different(own, borders[part][1])))
+
+    return run
+
 
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``key``, url and text of every page."""
     kind = pages.schema[key].dataType.simpleString()
-    found = dealt.select("key", "url", "html", "host", "path").mapInPandas(run, f"key {kind}, url string, text string")
-    return found.withColumnRenamed("key", key)
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("salt"), F.col(html).alias("html"))
+    order = ["host", "path", "key", "salt"]
+    parsed = rows.mapInPandas(_parse, f"key {kind}, {PARSED}")
+    # texts that the markup decides stay out of the sort; they are parsed again, which needs no disk
+    thin = parsed.select("key", F.when(F.col("text").isNull(), F.col("url")).alias("url"), "host", "path", "salt", F.col("text").isNotNull().alias("decided"), "open")
+    # both passes must see the same ranges
+    dealt = cut(thin.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("part", F.spark_partition_id())
+    ends = {r.part: json.loads(r.ends) for r in dealt.select("part", "host", "path", "open").mapInPandas(_ends, "part int, ends string").collect()}
+    found = dealt.select("part", "key", "url", "host", "path", "decided", "open").mapInPandas(_differenced(_borders(ends)), f"key {kind}, url string, text string")
+    return parsed.where("text is not null").select("key", "url", "text").union(found).withColumnRenamed("key", key)

@@ -147,6 +147,22 @@ def test_differencing_of_neighbours(spark):
     assert htmldiff.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_beyond_copies_and_ranges(spark):
+    page = lambda own: f"<div>Welcome</div><p>{own}</p><div>Imprint</div>"
+    owns = [f"story {i}" if i % 9 < 3 else f"copy {i // 9}" for i in range(60)]
+    rows = [(i, f"http://h.net/a/{i:03}", page(own)) for i, own in enumerate(owns)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("1", "7", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert {r.page_id: r.text for r in htmldiff.extract(df).collect()} == dict(enumerate(owns))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 # --- bit planes
 
 
