@@ -3,31 +3,41 @@
 A fingerprint bit is 1 where over half of a text's shingle hashes have it.
 Distinct fingerprints form a binary trie; pairs of its nodes are walked together
 from the top, differing bits add up, and a pair is pruned as soon as it is over
-its error budget. Three tries are walked, each over the bits turned by a third
-of their length: of at most 4 differing bits some third holds at most one, so in
-each trie the leading third has a budget of 1 and the whole one of 4.
+its error budget.
 
+``near_duplicates`` links fingerprints of 64 bits at 4 or fewer differing ones.
+Three tries are walked, each over the bits turned by a third of their length: of
+at most 4 differing bits some third holds at most one, so in each trie the
+leading third has a budget of 1 and the whole one of 4, and no link is missed.
 The top levels of a trie deal the work: the node pairs at depth ``d`` within the
 leading budget (a node with itself, or with one that differs in one bit) are the
-tasks, and each fingerprint goes to d + 1 of them. A task gives a spanning
-forest of the links it finds, no pairs. Components grow from these links by
-alternating large-star and small-star steps, each cut off in the shared folder.
-
-Defined results: a null text, or one without words, has fingerprint 0 and is
-linked like any other; fewer words than a shingle are one shingle; equal rows
-each keep a row; a component whose doc_ids are all null has a null
-component_id; an empty table gives no rows; other columns are not read.
-
-``similar_documents`` links by the similarity (Jaccard) of shingle sets instead.
-A similarity of 0.8 lies at up to 16 bits or so, more than the walk can carry, so
-to the walk's links come those of texts that share a band of least hashes; every
-link is then decided by comparing the two sets.
+tasks, and each fingerprint goes to d + 1 of them in each trie, 63 at most. Node
+pairs with a crowded node are dealt at the leading third's whole depth.
+
+``similar_documents`` links texts whose sets of shingles have a Jaccard
+similarity of ``similarity`` or more. Such pairs differ in up to 15 % of the bits
+of a fingerprint, so it takes ``WIDE`` bits and walks a trie over each of several
+stretches of them: a task holds the texts that agree in a stretch's first bits
+and walks the next ones with a budget. As many stretches are walked as find a
+pair just at the similarity with a chance of ``RECALL``; closer pairs are found
+more surely. Distances far under the limit are links; distances around it are
+compared set by set, exactly.
+
+Tasks give a spanning forest of the links that they find, no pairs. Vertices are
+named by their least document, so that components, which grow from the links by
+alternating large-star and small-star steps, are named by theirs.
+
+Defined results: a null text, or one without words, has fingerprint 0 (and an
+empty set) and is linked like any other; fewer words than a shingle are one
+shingle; equal rows each keep a row; a component whose doc_ids are all null has a
+null component_id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import itertools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,15 +55,28 @@ MAX_BITS = 4
 TURNS, LEAD_BITS, LEAD_BUDGET = (0, 21, 42), 21, 1
 #: Distinct fingerprints that a task gets on average; fixes the dealing depth.
 TASK_ROWS = 1024
+#: Rows that a group of tasks gets on average.
+GROUP_ROWS = 1 << 15
 MIN_DEPTH, MAX_DEPTH = 6, 20
+#: Fingerprints of a node from which its tasks are dealt deeper.
+CROWDED = 20_000
 #: Node pairs in memory at once, and fingerprint pairs from which a node pair is compared leaf by leaf.
 FRONTIER, LEAVES = 1 << 18, 64
-#: Bands of least hashes, and hashes in each: two texts of similarity 0.8 share none once in 38,000 times.
-BANDS, BAND_ROWS = 20, 4
-#: Texts of a band up to which all pairs are compared; in larger ones each meets so many others in a round.
-ALL_PAIRS, MEET = 32, 8
-#: Texts to compare up to which their names are broadcast.
+#: A key with over a ten-thousandth of all rows, and so many rows at least, is
+#: joined by broadcast: that is 10,000 keys at most. Smaller tables have one join.
+HOT_KEYS, HOT_LEAST, SMALL = 10_000, 100, 5_000
+
+#: Bits of a wide fingerprint, texts in a task on average, and the walk's bits and budget.
+WIDE, WIDE_TASK, WALK_BITS, WALK_BUDGET = 1024, 2048, 14, 3
+RECALL = 0.995
+#: Standard deviations between the limit and a distance that needs no comparing, and shingles that this takes.
+SURE_BY, SURE_LEAST = 3.5, 64
+#: Compared texts up to which their names are broadcast.
 BROADCAST_ROWS = 500_000
+#: Stands for a null doc_id, the last of all.
+NO_ID = 2**63 - 1
+
+VERTEX = "struct<id:long,name:long>"
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -69,16 +92,32 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.array([digest(view[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist())], np.uint64)
 
 
-def _majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+def _majority(words: np.ndarray, step: int = 255) -> np.ndarray:
+    """Bits set in over half of the rows of 64-bit words. Sums of ``step`` rows fit
+    a byte."""
+    n, width = words.shape
+    ones = np.zeros(64 * width, np.int64)
+    for at in range(0, n, step):
+        bits = np.unpackbits(words[at : at + step].astype(">u8").view(np.uint8), axis=1)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > n).view(">u8").astype(np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned SimHash of a whole text."""
-    return _majority(shingle_hashes(text, shingle))
+    return int(_majority(shingle_hashes(text, shingle)[:, None])[0])
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` bits of a set of hashes; each word of them mixes the hashes anew."""
+    ones = [np.zeros(0, np.uint64)] * (WIDE // 64)
+    with np.errstate(over="ignore"):
+        for i in range(len(ones)):  # the published 64-bit finalizer over hashes moved by odd steps
+            z = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & NO_ID * 2 + 1)
+            z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            ones[i] = z ^ z >> np.uint64(31)
+    return _majority(np.stack(ones, axis=1))
 
 
 def _fingerprints(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -91,7 +130,7 @@ def fingerprint_column(text: Column) -> Column:
     return F.pandas_udf(_fingerprints, LongType())(text)
 
 
-class _Forest:
+class Forest:
     """Sets of the places of a sorted array; a root is its set's least place."""
 
     def __init__(self, n: int) -> None:
@@ -116,23 +155,23 @@ def _pairs(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tu
     return a0[which] + k // nb[which], b0[which] + k % nb[which]
 
 
-def trie_forest(keys: np.ndarray, depth: int, cross: bool) -> np.ndarray:
-    """Roots of the sorted distinct ``keys`` (turned, unsigned), linked by the
-    walk from ``depth``: one node with itself, or (``cross``) two nodes that
-    differ in one of the leading bits."""
-    forest = _Forest(len(keys))
-    if cross:
-        top = keys >> np.uint64(64 - depth)
-        cutting = int(np.searchsorted(top, top[-1])) if len(keys) else 0
-        first = [(0, cutting, cutting, len(keys), 1)] if 0 < cutting < len(keys) else []
-    else:
-        first = [(0, len(keys), 0, len(keys), 0)]
-    if not first:
-        return forest.root
-    stack = [(depth, *(np.array([v]) for v in first[0]))]
+def walk(keys: np.ndarray, depth: int, budget: Callable[[int], int], forest: Forest, compare: Callable[[np.ndarray, np.ndarray], None], cross: bool = False, frontier: int | None = None) -> None:
+    """Walk pairs of nodes of the trie over the sorted ``keys``, which share their
+    first ``depth`` bits or (``cross``) are two nodes of that depth to be paired;
+    call ``compare`` with the places of the leaf pairs that no budget has pruned.
+    Pairs of nodes whose members are all one set of ``forest`` are left out."""
+    n = len(keys)
+    if n < 2:
+        return
+    top = keys >> np.uint64(64 - depth) if depth else np.zeros(n, np.uint64)
+    half = int(np.searchsorted(top, top[-1]))
+    if cross and not half:
+        return
+    first = (0, half, half, n, int(np.bitwise_count(top[0] ^ top[-1]))) if cross else (0, n, 0, n, 0)
+    stack = [(depth, *(np.array([v]) for v in first))]
     while stack:
         bit, a0, a1, b0, b1, err = stack.pop()
-        if len(a0) > FRONTIER:
+        if len(a0) > (frontier or FRONTIER):
             half = len(a0) // 2
             stack += [(bit, *(x[half:] for x in (a0, a1, b0, b1, err))), (bit, *(x[:half] for x in (a0, a1, b0, b1, err)))]
             continue
@@ -143,8 +182,7 @@ def trie_forest(keys: np.ndarray, depth: int, cross: bool) -> np.ndarray:
         small = ((a1 - a0) * (b1 - b0) <= LEAVES) | (bit >= 64)
         if small.any():
             i, j = _pairs(a0[small], a1[small], b0[small], b1[small])
-            near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= MAX_BITS)
-            forest.link(i[near], j[near])
+            compare(i[i < j], j[i < j])
             a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
         if not len(a0):
             continue
@@ -153,7 +191,6 @@ def trie_forest(keys: np.ndarray, depth: int, cross: bool) -> np.ndarray:
         am = np.clip(np.searchsorted(keys, (keys[a0] & mask) | mark), a0, a1)
         bm = np.clip(np.searchsorted(keys, (keys[b0] & mask) | mark), b0, b1)
         self_pair = a0 == b0
-        budget = LEAD_BUDGET if bit < LEAD_BITS else MAX_BITS
         parts = [
             (a0, am, b0, bm, err, np.full(len(a0), True)),
             (am, a1, bm, b1, err, np.full(len(a0), True)),
@@ -161,36 +198,97 @@ def trie_forest(keys: np.ndarray, depth: int, cross: bool) -> np.ndarray:
             (am, a1, b0, bm, err + 1, ~self_pair),
         ]
         joined = [np.concatenate(x) for x in zip(*parts)]
-        alive = joined[5] & (joined[0] < joined[1]) & (joined[2] < joined[3]) & (joined[4] <= budget)
+        alive = joined[5] & (joined[0] < joined[1]) & (joined[2] < joined[3]) & (joined[4] <= budget(bit))
         if alive.any():
             stack.append((bit + 1, *(x[alive] for x in joined[:5])))
+
+
+def trie_forest(keys: np.ndarray, depth: int, cross: bool) -> np.ndarray:
+    """Roots of the sorted distinct ``keys`` (turned, unsigned), linked by the walk
+    from ``depth``: one node with itself, or (``cross``) two nodes that differ there."""
+    forest = Forest(len(keys))
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        near = np.bitwise_count(keys[i] ^ keys[j]) <= MAX_BITS
+        forest.link(i[near], j[near])
+
+    walk(keys, depth, lambda bit: LEAD_BUDGET if bit < LEAD_BITS else MAX_BITS, forest, compare, cross)
     return forest.root
 
 
+def _stars(root: np.ndarray, ids: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of every member of a set but its least vertex, and of that vertex."""
+    order = np.lexsort((names, ids, root))
+    first = np.concatenate(([True], root[order][1:] != root[order][:-1])) if len(order) else np.empty(0, bool)
+    centre = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
+    return order[~first], centre[~first]
+
+
 def _turn(fp: Column, bits: int) -> Column:
     return fp if not bits else F.shiftleft(fp, bits).bitwiseOR(F.shiftrightunsigned(fp, 64 - bits))
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """u > v, links between distinct fingerprints (column ``fp``) that span every
-    component of the link relation."""
+def links(prints: DataFrame, task_rows: int = TASK_ROWS, crowded: int = CROWDED) -> DataFrame:
+    """u > v, vertices of id and name (the fingerprint): links between distinct
+    fingerprints (columns ``fp`` and ``id``) that span every component of the link
+    relation."""
     n = prints.count()
-    depth = min(MAX_DEPTH, max(MIN_DEPTH, (max(n, 1) // TASK_ROWS).bit_length()))
+    depth = min(MAX_DEPTH, max(MIN_DEPTH, (max(n, 1) // task_rows).bit_length()))
     tries = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), _turn(F.col("fp"), t).alias("key")) for t in TURNS]))
-    keyed = prints.select(tries.alias("t")).select("t.*").withColumn("top", F.shiftrightunsigned("key", 64 - depth))
-    other = F.array("top", *[F.col("top").bitwiseXOR(F.lit(1 << j)) for j in range(depth)])
-    dealt = keyed.withColumn("other", F.explode(other)).select("turn", "key", F.least("top", "other").alias("lo"), F.greatest("top", "other").alias("hi"))
-
-    def walk(task: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        turn, lo, hi = map(int, task)
-        keys = np.sort(pdf.key.to_numpy().view(np.uint64))
-        root = trie_forest(keys, depth, lo != hi)
-        member = np.flatnonzero(root != np.arange(len(keys)))
-        back = lambda k: ((k >> np.uint64(turn)) | (k << np.uint64(64 - turn))) if turn else k
-        a, b = back(keys[member]).view(np.int64), back(keys[root[member]]).view(np.int64)
-        return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
-
-    return dealt.groupBy("turn", "lo", "hi").applyInPandas(walk, "u long, v long").distinct()
+    keyed = prints.select(tries.alias("t"), "id").select("t.*", "id")
+    node = lambda d: F.shiftrightunsigned("key", 64 - d)
+    flips = lambda top, a, b: [top.bitwiseXOR(F.lit(1 << j)) for j in range(a, b)]
+    full = keyed.groupBy("turn", node(depth).alias("top")).agg(F.count("*").alias("n")).where(F.col("n") > max(crowded, n // HOT_KEYS)).select("turn", "top").collect()
+
+    def pairs(rows: DataFrame, tops: list[Column], other: Column, d: int) -> DataFrame:
+        own = tops[0]
+        return rows.select("turn", "key", "id", own.alias("top"), F.explode(other).alias("other")).select("turn", "key", "id", F.lit(d).alias("depth"), F.least("top", "other").alias("lo"), F.greatest("top", "other").alias("hi"))
+
+    dealt = pairs(keyed, [node(depth)], F.array(node(depth), *flips(node(depth), 0, depth)), depth)
+    if full:
+        hot = F.lit(False)
+        for t in TURNS:
+            tops = [r.top for r in full if r.turn == t]
+            if tops:
+                hot = hot | ((F.col("turn") == t) & (F.col("lo").isin(tops) | F.col("hi").isin(tops)))
+        more = LEAD_BITS - depth
+        deep = node(LEAD_BITS)
+        # both nodes of a pair that differs already go on in step; a node with itself has its budget left
+        apart = F.shiftleft(F.col("lo").bitwiseXOR(F.col("hi")), more)
+        other = F.when(F.col("lo") == F.col("hi"), F.array(deep, *flips(deep, 0, more))).otherwise(F.array(deep.bitwiseXOR(apart)))
+        dealt = dealt.where(~hot).union(pairs(dealt.where(hot), [deep], other, LEAD_BITS))
+
+    def tasks(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, ids, turn, d, lo, hi = pdf.key.to_numpy().view(np.uint64), *(pdf[c].to_numpy() for c in ("id", "turn", "depth", "lo", "hi"))
+        order = np.lexsort((keys, hi, lo, d, turn))
+        keys, ids, turn, d, lo, hi = (x[order] for x in (keys, ids, turn, d, lo, hi))
+        new = (np.diff(turn) != 0) | (np.diff(d) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)
+        out = [np.empty((4, 0), np.int64)]
+        for a, b in itertools.pairwise([0, *(np.flatnonzero(new) + 1).tolist(), len(keys)]):
+            if b - a > 1:
+                own, t = keys[a:b], int(turn[a])
+                fps = (((own >> np.uint64(t)) | (own << np.uint64(64 - t))) if t else own).view(np.int64)
+                member, centre = _stars(trie_forest(own, int(d[a]), lo[a] != hi[a]), ids[a:b], fps)
+                out.append(np.stack((ids[a:b][member], fps[member], ids[a:b][centre], fps[centre])))
+        return pd.DataFrame(dict(zip(("u_id", "u_name", "v_id", "v_name"), np.concatenate(out, axis=1))))
+
+    # tasks that are small share a group
+    groups = max(1, 3 * n * (depth + 1) // GROUP_ROWS)
+    named = dealt.withColumn("group", F.pmod(F.xxhash64("turn", "depth", "lo", "hi"), F.lit(groups)))
+    found = named.groupBy("group").applyInPandas(tasks, "u_id long, u_name long, v_id long, v_name long").distinct()
+    return found.select(*[F.struct(F.col(f"{c}_id").alias("id"), F.col(f"{c}_name").alias("name")).alias(c) for c in "uv"])
+
+
+def _by_key(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows``, so many in all, joined with ``side``, which has one row for each key
+    and, in ``n``, the rows that it meets. Crowded keys are broadcast, so that no
+    task gets all rows of one."""
+    plain = side.drop("n")
+    if total <= SMALL:
+        return rows.join(plain, key)
+    hot = F.col("n") > max(HOT_LEAST, total // HOT_KEYS)
+    crowd = F.broadcast(side.where(hot).drop("n"))
+    return rows.join(crowd, key).unionByName(rows.join(crowd.select(key), key, "left_anti").join(side.where(~hot).drop("n"), key))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,8 +302,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _by_key(both.where("v > u"), least, "u", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a node's own edges to lesser ones are few after a large-star
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small)
@@ -216,47 +315,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp, root (the component's least fingerprint) and
-    component_id of every row."""
-    thin = cut(df.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint_column(F.col(text)).alias("fp")))
-    prints = thin.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(prints.select("fp")))
-    rooted = prints.join(found, prints.fp == found.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = rooted.where("fp <> root").select("root").distinct()
-    # fingerprints alone in their component need no join
-    alone = rooted.join(linked, "root", "left_anti").select("fp", "root", F.col("least").alias("component_id"))
-    grouped = rooted.join(linked, "root", "left_semi").join(ids, "root").select("fp", "root", "component_id")
-    return thin.join(cut(reduce(DataFrame.union, [alone, grouped])), "fp")
-
-
-_DRAW = np.random.default_rng(SEED)
-_MIX, _ODD = (_DRAW.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
-_ODD |= np.uint64(1)
-
-
-def _bands(hashes: np.ndarray) -> np.ndarray:
-    """Names of the bands of a set of hashes."""
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, ((hashes[at : at + 4096, None] ^ _MIX) * _ODD).min(0), out=least)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+    """doc_id, fp and component_id of every row; ``key`` holds whole numbers."""
+    thin = cut(df.select(F.col(key).cast("long").alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")))
+    prints = cut(thin.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.count("*").alias("n")))
+    found = components(links(prints.select("fp", "id")))
+    roots = found.select(F.col("u.name").alias("fp"), F.col("root.id").alias("root"))
+    named = prints.join(roots, "fp", "left").select("fp", F.nullif(F.coalesce("root", "id"), F.lit(NO_ID)).alias("component_id"), "n")
+    return _by_key(thin, cut(named), "fp", thin.count()).select("doc_id", "fp", "component_id")
 
 
 def _sketch_column(text: Column, shingle: int) -> Column:
-    """fp, the set's name and its bands."""
+    """The set's name, its size, and its wide fingerprint."""
 
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             out = []
             for t in batch:
-                every = shingle_hashes(t, shingle)
-                one = np.unique(every)
-                name = np.array([_majority(every), xxhash.xxh64_intdigest(one.tobytes())], np.uint64).view(np.int64)
-                out.append((name[0], name[1], _bands(one).view(np.int64) if len(one) else np.empty(0, np.int64)))
-            yield pd.DataFrame(out, columns=["fp", "name", "bands"], index=batch.index)
+                one = np.unique(shingle_hashes(t, shingle))
+                name = np.uint64(xxhash.xxh64_intdigest(one.tobytes())).astype(np.int64)
+                out.append((name, len(one), wide_fingerprint(one).view(np.int64)))
+            yield pd.DataFrame(out, columns=["name", "size", "fp"], index=batch.index)
 
-    return F.pandas_udf(sketch, "fp long, name long, bands array<long>")(text)
+    return F.pandas_udf(sketch, "name long, size int, fp array<long>")(text)
 
 
 def _set_column(text: Column, shingle: int) -> Column:
@@ -267,72 +347,137 @@ def _set_column(text: Column, shingle: int) -> Column:
     return F.pandas_udf(sets, ArrayType(LongType()))(text)
 
 
-def _meetings(turn: int, every: bool):
-    """a, b of other components that meet in a band: all pairs of a small one
-    (in the first round), MEET others for each text of a large one."""
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, root = pdf["name"].to_numpy(), pdf["root"].to_numpy()
-        n = len(name)
-        if n <= ALL_PAIRS:
-            a, b = np.triu_indices(n if every else 0, 1)
-        else:
-            order = np.random.default_rng([turn, n]).permutation(np.argsort(name))
-            big = pd.Series(root).mode()[0]
-            few, most = order[root[order] != big], order[root[order] == big]
-            # texts outside the largest component meet it, and each other
-            meets = [(few, np.roll(few, k)) for k in range(1, min(MEET, len(few) - 1) + 1)]
-            meets += [(few, most[(np.arange(len(few)) + k) % len(most)]) for k in range(min(MEET, len(most)))]
-            a, b = (np.concatenate(x) for x in zip(*meets))
-        a, b = a[other := root[a] != root[b]], b[other]
-        return pd.DataFrame({"u": np.maximum(name[a], name[b]), "v": np.minimum(name[a], name[b])})
-
-    return meet
+def _share(cosine: float) -> float:
+    """Part of the bits that differ between texts of a cosine, on average."""
+    return math.acos(min(1.0, cosine)) / math.pi
+
+
+def _limits(similarity: float) -> tuple[int, int, int]:
+    """Distances up to which a pair is a link for sure, may be one, and may be one
+    if a set is small."""
+    off = lambda p: SURE_BY * math.sqrt(WIDE * p * (1 - p))
+    at, sure = _share(2 * similarity / (1 + similarity)), _share(math.sqrt(similarity))
+    return int(WIDE * sure - off(sure)), int(WIDE * at + off(at)), int(WIDE * at * 1.25 + off(at))
+
+
+def _stretches(similarity: float, depth: int) -> int:
+    """Tries that find a pair at the similarity with the wanted chance, as far as
+    the fingerprint has stretches of 32 bits."""
+    p = _share(2 * similarity / (1 + similarity))
+    within = sum(math.comb(WALK_BITS, k) * p**k * (1 - p) ** (WALK_BITS - k) for k in range(WALK_BUDGET + 1))
+    one = (1 - p) ** depth * within
+    return min(WIDE // 32, math.ceil(math.log(1 - RECALL) / math.log(1 - one))) if one < 1 else 1
+
+
+def _closest(forest: Forest, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the pairs that join the sets of ``forest`` at the least distances."""
+    joined = Forest(len(forest.root))
+    joined.root = forest.root.copy()
+    order = np.lexsort((j, i, d))
+    i, j, chosen = i[order], j[order], []
+    left = np.arange(len(order))
+    while len(left):
+        a, b = joined.root[i[left]], joined.root[j[left]]
+        left, a, b = (x[a != b] for x in (left, a, b))
+        best = np.full(len(joined.root), len(order))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        take = np.unique(best[best < len(order)])
+        chosen.append(take)
+        joined.link(i[take], j[take])
+    return order[np.concatenate(chosen)] if chosen else order
+
+
+def _similar_task(similarity: float, depth_of: Callable[[tuple], int]):
+    sure_at, at, small_at = _limits(similarity)
+    out = ["u_id", "u_name", "v_id", "v_name", "sure"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t, depth = int(key[0]), depth_of(key)
+        wide = np.stack(pdf.fp.to_numpy()).view(np.uint64)
+        word = wide[:, t // 2]
+        keys = word if t % 2 == 0 else (word << np.uint64(32)) | (wide[:, (t // 2 + 1) % wide.shape[1]] >> np.uint64(32))
+        order = np.argsort(keys, kind="stable")
+        keys, wide = keys[order], wide[order]
+        ids, names, sizes = (pdf[c].to_numpy()[order] for c in ("id", "name", "size"))
+        forest, held = Forest(len(keys)), [np.empty((3, 0), np.int64)]
+
+        def compare(i: np.ndarray, j: np.ndarray) -> None:
+            open_ = forest.root[i] != forest.root[j]
+            i, j = i[open_], j[open_]
+            d = np.zeros(len(i), np.int64)
+            for w in range(wide.shape[1]):
+                d += np.bitwise_count(wide[i, w] ^ wide[j, w])
+                if w == 3:  # a quarter of the bits drops most pairs
+                    some = d <= small_at // 2
+                    i, j, d = i[some], j[some], d[some]
+            least, most = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+            fits = (d <= np.where(least < SURE_LEAST, small_at, at)) & (least >= similarity * most)
+            sure = fits & (d <= sure_at) & (least >= SURE_LEAST)
+            forest.link(i[sure], j[sure])
+            rest = fits & ~sure
+            held.append(np.stack([i[rest], j[rest], d[rest]]))
+            if sum(h.shape[1] for h in held) > 1 << 18:
+                joined = np.concatenate(held, axis=1)
+                held[:] = [joined[:, _closest(forest, *joined)]]
+
+        walk(keys, depth, lambda bit: WALK_BUDGET if bit < depth + WALK_BITS else 64, forest, compare, frontier=1 << 14)
+        member, centre = _stars(forest.root, ids, names)
+        joined = np.concatenate(held, axis=1)
+        i, j = joined[:2, _closest(forest, *joined)]
+        u, v = np.concatenate((member, i)), np.concatenate((centre, j))
+        return pd.DataFrame(dict(zip(out, (ids[u], names[u], ids[v], names[v], np.arange(len(u)) < len(member)))))
+
+    return run
+
+
+def similar_links(sets: DataFrame, similarity: float, task_rows: int = WIDE_TASK) -> DataFrame:
+    """u > v, vertices, and whether they are similar for sure, of distinct sets
+    (columns name, id, size, fp)."""
+    n = sets.count()
+    depth = min(24, max(2, (max(n, 1) // task_rows).bit_length()))
+    stretches = range(_stretches(similarity, depth))
+    head = lambda t: F.get("fp", F.lit(t // 2)) if t % 2 == 0 else F.shiftleft(F.get("fp", F.lit(t // 2)), 32)
+    tops = sets.select("name", "id", "size", "fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.shiftrightunsigned(head(t), 32).alias("head")) for t in stretches])).alias("s")).select("name", "id", "size", "fp", "s.*")
+    node = lambda d: F.shiftrightunsigned("head", 32 - d)
+    # a crowded node (a family of near copies) is dealt by more bits, as its count asks
+    most = max(4 * task_rows, n // HOT_KEYS)
+    full = tops.groupBy("t", node(depth).alias("top")).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
+    deeper = F.lit(depth)
+    for bits in sorted({(r.n // task_rows).bit_length() for r in full}):
+        at = {t: [r.top for r in full if r.t == t and (r.n // task_rows).bit_length() == bits] for t in stretches}
+        hot = [(F.col("t") == t) & node(depth).isin(x) for t, x in at.items() if x]
+        any_ = hot[0]
+        for h in hot[1:]:
+            any_ = any_ | h
+        deeper = F.when(any_, F.lit(min(30, depth + bits))).otherwise(deeper)
+    dealt = tops.withColumn("depth", deeper).select("t", "depth", F.expr("shiftrightunsigned(head, 32 - depth)").alias("top"), "name", "id", "size", "fp")
+    found = dealt.groupBy("t", "depth", "top").applyInPandas(_similar_task(similarity, lambda key: int(key[1])), "u_id long, u_name long, v_id long, v_name long, sure boolean")
+    both = found.select(*[F.struct(F.col(f"{c}_id").alias("id"), F.col(f"{c}_name").alias("name")).alias(c) for c in "uv"], "sure")
+    return both.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("sure").alias("sure"))
 
 
 def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash and root of every row: equal roots for texts that links of
-    at least ``similarity`` between shingle sets connect."""
-    hashed = df.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    """doc_id, text_hash, name (of the text's set of shingles) and root of every
+    row: equal roots for texts that links of at least ``similarity`` between sets
+    connect. A root is the group's least vertex: id (``NO_ID`` for null) and name."""
+    hashed = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     thin = cut(hashed.select("doc_id", "text_hash", _sketch_column(F.col("text"), shingle).alias("s")).select("doc_id", "text_hash", "s.*"))
-    sets = cut(thin.groupBy("name").agg(F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands")))
-    # candidates of the walk, and of each band with its member of least hash
-    first = cut(sets.groupBy("fp").agg(F.min("name").alias("first")))
-    walked = links(first.select("fp"))
-    walked = walked.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-    equal = sets.join(first, "fp").where("name <> first").select(F.col("name").alias("a"), F.col("first").alias("b"))
-    keyed = sets.select("name", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", "name").alias("h"), "name")).alias("hub")).where("n > 1")
-    members = cut(keyed.join(shared.select("band", "n", F.col("hub.name").alias("hub")), "band"))
-    hubs = members.where("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b"))
-    pairs = cut(walked.union(equal).union(hubs).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    # the sets of all candidates, once
-    asked = cut(members.select("name").union(pairs.select("u")).union(pairs.select("v")).distinct().join(sets.select("name", "text_hash"), "name"))
+    sets = cut(thin.groupBy("name").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.count("*").alias("n")))
+    found = cut(similar_links(sets.select("name", "id", "size", "fp"), similarity))
+    doubt = found.where("not sure").select("u", "v")
+    # the sets of the texts in doubt, once
+    asked = cut(doubt.select(F.explode(F.array("u.name", "v.name")).alias("name")).distinct().join(sets.select("name", "text_hash"), "name"))
     side = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda x: x)
-    texts = hashed.select("text_hash", "text").join(side(asked), "text_hash").dropDuplicates(["name"])
-    held = cut(texts.select("name", _set_column(F.col("text"), shingle).alias("set")))
-
-    def true(pairs: DataFrame) -> DataFrame:
-        a, b = (held.select(F.col("name").alias(c), F.col("set").alias(f"set_{c}")) for c in "uv")
-        n, m = F.size("set_u"), F.size("set_v")
-        near = pairs.join(a, "u").join(b, "v").where(F.least(n, m) >= similarity * F.greatest(n, m))
-        both = near.select("u", "v", (n + m).alias("all"), F.size(F.array_intersect("set_u", "set_v")).alias("both"))
-        return cut(both.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("u", "v"))
-
-    edges, turn = true(pairs), 0
-    while True:
-        found = cut(components(edges))
-        rooted = members.join(found, members["name"] == found.u, "left").select("band", "n", "name", F.coalesce("root", "name").alias("root"))
-        if turn:
-            rooted = rooted.where(F.col("n") > ALL_PAIRS)
-        apart = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-        open_ = rooted.join(apart, "band").where(F.col("n") > 2)
-        more = cut(open_.groupBy("band").applyInPandas(_meetings(turn, not turn), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"))
-        new = true(more)
-        if not new.count():
-            break
-        pairs, edges, turn = cut(pairs.union(more)), cut(edges.union(new)), turn + 1
-    return thin.join(found.withColumnRenamed("u", "name"), "name", "left").select("doc_id", "text_hash", F.coalesce("root", "name").alias("root"))
+    held = cut(hashed.select("text_hash", "text").join(side(asked), "text_hash").dropDuplicates(["name"]).select("name", _set_column(F.col("text"), shingle).alias("set")))
+    a, b = (held.select(F.col("name").alias(f"{c}_name"), F.col("set").alias(f"{c}_set")) for c in "uv")
+    pairs = doubt.withColumns({"u_name": F.col("u.name"), "v_name": F.col("v.name")}).join(a, "u_name").join(b, "v_name")
+    both = pairs.select("u", "v", (F.size("u_set") + F.size("v_set")).alias("all"), F.size(F.array_intersect("u_set", "v_set")).alias("both"))
+    true = both.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("u", "v")
+    grown = components(found.where("sure").select("u", "v").union(true))
+    roots = grown.select(F.col("u.name").alias("name"), "root")
+    named = sets.join(roots, "name", "left").select("name", F.coalesce("root", F.struct("id", "name")).alias("root"), "n")
+    return _by_key(thin.drop("size", "fp"), cut(named), "name", thin.count()).select("doc_id", "text_hash", "name", "root")
 
 
 def hex_digits(fp: Column) -> Column:
