@@ -2,22 +2,26 @@
 
 A page becomes lines: the text of its blocks, white space folded and character
 references decoded, each with the region it stands in. Pages are sorted by host,
-path and key; each is paired with a neighbour on its host, their lines are aligned
-by the longest common subsequence, and shared lines are deleted. Pages with just
-the same open lines are copies and tell nothing, so the neighbours of a run of
-copies are the last page before it and the first after it that differ; the one
-whose path shares the longest start with the page's own is taken.
+path and content; each is paired with a neighbour on its host, the lines of both
+are aligned by the longest common subsequence, and shared lines are deleted. Pages
+whose lines outside of menus and the like are equal are copies and tell nothing,
+so the neighbours of a run of copies are the last page before it and the first
+after it that differ; the one whose path shares the longest start with the page's
+own is taken.
 
 Differencing alone neither finds an advert that one page alone shows nor keeps a
-passage that two articles share. So the markup decides where it speaks: lines
-inside an article element (or, on pages without one, a main element) always stay,
-lines inside menus, headers, footers, forms, asides and the like always go, and
-the alignment decides the lines outside both, on pages with neither element.
-
-Pages are dealt into ranges of the sorted URLs, so a host with a third of all
-pages is many ranges. Each range is handed the pages across its borders that its
-first and last run need, by a table of the ranges' ends: at most four pages of
-each range reach the driver.
+passage that two articles share. So the markup corrects it where it speaks: lines
+inside an article element (or, on pages without one, a main element) are
+restored; lines inside menus, headers, footers, forms, asides and the like, and
+lines outside of the article on pages that have one, are dropped if no neighbour
+shares them. On pages with neither element the alignment has the last word on
+every line outside of menus and the like. ``extract`` counts what decided.
+
+Pages are dealt into ranges of the sorted order by a sample of it, so a host with
+a third of all pages is many ranges. Each range is handed the pages across its
+borders that its first and last run need, by a table of the ranges' ends: at most
+four pages of each range, as hashes of their lines, reach the driver. A task holds
+a run of copies at a time, a range at most.
 
 Defined results: null html is empty and gives an empty text; a null URL, or one
 without "://", has an empty host and path; rows that repeat are each extracted;
@@ -29,14 +33,16 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkroom.llm.common import cut
 from sparkroom.llm.urlfilter import host_of, path_of
 
 ARTICLE, MAIN, OPEN, CHROME = range(4)
@@ -136,25 +142,33 @@ def lines(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def shared(own: list[str], other: list[str]) -> set[int]:
+def shared(own: list, other: list) -> set[int]:
     """Places in ``own`` of a longest common subsequence with ``other``.
 
-    Rows of the table of lengths are bits of whole numbers: a zero is a place
-    where the length grows."""
-    full = (1 << len(own)) - 1
-    places: dict[str, int] = {}
-    for j, line in enumerate(own):
-        places[line] = places.get(line, 0) | 1 << j
+    Equal starts and ends are part of one, and lines that the other side lacks of
+    none. For the rest, rows of the table of lengths are bits of whole numbers: a
+    zero is a place where the length grows."""
+    least = min(len(own), len(other))
+    head = next((i for i in range(least) if own[i] != other[i]), least)
+    tail = next((i for i in range(least - head) if own[-1 - i] != other[-1 - i]), least - head)
+    found = {*range(head), *range(len(own) - tail, len(own))}
+    mine, theirs = set(own[head : len(own) - tail]), set(other[head : len(other) - tail])
+    at = [i for i in range(head, len(own) - tail) if own[i] in theirs]
+    rest = [x for x in other[head : len(other) - tail] if x in mine]
+    full = (1 << len(at)) - 1
+    places: dict = {}
+    for j, i in enumerate(at):
+        places[own[i]] = places.get(own[i], 0) | 1 << j
     rows = [full]
-    for line in other:
+    for line in rest:
         v = rows[-1]
-        u = v & places.get(line, 0)
+        u = v & places[line]
         rows.append((v + u | v - u) & full)
-    i, j, found = len(other), len(own), set()
+    i, j = len(rest), len(at)
     while i and j:
-        if own[j - 1] == other[i - 1]:
+        if own[at[j - 1]] == rest[i - 1]:
             i, j = i - 1, j - 1
-            found.add(j)
+            found.add(at[j])
         elif rows[i] >> (j - 1) & 1:
             j -= 1
         else:
@@ -162,55 +176,80 @@ def shared(own: list[str], other: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: list[tuple[int, str]], neighbours: list[list[str]]) -> str:
-    """The kept lines; ``neighbours`` are open lines of pages, the nearest first."""
+def main_text(own: list[tuple[int, str]], gone: set[int]) -> tuple[str, int, int, int]:
+    """The kept lines, and how many were deleted as shared, restored though shared,
+    and dropped though not shared. ``gone`` are the places of shared lines."""
     best = min((r for r, _ in own), default=OPEN)
-    if best < OPEN:
-        return "\n".join(t for r, t in own if r == best)
-    open_ = [t for r, t in own if r == OPEN]
-    for other in neighbours:
-        if other != open_:
-            gone = shared(open_, other)
-            return "\n".join(t for j, t in enumerate(open_) if j not in gone)
-    return "\n".join(open_)
+    kept, n_shared, n_restored, n_dropped = [], 0, 0, 0
+    for i, (region, text) in enumerate(own):
+        article = region == best and region < OPEN
+        if article or region == best == OPEN and i not in gone:
+            kept.append(text)
+            n_restored += i in gone
+        elif i in gone:
+            n_shared += 1
+        else:
+            n_dropped += 1
+    return "\n".join(kept), n_shared, n_restored, n_dropped
 
 
-#: Host, path and open lines of a page.
-_End = tuple[str, str, list[str]]
-PARSED = "url string, host string, path string, salt long, text string, open array<string>"
+def _hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The open lines of every page, and its text where the markup decides."""
-    for pdf in batches:
-        found = [lines(page) for page in pdf["html"]]
-        pdf["text"] = [main_text(own, []) if any(r < OPEN for r, _ in own) else None for own in found]
-        pdf["open"] = [[t for r, t in own if r == OPEN] for own in found]
-        yield pdf.drop(columns="html")
+def _line_hashes(own: list[tuple[int, str]]) -> tuple[list[int], int]:
+    """A hash of each line, and one of those outside of menus and the like."""
+    every = [_hash(t) for _, t in own]
+    return every, _hash(" ".join(str(h) for h, (r, _) in zip(every, own) if r != CHROME))
+
 
+#: Host, path, hash of the lines outside of menus, and hashes of all lines of a page.
+_Page = tuple[str, str, int, list[int]]
+DECIDED = "n_shared int, n_restored int, n_dropped int"
+#: Pages of the sample for each range, and bytes of a range on average.
+SAMPLED, RANGE_BYTES = 20, 1 << 25
 
-def _different(page: _End, near: list[_End | None]) -> _End | None:
+
+def _different(page: _Page, near: list[_Page | None]) -> _Page | None:
     """The first of ``near`` that is on the page's host and no copy."""
     return next((x for x in near if x and x[0] == page[0] and x[2] != page[2]), None)
 
 
+def _placed(bounds: list[tuple]):
+    """Rows with the number of their range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["part"] = [bisect_right(bounds, at) for at in zip(pdf["host"], pdf["path"], pdf["h"], pdf["s"])]
+            yield pdf
+
+    return run
+
+
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A range's first page, the first of the next run, its last page, the last of
-    the run before, and whether it has several runs."""
-    first = second = last = prior = None
-    several, part = False, 0
+    """Of each range its first page, the first of the next run, its last page, the
+    last of the run before, and whether it has several runs."""
+    part = first = second = last = prior = None
+    several = False
+
+    def end() -> pd.DataFrame:
+        return pd.DataFrame({"part": [part], "ends": [json.dumps([first, _different(first, [second]), last, _different(last, [prior]), several])]})
+
     for pdf in batches:
-        for part, *at in zip(pdf["part"], pdf["host"], pdf["path"], map(list, pdf["open"])):
-            page = tuple(at)
-            if first is None:
-                first = page
-            elif (page[0], page[2]) != (last[0], last[2]):
+        for p, host, path, body, every in zip(pdf["part"], pdf["host"], pdf["path"], pdf["body"].tolist(), pdf["every"]):
+            page = (host, path, body, every.tolist())
+            if p != part:
+                if part is not None:
+                    yield end()
+                part, first, second, prior, several = p, page, None, None, False
+            elif (host, body) != (last[0], last[2]):
                 if not several:
                     second = page
                 several, prior = True, last
             last = page
-    if first is not None:
-        yield pd.DataFrame({"part": [part], "ends": [json.dumps([first, _different(first, [second]), last, _different(last, [prior]), several])]})
+    if part is not None:
+        yield end()
 
 
 def _borders(ends: dict[int, list]) -> dict[int, tuple[list, list]]:
@@ -228,55 +267,72 @@ def _borders(ends: dict[int, list]) -> dict[int, tuple[list, list]]:
 
 def _differenced(borders: dict[int, tuple[list, list]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: _End | None = None  # the last page
-        before: _End | None = None
-        held: list[tuple] = []  # undecided pages of the run: key, url, path
+        last: _Page | None = None
+        before: _Page | None = None
+        held: list[tuple] = []  # pages of the run: key, url, path, lines, their hashes
         part = None
 
-        def end(after: _End | None) -> list[tuple]:
-            kept: dict[int, str] = {}
+        def end(after: _Page | None) -> list[tuple]:
             out = []
             near = [x for x in (before, after) if x]
-            for key, url, path in held:
-                x = max(near, key=lambda p: len(commonprefix([p[1], path])), default=None)
-                if id(x) not in kept:
-                    gone = shared(own[2], x[2]) if x else ()
-                    kept[id(x)] = "\n".join(t for j, t in enumerate(own[2]) if j not in gone)
-                out.append((key, url, kept[id(x)]))
+            for key, url, path, own, every in held:
+                other = max(near, key=lambda p: len(commonprefix([p[1], path])), default=None)
+                out.append((key, url, *main_text(own, shared(every, other[3]) if other else set())))
+            held.clear()
             return out
 
         def done(some: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(some, columns=["key", "url", "text"], dtype=object)
+            return pd.DataFrame(some, columns=["key", "url", "text", "n_shared", "n_restored", "n_dropped"]).astype({"key": object})
 
         for pdf in batches:
             out = []
-            for part, key, url, host, path, decided, open_ in zip(pdf["part"], pdf["key"].astype(object).where(pdf["key"].notna(), None), pdf["url"], pdf["host"], pdf["path"], pdf["decided"], map(list, pdf["open"])):
-                page = (host, path, open_)
-                if own is None:
-                    before = _different(page, borders[part][0])
-                elif (host, open_) != (own[0], own[2]):
-                    out += end(_different(own, [page]))
-                    before, held = _different(page, [own]), []
-                own = page
-                if not decided:
-                    held.append((key, url, path))
-            yield done(out)
-        if own is not None:
-            yield done(end(_different(own, borders[part][1])))
+            for p, key, url, host, path, page in zip(pdf["part"], pdf["key"].astype(object).where(pdf["key"].notna(), None), pdf["url"], pdf["host"], pdf["path"], pdf["html"]):
+                own = lines(page)
+                every, body = _line_hashes(own)
+                now = (host, path, body, every)
+                if p != part:
+                    if last is not None:
+                        out += end(_different(last, borders[part][1]))
+                    part, before = p, _different(now, borders[p][0])
+                elif (host, body) != (last[0], last[2]):
+                    out += end(_different(last, [now]))
+                    before = _different(now, [last])
+                last = now
+                held.append((key, url, path, own, every))
+            if out:
+                yield done(out)
+        if last is not None:
+            yield done(end(_different(last, borders[part][1])))
 
     return run
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``key``, url and text of every page."""
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", ranges: int | None = None) -> DataFrame:
+    """``key``, url and text of every page, and the numbers of its lines that were
+    deleted as shared, restored though shared, and dropped though not shared."""
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("salt"), F.col(html).alias("html"))
-    order = ["host", "path", "key", "salt"]
-    parsed = rows.mapInPandas(_parse, f"key {kind}, {PARSED}")
-    # texts that the markup decides stay out of the sort; they are parsed again, which needs no disk
-    thin = parsed.select("key", F.when(F.col("text").isNull(), F.col("url")).alias("url"), "host", "path", "salt", F.col("text").isNotNull().alias("decided"), "open")
-    # both passes must see the same ranges
-    dealt = cut(thin.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("part", F.spark_partition_id())
-    ends = {r.part: json.loads(r.ends) for r in dealt.select("part", "host", "path", "open").mapInPandas(_ends, "part int, ends string").collect()}
-    found = dealt.select("part", "key", "url", "host", "path", "decided", "open").mapInPandas(_differenced(_borders(ends)), f"key {kind}, url string, text string")
-    return parsed.where("text is not null").select("key", "url", "text").union(found).withColumnRenamed("key", key)
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
+    # content and key part equal URLs, so that no range can grow by one URL's pages
+    rows = rows.withColumns({"h": F.xxhash64("html"), "s": F.xxhash64(F.col("key").cast("string"))})
+    order = ["host", "path", "h", "s"]
+    if ranges is None:
+        size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+        ranges = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    n = max(1, rows.count())
+    sample = sorted(map(tuple, rows.where(F.pmod(F.xxhash64(*order), F.lit(n)) < SAMPLED * ranges).select(*order).collect()))
+    bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
+    named = f"key {kind}, url string, host string, path string, html string, h long, s long, part int"
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _placed(bounds)(batches):
+            found = [_line_hashes(lines(page)) for page in pdf.pop("html")]
+            pdf["every"] = [np.array(e, np.int64) for e, _ in found]
+            pdf["body"] = np.array([b for _, b in found], np.int64)
+            yield pdf
+
+    thin = rows.select(*order, "html").mapInPandas(hashed, "host string, path string, h long, s long, part int, every array<long>, body long")
+    sorted_ = lambda df: df.repartition(ranges, "part").sortWithinPartitions("part", *order)
+    ends = {r.part: json.loads(r.ends) for r in sorted_(thin).select("part", "host", "path", "body", "every").mapInPandas(_ends, "part int, ends string").collect()}
+    placed = sorted_(rows.mapInPandas(_placed(bounds), named))
+    found = placed.select("part", "key", "url", "host", "path", "html").mapInPandas(_differenced(_borders(ends)), f"key {kind}, url string, text string, {DECIDED}")
+    return found.withColumnRenamed("key", key)

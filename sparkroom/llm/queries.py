@@ -121,7 +121,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = htmldiff.extract(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_restored", "n_dropped")
 
 
 def op8_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
