@@ -4,16 +4,19 @@ Candidates are cut into blocks. In a block each of the dimensions is a list
 sorted by value; a query reads it from the top where its own component is
 positive and from the bottom where it is negative, all lists to the same depth.
 What has been read gives a candidate's lower bound (unread components count as
-the list's worst value) and upper bound (as the value at the reading depth).
-Reading stops for a query as soon as no candidate's upper bound reaches the k
-best scores known so far, or only so few candidates remain that their scores are
-resolved at once; else the depth grows to the whole list, where both bounds are
-the score. Since unread values can be replaced by one value for each list, the
-bounds of all candidates for all queries of a block are two matrix products.
+the list's worst value) and upper bound (as the value at the reading depth). Since
+unread values can be replaced by one value for each list, the bounds of all
+candidates for all queries of a block are matrix products.
 
-Queries come in blocks too, so every task holds one block of each; which blocks
-meet is dealt by their numbers. Each task gives k rows for each of its queries,
-and the k best of all tasks remain.
+Lists are read on through ``DEPTHS``. Outsiders, whose upper bound is under the k
+best lower bounds of the block or the k best scores of the blocks before, cannot
+qualify. Reading stops for a query when so few others remain that their final
+scores are resolved; at the whole depth both bounds are the score. No other path
+gives results.
+
+A task holds many blocks of candidates and of queries and hands the k best scores
+of a query from block to block; which of them meet is dealt by their numbers. Each
+task gives k rows for each of its queries, and the k best of all tasks remain.
 
 Scores are exact while they stay under 2^53.
 
@@ -26,6 +29,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -34,70 +38,84 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 20
+#: Candidates and queries of a block, and of a task at most.
 BLOCK, QUERY_BLOCK = 4096, 1024
+TASK_ROWS, TASK_QUERIES = 65_536, 8_192
 #: Depths, as parts of a list, at which bounds are compared.
-DEPTHS = (0.125, 0.375)
-#: Candidates in question, as a part of the block, that are resolved at once.
-RESOLVE = 0.1
+DEPTHS = (0.3, 0.6, 0.8, 0.9, 0.95, 1.0)
+#: Candidates in question, as a part of the block, whose scores are resolved.
+RESOLVE = 0.05
 
 OUT = "query_id long, vec_id long, score long"
 
 
-def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of one block of candidates for each of a block of queries."""
-    order = np.sort(x, axis=0)  # every column a sorted list
-    worst_up, worst_down = order[0], order[-1]
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray, settled: Counter | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query places, candidate places and scores of one block of candidates (sorted
+    by id) that hold the k best of the block for each query, as far as these are at
+    or over ``floor``. ``settled`` counts queries by the depth that settled them."""
     n = len(x)
-    got_q: list[np.ndarray] = []
-    got_c: list[np.ndarray] = []
-    got_s: list[np.ndarray] = []
-
-    def keep(rows: np.ndarray, scores: np.ndarray, cols: np.ndarray | None = None) -> None:
-        """The k best of each row of scores; ties at the k-th score all stay."""
-        m = scores.shape[1]
-        if m > k:
-            kth = np.partition(scores, m - k, axis=1)[:, m - k]
-            r, c = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
-        else:
-            r, c = np.nonzero(np.isfinite(scores))
-        got_q.append(rows[r])
-        got_c.append(c if cols is None else cols[c])
-        got_s.append(scores[r, c])
-
-    def own(rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """``scores`` without the queries' own keys."""
-        at = np.searchsorted(ids, query_ids[rows])
-        end = np.searchsorted(ids, query_ids[rows], side="right")
-        for r in np.flatnonzero(at < end):
-            scores[r, at[r] : end[r]] = -np.inf
-        return scores
-
-    open_rows = np.arange(len(q))
+    order = np.sort(x, axis=0)  # every column a sorted list
+    worst = np.concatenate((order[0], order[-1]))
+    signed = np.concatenate((np.maximum(q, 0), np.minimum(q, 0)), axis=1)
+    first, last = np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, side="right")
+    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def bounds(rows: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Sums for the queries ``rows`` with two values for every component; a
+        query's own keys take no part."""
+        out = signed[rows] @ np.concatenate((high, low), axis=1).T
+        for r in np.flatnonzero(first[rows] < last[rows]):
+            out[r, first[rows[r]] : last[rows[r]]] = -np.inf
+        return out
+
+    open_ = np.arange(len(q))
     for part in DEPTHS:
-        depth = int(n * part)
-        if n <= 4 * k or not len(open_rows) or depth < 1:
+        if not len(open_):
             break
+        depth = n if part == 1 else max(1, int(n * part))
         high, low = order[n - depth], order[depth - 1]  # the values at the reading depth
-        p, m = plus[open_rows], minus[open_rows]
-        lower = own(open_rows, p @ np.where(x >= high, x, worst_up).T + m @ np.where(x <= low, x, worst_down).T)
-        upper = own(open_rows, p @ np.maximum(x, high).T + m @ np.minimum(x, low).T)
-        kth = np.partition(lower, n - k, axis=1)[:, n - k]
-        within = upper >= kth[:, None]
+        d = x.shape[1]
+        if depth == n:
+            upper = lower = bounds(open_, x, x)
+        else:
+            upper = bounds(open_, np.maximum(x, high), np.minimum(x, low))
+            lower = bounds(open_, np.where(x >= high, x, worst[:d]), np.where(x <= low, x, worst[d:]))
+        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
+        within = (upper >= np.maximum(kth, floor[open_])[:, None]) & np.isfinite(upper)
         left = within.sum(axis=1)
-        done = left <= max(k, int(n * RESOLVE))
-        for r in np.flatnonzero(done):
+        done = (left <= max(k, int(n * RESOLVE))) | (depth == n)
+        for r in np.flatnonzero(done & (left > 0)):
             cols = np.flatnonzero(within[r])
-            keep(open_rows[r : r + 1], q[open_rows[r]][None] @ x[cols].T, cols)
-        open_rows = open_rows[~done]
-    if len(open_rows):
-        keep(open_rows, own(open_rows, q[open_rows] @ x.T))
-    rows, cols, scores = map(np.concatenate, (got_q, got_c, got_s)) if got_q else (np.empty(0, int), np.empty(0, int), np.empty(0))
-    best = np.lexsort((ids[cols], -scores, rows))
-    rows, cols, scores = rows[best], cols[best], scores[best]
-    first = np.searchsorted(rows, rows)
-    top = np.arange(len(rows)) - first < k
-    return pd.DataFrame({"query_id": query_ids[rows[top]], "vec_id": ids[cols[top]], "score": np.rint(scores[top]).astype(np.int64)})
+            scores = lower[r, cols] if depth == n else x[cols] @ q[open_[r]]
+            got.append((np.full(len(cols), open_[r]), cols, scores))
+        if settled is not None:
+            settled[part] += int(done.sum())
+        open_ = open_[~done]
+    if not got:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(map(np.concatenate, zip(*got)))
+
+
+def task_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK, settled: Counter | None = None) -> pd.DataFrame:
+    """The k best of all candidates for each query, block by block."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    out = []
+    for a in range(0, len(q), query_block):
+        some, names = q[a : a + query_block], query_ids[a : a + query_block]
+        rows, held, scores = np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+        floor = np.full(len(some), -np.inf)
+        for b in range(0, len(x), block):
+            own = ids[b : b + block]
+            r, c, s = block_top_k(own, x[b : b + block], names, some, k, floor, settled)
+            rows, held, scores = np.concatenate((rows, r)), np.concatenate((held, own[c])), np.concatenate((scores, s))
+            best = np.lexsort((held, -scores, rows))
+            rows, held, scores = rows[best], held[best], scores[best]
+            at = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, held, scores, at = (v[at < k] for v in (rows, held, scores, at))
+            floor[rows[at == k - 1]] = scores[at == k - 1]
+        out.append(pd.DataFrame({"query_id": names[rows], "vec_id": held, "score": np.rint(scores).astype(np.int64)}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
 
 def whole(vector: Column) -> Column:
@@ -115,29 +133,32 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, key: str = "vec
     if lengths is None:
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     size = F.size("v") == lengths.n
-    blocks = -(-rows.where(size).count() // block)
-    query_blocks = max(1, -(-asked.where(size).count() // query_block))
+    # few and large groups, as a row goes to each of the other side's; but enough of them for all cores
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-lengths.c // TASK_ROWS), min(-(-lengths.c // block), 2 * cores))
+    query_blocks = max(1, -(-asked.where(size).count() // TASK_QUERIES))
     # rows are dealt by a hash of key and vector, so equal keys do not share a fate
     dealt = rows.where(size).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
     wanted = asked.where(size).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks)))
     pack = lambda side: F.struct(F.lit(side).alias("query"), "id", "v")
-    left = dealt.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"), pack(False).alias("r"))
-    right = wanted.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "qb", pack(True).alias("r"))
-    best = left.union(right).select("block", "qb", "r.*").groupBy("block", "qb").applyInPandas(_task(k), OUT)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = dealt.select("block", every(query_blocks).alias("qb"), pack(False).alias("r"))
+    right = wanted.select(every(blocks).alias("block"), "qb", pack(True).alias("r"))
+    best = left.union(right).select("block", "qb", "r.*").groupBy("block", "qb").applyInPandas(_task(k, block, query_block), OUT)
     within = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _task(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _task(k: int, block: int, query_block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         is_query = pdf["query"].to_numpy()
-        c, q = pdf[~is_query].sort_values("id", kind="stable"), pdf[is_query]
+        c, q = pdf[~is_query], pdf[is_query]
         if not len(c) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         x, y = np.stack(c["v"].to_numpy()), np.stack(q["v"].to_numpy())
         # single precision holds every sum if the largest possible one is under 2^24
         if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * x.shape[1] < 2**24:
             x, y = x.astype(np.float32), y.astype(np.float32)
-        return block_top_k(c["id"].to_numpy(), x, q["id"].to_numpy(), y, k)
+        return task_top_k(c["id"].to_numpy(), x, q["id"].to_numpy(), y, k, block, query_block)
 
     return run
