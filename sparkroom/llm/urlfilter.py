@@ -5,8 +5,10 @@ its side and hashed into ``BUCKETS`` features. The regression is fitted on the
 driver on a labelled table of at most ``SAMPLE_URLS`` rows; scoring is a sum over
 a literal array of weights, so no Python runs on executors.
 
-Where no labelled table is given, the rules label it: URLs that a rule decides
-are the sample, and the model carries their pattern over to the others.
+Where no labelled table is given, ``labelled_urls`` is it: made-up hosts of gambling,
+pills, adult content, link farms and advert trackers against ordinary ones, some
+of which share stretches of letters with them. Rules decide before the model and
+teach it nothing.
 
 Defined results: a null URL or one without "://" has an empty host and path and
 no rule; an empty or one-sided sample gives a constant model that repeats the
@@ -26,7 +28,7 @@ ALLOW, BLOCK = "allow", "block"
 NGRAMS = (3, 4)
 BUCKETS = 4096
 SAMPLE_URLS = 2000
-STEPS, RATE, DECAY = 300, 2.0, 1e-4
+STEPS, RATE, DECAY = 600, 4.0, 1e-4
 
 # The rules that the task states, as (host, path, verdict).
 RULES = (
@@ -37,6 +39,38 @@ RULES = (
     ("com", "/de/", BLOCK),
 )
 
+# The labelled URL table: hosts under example domains, label by list. Paths are
+# alike on both sides.
+BLOCKED_HOSTS = """
+royal-casino best-casino online-casino casino-bonus m.casinos24 poker-casino jackpot-win big-win win-prizes spin-win.m slots-win
+sport-bets bets-online daily-bets livebets bets-tips free-spins free-money free-bonus freecash get-free-coins
+diet-pills buy-pills sleep-pills pills-shop cheap-meds cheap-watches cheap-loans cheap-replica blog.cheapviagra discount-pills
+adult-video adult-chat adult-dating adults-only adult-cams xxx-video xxx-cams hot-x girls-x sex-cams
+spam-mail spam-links spamblog bulk-spam link-farm seo-farm click-farm content-farm backlink-farm
+ads-server ads-click pop-ads ads-net adserver track-pixel click-track ad-tracker user-track web-track
+""".split()
+ALLOWED_HOSTS = """
+city-herald garden-notes weather-report news-daily open-library science-review cooking-school travel-diary music-teacher history-archive
+local-theatre river-town bird-atlas university-press math-forum python-guide health-service court-records chess-club farm-museum
+freedom-press adult-education winter-sports better-homes address-book athletics-club window-maker alphabet-songs railway-timetable train-tracks
+mountain-hut the-other-side northern-lights ancient-stones thinking-together reading-room thursday-market earth-science health-thread theory-notes
+national-station action-research fashion-nation nutrition-facts edition-two motion-studies translation-lab
+hearth-and-home brothers-band weathervane southern-shores leather-works heathland anthology therapist thermal-baths tenth-street
+robin-and-wren cabin-plans berlin-walks river-basin violin-lessons within-reach dolphin-watch cousins pumpkin-patch mountain-cabin
+painting-class knitting-circle plumbing-tips rowing-club hiking-map spring-cleaning morning-paper building-codes evening-school wedding-songs
+graffiti-tour spaghetti-house confetti yeti-stories human-rights urban-planning ocean-life japan-rail roman-coins swan-lake
+caribou-herds you-and-us youth-hostel mouth-harp south-coast about-bread house-of-cards hour-glass that-old-house what-about-it
+fresh-fish bookish radish-farm parish-church hotel-on-the-hill melon-seeds dragon-tales lemon-tree salmon-run fourth-wall
+""".split()
+
+
+def labelled_urls() -> list[tuple[str, str]]:
+    """url and label of the table."""
+    ends = ("net/en/{}", "com/de/{}.html", "org/fr/{}/", "net/es/{}?page=2")
+    starts = ("www.", "", "m.", "blog.")
+    named = [(h, BLOCK) for h in BLOCKED_HOSTS] + [(h, ALLOW) for h in ALLOWED_HOSTS]
+    return [(f"https://{starts[(i + k) % 4]}{h}.example.{ends[(i + 3 * k) % 4].format(17 * i % 900)}", label) for i, (h, label) in enumerate(named) for k in range(2)]
+
 
 def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1), UPPER, UPPER.lower())
@@ -72,8 +106,8 @@ def fit(labelled: DataFrame, sample_urls: int = SAMPLE_URLS) -> list[float]:
 
     The sample is the URLs of least hash; it alone reaches the driver."""
     some = labelled.where(F.col("url").isNotNull() & F.col("label").isin(ALLOW, BLOCK)).select("url", "label").distinct()
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = some.select(F.xxhash64("url").alias("h"), "url", "label", features(host, path).alias("f")).orderBy("h", "url", "label").limit(sample_urls).select("label", "f").collect()
+    least = some.orderBy(F.xxhash64("url"), "url", "label").limit(sample_urls)
+    rows = least.select("label", features(host_of(F.col("url")), path_of(F.col("url"))).alias("f")).collect()
     y = np.array([r.label == BLOCK for r in rows], float)
     w = np.zeros(BUCKETS + 1)
     if not len(rows) or y.min() == y.max():
@@ -113,7 +147,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, key: str = "page_
     cut = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(url).alias("url"))
     ruled = cut.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        labelled = ruled.where(F.col("r").isNotNull()).select("url", F.col("r.verdict").alias("label"))
+        labelled = pages.sparkSession.createDataFrame(labelled_urls(), "url string, label string")
     weights = fit(labelled)
     scored = ruled.withColumn("score", block_score(F.col("host"), F.col("path"), weights))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("score") > 0, F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
