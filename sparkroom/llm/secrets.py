@@ -2,10 +2,11 @@
 
 The patterns find assignments, access keys and long hexadecimal runs. The models
 judge every other run of identifier characters: one holds the transitions inside
-random strings, the other those inside ordinary identifiers, both counted from
-labelled samples (what the patterns found, and the other words of the same
-texts). A run whose log-likelihood ratio reaches ``MIN_LLR`` is a span of kind
-"markov". A span of the patterns always stays; a markov span that meets one is
+random strings, the other those inside ordinary identifiers. Both are counted from
+labelled samples, half of each from the documents (what the patterns found, and
+the other words of the same texts) and half from a table of its own: strings drawn
+from the usual alphabets of keys, and identifiers put together from common words.
+A run whose log-likelihood ratio reaches ``MIN_LLR`` is a span of kind "markov". A span of the patterns always stays; a markov span that meets one is
 left out.
 
 Positions come without Python: ``split`` gives the stretches between matches and
@@ -20,6 +21,7 @@ uniform model; other columns can be carried along and their names don't matter.
 from __future__ import annotations
 
 import math
+import random
 import string
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +48,43 @@ SAMPLE_DOCS = 20_000
 #: Training words of the ordinary model have so many letters at least.
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
 SMOOTHING = 0.5
+# The labelled table: words of ordinary identifiers, in every usual way of joining.
+WORDS = """
+account action active address admin agent alert array attribute author available background balance base before begin between binary
+block body border branch browser build button cache call category center change channel check child class clean clear client clock
+code collection color command comment common compare complete compute condition connection constant container content context control
+convert copy counter country current cursor data date debug decode default define delete depth description detail device difference
+digest direct directory disable display distance document domain double download draw driver duration dynamic edge edit element enable
+encode engine entity entry error event example exception execute expected export expression extension external factor failure feature
+field filter final find flag float folder format forward frame free function gateway generate global graph group handle hash header
+height helper history host identifier ignore image import input insert instance integer interface internal interval invalid item
+iterator join keyboard label language last latest layer layout leading length level library limit line link listener load local lock
+machine main manual mapping margin master match maximum measure member memory merge message method middle minimum missing mobile mode
+model module monitor mouse move multiple network next node normal note null object offset online operation option order origin output
+owner package page panel parameter parent parse partition password pattern payload pending percent permission phone picture pipeline
+pixel plain platform player point policy pool position prefix previous price primary print private process product profile progress
+project property protocol provider public query queue random range ratio reader ready record reference region register relation release
+remote remove render repeat replace report repository require reset resource result return reverse right root rotate route rule runtime
+sample scale schedule schema scope score screen script scroll search second section security segment select sender sequence serial
+server service setting shape share shell signal simple single size skip slice slot snapshot socket source space split stack standard
+start state static status step storage store strategy string structure style subject submit success suffix summary support switch
+symbol sync system table target task template temporary terminal test text thread time title toggle tool total track transaction
+transfer transform tree trigger type undefined unique unit unknown update upload user utility valid value variable vector version view
+virtual visible visitor volume wait watch weight width window wizard word worker workspace wrapper write year zone
+""".split()
+
+
+def labelled_strings() -> tuple[list[str], list[str]]:
+    """Ordinary and random strings of the table, drawn anew in the same way each time."""
+    draw = random.Random(7)
+    plain = []
+    for i, first in enumerate(WORDS):
+        for join in (lambda w: "_".join(w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: "_".join(w).upper()):
+            words = [first, *draw.sample(WORDS, draw.randint(1, 3))]
+            plain.append(join(words) + (str(draw.randrange(10 ** draw.randint(1, 4))) if i % 4 == 0 else ""))
+    sets = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.hexdigits[:16])
+    keys = ["".join(draw.choices(sets[i % len(sets)], k=draw.randint(16, 48))) for i in range(len(plain))]
+    return plain, keys
 
 
 def _codes(text: Column) -> Column:
@@ -58,8 +97,9 @@ def _codes(text: Column) -> Column:
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Log-likelihood ratio of every pair of characters, row by row.
 
-    The labelled sample: strings the patterns find are random, other words are
-    ordinary. Counting is one aggregate of a fixed number of groups."""
+    Strings that the patterns find are random, other words are ordinary; the table
+    of ``labelled_strings`` has half a say in both. Counting is one aggregate of a
+    fixed number of groups."""
     n = len(ALPHABET)
     whole = F.coalesce(F.col(text), F.lit(""))
     total = df.count()
@@ -72,21 +112,30 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: i
     bare = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     samples = chosen.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), F.concat(*found).alias("s")), F.struct(F.lit(0).alias("random"), F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)).alias("s")))).alias("x")).select("x.random", F.explode("x.s").alias("s"))
     of = lambda c: F.transform(F.sequence(F.lit(2), F.size(c)), lambda i: F.element_at(c, i - 1) * n + F.element_at(c, i))
-    pairs = samples.where(F.length("s") > 1).select("random", F.explode(let(_codes(F.col("s")), of)).alias("pair"))
+    # words repeat: each is taken apart once, with its count as weight
+    words = samples.where(F.length("s") > 1).groupBy("random", "s").agg(F.count("*").alias("n"))
+    pairs = words.select("random", "n", F.explode(let(_codes(F.col("s")), of)).alias("pair"))
     counts = [[0] * (n * n), [0] * (n * n)]
-    for r in pairs.where(F.col("pair") >= 0).groupBy("random", "pair").count().collect():
+    for r in pairs.where(F.col("pair") >= 0).groupBy("random", "pair").agg(F.sum("n").alias("n")).collect():
         if r.pair < n * n:
-            counts[r.random][r.pair] = r["count"]
+            counts[r.random][r.pair] = r.n
 
-    def logs(c: list[int]) -> list[float]:
+    def chances(c: list[int]) -> list[float]:
         out = []
         for i in range(n):
             row = c[i * n : (i + 1) * n]
-            out += [math.log((x + SMOOTHING) / (sum(row) + SMOOTHING * n)) for x in row]
+            out += [(x + SMOOTHING) / (sum(row) + SMOOTHING * n) for x in row]
         return out
 
-    plain, rand = map(logs, counts)
-    return [round(b - a, 6) for a, b in zip(plain, rand)]
+    models = []
+    for own, table in zip(counts, labelled_strings()):
+        other = [0] * (n * n)
+        for text_ in table:
+            at = [ALPHABET.index(c) for c in text_]
+            for a, b in zip(at, at[1:]):
+                other[a * n + b] += 1
+        models.append([(x + y) / 2 for x, y in zip(chances(own), chances(other))])
+    return [round(math.log(b / a), 6) for a, b in zip(*models)]
 
 
 def llr(run: Column, weights: list[float]) -> Column:
