@@ -5,21 +5,23 @@ text, reduced to lower-case letters and single blanks. A text, reduced alike, is
 cut into blocks of ``BLOCK`` bytes, each block is compressed with each
 dictionary, and the language whose sizes add up to least wins. Blocks keep the
 dictionary in reach through a long text and bound memory; all blocks of a text
-count. ``WAYS`` dictionaries of disjoint samples for each language, and for texts
-under ``FINE_BYTES`` larger ones at a level that looks for shorter matches, give
-a finer scale where one byte decides.
+count. ``WAYS`` dictionaries of disjoint samples for each language give a finer
+scale where one byte decides. Texts of all lengths are compressed alike.
 
 A text is accepted if the runner-up needs more than ``MIN_MARGIN`` of the
-winner's bytes in addition; others are rejected. The score is the winner's share
-when sizes are turned into likelihoods.
+winner's bytes in addition, and ``MIN_BYTES`` at least (sizes are means over the
+ways, so half a byte is the least difference there is); others are rejected. The
+score is the winner's share when sizes are turned into likelihoods.
 
 The sample is bounded: about ``SAMPLE_DOCS`` documents of each language, chosen
-by the hash of their number, give ``PIECE`` characters each.
+by the hash of their number, give ``PIECE`` characters each, and all of them stand
+in the dictionaries.
 
 Defined results: a text that is null or has no letter is "und" with score 0 and
 rejected; so is every text if there is nothing to learn from; ties go to the
 language with more training documents, then to the lesser name; rows that repeat
-are each judged; labels that are null teach nothing; other columns are carried.
+are each judged; labels that are null teach nothing; other columns are carried,
+save one with the name of ``identify``'s output, which is replaced.
 """
 
 from __future__ import annotations
@@ -35,12 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
-SAMPLE_DOCS, PIECE = 600, 400
+SAMPLE_DOCS, PIECE = 400, 256
 WAYS, BLOCK = 2, 2048
-#: Bytes of a dictionary, level and least match length: in general, and for short texts.
-PLAIN, FINE = (48 * 1024, 5, 0), (110 * 1024, 12, 3)
-FINE_BYTES = 256
-MIN_MARGIN = 0.002
+#: Level and least match length of zstandard.
+LEVEL, MATCH = 6, 3
+MIN_MARGIN, MIN_BYTES = 0.002, 1.0
 #: Nats that a byte of difference counts in the score.
 BYTE_NATS = 0.6
 
@@ -83,16 +84,14 @@ def train(df: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
 
 
 class Classifier:
-    def __init__(self, model: Model, min_margin: float = MIN_MARGIN) -> None:
+    def __init__(self, model: Model, min_margin: float = MIN_MARGIN, min_bytes: float = MIN_BYTES) -> None:
         self.names = [name for name, _ in model]
-        self.min_margin = min_margin
-        self.plain, self.fine = ([[self._compressor(d, *how) for d in dicts] for _, dicts in model] for how in (PLAIN, FINE))
+        self.min_margin, self.min_bytes = min_margin, min_bytes
+        self.compress = [[self._compressor(d) for d in dicts] for _, dicts in model]
 
     @staticmethod
-    def _compressor(raw: bytes, size: int, level: int, match: int):
-        raw = raw[-size:]
-        own = {"min_match": match} if match else {}
-        how = zstandard.ZstdCompressionParameters.from_level(level, source_size=BLOCK, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False, **own)
+    def _compressor(raw: bytes):
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, dict_size=len(raw), min_match=MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
         words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         words.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=words, compression_params=how).compress
@@ -102,12 +101,12 @@ class Classifier:
             return UNKNOWN, 0.0, False
         raw = letters(text)
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        sizes = [sum(len(f(b)) for b in blocks for f in own) / len(own) for own in (self.fine if len(raw) < FINE_BYTES else self.plain)]
+        sizes = [sum(len(f(b)) for b in blocks for f in own) / len(own) for own in self.compress]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         least = sizes[best]
-        second = min((s for i, s in enumerate(sizes) if i != best), default=math.inf)
+        margin = min((s for i, s in enumerate(sizes) if i != best), default=math.inf) - least
         score = 1 / sum(math.exp(-min(700.0, BYTE_NATS * (s - least))) for s in sizes)
-        return self.names[best], score, second - least > self.min_margin * least
+        return self.names[best], score, margin > self.min_margin * least and margin >= self.min_bytes
 
 
 def predict(text: Column, model: Model, spark, min_margin: float = MIN_MARGIN) -> Column:

@@ -21,7 +21,8 @@ save what has been asked for since.
 Defined results: a null or empty text has no ids; decoding drops the mark put
 before the text; characters without a piece are their bytes' pieces, or the
 unknown piece where the model has none; rows that repeat are each encoded;
-other columns are carried along.
+other columns are carried along, save ones named ``ids`` or ``decoded``, which
+are replaced.
 """
 
 from __future__ import annotations
