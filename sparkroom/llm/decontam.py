@@ -9,7 +9,9 @@ extended to every window that holds the k-gram, which is then compared as a
 string. So hashes select candidates and never decide.
 
 The benchmark's side of both joins is broadcast only if it has at most
-``BROADCAST_ROWS`` rows; beyond that Spark shuffles the thin fingerprint rows.
+``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes; beyond that Spark shuffles
+the fingerprint rows. The row that stands for a document itself has join keys of
+its own, which meet nothing, so that these rows spread over all tasks.
 
 Defined results: a null text or item has no words; an item without words has no
 window; a null item number leaves its windows in force but can't be listed;
@@ -27,7 +29,7 @@ from sparkroom.llm.common import ascii_lower, let
 WINDOW = 10
 # Fixed value: the word pattern that the task states.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -61,7 +63,7 @@ def _kept(ws: Column, hashes: Column, length: int) -> Column:
 def _fingerprints(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     """A row for every kept k-gram, and one of length 0 for each row itself."""
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    mark = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("first"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("array<string>").alias("around")))
+    mark = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("first"), F.col("__id").alias("hash"), F.lit(None).cast("array<string>").alias("around")))
     every = let(F.col("__w"), lambda w: let(hashes(w), lambda h: F.concat(mark, *[_kept(w, h, n) for n in lengths])))
     return df.select(*keep, F.explode(every).alias("f")).select(*keep, "f.*")
 
@@ -79,17 +81,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
     ``items``, the sorted numbers of items with a window in the text."""
     wins = windows(benchmark, item, text, window)
     # one aggregate of at most `window` groups
-    sizes = {r.wlen: r.n for r in wins.groupBy("wlen").agg(F.count("*").alias("n")).collect()}
-    small = sum(sizes.values()) <= broadcast_rows
+    held = F.octet_length("win") + F.aggregate("items", F.lit(0), lambda a, i: a + F.octet_length(i) + 16)
+    sizes = wins.groupBy("wlen").agg(F.count("*").alias("n"), F.sum(held).alias("bytes")).collect()
+    small = sum(r.n for r in sizes) <= broadcast_rows and sum(r.bytes or 0 for r in sizes) <= BROADCAST_BYTES
     side = F.broadcast if small else (lambda x: x)
-    lengths = sorted(sizes)
+    lengths = sorted(r.wlen for r in sizes)
     base = docs.select(F.monotonically_increasing_id().alias("__id"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), words(F.col(text)).alias("__w")).withColumn("n_words", F.size("__w").cast("long"))
     marks = _fingerprints(base, lengths, "__id", "row", "n_words").withColumn("row", F.when(F.col("len") == 0, F.col("row")))
-    kept = _fingerprints(wins.select("win", F.split("win", " ").alias("__w")), lengths).where("len > 0").select("len", "hash").distinct().withColumn("hit", F.lit(True))
+    kept = _fingerprints(wins.select(F.lit(0).cast("long").alias("__id"), F.split("win", " ").alias("__w")), lengths).where("len > 0").select("len", "hash").distinct().withColumn("hit", F.lit(True))
     near = marks.join(side(kept), ["len", "hash"], "left").where("len = 0 or hit")
     starts = F.when(F.col("len") > 0, F.sequence(F.lit(1), F.size("around") - F.col("len") + 1)).otherwise(F.array(F.lit(0)))
     tried = near.select("__id", "row", "n_words", "len", "first", "around", F.explode(starts).alias("s")).select(
-        "__id", "row", "n_words", "len", (F.col("first") + F.col("s") - 1).alias("at"), F.when(F.col("len") > 0, F.array_join(F.slice("around", F.greatest("s", F.lit(1)), F.col("len")), " ")).alias("win")
+        "__id", "row", "n_words", "len", (F.col("first") + F.col("s") - 1).alias("at"), F.when(F.col("len") > 0, F.array_join(F.slice("around", F.greatest("s", F.lit(1)), F.col("len")), " ")).otherwise(F.concat(F.lit("\0"), F.col("__id").cast("string"))).alias("win")
     )
     found = tried.join(side(wins), "win", "left").where("len = 0 or (items is not null and wlen = len)")
     spans = F.collect_set(F.when(F.col("len") > 0, F.struct("at", "len")))
