@@ -20,6 +20,7 @@ columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +41,19 @@ END_ID = 2
 LEVEL = 3
 # Fixed value: the head of a chunk.
 MAGIC, HEAD = b"BPL1", struct.Struct("<4sIB")
-#: Words whose ids a Python worker remembers, in two halves: when the younger is
-#: full the older one is forgotten, save what has been asked for since.
-MEMORY_WORDS = 800_000
+#: Pieces whose ids a Python worker remembers; when it is full it starts anew.
+MEMORY_PIECES = 800_000
 #: White space beside the blank and the newline.
-_OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_OTHER_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: A Latin letter or digit and the ASCII mark after it.
+_ENDS = r"([0-9A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{-~])"
 #: Texts encoded together, and new pieces put into one text for the library.
-TEXTS, PIECES = 256, 64
+TEXTS, PIECES = 1024, 64
+PART_BYTES = 1 << 26
 
 CHUNKS = "part int, chunk int, first long, n_ids int, payload binary, docs array<struct<no:long,doc_id:long,at:int,n:int,piece:int,last:boolean,start:long>>"
+ARROW_DOC = pa.struct([("no", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("piece", pa.int32()), ("last", pa.bool_()), ("start", pa.int64())])
+ARROW_CHUNKS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("docs", pa.list_(ARROW_DOC))])
 
 
 def pack(ids: np.ndarray, level: int = LEVEL) -> bytes:
@@ -79,26 +86,38 @@ def unpack(chunk: bytes) -> np.ndarray:
 
 
 class WordEncoder:
-    """The library's ids of whole texts, with the ids of words kept.
-
-    A byte-level BPE never merges across a blank between two marks that are no
-    white space, so a text's ids are those of its pieces cut before such blanks.
-    New pieces of a batch are encoded as one text; a blank opens each, which
-    tells them apart again. Texts where white space meets white space, or with a
-    special token's letters, go to the library whole."""
-
-    def __init__(self, path: str, memory: int = MEMORY_WORDS) -> None:
+    """The library's ids of whole texts, with the ids of pieces kept.
+
+    A byte-level BPE cuts a text by a pattern and merges inside the cuts alone. It
+    cuts before a blank between two marks that are no white space, on both sides
+    of a lone newline between such marks, and between a Latin letter or digit and
+    an ASCII mark after it; so a text's ids are those of its pieces cut there.
+    Arrow cuts the texts and numbers their distinct pieces; those not met before
+    are encoded by the library, several as one text, where the blank that opens a
+    piece, or a newline put between pieces, tells them apart again. Texts where
+    white space meets white space, or with a special token's letters, go to the
+    library whole, as do all texts with a tokenizer that doesn't open every word
+    with a mark of its own."""
+
+    def __init__(self, path: str, memory: int = MEMORY_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         size = self.lib.get_vocab_size()
         self.opens = np.array([(self.lib.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.half = memory // 2
-        self.words: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.marks = {m: np.array(self.lib.encode(m, add_special_tokens=False).ids, np.uint32).tobytes() for m in ".,"}
+        special = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
+        self.odd = "|".join(["^$", "^ ", " $", "  ", r"^\n", r"\n$", r"\n\n", r"\n ", r" \n", f"[\0{_OTHER_BLANKS}]", *special])
+        line, words = (self.lib.encode(t, add_special_tokens=False).ids for t in ("\n", " a b,c"))
+        self.line = line[0] if line else -1
+        self.cuts = len(line) == 1 and self.opens[words].tolist() == [True, True, False, False]
+        self.memory = memory
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -109,89 +128,104 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def cut(self, text: str) -> list[str] | None:
-        """The pieces of a text, or None: pieces need single blanks and newlines
-        inside the text to be all its white space."""
-        words = text.split(" ")
-        if "" in words or "\n\n" in text or "\n " in text or " \n" in text or text[0] == "\n" or text[-1] == "\n":
-            return None
-        if any(x in text for x in self.special) or any(x in text for x in _OTHER_BLANKS):
-            return None
-        return words
-
-    def learn(self, words: set[str]) -> None:
-        """Work out the pieces not met before.
-
-        A full stop or comma after a letter or digit is a token of its own, so
-        such a piece is its stem's ids and the mark's."""
-        if len(self.words) > self.half:
-            self.words, self.older = {"": b""}, self.words
-        missing = words.difference(self.words)
-        marked = [w for w in missing if w[-1] in self.marks and w[-2:-1].isalnum()]
-        wanted = missing.difference(marked).union([w[:-1] for w in marked]).difference(self.words)
-        again = wanted.intersection(self.older)
-        self.words.update((w, self.older[w]) for w in again)
-        if new := list(wanted - again):
-            texts = ["".join([" " + w for w in new[i : i + PIECES]]) for i in range(0, len(new), PIECES)]
-            ids = np.array(list(chain.from_iterable(self.whole(texts))), np.uint32)
-            starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the ids of pieces, which lie one after another."""
+        n, m = len(self.slot), len(self.slot) + len(pieces)
+        self.slot.update(zip(pieces, range(n, m)))
+        while len(self.start) < m:
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        self.start[n:m], self.size[n:m] = self.used + np.cumsum(sizes) - sizes, sizes
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def learn(self, pieces: list[str]) -> bool:
+        """Work out the pieces not met before; False if they can't be told apart."""
+        missing = set(pieces).difference(self.slot)
+        if len(self.slot) + len(missing) > self.memory:
+            self._forget()
+            missing = set(pieces)
+        for blank in (True, False):
+            new = [w for w in missing if (w[0] == " ") == blank and w != "\n"]
+            if not new:
+                continue
+            between = "" if blank else "\n"
+            ids = np.fromiter(chain.from_iterable(self.whole([between + between.join(new[i : i + PIECES]) for i in range(0, len(new), PIECES)])), np.uint32)
+            starts = np.flatnonzero(self.opens[ids] if blank else ids == self.line)
             if len(starts) != len(new):
-                raise AssertionError("a piece is not opened by one blank")
-            raw = ids.tobytes()
-            self.words.update(zip(new, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]))
-        known, marks = self.words, self.marks
-        known.update([(w, known[w[:-1]] + marks[w[-1]]) for w in marked])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.cut(t) for t in texts]
-        heads = iter(self.whole([c[0] for c in cut if c]))
-        others = iter(self.whole([t for t, c in zip(texts, cut) if not c]))
-        words: set[str] = set()
-        for c in cut:
-            if c:
-                c[0] = ""  # the head has no blank before it
-                words.update(c)
-        self.learn(words)
-        get, out = self.words.__getitem__, []
-        for c in cut:
-            head = np.array(next(heads if c else others), np.uint32)
-            out.append(np.frombuffer(head.tobytes() + b"".join(map(get, c)), np.uint32) if c else head)
-        return out
+                return False
+            sizes = np.diff(starts, append=len(ids))
+            if not blank:
+                ids, sizes = np.delete(ids, starts), sizes - 1
+            self._keep(new, ids, sizes)
+        if "\n" in missing:
+            self._keep(["\n"], np.array([self.line], np.uint32), np.array([1]))
+        return True
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text."""
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd)) if self.cuts else texts.slice(0, 0)
+        if not len(plain):
+            return [np.array(x, np.uint32) for x in self.whole(texts.to_pylist())]
+        cut = pc.replace_substring(pc.replace_substring_regex(plain, _ENDS, "\\1\0\\2"), " ", "\0 ")
+        lists = pc.split_pattern(pc.replace_substring(cut, "\n", "\0\n\0"), "\0")
+        named = lists.values.dictionary_encode()
+        pieces = named.dictionary.to_pylist()
+        if not self.learn(pieces):
+            return [np.array(x, np.uint32) for x in self.whole(texts.to_pylist())]
+        slot = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))[named.indices.to_numpy()]
+        size = self.size[slot]
+        ids = self.pool[_spread(self.start[slot], size)]
+        found = iter(np.split(ids, np.cumsum(np.add.reduceat(size, lists.offsets.to_numpy()[:-1]))[:-1]))
+        others = iter(self.whole(texts.filter(pa.array(odd)).to_pylist()))
+        return [np.array(next(others), np.uint32) if o else next(found) for o in odd.tolist()]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch of the given sizes."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block: int = BLOCK, parts: int | None = None) -> None:
-    """Encode whole texts and write their ids, in order of ``key``, under ``path``."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Encode whole texts and write their ids, in order of ``key``, under ``path``.
+
+    There are as many parts as the session has shuffle partitions, or more, so
+    that each has ``PART_BYTES`` of text at most on average."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
     order = ["doc_id", "h", "salt"]
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, encoder = TaskContext.get().partitionId(), WordEncoder.shared(tokenizer)
         held: list[np.ndarray] = []
-        docs: list[tuple] = []
+        docs: list[dict] = []
         size = chunk = no = done = 0
+        end = np.array([end_id], np.uint32)
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             nonlocal held, docs, size, chunk, done
             ids = np.concatenate(held)
-            out = pd.DataFrame({"part": [part], "chunk": [chunk], "first": [done], "n_ids": [len(ids)], "payload": [pack(ids)], "docs": [docs]})
+            out = [{"part": part, "chunk": chunk, "first": done, "n_ids": len(ids), "payload": pack(ids), "docs": docs}]
             done, chunk, held, docs, size = done + len(ids), chunk + 1, [], [], 0
-            return out
+            return pa.RecordBatch.from_pylist(out, schema=ARROW_CHUNKS)
 
-        for pdf in batches:
-            for i in range(0, len(pdf), TEXTS):
-                some = pdf.iloc[i : i + TEXTS]
-                for doc, missing, ids in zip(some.doc_id.fillna(0).astype("int64"), some.doc_id.isna(), encoder.encode(some.text.tolist())):
-                    ids = np.append(ids, np.uint32(end_id))
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(i, TEXTS)
+                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1))):
+                    ids = np.concatenate((ids, end))
                     start, piece = done + size, 0
                     while len(ids):
                         take = ids[: block - size]
                         ids = ids[len(take) :]
-                        docs.append({"no": no, "doc_id": None if missing else int(doc), "at": size, "n": len(take), "piece": piece, "last": not len(ids), "start": start})
+                        docs.append({"no": no, "doc_id": doc, "at": size, "n": len(take), "piece": piece, "last": not len(ids), "start": start})
                         held.append(take)
                         size, piece = size + len(take), piece + 1
                         if size == block:
@@ -200,7 +234,7 @@ def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: s
         if size:
             yield close()
 
-    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInPandas(chunks, CHUNKS).write.parquet(path)
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(chunks, CHUNKS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -221,8 +255,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for part, payload, docs in zip(pdf.part, pdf.payload, pdf.docs):
                     chosen = [d for d in docs if (d["piece"] == 0 and d["last"]) == whole]
                     if chosen:
-                        ids = unpack(payload).astype("<u4").tobytes()
-                        rows = [(part, d["no"], d["doc_id"], d["start"], d["piece"], ids[4 * d["at"] : 4 * (d["at"] + d["n"])]) for d in chosen]
+                        ids = memoryview(unpack(payload).astype("<u4").tobytes())
+                        rows = [(part, d["no"], d["doc_id"], d["start"], d["piece"], bytes(ids[4 * d["at"] : 4 * (d["at"] + d["n"])])) for d in chosen]
                         out = pd.DataFrame(rows, columns=["part", "no", "doc_id", "start", "piece", "ids"])
                         out["doc_id"] = out.doc_id.astype("Int64")
                         yield out
