@@ -207,8 +207,9 @@ def _line_hashes(own: list[tuple[int, str]]) -> tuple[list[int], int]:
 #: Host, path, hash of the lines outside of menus, and hashes of all lines of a page.
 _Page = tuple[str, str, int, list[int]]
 DECIDED = "n_shared int, n_restored int, n_dropped int"
-#: Pages of the sample for each range, and bytes of a range on average.
-SAMPLED, RANGE_BYTES = 20, 1 << 25
+#: Pages of the sample for each range, bytes of a range on average, and ranges at
+#: most: beyond that (160 GB) ranges grow and the driver's share does not.
+SAMPLED, RANGE_BYTES, RANGES_MOST = 20, 1 << 23, 20_000
 
 
 def _different(page: _Page, near: list[_Page | None]) -> _Page | None:
@@ -317,7 +318,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     order = ["host", "path", "h", "s"]
     if ranges is None:
         size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-        ranges = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+        ranges = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // RANGE_BYTES), RANGES_MOST))
     n = max(1, rows.count())
     sample = sorted(map(tuple, rows.where(F.pmod(F.xxhash64(*order), F.lit(n)) < SAMPLED * ranges).select(*order).collect()))
     bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
