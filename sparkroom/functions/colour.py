@@ -85,11 +85,7 @@ def prophoto_to_srgb() -> np.ndarray:
 def interpolate_illuminants(kelvin: float, low: tuple[float, np.ndarray], high: tuple[float, np.ndarray]) -> np.ndarray:
     """Matrix at a temperature: linear in 1/T between two calibrations."""
     (t1, m1), (t2, m2) = sorted((low, high), key=lambda p: p[0])
-    if kelvin <= t1 or t1 == t2:
-        return np.array(m1, float)
-    if kelvin >= t2:
-        return np.array(m2, float)
-    w = (1 / kelvin - 1 / t2) / (1 / t1 - 1 / t2)
+    w = mired_weight(kelvin, t1, t2)
     return w * np.array(m1, float) + (1 - w) * np.array(m2, float)
 
 
@@ -98,17 +94,68 @@ def camera_to_xyz(analog_balance: Sequence[float], calibration: np.ndarray, colo
     return np.linalg.inv(np.diag(analog_balance) @ np.array(calibration, float) @ np.array(colour_matrix, float))
 
 
-def camera_to_pcs(camera_neutral: Sequence[float], xyz_to_camera: np.ndarray, forward: np.ndarray | None = None) -> np.ndarray:
-    """Camera to XYZ at D50: by the forward matrix, scaled to the neutral, or by
-    the inverse colour matrix and adaptation of the neutral's white."""
+def camera_to_pcs(camera_neutral: Sequence[float], xyz_to_camera: np.ndarray, forward: np.ndarray | None = None, analog_balance: Sequence[float] = (1.0, 1.0, 1.0)) -> np.ndarray:
+    """Camera to XYZ at D50: forward matrix x inverse neutral x inverse analog
+    balance, where the neutral is taken before that balance; or the inverse colour
+    matrix and adaptation of the neutral's white."""
     if forward is not None:
-        return np.array(forward, float) @ np.diag(1 / np.asarray(camera_neutral, float))
+        balance = np.asarray(analog_balance, float)
+        return np.array(forward, float) @ np.diag(1 / (np.asarray(camera_neutral, float) / balance)) @ np.diag(1 / balance)
     inverse = np.linalg.inv(np.array(xyz_to_camera, float))
     white = inverse @ np.asarray(camera_neutral, float)
     xy = white[:2] / white.sum()
     return bradford(tuple(xy), D50_XY) @ inverse / white[1]
 
 
+def white_of_neutral(neutral: Sequence[float], matrix_at, tries: int = 30) -> tuple[float, float]:
+    """The white point whose camera neutral is ``neutral``: ``matrix_at`` gives the
+    XYZ-to-camera matrix at a temperature, and temperature follows from the white,
+    so both are found by turns, from D50 on."""
+    xy = D50_XY
+    for _ in range(tries):
+        kelvin, _ = temperature_of_uv(*uv_of_xy(*xy))
+        white = np.linalg.solve(np.array(matrix_at(kelvin), float), np.asarray(neutral, float))
+        new = tuple(white[:2] / white.sum())
+        if max(abs(a - b) for a, b in zip(new, xy)) < 1e-9:
+            return new
+        xy = new
+    return xy
+
+
+def camera_to_prophoto(camera_to_pcs_: np.ndarray) -> np.ndarray:
+    """ProPhoto from PCS x camera to PCS."""
+    return np.linalg.inv(np.array(PROPHOTO_TO_XYZ_D50)) @ np.array(camera_to_pcs_, float)
+
+
+# Temperatures of the calibration illuminants by their EXIF codes.
+ILLUMINANT_KELVIN = {17: 2856.0, 20: 5503.0, 21: 6504.0, 22: 7504.0, 23: 5003.0, 24: 3200.0}
+
+
+def camera_to_srgb(colour1: Sequence[float] | None, colour2: Sequence[float] | None = None, illuminants: tuple[int, int] = (17, 21), neutral: Sequence[float] | None = None, forward: Sequence[float] | None = None, balance: Sequence[float] | None = None) -> np.ndarray:
+    """Camera values to linear sRGB by a file's tags: colour matrices of nine numbers
+    at two illuminants, the neutral (or none: D50), a forward matrix, and the analog
+    balance. Without a colour matrix camera values are display values."""
+    if colour1 is None:
+        return np.eye(3)
+    gain = np.diag(balance if balance is not None else (1.0, 1.0, 1.0))
+    one, two = (gain @ np.reshape(m, (3, 3)) for m in (colour1, colour2 if colour2 is not None else colour1))
+    k1, k2 = (ILLUMINANT_KELVIN.get(int(c), 5003.0) for c in illuminants)
+    matrix_at = lambda kelvin: interpolate_illuminants(kelvin, (k1, one), (k2, two))
+    if neutral is None:
+        neutral = neutral_of_white(D50_XY, matrix_at(5003.0))
+    kelvin, _ = temperature_of_uv(*uv_of_xy(*white_of_neutral(neutral, matrix_at)))
+    pcs = camera_to_pcs(neutral, matrix_at(kelvin), None if forward is None else np.reshape(forward, (3, 3)), np.diag(gain))
+    return prophoto_to_srgb() @ camera_to_prophoto(pcs)
+
+
+def mired_weight(kelvin: float, low: float, high: float) -> float:
+    """Share of the calibration at the lower of two temperatures, linear in 1/T."""
+    t1, t2 = sorted((low, high))
+    if kelvin <= t1 or t1 == t2:
+        return 1.0
+    return 0.0 if kelvin >= t2 else (1 / kelvin - 1 / t2) / (1 / t1 - 1 / t2)
+
+
 def uv_of_xy(x: float, y: float) -> tuple[float, float]:
     d = -2 * x + 12 * y + 3
     return 4 * x / d, 6 * y / d
@@ -119,47 +166,48 @@ def xy_of_uv(u: float, v: float) -> tuple[float, float]:
     return 3 * u / d, 2 * v / d
 
 
-def _slope(t: float) -> tuple[float, float]:
-    n = math.hypot(1, t)
-    return 1 / n, t / n
+def _line(i: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Reciprocal megakelvin, foot and unit direction of an isotemperature line."""
+    mired, u, v, slope = ROBERTSON[i]
+    along = np.array([1.0, slope])
+    return mired, np.array([u, v]), along / np.linalg.norm(along)
+
+
+def _between(i: int, f: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The line at part ``f`` of the way back from line ``i`` to the one before."""
+    (r0, p0, d0), (r1, p1, d1) = _line(i - 1), _line(i)
+    along = f * d0 + (1 - f) * d1
+    return f * r0 + (1 - f) * r1, f * p0 + (1 - f) * p1, along / np.linalg.norm(along)
 
 
 def uv_of_temperature(kelvin: float, tint: float = 0.0) -> tuple[float, float]:
     """Point on the lines between Robertson's, moved along them by the tint."""
     mired = 1e6 / kelvin
-    i = next((i for i in range(1, len(ROBERTSON)) if ROBERTSON[i][0] >= mired), len(ROBERTSON) - 1)
-    (r0, u0, v0, t0), (r1, u1, v1, t1) = ROBERTSON[i - 1 : i + 1]
-    f = (r1 - mired) / (r1 - r0)
-    (a0, b0), (a1, b1) = _slope(t0), _slope(t1)
-    a, b = a0 * f + a1 * (1 - f), b0 * f + b1 * (1 - f)
-    n = math.hypot(a, b)
-    shift = tint / TINT_SCALE
-    return u0 * f + u1 * (1 - f) + a / n * shift, v0 * f + v1 * (1 - f) + b / n * shift
+    i = min(1 + sum(line[0] < mired for line in ROBERTSON[1:]), len(ROBERTSON) - 1)
+    r0, r1 = ROBERTSON[i - 1][0], ROBERTSON[i][0]
+    _, foot, along = _between(i, (r1 - mired) / (r1 - r0))
+    u, v = foot + along * (tint / TINT_SCALE)
+    return float(u), float(v)
 
 
 def temperature_of_uv(u: float, v: float) -> tuple[float, float]:
-    """Kelvin and tint of a point, by the pair of lines that it lies between."""
-
-    def across(i: int) -> float:
-        _, u0, v0, t = ROBERTSON[i]
-        a, b = _slope(t)
-        return (v - v0) * a - (u - u0) * b
-
-    last = across(0)
-    for i in range(1, len(ROBERTSON)):
-        now = across(i)
-        if now <= 0 or i == len(ROBERTSON) - 1:
-            now_ = min(now, 0.0)
-            f = 0.0 if i == 1 and last < 0 else -now_ / (last - now_) if last != now_ else 0.0
-            (r0, u0, v0, t0), (r1, u1, v1, t1) = ROBERTSON[i - 1 : i + 1]
-            mired = r0 * f + r1 * (1 - f)
-            (a0, b0), (a1, b1) = _slope(t0), _slope(t1)
-            a, b = a0 * f + a1 * (1 - f), b0 * f + b1 * (1 - f)
-            n = math.hypot(a, b)
-            du, dv = u - (u0 * f + u1 * (1 - f)), v - (v0 * f + v1 * (1 - f))
-            return (1e6 / mired if mired else math.inf), (du * a + dv * b) / n * TINT_SCALE
-        last = now
-    raise AssertionError("not reached")
+    """Kelvin and tint of a point.
+
+    Robertson's definition: the point's signed distances to neighbouring lines have
+    different signs where it lies between them, and the reciprocal temperature is
+    their root in proportion. Points beyond all lines take the first or last one."""
+    at = np.array([u, v])
+    distance = []
+    for i in range(len(ROBERTSON)):
+        _, foot, along = _line(i)
+        du, dv = at - foot
+        distance.append(dv * along[0] - du * along[1])
+    last = len(ROBERTSON) - 1
+    i = next((i for i in range(1, last + 1) if distance[i] <= 0), last)
+    near, far = distance[i - 1], distance[i]
+    f = 1.0 if near <= 0 else 0.0 if far > 0 else far / (far - near)
+    mired, foot, along = _between(i, f)
+    return (1e6 / mired if mired else math.inf), float((at - foot) @ along) * TINT_SCALE
 
 
 def neutral_of_white(xy: Sequence[float], xyz_to_camera: np.ndarray) -> np.ndarray:

@@ -67,15 +67,20 @@ def radial_gain(x: Column, y: Column, k: Sequence[float], cx: float, cy: float,
     return 1.0 + polynomial(r2, k) * r2
 
 
-def exposure_ramp(v: Column, exposure: float, shadows: float = 5.0, shadow_scale: float = 1.0, toe: float | None = None) -> Column:
+def exposure_ramp(v: Column, exposure: float | Column, shadows: float = 5.0, shadow_scale: float = 1.0, toe: float | None = None) -> Column:
     """Linear between black and white, with a quadratic toe that meets the line
     with equal slope; the toe's radius is black unless given."""
-    white = 1.0 / 2.0 ** max(0.0, exposure)
-    black = min(shadows * shadow_scale * 0.001, 0.99 * white)
+    level = shadows * shadow_scale * 0.001
+    if isinstance(exposure, Column):
+        white = F.lit(1.0) / F.pow(F.lit(2.0), F.greatest(exposure, F.lit(0.0)))
+        black = F.least(F.lit(level), white * 0.99)
+    else:
+        white = 1.0 / 2.0 ** max(0.0, exposure)
+        black = min(level, 0.99 * white)
     r = black if toe is None else toe
     slope = 1.0 / (white - black)
     line = (v - black) * slope
-    if r <= 0:
+    if level <= 0 and toe is None or toe is not None and toe <= 0:
         return clamp(line)
     foot = (v - black + r) * (v - black + r) * (slope / (4 * r))
     return clamp(F.when(v <= black - r, F.lit(0.0)).when(v < black + r, foot).otherwise(line))
@@ -89,8 +94,9 @@ def srgb_linear(v: Column) -> Column:
     return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
 
 
-def matrix3(m: Sequence[Sequence[float]], r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    return tuple(r * float(row[0]) + g * float(row[1]) + b * float(row[2]) for row in m)
+def matrix3(m: Sequence[Sequence[float | Column]], r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    k = lambda v: v if isinstance(v, Column) else float(v)
+    return tuple(r * k(row[0]) + g * k(row[1]) + b * k(row[2]) for row in m)
 
 
 def hue_tone(r: Column, g: Column, b: Column, tone) -> tuple[Column, Column, Column]:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import time
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,26 +28,3 @@ def summarize(results: DataFrame, status: str = "status") -> DataFrame:
     """One row: total, written, skipped and errored."""
     n = lambda s: F.count(F.when(F.col(status) == s, True))
     return results.agg(F.count("*").alias("total"), n("written").alias("written"), n("skipped").alias("skipped"), n("errored").alias("errored"))
-
-
-@dataclass
-class Job:
-    """A named run that can be cancelled from another thread."""
-
-    spark: object
-    tag: str
-
-    def run(self, action):
-        sc = self.spark.sparkContext
-        sc.addJobTag(self.tag)
-        began = time.time()
-        try:
-            return action(), time.time() - began
-        finally:
-            sc.removeJobTag(self.tag)
-
-    def cancel(self) -> None:
-        self.spark.sparkContext.cancelJobsWithTag(self.tag)
-
-    def active(self) -> list[int]:
-        return list(self.spark.sparkContext.statusTracker().getActiveJobsIds())

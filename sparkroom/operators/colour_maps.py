@@ -6,7 +6,7 @@ hue wraps around."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import replace
 from itertools import product
 
@@ -68,6 +68,12 @@ def hue_sat_map(r: Raster, shape: tuple[int, int, int], hue_shift: Sequence[floa
     return replace(r, df=df.select(*r.df.columns))
 
 
+def mix_maps(low: Iterable[Sequence[float]], high: Iterable[Sequence[float]], weight: float) -> list[list[float]]:
+    """The tables of two illuminants at a temperature: ``weight`` is the first one's
+    share, as for their matrices."""
+    return [[a * weight + b * (1 - weight) for a, b in zip(x, y, strict=True)] for x, y in zip(low, high, strict=True)]
+
+
 def gain_table(r: Raster, shape: tuple[int, int, int], gains: Sequence[float], weights: Sequence[float] = (0.2, 0.6, 0.2), exposure: float = 0.0) -> Raster:
     """Gain by row, column and brightness; the brightness index follows the exposure."""
     r.need(3)

@@ -4,27 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkroom.functions import points
+from sparkroom.operators import times
 
-# Published sensor tables of the supported camera.
+# Fixed values of the supported camera: the maker's published table of gain against
+# electrons a unit, and a calibration of blue settings that is not the maker's.
 GAIN_TABLE = ((0, 2.55), (50, 1.5), (100, 0.85), (150, 0.5), (200, 0.3))
 BLUE_TABLE = ((1, 0.01), (50, 0.59), (55, 0.73), (65, 0.87), (75, 1.0), (100, 1.34))
 
-# Header keywords of each mapped field, the first present wins.
-AVM_FIELDS = {
-    "Subject.Name": ("OBJECT", "TARGET"),
-    "Facility": ("TELESCOP", "OBSERVAT"),
+# Single-text fields and the header keyword of each.
+AVM_TEXTS = {
+    "Subject.Name": ("OBJECT",),
     "Instrument": ("INSTRUME",),
-    "Spectral.Bandpass": ("FILTER", "FILTER1"),
-    "Creator": ("OBSERVER", "SWCREATE"),
-    "Spatial.Scale": ("SCALE", "CDELT2"),
-    "Spatial.Rotation": ("CROTA2", "CROTA1"),
+    "Facility": ("TELESCOP",),
+    "Spectral.Bandpass": ("FILTER",),
+    "Creator": ("OBSERVER", "AUTHOR", "CREATOR"),
 }
-# How pixel types are taken: BITPIX to target type, or rejected.
-PIXEL_TYPES = {8: "uint8", 16: "uint16", 32: "uint32", -32: "float32", -64: "float32"}
+AVM_DEFAULTS = {"Type": "Observation", "MetadataVersion": "1.1"}
 
 
 def interpolate(v: Column, table: Sequence[tuple[float, float]]) -> Column:
@@ -55,10 +54,75 @@ def analog_balance(instrument: Column, red: Column, blue: Column) -> Column:
     return F.when((F.trim(instrument) == TABLED_INSTRUMENT) & red.isNotNull() & blue.isNotNull(), F.array(red / NEUTRAL_RED, F.lit(1.0), balance_ratio(blue)))
 
 
+def _angle(text: Column) -> Column:
+    """Degrees, or hours, of "d m s" or a single number, with a sign before."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d*)?"), F.lit(0)), lambda n: n.try_cast("double"))
+    size = F.get(parts, F.lit(0)) + F.coalesce(F.get(parts, F.lit(1)), F.lit(0.0)) / 60.0 + F.coalesce(F.get(parts, F.lit(2)), F.lit(0.0)) / 3600.0
+    whole = F.rlike(text, F.lit(r"^\s*[+-]?\d+(?:\.\d*)?(?:[\s:hdm°'’]+\d+(?:\.\d*)?){0,2}[\s\"s]*$"))
+    return F.when(whole, F.when(F.rlike(text, F.lit(r"^\s*-")), -size).otherwise(size))
+
+
 def avm(header: Column) -> Column:
-    """A header map's fields as a map; absent ones are left out."""
-    fields = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(*[F.try_element_at(header, F.lit(n)) for n in names]).alias("value")) for k, names in AVM_FIELDS.items()])
-    return F.map_from_entries(F.filter(fields, lambda e: e["value"].isNotNull()))
+    """A header map's fields, each a list of texts; absent ones are left out.
+
+    Keywords are tried in order; blank texts and, for numbers, zeros before the
+    last one are passed over."""
+    get = lambda k: F.nullif(F.trim(F.try_element_at(header, F.lit(k))), F.lit(""))
+    number = lambda k: get(k).try_cast("double")
+    some = lambda k: F.nullif(number(k), F.lit(0.0))
+    text = lambda v: F.when(v.isNotNull(), F.array(v.cast("string")))
+    pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.array(a.cast("string"), b.cast("string")))
+    right = F.pmod(_angle(F.coalesce(get("RA"), get("OBJCTRA"))) * 15.0, F.lit(360.0))
+    up = _angle(F.coalesce(get("DEC"), get("OBJCTDEC")))
+    place = pair(F.when(F.abs(up) <= 90.0, right), up)
+    scale = F.coalesce(some("SCALE"), some("CDELT2"))
+    fields = {
+        "Spatial.ReferenceValue": place,
+        "Spatial.CoordinateFrame": F.when(place.isNotNull(), F.array(F.lit("ICRS"))),
+        "Spatial.CoordinateDimension": F.when(place.isNotNull(), F.array(F.lit("2"), F.lit("2"))),
+        "Spatial.CoordsystemProjection": F.when(place.isNotNull(), F.array(F.lit("TAN"))),
+        "Spatial.Scale": F.when(scale.isNotNull(), F.transform(spatial_scale(scale), lambda v: v.cast("string"))),
+        "Spatial.Rotation": text(F.coalesce(some("CROTA1"), some("CROTA2"), number("ROTATANG"))),
+        "Spatial.ReferencePixel": pair(F.coalesce(some("NAXIS1"), some("IMAGEW")) / 2.0, F.coalesce(some("NAXIS2"), some("IMAGEH")) / 2.0),
+        "TemporalStartTime": text(F.trim(F.try_element_at(header, F.lit("DATE-OBS")))),
+        "TemporalIntegrationTime": text(number("EXPTIME")),
+    }
+    fields |= {k: text(F.coalesce(*[get(n) for n in names])) for k, names in AVM_TEXTS.items()}
+    fields |= {k: F.array(F.lit(v)) for k, v in AVM_DEFAULTS.items()}
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields.items()])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
+def dng_tags(frames: DataFrame, header: str = "header", seconds: Column | None = None, zone: str | None = None, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """``keys``, name and value (a list of texts) of the tags that a header, and the
+    columns black and exposure of the frame's statistics, give.
+
+    A pedestal in the header goes before a measured black level, and shifts move
+    the time of capture, not its zone."""
+    get = lambda k: F.nullif(F.trim(F.try_element_at(header, F.lit(k))), F.lit(""))
+    one = lambda v: F.when(v.isNotNull(), F.array(v.cast("string")))
+    whole = lambda k: F.floor(get(k).try_cast("double")).cast("long")
+    instrument = F.coalesce(get("INSTRUME"), F.lit(""))
+    balance = analog_balance(instrument, get("WB_RED").try_cast("double"), get("WB_BLUE").try_cast("double"))
+    taken = times.fits_datetime(get("DATE-OBS"))
+    moved = times.shift(taken, seconds) if seconds is not None else taken
+    stamp = F.date_format(moved, "yyyy:MM:dd HH:mm:ss")
+    given = {
+        "CFAPattern": one(F.upper(get("BAYERPAT"))),
+        "UniqueCameraModel": one(get("INSTRUME")),
+        "ISOSpeedRatings": one(camera_iso(instrument, get("GAIN").try_cast("double"))),
+        "AnalogBalance": F.when(balance.isNotNull(), F.transform(balance, lambda v: v.cast("string"))),
+        "Software": one(get("SWCREATE")),
+        "ExposureTime": one(get("EXPTIME").try_cast("double")),
+        "DateTimeOriginal": one(stamp),
+        "BlackLevel": one(F.coalesce(whole("PEDESTAL"), F.col("black").cast("long"))),
+        "WhiteLevel": one(whole("CWHITE")),
+        "BaselineExposure": one(F.col("exposure")),
+    }
+    if zone:
+        given |= {k: F.array(F.lit(zone)) for k in ("OffsetTimeOriginal", "OffsetTimeDigitized", "OffsetTime")}
+    cells = F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in given.items()])
+    return frames.select(*keys, F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("t")).select(*keys, "t.*")
 
 
 def spatial_scale(scale: Column) -> Column:
@@ -67,15 +131,31 @@ def spatial_scale(scale: Column) -> Column:
     return F.array(-s, s)
 
 
-def gate(bitpix: Column, naxis: Column) -> Column:
-    """ok, or why a frame is left out."""
-    known = bitpix.isin(*PIXEL_TYPES)
-    return F.when(naxis != 2, F.lit("skipped: not two axes")).when(~known, F.lit("error: pixel type")).otherwise(F.lit("ok"))
+def pixel_type(bitpix: Column, bzero: Column) -> Column:
+    """The target type of a frame's pixels, or null: whole numbers must be unsigned,
+    which files of 16 and 32 bits say by their zero point; 64-bit floats are narrowed."""
+    zero = F.coalesce(bzero.cast("double"), F.lit(0.0))
+    return (
+        F.when((bitpix == 8) & (zero == 0), "uint8")
+        .when((bitpix == 16) & (zero == 2.0**15), "uint16")
+        .when((bitpix == 32) & (zero == 2.0**31), "uint32")
+        .when(bitpix.isin(-32, -64), "float32")
+    )
+
+
+def gate(bitpix: Column, naxis: Column, bzero: Column) -> Column:
+    """ok, or why a frame is left out; types are judged before axes, if there is data."""
+    return (
+        F.when(naxis == 0, F.lit("skipped: no data"))
+        .when(pixel_type(bitpix, bzero).isNull(), F.lit("error: pixel type"))
+        .when(naxis != 2, F.lit("skipped: not two axes"))
+        .otherwise(F.lit("ok"))
+    )
 
 
 def compression(dtype: Column, wanted: Column) -> Column:
     """32-bit and floating pixels stay uncompressed."""
-    return F.when(dtype.isin("uint32", "float32"), F.lit("none")).otherwise(wanted)
+    return F.when(dtype.isin("uint32", "float16", "float32"), F.lit("none")).otherwise(wanted)
 
 
 # Presets of compression as codec, distance and effort.

@@ -44,14 +44,20 @@ def crop_fraction(r: Raster, left: float, top: float, right: float, bottom: floa
     return crop(r, x, y, max(1, round(right * r.width) - x), max(1, round(bottom * r.height) - y))
 
 
+def turned_place(code: int, y: Column, x: Column, height: int, width: int) -> tuple[Column, Column]:
+    """Row and column that a pixel of an image gets by an orientation code."""
+    at = {"y": y, "x": x, "h-y": F.lit(height - 1) - y, "w-x": F.lit(width - 1) - x}
+    row, column = ORIENT[code]
+    return at[row], at[column]
+
+
 def orient(r: Raster, code: int) -> Raster:
     """The pixel permutation of an orientation code; 1 returns its input."""
     if code not in ORIENT:
         raise ValueError(f"no orientation {code}")
     if code == 1:
         return r
-    at = {"y": F.col("y"), "x": F.col("x"), "h-y": F.lit(r.height - 1) - F.col("y"), "w-x": F.lit(r.width - 1) - F.col("x")}
-    row, column = (at[k] for k in ORIENT[code])
+    row, column = turned_place(code, F.col("y"), F.col("x"), r.height, r.width)
     turned = code >= 5
     return replace(r, df=r.df.withColumns({"y": row, "x": column}), height=r.width if turned else r.height, width=r.height if turned else r.width)
 
@@ -111,25 +117,49 @@ def fit_level(sizes: DataFrame, target: int) -> DataFrame:
     return sizes.groupBy("image_id").agg(best.alias("level"))
 
 
-def warp(r: Raster, source_y: Column, source_x: Column) -> Raster:
-    """Resample: every target pixel takes the bilinear mean of the four source
-    pixels around (source_y, source_x); pixels that point outside are left out.
+def warp(r: Raster, source_y: Column, source_x: Column, bicubic: bool = False) -> Raster:
+    """Resample all channels: every target pixel takes the mean of the source pixels
+    around (source_y, source_x), four by their distance or, ``bicubic``, sixteen by
+    the cubic's weights; those beyond a border are its pixels again. Pixels that
+    point outside are left out.
 
-    One join on the pixel: each target asks for four neighbours, and the weighted
+    One join on the pixel: each target asks for its neighbours, and the weighted
     parts are added in a fixed order."""
-    r.need(1)
     ask = r.df.select("image_id", "y", "x", source_y.alias("sy"), source_x.alias("sx")).where(
         (F.col("sy") >= 0) & (F.col("sx") >= 0) & (F.col("sy") <= r.height - 1) & (F.col("sx") <= r.width - 1)
     )
-    base = ask.withColumns({"iy": F.least(F.floor("sy"), F.lit(r.height - 2)), "ix": F.least(F.floor("sx"), F.lit(r.width - 2))})
-    corners = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("iy") + k // 2).alias("ny"), (F.col("ix") + k % 2).alias("nx")) for k in range(4)])
-    four = base.withColumn("n", F.explode(corners)).select("image_id", "y", "x", (F.col("sy") - F.col("iy")).alias("fy"), (F.col("sx") - F.col("ix")).alias("fx"), "n.*")
-    source = r.df.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv"))
-    got = four.join(source, ["image_id", "ny", "nx"])
-    v = lambda k: F.max(F.when(F.col("k") == k, F.col("nv")))
-    fy, fx = F.max("fy"), F.max("fx")
-    value = (v(0) * (1 - fx) + v(1) * fx) * (1 - fy) + (v(2) * (1 - fx) + v(3) * fx) * fy
-    return replace(r, df=got.groupBy("image_id", "y", "x").agg(value.alias("v")))
+    base = ask.withColumns({"iy": F.greatest(F.least(F.floor("sy"), F.lit(r.height - 2)), F.lit(0)), "ix": F.greatest(F.least(F.floor("sx"), F.lit(r.width - 2)), F.lit(0))})
+    reach = range(-1, 3) if bicubic else range(2)
+    weight = catmull_rom if bicubic else (lambda d: F.greatest(1.0 - F.abs(d), F.lit(0.0)))
+    inside = lambda v, size: F.least(F.greatest(v, F.lit(0)), F.lit(size - 1))
+    cell = lambda k, dy, dx: F.struct(
+        F.lit(k).alias("k"),
+        inside(F.col("iy") + dy, r.height).alias("ny"),
+        inside(F.col("ix") + dx, r.width).alias("nx"),
+        weight(F.col("sy") - F.col("iy") - dy).alias("wy"),
+        weight(F.col("sx") - F.col("ix") - dx).alias("wx"),
+    )
+    cells = [(dy, dx) for dy in reach for dx in reach]
+    asked = base.withColumn("n", F.explode(F.array(*[cell(k, *at) for k, at in enumerate(cells)]))).select("image_id", "y", "x", "n.*")
+    source = r.df.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), *[F.col(c).alias(f"_{c}") for c in r.channels])
+    got = asked.join(source, ["image_id", "ny", "nx"])
+    side = len(reach)
+
+    def value(c: str) -> Column:
+        # a row's parts first, then the rows, as four numbers are interpolated by hand
+        part = lambda k: F.max(F.when(F.col("k") == k, F.col(f"_{c}") * F.col("wx")))
+        rows = []
+        for j in range(side):
+            line = part(side * j)
+            for k in range(side * j + 1, side * (j + 1)):
+                line = line + part(k)
+            rows.append(line * F.max(F.when(F.col("k") == side * j, F.col("wy"))))
+        out = rows[0]
+        for line in rows[1:]:
+            out = out + line
+        return out
+
+    return replace(r, df=got.groupBy("image_id", "y", "x").agg(*[value(c).alias(c) for c in r.channels]))
 
 
 def catmull_rom(d: Column) -> Column:

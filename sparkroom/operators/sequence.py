@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkroom.sources.files import shared_dir
+
 
 def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """``df`` with the row's place in the order of ``order``.
@@ -13,13 +15,7 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> D
     ranges before it, one row for each range. The ranges are kept in the shared
     folder meanwhile, so both readings see the same ones."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="sparkroom-")
-        spark.sparkContext.setCheckpointDir(named)
+    shared_dir(spark)
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
     sizes = sorted((r["_range"], r.n) for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect())
     first, rows = start, []

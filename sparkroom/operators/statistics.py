@@ -6,6 +6,8 @@ bins and no longer on pixels."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,38 +37,88 @@ def cdf(hist: DataFrame, image: str = "image_id") -> DataFrame:
 
 def percentile(cumulated: DataFrame, p: float, white: float, bins: int, image: str = "image_id") -> DataFrame:
     """The whole part of the left edge of the first bin whose cdf reaches ``p``."""
-    first = F.min(F.when(F.col("cdf") >= p, F.col("bin")))
-    return cumulated.groupBy(image).agg(F.floor(first * float(white / bins)).alias("value"))
+    return percentiles(cumulated, (p,), white, bins, image).select(image, "value")
+
+
+def percentiles(cumulated: DataFrame, parts: Sequence[float], white: float, bins: int, image: str = "image_id") -> DataFrame:
+    """image, p and value of several percentiles by one aggregate."""
+    first = lambda p: F.floor(F.min(F.when(F.col("cdf") >= p, F.col("bin"))) * float(white / bins))
+    wide = cumulated.groupBy(image).agg(F.array(*[F.struct(F.lit(float(p)).alias("p"), first(p).alias("value")) for p in parts]).alias("v"))
+    return wide.select(image, F.explode("v").alias("v")).select(image, "v.*")
+
+
+def clip_bin(white: float, bins: int) -> int:
+    """The first bin whose left edge reaches 0.975 of white."""
+    return next(i for i in range(bins + 1) if i * white / bins >= CLIP_LEVEL * white)
+
+
+def brighter(white: float, bins: int, part: float = CLIP_PART) -> Column:
+    """Aggregate of a cumulated histogram: whether over ``part`` of the pixels lie at
+    0.975 of white or above."""
+    below = F.coalesce(F.max(F.when(F.col("bin") < clip_bin(white, bins), F.col("cdf"))), F.lit(0.0))
+    return (1 - below) > part
 
 
 def clipped(cumulated: DataFrame, white: float, bins: int, image: str = "image_id") -> DataFrame:
     """Whether over a quarter of an image lies at 0.975 of white or above."""
-    at = int(bins * CLIP_LEVEL)
-    below = F.coalesce(F.max(F.when(F.col("bin") < at, F.col("cdf"))), F.lit(0.0))
-    return cumulated.groupBy(image).agg(((1 - below) > CLIP_PART).alias("clipped"))
+    return cumulated.groupBy(image).agg(brighter(white, bins).alias("clipped"))
 
 
-def auto_exposure(hist: DataFrame, white: float, bins: int, pedestal: Column | None = None, image: str = "image_id") -> DataFrame:
+def auto_exposure(hist: DataFrame, white: float, bins: int, pedestal: str | None = None, image: str = "image_id") -> DataFrame:
     """black, median, clipped and exposure of each image.
 
-    Black is the pedestal, else the first percentile where it is above 0;
-    exposure is log2(0.06 white / median), 0 for clipped or black images."""
+    Black is the pedestal, a column of ``hist``, where there is one, else the first
+    percentile where that is above 0; exposure is log2(0.06 white / median), null
+    for clipped or black images."""
     c = cdf(hist, image)
-    at = int(bins * CLIP_LEVEL)
     edge = lambda p: F.floor(F.min(F.when(F.col("cdf") >= p, F.col("bin"))) * float(white / bins))
-    below = F.coalesce(F.max(F.when(F.col("bin") < at, F.col("cdf"))), F.lit(0.0))
-    agg = c.groupBy(image).agg(edge(0.01).alias("p1"), edge(0.5).alias("median"), ((1 - below) > CLIP_PART).alias("clipped"))
-    black = F.coalesce(pedestal, F.nullif(F.col("p1"), F.lit(0))) if pedestal is not None else F.nullif(F.col("p1"), F.lit(0))
-    exposure = F.when(~F.col("clipped") & (F.col("median") > 0), F.log2(F.lit(MIDDLE * white) / F.col("median"))).otherwise(F.lit(0.0))
+    given = F.max(pedestal) if pedestal else F.lit(None)
+    agg = c.groupBy(image).agg(edge(0.01).alias("p1"), edge(0.5).alias("median"), brighter(white, bins).alias("clipped"), given.cast("long").alias("given"))
+    black = F.coalesce("given", F.when(F.col("p1") > 0, F.col("p1")))
+    exposure = F.when(~F.col("clipped") & (F.col("median") > 0), F.log2(F.lit(MIDDLE * white) / F.col("median")))
     return agg.select(image, black.alias("black"), "median", "clipped", exposure.alias("exposure"))
 
 
+#: Bins of the first pass of an exact percentile.
+DIFF_BINS = 4096
+
+
+def exact_percentile(df: DataFrame, value: str, p: float, by: str) -> DataFrame:
+    """``by`` and ``at``: the value at part ``p`` of the sorted values, between its
+    neighbours linearly, for each ``by`` and for all (null).
+
+    Values are counted in equal bins first; only the rows of the bins that hold the
+    two neighbours are then ranked, so no task sees a group's values."""
+    sets = df.select(F.col(value).alias("v"), F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col(by).alias("g")), F.struct(F.lit(True).alias("all"), F.lit(None).cast(df.schema[by].dataType).alias("g")))).alias("s")).where("v is not null").select("v", "s.*")
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    if ends.lo is None:
+        return sets.select(F.col("g").alias(by), F.col("v").alias("at"))
+    width = (ends.hi - ends.lo) / DIFF_BINS or 1.0
+    bin_ = F.least(F.floor((F.col("v") - ends.lo) / width), F.lit(DIFF_BINS - 1))
+    counted = sets.groupBy("all", "g", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("all", "g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("all", "g")
+    ranked = counted.withColumn("cum", F.sum("n").over(upto)).withColumn("place", (F.sum("n").over(whole) - 1) * p)
+    # zero-based places of the neighbours, and the bins that hold them
+    here = lambda k: (F.col("cum") - F.col("n") <= k) & (k < F.col("cum"))
+    bins = ranked.where(here(F.floor("place")) | here(F.ceil("place"))).select("all", "g", "bin", (F.col("cum") - F.col("n")).alias("before"), "place")
+    chosen = sets.withColumn("bin", bin_).alias("a").join(F.broadcast(bins).alias("b"), (F.col("a.all") == F.col("b.all")) & F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.bin") == F.col("b.bin"))).select("a.all", "a.g", "a.bin", "before", "place", "v")
+    values = chosen.groupBy("all", "g", "bin", "before", "place", "v").agg(F.count("*").alias("n"))
+    inside = Window.partitionBy("all", "g", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    places = values.withColumn("last", F.col("before") + F.sum("n").over(inside) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    at = lambda k: F.max(F.when((F.col("first") <= k) & (k <= F.col("last")), F.col("v")))
+    two = places.groupBy("all", "g").agg(at(F.floor("place")).alias("lo"), at(F.ceil("place")).alias("hi"), F.first(F.col("place") - F.floor("place")).alias("part"))
+    return two.select(F.col("g").alias(by), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("at"))
+
+
 def diff_stats(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("image_id", "y", "x", "c"), value: str = "v", by: str = "c") -> DataFrame:
     """mean, p99 and max of the absolute difference in percent, for each ``by``
     and for all (null)."""
     joined = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), list(keys))
     d = joined.select(by, (F.abs(F.col("_a") - F.col("_b")) * 100).alias("d"))
-    return d.groupingSets([[by], []], by).agg(F.avg("d").alias("mean"), F.percentile("d", 0.99).alias("p99"), F.max("d").alias("max"))
+    sums = d.groupingSets([[by], []], by).agg(F.avg("d").alias("mean"), F.max("d").alias("max"))
+    high = exact_percentile(d, "d", 0.99, by).select(F.col(by).alias("_by"), F.col("at").alias("p99"))
+    return sums.join(F.broadcast(high), F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "mean", "p99", "max")
 
 
 def min_max(df: DataFrame, value: str = "v", image: str = "image_id") -> DataFrame:

@@ -3,8 +3,9 @@
 Neighbours in a row come from a window over (image_id, y), those in a column from
 one over (image_id, x); diagonals are the row neighbours' sums taken along the
 column. So one pass is two exchanges whatever the pattern, with each image's rows
-and columns spread over tasks. Means take the neighbours that exist, which is
-also the rule at borders.
+and columns spread over tasks. Images of more rows than ``BAND`` are cut into bands
+of so many, with the rows around as a halo, so that no column of one is a task's.
+Means take the neighbours that exist, which is also the rule at borders.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from sparkroom.operators.raster import RGB, Raster
 # Colours of the 2x2 block, row by row.
 PATTERNS = {"RGGB": "RGGB", "GRBG": "GRBG", "GBRG": "GBRG", "BGGR": "BGGR"}
 ALGORITHMS = ("bilinear", "ea", "ea_fast")
+#: Rows of a band, and rows around it that a stencil reads at most.
+BAND, HALO = 1024, 3
 
 
 def colour_at(pattern: str, y: Column, x: Column) -> Column:
@@ -29,11 +32,24 @@ def colour_at(pattern: str, y: Column, x: Column) -> Column:
 
 
 def _rows() -> Window:
-    return Window.partitionBy("image_id", "y").orderBy("x")
+    return Window.partitionBy("image_id", "band", "y").orderBy("x")
 
 
 def _columns() -> Window:
-    return Window.partitionBy("image_id", "x").orderBy("y")
+    return Window.partitionBy("image_id", "band", "x").orderBy("y")
+
+
+def _banded(df: DataFrame, height: int) -> DataFrame:
+    """Rows with their band; those near a border are in the next one's halo too."""
+    if height <= BAND:
+        return df.withColumn("band", F.lit(0))
+    at = lambda d: F.floor((F.col("y") + d) / BAND)
+    near = F.sequence(F.greatest(at(-HALO), F.lit(0)), F.least(at(HALO), F.lit((height - 1) // BAND)))
+    return df.withColumn("band", F.explode(near))
+
+
+def _unbanded(df: DataFrame, height: int) -> DataFrame:
+    return df if height <= BAND else df.where(F.col("band") == F.floor(F.col("y") / BAND))
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -73,13 +89,13 @@ def demosaic(r: Raster, pattern: str = "RGGB", algorithm: str = "bilinear") -> R
     r.need(1)
     if algorithm not in ALGORITHMS:
         raise TypeError(f"no algorithm {algorithm!r}")
-    df = _planes(r.df.select("image_id", "y", "x", "v"), pattern)
+    df = _planes(_banded(r.df.select("image_id", "y", "x", "v"), r.height), pattern)
     if algorithm == "bilinear":
         known = df.withColumns({f"_{c}": F.when(F.col("colour") == c.upper(), F.col("v")) for c in RGB})
         full = _fill(known, {c: f"_{c}" for c in RGB})
     else:
         full = _edge_aware(df, fast=algorithm == "ea_fast")
-    return replace(r, df=full.select("image_id", "y", "x", *RGB), channels=RGB)
+    return replace(r, df=_unbanded(full, r.height).select("image_id", "y", "x", *RGB), channels=RGB)
 
 
 def _edge_aware(df: DataFrame, fast: bool) -> DataFrame:

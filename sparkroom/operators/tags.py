@@ -95,6 +95,21 @@ def strip(tags: DataFrame, names: DataFrame) -> DataFrame:
     return tags.join(names.select("name"), "name", "left_anti")
 
 
+def apply_ops(tags: DataFrame, ops: Sequence[dict], keys: Sequence[str] = KEY) -> DataFrame:
+    """Every tag set after a list of operations: names of "strip" go first, then those
+    of "set" are laid over what is left, the last value of a name. Other kinds and
+    blank names do nothing."""
+    gone = sorted({n for o in ops if o["type"] == "strip" and (n := o.get("name", "").strip())})
+    given = {n: str(o.get("value", "")) for o in ops if o["type"] == "set" and (n := o.get("name", "").strip())}
+    kept = tags.where(~F.col("name").isin(gone)) if gone else tags
+    if not given:
+        return kept.select(*keys, "value")
+    sets = tags.select(*[k for k in keys if k != "name"]).distinct()
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in given.items()])
+    new = sets.withColumn("_t", F.explode(pairs)).select(*sets.columns, "_t.*")
+    return upsert(kept, new, keys)
+
+
 def difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Keys that only one side has; side is missing (from b) or extra."""
     mine, theirs = a.select(*keys), b.select(*keys)

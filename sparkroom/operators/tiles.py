@@ -68,6 +68,7 @@ def vng(plane: np.ndarray, y0: int, x0: int, pattern: str) -> dict[str, np.ndarr
         side = _means(*[_shift(known, dy, dx) for dy, dx in ((0, -1), (0, 1), (-1, 0), (1, 0))])
         diagonal = _means(*[_shift(known, dy, dx) for dy, dx in ((-1, -1), (-1, 1), (1, -1), (1, 1))])
         full[c] = np.where(np.isnan(known), np.where(np.isnan(side), diagonal, side), known)
+        full[c][np.isnan(plane)] = np.nan  # nothing stands beyond the image
     own = np.select([colour == c for c in "RGB"], [full[c] for c in "RGB"])
     directions = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     gradient = np.stack([np.nan_to_num(np.abs(_shift(plane, dy, dx) - _shift(plane, -dy, -dx))) + np.nan_to_num(np.abs(_shift(plane, 2 * dy, 2 * dx) - plane)) for dy, dx in directions])

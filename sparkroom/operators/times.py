@@ -8,16 +8,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SHIFT = r"^([+-]?)(?:(\d+)\s+)?(\d{1,2}):(\d{2})(?::(\d{2}))?$"
+_SHIFT = r"^([+-]?)(?:(\d+)\s+)?(\d+)(?::(\d+))?(?::(\d+))?$"
 
 
 def shift_seconds(text: Column) -> Column:
-    """Signed seconds of [+|-][D ]HH:MM[:SS]; null for anything else."""
+    """Signed seconds of [+|-][D ]HH[:MM[:SS]], parts of any size; 0 for an empty
+    text, null for anything else."""
     t = F.trim(text)
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, _SHIFT, i), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, _SHIFT, i), F.lit("")).try_cast("long"), F.lit(0).cast("long"))
     total = part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)
-    signed = F.when(F.regexp_extract(t, _SHIFT, 1) == "-", -total).otherwise(total)
-    return F.when(F.rlike(t, F.lit(_SHIFT)), signed)
+    signed = F.when(F.startswith(t, F.lit("-")), -total).otherwise(total)
+    return F.when(t == "", F.lit(0).cast("long")).when(F.rlike(t, F.lit(_SHIFT)), signed)
 
 
 def shift(ts: Column, seconds: Column) -> Column:
@@ -44,8 +45,16 @@ def fits_datetime(text: Column) -> Column:
 
 
 def apply_ops(ts: Column, zone: Column, ops: Sequence[dict]) -> tuple[Column, Column]:
-    """Time and zone after a list of operations: shifts add up, the last zone wins."""
-    seconds = [F.lit(o["seconds"]).cast("long") for o in ops if o["type"] == "shift-time"]
-    zones = [o["timezone"] for o in ops if o["type"] == "shift-timezone"]
+    """Time and zone after a list of operations: shifts add up, the last zone wins.
+    A shift is given in ``seconds``, or as text in ``value`` or ``offset``, where
+    text that is no shift adds nothing; a zone in ``timezone`` or ``value``."""
+
+    def seconds_of(o: dict) -> Column:
+        if "seconds" in o:
+            return F.lit(o["seconds"]).cast("long")
+        return F.coalesce(shift_seconds(F.lit(o.get("offset") or o.get("value") or "")), F.lit(0).cast("long"))
+
+    seconds = [seconds_of(o) for o in ops if o["type"] == "shift-time"]
+    zones = [z for o in ops if o["type"] == "shift-timezone" and (z := (o.get("timezone") or o.get("value") or "").strip())]
     moved = shift(ts, reduce(lambda a, b: a + b, seconds)) if seconds else ts
     return moved, F.lit(zones[-1]) if zones else zone

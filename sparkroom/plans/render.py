@@ -52,15 +52,18 @@ def render(r: Raster, s: Settings, until: str = "display") -> Raster:
         r = opcodes.apply_opcodes(r, s.opcodes3)
     if steps >= 4 and s.crop:
         r = geometry.crop(r, *s.crop)
-    if steps >= 5:
-        if len(r.channels) == 3:
-            r = r.map_rgb(lambda a, b, c: points.matrix3(s.camera_to_display, a, b, c)).map(points.clamp)
-        r = r.map(lambda v: points.exposure_ramp(v, s.exposure, s.shadows))
-        if tuple(map(tuple, s.curve)) != ((0, 0), (1, 1)):
-            tone = lambda v: points.curve(v, s.curve)
-            r = r.map_rgb(lambda a, b, c: points.hue_tone(a, b, c, tone)) if len(r.channels) == 3 else r.map(tone)
-        r = geometry.orient(r.map(points.srgb_gamma), s.orientation)
-    return r
+    return show(r, s) if steps >= 5 else r
+
+
+def show(r: Raster, s: Settings) -> Raster:
+    """Camera values to display values; matrix and exposure may be columns."""
+    if len(r.channels) == 3:
+        r = r.map_rgb(lambda a, b, c: points.matrix3(s.camera_to_display, a, b, c)).map(points.clamp)
+    r = r.map(lambda v: points.exposure_ramp(v, s.exposure, s.shadows))
+    if tuple(map(tuple, s.curve)) != ((0, 0), (1, 1)):
+        tone = lambda v: points.curve(v, s.curve)
+        r = r.map_rgb(lambda a, b, c: points.hue_tone(a, b, c, tone)) if len(r.channels) == 3 else r.map(tone)
+    return geometry.orient(r.map(points.srgb_gamma), s.orientation)
 
 
 FLAGSHIP = Settings(black=((0.01, 0.02), (0.03, 0.015)), camera_to_display=((1.6, -0.4, -0.2), (-0.3, 1.5, -0.2), (0.05, -0.45, 1.4)))

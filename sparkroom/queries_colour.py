@@ -16,8 +16,8 @@ from sparkroom.sources import views
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
-_C = "least(greatest(CAST(embedding[3 * x + {i}] AS DOUBLE) * 0.5e0 + 0.5e0, 0e0), 1e0) + 0e0"
-RGB_SQL = f"rgb AS (SELECT vec_id AS y, CAST(x AS BIGINT) AS x, {_C.format(i=1)} AS r, {_C.format(i=2)} AS g, {_C.format(i=3)} AS b FROM embeddings, (SELECT unnest(range(0, 21)) AS x)), dim AS (SELECT max(vec_id) + 1 AS h FROM embeddings)"
+_C = "least(greatest(CAST(embedding[(x + {i}) % 64 + 1] AS DOUBLE) * 0.5e0 + 0.5e0, 0e0), 1e0) + 0e0"
+RGB_SQL = f"rgb AS (SELECT vec_id AS y, CAST(x AS BIGINT) AS x, {_C.format(i=0)} AS r, {_C.format(i=1)} AS g, {_C.format(i=2)} AS b FROM embeddings, (SELECT unnest(range(0, 64)) AS x)), dim AS (SELECT max(vec_id) + 1 AS h FROM embeddings)"
 
 
 def add(name: str, sql: str | None = None):
@@ -34,8 +34,82 @@ def out(r: Raster) -> DataFrame:
     return r.df.select("y", "x", *[F.round(F.col(c) + 0.0, 6).alias(c) for c in r.channels])
 
 
-def matrix_sql(m) -> str:
-    return ", ".join(f"round(r * {float(a):.17g}::DOUBLE + g * {float(b):.17g}::DOUBLE + b * {float(c):.17g}::DOUBLE + 0e0, 6) AS {n}" for n, (a, b, c) in zip(RGB, np.asarray(m)))
+class MatrixSql:
+    """3x3 matrices as rows of SQL, each a table of cells named m00 to m22."""
+
+    def __init__(self) -> None:
+        self.tables: list[str] = []
+
+    def _add(self, cells, source: str = "") -> str:
+        name = f"t{len(self.tables)}"
+        body = ", ".join(f"{c} AS m{i}{j}" for i, line in enumerate(cells) for j, c in enumerate(line))
+        self.tables.append(f"{name} AS (SELECT {body}{source})")
+        return name
+
+    def given(self, rows) -> str:
+        return self._add([[f"({v!r})::DOUBLE" for v in map(float, line)] for line in rows])
+
+    def diagonal(self, values) -> str:
+        return self._add([[values[i] if i == j else "0e0" for j in range(3)] for i in range(3)])
+
+    def product(self, a: str, b: str) -> str:
+        return self._add([[" + ".join(f"{a}.m{i}{k} * {b}.m{k}{j}" for k in range(3)) for j in range(3)] for i in range(3)], f" FROM {a}, {b}")
+
+    def inverse(self, a: str) -> str:
+        """By cofactors over the determinant."""
+        minor = lambda i, j: "({0}.m{1}{3} * {0}.m{2}{4} - {0}.m{1}{4} * {0}.m{2}{3})".format(a, (i + 1) % 3, (i + 2) % 3, (j + 1) % 3, (j + 2) % 3)
+        whole = " + ".join(f"{a}.m0{j} * {minor(0, j)}" for j in range(3))
+        return self._add([[f"{minor(j, i)} / ({whole})" for j in range(3)] for i in range(3)], f" FROM {a}")
+
+    def mix(self, a: str, b: str, part: str) -> str:
+        return self._add([[f"{a}.m{i}{j} * ({part}) + {b}.m{i}{j} * (1 - ({part}))" for j in range(3)] for i in range(3)], f" FROM {a}, {b}")
+
+    def times(self, a: str, b: str, values: list[str], scale: str = "1") -> list[str]:
+        """Products of a matrix and three numbers, of tables ``a`` and ``b``."""
+        return [f"((SELECT {' + '.join(f'{a}.m{i}{k} * ({v})' for k, v in enumerate(values))} FROM {a}{', ' + b if b else ''}) / ({scale}))" for i in range(3)]
+
+    def bradford(self, source: list[str], target: list[str]) -> str:
+        """Adaptation between two whites in XYZ."""
+        m = self.given(colour.BRADFORD)
+        gain = [f"{t} / {s}" for t, s in zip(self.times(m, "", target), self.times(m, "", source))]
+        return self.product(self.product(self.inverse(m), self.diagonal(gain)), m)
+
+    def over_pixels(self, m: str) -> str:
+        cells = ", ".join(f"round(r * m{i}0 + g * m{i}1 + b * m{i}2 + 0e0, 6) AS {n}" for i, n in enumerate(RGB))
+        return f"WITH {RGB_SQL}, {', '.join(self.tables)} SELECT y, x, {cells} FROM rgb, {m}"
+
+
+def _xyz(xy) -> list[str]:
+    x, y = xy
+    return [f"({x}e0 / {y}e0)", "1e0", f"((1 - {x}e0 - {y}e0) / {y}e0)"]
+
+
+def _matrix_sqls() -> dict[str, str]:
+    """The queries' matrices worked out in SQL from their definitions."""
+    out = {}
+
+    def put(name: str, build) -> None:
+        s = MatrixSql()
+        out[name] = s.over_pixels(build(s))
+
+    put("matrix3x3", lambda s: s.given(CAMERA))
+    put("bradford", lambda s: s.bradford(_xyz(colour.D50_XY), _xyz(colour.D65_XY)))
+    put("prophoto_to_srgb", lambda s: s.product(s.product(s.given(colour.XYZ_D65_TO_SRGB), s.bradford(_xyz(colour.D50_XY), _xyz(colour.D65_XY))), s.given(colour.PROPHOTO_TO_XYZ_D50)))
+    put("dual_illuminant", lambda s: s.mix(s.given(COLOUR_A), s.given(COLOUR_B), "(1 / 4500e0 - 1 / 6504e0) / (1 / 2856e0 - 1 / 6504e0)"))
+    put("camera_to_xyz", lambda s: s.inverse(s.product(s.product(s.given(np.diag(BALANCE)), s.given(CALIBRATION)), s.given(COLOUR_B))))
+
+    def to_pcs(s: MatrixSql) -> str:
+        back = s.inverse(s.given(COLOUR_B))
+        white = s.times(back, "", [f"{v}e0" for v in NEUTRAL])
+        # XYZ of the white's chromaticity has Y = 1
+        adapted = s.product(s.bradford([f"({w} / {white[1]})" for w in white], _xyz(colour.D50_XY)), back)
+        return s._add([[f"{adapted}.m{i}{j} / {white[1]}" for j in range(3)] for i in range(3)], f" FROM {adapted}")
+
+    put("camera_to_pcs", to_pcs)
+    forward = lambda s: s.product(s.product(s.given(FORWARD), s.inverse(s.diagonal([f"({n}e0 / {b}e0)" for n, b in zip(NEUTRAL, BALANCE)]))), s.inverse(s.given(np.diag(BALANCE))))
+    put("forward_matrix", forward)
+    put("camera_to_prophoto", lambda s: s.product(s.inverse(s.given(colour.PROPHOTO_TO_XYZ_D50)), to_pcs(s)))
+    return out
 
 
 def through(m):
@@ -44,16 +118,23 @@ def through(m):
 
 CAMERA = ((1.6, -0.4, -0.2), (-0.3, 1.5, -0.2), (0.05, -0.45, 1.4))
 COLOUR_A, COLOUR_B = np.array([[0.9, -0.3, -0.1], [-0.4, 1.2, 0.2], [-0.05, 0.2, 0.6]]), np.array([[0.7, -0.2, -0.06], [-0.5, 1.3, 0.2], [-0.1, 0.25, 0.55]])
-
-for _name, _m in (
-    ("matrix3x3", CAMERA),
-    ("prophoto_to_srgb", colour.prophoto_to_srgb()),
-    ("bradford", colour.bradford(colour.D50_XY, colour.D65_XY)),
-    ("dual_illuminant", colour.interpolate_illuminants(4500.0, (2856.0, COLOUR_A), (6504.0, COLOUR_B))),
-    ("camera_to_xyz", colour.camera_to_xyz((1.0, 1.0, 1.0), np.eye(3), COLOUR_B)),
-    ("camera_to_pcs", colour.camera_to_pcs((0.6, 1.0, 0.7), COLOUR_B)),
-):
-    add(_name, f"WITH {RGB_SQL} SELECT y, x, {matrix_sql(_m)} FROM rgb")(through(_m))
+FORWARD = ((0.7, 0.15, 0.11), (0.25, 0.8, -0.05), (0.02, -0.1, 0.9))
+BALANCE, NEUTRAL = (0.9, 1.0, 1.1), (0.6, 1.0, 0.7)
+CALIBRATION = ((1.02, 0.0, 0.01), (0.0, 0.99, 0.0), (-0.01, 0.0, 1.0))
+
+_TO_PCS = colour.camera_to_pcs(NEUTRAL, COLOUR_B)
+_MATRICES = {
+    "matrix3x3": CAMERA,
+    "prophoto_to_srgb": colour.prophoto_to_srgb(),
+    "bradford": colour.bradford(colour.D50_XY, colour.D65_XY),
+    "dual_illuminant": colour.interpolate_illuminants(4500.0, (2856.0, COLOUR_A), (6504.0, COLOUR_B)),
+    "camera_to_xyz": colour.camera_to_xyz(BALANCE, CALIBRATION, COLOUR_B),
+    "camera_to_pcs": _TO_PCS,
+    "forward_matrix": colour.camera_to_pcs(NEUTRAL, COLOUR_B, FORWARD, BALANCE),
+    "camera_to_prophoto": colour.camera_to_prophoto(_TO_PCS),
+}
+for _name, _sql in _matrix_sqls().items():
+    add(_name, _sql)(through(_MATRICES[_name]))
 
 _CURVE = "CASE WHEN {v} < 0.25e0 THEN {v} * 0.4e0 WHEN {v} < 0.5e0 THEN 0.1e0 + ({v} - 0.25e0) * 1.6e0 WHEN {v} < 0.75e0 THEN 0.5e0 + ({v} - 0.5e0) * 1.6e0 WHEN {v} < 1 THEN 0.9e0 + ({v} - 0.75e0) * 0.4e0 ELSE 1e0 END"
 _HUE = ", ".join(f"round(nl + (nt - nl) * CASE WHEN t > l THEN ({c} - l) / (t - l) ELSE 0 END, 6) AS {c}" for c in RGB)
@@ -92,10 +173,49 @@ def hsv_map(spark, sf):
     return out(colour_maps.hue_sat_map(views.rgb(spark, sf), SHAPE, SHIFT, SAT, VAL))
 
 
-@add("look_table")
+LOOK = (12, 4, 4)
+LOOK_TABLES = {"hs": [i % 7 - 3.0 for i in range(192)], "ss": [0.9 + 0.2 * i / 192 for i in range(192)], "vs": [1.0 - 0.1 * i / 192 for i in range(192)]}
+LOOK_MIX = 0.35
+
+
+def _cube(t: str) -> str:
+    """A table at a hue, saturation and value by its eight corners."""
+    out = []
+    for k in range(8):
+        i, j, l = k >> 2, k >> 1 & 1, k & 1
+        weight = " * ".join(w if bit else f"(1 - {w})" for bit, w in ((i, "fh"), (j, "fs"), (l, "fv")))
+        out.append(f"{weight} * {t}[(({'jh' if i else 'ih'} * 4 + {'si + 1' if j else 'si'}) * 4 + {'vi + 1' if l else 'vi'}) + 1]")
+    return "(" + " + ".join(out) + ")"
+
+
+def _look_sql(tables: str) -> str:
+    return f"""
+WITH {RGB_SQL}, {tables}, a AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM rgb),
+h0 AS (SELECT *, CASE WHEN d = 0 THEN 0e0 WHEN v = r THEN (g - b) / d WHEN v = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END AS h_ FROM a),
+h1 AS (SELECT y, x, v, CASE WHEN h_ < 0 THEN h_ + 6 ELSE h_ END AS h, CASE WHEN v = 0 THEN 0e0 ELSE d / v END AS s FROM h0),
+i AS (SELECT *, CAST(least(floor(h / 6e0 * 12e0), 11) AS INTEGER) AS ih, CAST(least(floor(s * 3), 2) AS INTEGER) AS si, CAST(least(floor(v * 3), 2) AS INTEGER) AS vi FROM h1),
+f AS (SELECT *, (ih + 1) % 12 AS jh, h / 6e0 * 12e0 - ih AS fh, s * 3 - si AS fs, v * 3 - vi AS fv FROM i),
+m AS (SELECT *, h + {_cube('hs')} / 60e0 AS hh, least(greatest(s * {_cube('ss')}, 0e0), 1e0) AS ns, least(greatest(v * {_cube('vs')}, 0e0), 1e0) AS nv FROM f, tab),
+n AS (SELECT y, x, ns, nv, hh - 6 * floor(hh / 6) AS nh FROM m)
+SELECT y, x, {_SEXTANT} FROM n"""
+
+
+@add("look_table", _look_sql("tab AS (SELECT list_transform(range(0, 192), lambda i: i % 7 - 3e0) AS hs, list_transform(range(0, 192), lambda i: 0.9e0 + 0.2e0 * i / 192) AS ss, list_transform(range(0, 192), lambda i: 1 - 0.1e0 * i / 192) AS vs)"))
 def look_table(spark, sf):
-    n = 12 * 4 * 4
-    return out(colour_maps.hue_sat_map(views.rgb(spark, sf), (12, 4, 4), [i % 7 - 3.0 for i in range(n)], [0.9 + 0.2 * i / n for i in range(n)], [1.0 - 0.1 * i / n for i in range(n)]))
+    return out(colour_maps.hue_sat_map(views.rgb(spark, sf), LOOK, *LOOK_TABLES.values()))
+
+
+@add("hsv_map_mixed", _look_sql(f"tab AS (SELECT list_transform(range(0, 192), lambda i: (i % 7 - 3e0) * {LOOK_MIX} + 2e0 * (1 - {LOOK_MIX})) AS hs, list_transform(range(0, 192), lambda i: (0.9e0 + 0.2e0 * i / 192) * {LOOK_MIX} + 1.1e0 * (1 - {LOOK_MIX})) AS ss, list_transform(range(0, 192), lambda i: (1 - 0.1e0 * i / 192) * {LOOK_MIX} + 0.9e0 * (1 - {LOOK_MIX})) AS vs)"))
+def hsv_map_mixed(spark, sf):
+    """The maps of two illuminants, mixed."""
+    other = ([2.0] * 192, [1.1] * 192, [0.9] * 192)
+    return out(colour_maps.hue_sat_map(views.rgb(spark, sf), LOOK, *colour_maps.mix_maps(LOOK_TABLES.values(), other, LOOK_MIX)))
+
+
+@add("default_tone", f"WITH {RGB_SQL}, t AS (SELECT list_transform(range(0, 256), lambda i: i / 255e0 - 0.18e0 * sin(2 * pi() * i / 255) / (2 * pi())) AS l), p AS (SELECT y, x, r * 255 AS a, CAST(least(floor(r * 255), 254) AS INTEGER) AS i FROM rgb) SELECT y, x, round(l[i + 1] + (l[i + 2] - l[i + 1]) * (a - i), 6) AS v FROM p, t")
+def default_tone(spark, sf):
+    """The default curve over one channel."""
+    return views.rgb(spark, sf).df.select("y", "x", F.round(points.lut(F.col("r"), colour.default_tone()), 6).alias("v"))
 
 
 GAINS = [1.0, 1.1, 1.2, 0.9, 1.05, 1.3, 1.15, 0.95]
@@ -103,7 +223,7 @@ _G = "[" + ", ".join(f"{v}::DOUBLE" for v in GAINS) + "]"
 _GAIN = "((1 - fy) * ((1 - fx) * ((1 - l) * {g}[1] + l * {g}[2]) + fx * ((1 - l) * {g}[3] + l * {g}[4])) + fy * ((1 - fx) * ((1 - l) * {g}[5] + l * {g}[6]) + fx * ((1 - l) * {g}[7] + l * {g}[8])))".format(g=_G)
 
 
-@add("gain_table", f"WITH {RGB_SQL}, p AS (SELECT rgb.*, y / CAST(greatest(1, h - 1) AS DOUBLE) AS fy, x / 20e0 AS fx, least(greatest((r * 0.2e0 + g * 0.6e0 + b * 0.2e0) * pow(2, 0.5e0), 0e0), 1e0) AS l FROM rgb, dim), q AS (SELECT *, {_GAIN} AS k FROM p) SELECT y, x, " + ", ".join(f"round(least(greatest({c} * k, 0e0), 1e0), 6) AS {c}" for c in RGB) + " FROM q")
+@add("gain_table", f"WITH {RGB_SQL}, p AS (SELECT rgb.*, y / CAST(greatest(1, h - 1) AS DOUBLE) AS fy, x / 63e0 AS fx, least(greatest((r * 0.2e0 + g * 0.6e0 + b * 0.2e0) * pow(2, 0.5e0), 0e0), 1e0) AS l FROM rgb, dim), q AS (SELECT *, {_GAIN} AS k FROM p) SELECT y, x, " + ", ".join(f"round(least(greatest({c} * k, 0e0), 1e0), 6) AS {c}" for c in RGB) + " FROM q")
 def gain_table(spark, sf):
     return out(colour_maps.gain_table(views.rgb(spark, sf), (2, 2, 2), GAINS, exposure=0.5))
 

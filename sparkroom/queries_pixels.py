@@ -9,6 +9,7 @@ from sparkroom.functions import points
 from sparkroom.operators import geometry, opcodes, stencil
 from sparkroom.operators.raster import Raster
 from sparkroom.plans.render import flagship
+from sparkroom.queries_colour import RGB_SQL
 from sparkroom.sources import views
 
 QUERIES: dict = {}
@@ -122,14 +123,21 @@ def mono_render(spark, sf):
     return out(r.map(lambda v: points.curve(v, POINTS)).map(points.srgb_gamma))
 
 
-@add("crop", f"WITH {CFA} SELECT y - 2 AS y, x - 10 AS x, round(v, 6) AS v FROM cfa WHERE y >= 2 AND y < 9 AND x >= 10 AND x < 60")
+#: Boxes are shares of the image, so that they grow with it.
+_BOX = "box AS (SELECT h // 5 AS top, h // 2 AS bh FROM dim)"
+
+
+@add("crop", f"WITH {CFA}, {_BOX} SELECT y - top AS y, x - 10 AS x, round(v, 6) AS v FROM cfa, box WHERE y >= top AND y < top + bh AND x >= 10 AND x < 60")
 def crop(spark, sf):
-    return out(geometry.crop(views.cfa(spark, sf), 10, 2, 50, 7))
+    r = views.cfa(spark, sf)
+    return out(geometry.crop(r, 10, r.height // 5, 50, r.height // 2))
 
 
-@add("crop_chain", f"WITH {CFA} SELECT y - 2 AS y, x - 5 AS x, CAST(2 AS INTEGER) AS y0, CAST(5 AS INTEGER) AS x0, round(v - 0.3e0 + 0e0, 6) AS v FROM cfa WHERE y >= 2 AND y < 6 AND x >= 5 AND x < 85")
+@add("crop_chain", f"WITH {CFA}, {_BOX} SELECT y - top - 1 AS y, x - 5 AS x, CAST(top + 1 AS INTEGER) AS y0, CAST(5 AS INTEGER) AS x0, round(v - 0.3e0 + 0e0, 6) AS v FROM cfa, box WHERE y >= top + 1 AND y < top + bh - 1 AND x >= 5 AND x < 85")
 def crop_chain(spark, sf):
-    r = geometry.crop(geometry.crop(views.cfa(spark, sf), 2, 1, 90, 6) - 0.1, 3, 1, 80, 4) - 0.2
+    r = views.cfa(spark, sf)
+    top, h = r.height // 5, r.height // 2
+    r = geometry.crop(geometry.crop(r, 2, top, 90, h) - 0.1, 3, 1, 80, h - 2) - 0.2
     return r.df.select("y", "x", F.lit(r.y0).alias("y0"), F.lit(r.x0).alias("x0"), F.round(F.col("v") + 0.0, 6).alias("v"))
 
 
@@ -141,15 +149,15 @@ for _code, _sql in ORIENT_SQL.items():
 @add("orient_roundtrip", f"WITH {CFA} SELECT CAST(code AS INTEGER) AS code, CAST(0 AS BIGINT) AS moved, (SELECT count(*) FROM cfa) AS n FROM (SELECT unnest(range(1, 9)) AS code)")
 def orient_roundtrip(spark, sf):
     r = views.cfa(spark, sf)
-    parts = []
-    for code in range(1, 9):
-        tagged = Raster(r.df.withColumns({"oy": F.col("y"), "ox": F.col("x")}), r.height, r.width)
-        back = geometry.orient(geometry.orient(tagged, code), geometry.INVERSE[code])
-        parts.append(back.df.agg(F.lit(code).alias("code"), F.count(F.when((F.col("oy") != F.col("y")) | (F.col("ox") != F.col("x")), 1)).alias("moved"), F.count("*").alias("n")))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.union(p)
-    return df
+
+    def moved(code: int):
+        y, x = geometry.turned_place(code, F.col("y"), F.col("x"), r.height, r.width)
+        h, w = (r.width, r.height) if code >= 5 else (r.height, r.width)
+        y, x = geometry.turned_place(geometry.INVERSE[code], y, x, h, w)
+        return F.count(F.when((y != F.col("y")) | (x != F.col("x")), 1))
+
+    cells = F.array(*[F.struct(F.lit(code).alias("code"), moved(code).alias("moved"), F.count("*").alias("n")) for code in range(1, 9)])
+    return r.df.agg(cells.alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
 @add("resize_half", f"WITH {CFA} SELECT y // 2 AS y, x // 2 AS x, round(avg(v), 12) AS v FROM cfa, dim WHERE y < h // 2 * 2 GROUP BY ALL")
@@ -212,11 +220,21 @@ for _fast, _name in ((False, "ea"), (True, "ea_fast")):
     add(f"demosaic_{_name}", _edge_sql(_fast))(lambda spark, sf, name=_name: out(stencil.demosaic(views.cfa(spark, sf), "RGGB", name), 12))
 
 
-@add("demosaic_vng")
+_PICK = ", ".join(f"round(CASE WHEN {here} THEN v ELSE least(greatest(v + coalesce(a{c}, {c} - v), 0e0), 1e0) END + 0e0, 10) AS {c}" for c, here in (("r", "y % 2 = 0 AND x % 2 = 0"), ("g", "(y + x) % 2 = 1"), ("b", "y % 2 = 1 AND x % 2 = 1")))
+
+
+@add("demosaic_vng", f"""
+WITH {CFA}, k AS ({MASK}), f AS (SELECT f.y, f.x, v, r, g, b FROM {_fill_sql('k', {'r': 'kr', 'g': 'kg', 'b': 'kb'})} f JOIN cfa USING (y, x)),
+d AS (SELECT * FROM (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx) WHERE dy <> 0 OR dx <> 0),
+n AS (SELECT c.y, c.x, c.v, c.r, c.g, c.b, coalesce(abs(p.v - m.v), 0) + coalesce(abs(q.v - c.v), 0) AS slope, p.r - p.v AS ar, p.g - p.v AS ag, p.b - p.v AS ab
+  FROM f c CROSS JOIN d LEFT JOIN f p ON p.y = c.y + dy AND p.x = c.x + dx LEFT JOIN f m ON m.y = c.y - dy AND m.x = c.x - dx LEFT JOIN f q ON q.y = c.y + 2 * dy AND q.x = c.x + 2 * dx),
+w AS (SELECT *, min(slope) OVER (PARTITION BY y, x) AS low, max(slope) OVER (PARTITION BY y, x) AS high FROM n),
+o AS (SELECT y, x, v, r, g, b, {', '.join(f'avg(a{c}) FILTER (WHERE slope <= 1.5e0 * low + 0.5e0 * (high - low)) AS a{c}' for c in 'rgb')} FROM w GROUP BY y, x, v, r, g, b)
+SELECT y, x, {_PICK} FROM o""")
 def demosaic_vng(spark, sf):
     from sparkroom.operators.tiles import demosaic_vng as vng
 
-    return out(vng(views.cfa(spark, sf), "RGGB"))
+    return out(vng(views.cfa(spark, sf), "RGGB"), 10)
 
 
 GRID = [[1.0, 1.1, 1.2], [1.05, 1.0, 1.3], [1.2, 1.15, 1.0]]
@@ -232,6 +250,20 @@ def warp_bilinear(spark, sf):
     return out(opcodes.warp_rectilinear(views.cfa(spark, sf), (0.98, 0.015)))
 
 
+_LENS = "p AS (SELECT rgb.*, x - 31.5e0 AS dx, y - (h - 1) * 0.5e0 AS dy, h, sqrt(31.5e0 * 31.5e0 + (h - 1) * 0.5e0 * (h - 1) * 0.5e0) AS rad FROM rgb, dim), q AS (SELECT *, dx / rad AS ux, dy / rad AS uy, (dx * dx + dy * dy) / (rad * rad) AS r2 FROM p), s AS (SELECT y, x, h, dx * (0.97e0 + 0.02e0 * r2) + rad * (0.002e0 * 2 * ux * uy + 0.003e0 * (r2 + 2 * ux * ux)) + 31.5e0 AS sx, dy * (0.97e0 + 0.02e0 * r2) + rad * (0.003e0 * 2 * ux * uy + 0.002e0 * (r2 + 2 * uy * uy)) + (h - 1) * 0.5e0 AS sy FROM q), i AS (SELECT *, CAST(least(floor(sy), h - 2) AS BIGINT) AS iy, CAST(least(floor(sx), 62) AS BIGINT) AS ix FROM s WHERE sy >= 0 AND sx >= 0 AND sy <= h - 1 AND sx <= 63)"
+_CUBIC_AT = "(CASE WHEN abs({d}) < 1 THEN (abs({d}) * 1.5e0 - 2.5e0) * abs({d}) * abs({d}) + 1 WHEN abs({d}) < 2 THEN ((abs({d}) * -0.5e0 + 2.5e0) * abs({d}) - 4) * abs({d}) + 2 ELSE 0 END)"
+_LINEAR_AT = "greatest(1 - abs({d}), 0)"
+LENS = {"k": (0.97, 0.02), "tangential": (0.002, 0.003)}
+
+for _bicubic, _name, _offsets, _at in ((False, "warp_rgb", "[0, 1]", _LINEAR_AT), (True, "warp_bicubic", "[-1, 0, 1, 2]", _CUBIC_AT)):
+    _sum = ", ".join(f"round(sum({c} * wy * wx), 6) AS {c}" for c in "rgb")
+
+    def _warped(spark, sf, bicubic=_bicubic):
+        return out(opcodes.warp_rectilinear(views.rgb(spark, sf), **LENS, use_bicubic=bicubic))
+
+    add(_name, f"WITH {RGB_SQL}, {_LENS}, w AS (SELECT i.y, i.x, {_at.format(d='(sy - iy - dy)')} AS wy, {_at.format(d='(sx - ix - dx)')} AS wx, least(greatest(iy + dy, 0), h - 1) AS ny, least(greatest(ix + dx, 0), 63) AS nx FROM i, (SELECT unnest({_offsets}) AS dy), (SELECT unnest({_offsets}) AS dx)) SELECT w.y, w.x, {_sum} FROM w JOIN rgb n ON n.y = ny AND n.x = nx GROUP BY w.y, w.x")(_warped)
+
+
 @add("opcode_list", f"WITH {CFA}, p AS (SELECT y, x, v, ((x - 49.5e0) * (x - 49.5e0) + (y - (h - 1) * 0.5e0) * (y - (h - 1) * 0.5e0)) / (49.5e0 * 49.5e0 + (h - 1) * 0.5e0 * (h - 1) * 0.5e0) AS q FROM cfa, dim), a AS (SELECT y, x, least(greatest(v * (1 + 0.1e0 * q), 0e0), 1e0) AS v FROM p) SELECT y, x, round(least(greatest(0.02e0 + v * 0.9e0, 0e0), 1e0), 6) AS v FROM a")
 def opcode_list(spark, sf):
     ops = [{"type": "fix_vignette", "k": (0.1,)}, {"type": "map_polynomial", "coefficients": (0.02, 0.9)}]
@@ -262,27 +294,40 @@ for _kind, _weight, _reach in (("catmull_rom", _CUBIC, 2), ("lanczos", _LANCZOS,
     add(f"resize_{_kind}", _resize_sql(_weight, _reach))(_resized)
 
 
-@add("stage_levels")
+_LIN = "lin AS (SELECT y, x, least(greatest((v - b) / (1e0 - b), 0e0), 1e0) AS v FROM (SELECT *, CASE WHEN y % 2 = 0 THEN CASE WHEN x % 2 = 0 THEN 0.01e0 ELSE 0.02e0 END ELSE CASE WHEN x % 2 = 0 THEN 0.03e0 ELSE 0.015e0 END END AS b FROM cfa))"
+_STAGE_SQL = f"""
+WITH {CFA}, {_LIN}, k AS ({MASK.replace('FROM cfa', 'FROM lin')}), rgb AS (SELECT f.y, f.x, r, g, b FROM {_fill_sql('k', {'r': 'kr', 'g': 'kg', 'b': 'kb'})} f JOIN cfa USING (y, x)),
+cam AS (UNPIVOT (SELECT r, g, b FROM rgb) ON r, g, b INTO NAME c VALUE v),
+m AS (SELECT least(greatest(r * 1.6e0 + g * -0.4e0 + b * -0.2e0, 0e0), 1e0) AS r, least(greatest(r * -0.3e0 + g * 1.5e0 + b * -0.2e0, 0e0), 1e0) AS g, least(greatest(r * 0.05e0 + g * -0.45e0 + b * 1.4e0, 0e0), 1e0) AS b FROM rgb),
+shown AS (SELECT c, CASE WHEN v <= 0.0031308e0 THEN v * 12.92e0 ELSE pow(v, 1 / 2.4e0) * 1.055e0 - 0.055e0 END AS v FROM (UNPIVOT m ON r, g, b INTO NAME c VALUE v)),
+u AS (SELECT 'raw' AS stage, 'v' AS c, v FROM cfa UNION ALL SELECT s, 'v', v FROM lin, (SELECT unnest(['linearized', 'linearized-plus-ops']) AS s) UNION ALL SELECT s, c, v FROM cam, (SELECT unnest(['camera-rgb', 'cropped']) AS s) UNION ALL SELECT 'display', c, v FROM shown)
+SELECT stage, c, count(*) AS n, round(avg(v), 6) AS mean FROM u GROUP BY stage, c"""
+
+
+@add("stage_levels", _STAGE_SQL)
 def stage_levels(spark, sf):
-    """Mean and count of every channel after every stage of rendering."""
+    """Mean and count of every channel after every stage of rendering, one
+    aggregate for each stage."""
     from sparkroom.plans.render import FLAGSHIP, STAGES, render
 
     parts = []
     for stage in STAGES:
         r = render(views.cfa(spark, sf), FLAGSHIP, stage)
-        for c in r.channels:
-            parts.append(r.df.agg(F.lit(stage).alias("stage"), F.lit(c).alias("c"), F.count("*").alias("n"), F.round(F.avg(c), 9).alias("mean")))
+        cells = F.array(*[F.struct(F.lit(stage).alias("stage"), F.lit(c).alias("c"), F.count("*").alias("n"), F.round(F.avg(c), 6).alias("mean")) for c in r.channels])
+        parts.append(r.df.agg(cells.alias("s")))
     df = parts[0]
     for p in parts[1:]:
         df = df.union(p)
-    return df
+    return df.select(F.explode("s").alias("s")).select("s.*")
 
 
-_NODES = [{"op": "sub_scalar", "k": 0.1}, {"op": "crop", "x": 3, "y": 1, "w": 60, "h": 8}, {"op": "orientation", "code": 6}, {"op": "mul_scalar", "k": 3.0}, {"op": "lut", "table": [0, 0.2, 1]}]
+def _nodes(height: int) -> list[dict]:
+    return [{"op": "sub_scalar", "k": 0.1}, {"op": "crop", "x": 3, "y": height // 5, "w": 60, "h": height // 2}, {"op": "orientation", "code": 6}, {"op": "mul_scalar", "k": 3.0}, {"op": "lut", "table": [0, 0.2, 1]}]
 
 
-@add("node_list", f"WITH {CFA}, a AS (SELECT x - 3 AS y, 8 - 1 - (y - 1) AS x, (v - 0.1e0) * 3e0 AS v FROM cfa WHERE y >= 1 AND y < 9 AND x >= 3 AND x < 63), b AS (SELECT y, x, least(greatest(v, 0e0), 1e0) AS v FROM a) SELECT y, x, round(CASE WHEN v < 0.5e0 THEN v * 2 * 0.2e0 ELSE 0.2e0 + 0.8e0 * (v * 2 - 1) END, 6) AS v FROM b")
+@add("node_list", f"WITH {CFA}, {_BOX}, a AS (SELECT x - 3 AS y, bh - 1 - (y - top) AS x, (v - 0.1e0) * 3e0 AS v FROM cfa, box WHERE y >= top AND y < top + bh AND x >= 3 AND x < 63), b AS (SELECT y, x, least(greatest(v, 0e0), 1e0) AS v FROM a) SELECT y, x, round(CASE WHEN v < 0.5e0 THEN v * 2 * 0.2e0 ELSE 0.2e0 + 0.8e0 * (v * 2 - 1) END, 6) AS v FROM b")
 def node_list(spark, sf):
     from sparkroom.plans.render import apply_nodes
 
-    return out(apply_nodes(views.cfa(spark, sf), _NODES))
+    r = views.cfa(spark, sf)
+    return out(apply_nodes(r, _nodes(r.height)))

@@ -43,9 +43,7 @@ def hist_cdf(spark, sf):
 
 @add("hist_percentile", f"WITH {CDF} SELECT image_id, p, CAST(floor(min(bin) FILTER (WHERE cdf >= p) * 10e0) AS BIGINT) AS value FROM cdf, (SELECT unnest([0.01e0, 0.5e0, 0.99e0]) AS p) GROUP BY ALL")
 def hist_percentile(spark, sf):
-    c = statistics.cdf(_hist(spark, sf))
-    parts = [statistics.percentile(c, p, WHITE, BINS).select("image_id", F.lit(p).alias("p"), "value") for p in (0.01, 0.5, 0.99)]
-    return parts[0].union(parts[1]).union(parts[2])
+    return statistics.percentiles(statistics.cdf(_hist(spark, sf)), (0.01, 0.5, 0.99), WHITE, BINS)
 
 
 @add("clipped", f"WITH {EXPOSURE} SELECT image_id, clipped FROM e")
@@ -53,14 +51,36 @@ def clipped(spark, sf):
     return statistics.clipped(statistics.cdf(_hist(spark, sf)), WHITE, BINS)
 
 
-@add("auto_exposure", f"WITH {EXPOSURE} SELECT image_id, nullif(p1, 0) AS black, median, clipped, round(CASE WHEN NOT clipped AND median > 0 THEN log2(0.06e0 * 1e5 / median) ELSE 0 END, 6) AS exposure FROM e")
+@add("auto_exposure", f"WITH {EXPOSURE} SELECT image_id, nullif(p1, 0) AS black, median, clipped, round(CASE WHEN NOT clipped AND median > 0 THEN log2(0.06e0 * 1e5 / median) END, 6) AS exposure FROM e")
 def auto_exposure(spark, sf):
     return statistics.auto_exposure(_hist(spark, sf), WHITE, BINS).withColumn("exposure", F.round("exposure", 6))
 
 
-@add("diff_stats", "WITH p AS (SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS v, k % 3 AS c FROM embeddings, (SELECT unnest(range(0, 63)) AS k)), d AS (SELECT CAST(c AS INTEGER) AS c, abs(v - round(v, 2)) * 100 AS d FROM p) SELECT c, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS top FROM d GROUP BY GROUPING SETS ((c), ())")
+#: The same with whole byte values, where the clipping level lies between two bins.
+BYTES = "s AS (SELECT l_suppkey AS image_id, CAST(floor(l_extendedprice) AS BIGINT) % 256 AS v FROM lineitem), hist AS (SELECT image_id, least(v, 254) AS bin, count(*) AS n FROM s GROUP BY ALL), cdf AS (SELECT *, sum(n) OVER (PARTITION BY image_id ORDER BY bin) / CAST(sum(n) OVER (PARTITION BY image_id) AS DOUBLE) AS cdf FROM hist)"
+
+
+def _bytes(spark, sf):
+    return views.sensors(spark, sf).withColumn("v", F.col("v") % 256)
+
+
+@add("clipped_bytes", f"WITH {BYTES}, edges AS (SELECT min(i) AS edge FROM (SELECT unnest(range(0, 256)) AS i) WHERE i * 255e0 / 255 >= 0.975e0 * 255) SELECT image_id, 1 - coalesce(max(cdf) FILTER (WHERE bin < edge), 0) > 0.02e0 AS bright FROM cdf, edges GROUP BY image_id")
+def clipped_bytes(spark, sf):
+    """Whether over a fiftieth of an image is at the clipping level of 255."""
+    c = statistics.cdf(statistics.histogram(_bytes(spark, sf), 255.0))
+    return c.groupBy("image_id").agg(statistics.brighter(255.0, 255, 0.02).alias("bright"))
+
+
+@add("auto_black", f"WITH {BYTES}, e AS (SELECT image_id, CAST(min(bin) FILTER (WHERE cdf >= 0.01e0) AS BIGINT) AS p1, CAST(min(bin) FILTER (WHERE cdf >= 0.5e0) AS BIGINT) AS median FROM cdf GROUP BY image_id) SELECT image_id, CASE WHEN image_id % 3 = 0 THEN image_id % 50 WHEN p1 > 0 THEN p1 END AS black, median, round(CASE WHEN median > 0 THEN log2(0.06e0 * 255 / median) END, 6) AS exposure FROM e")
+def auto_black(spark, sf):
+    """Black levels where every third image's header brings a pedestal."""
+    h = statistics.histogram(_bytes(spark, sf), 255.0).withColumn("pedestal", F.when(F.col("image_id") % 3 == 0, F.col("image_id") % 50))
+    return statistics.auto_exposure(h, 255.0, 255, "pedestal").select("image_id", "black", "median", F.round("exposure", 6).alias("exposure"))
+
+
+@add("diff_stats", "WITH p AS (SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS v, k % 3 AS c FROM embeddings, (SELECT unnest(range(0, 64)) AS k)), d AS (SELECT CAST(c AS INTEGER) AS c, abs(v - round(v, 2)) * 100 AS d FROM p) SELECT c, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS top FROM d GROUP BY GROUPING SETS ((c), ())")
 def diff_stats(spark, sf):
-    p = views.table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 63)).alias("k", "e"))
+    p = views.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "e"))
     a = p.select(F.col("vec_id").alias("image_id"), "k", (F.col("k") % 3).cast("int").alias("c"), F.col("e").cast("double").alias("v"))
     b = a.withColumn("v", F.round("v", 2))
     found = statistics.diff_stats(a, b, ("image_id", "k", "c"))
@@ -136,7 +156,7 @@ def tiff_roundtrip(spark, sf):
     return parts[0].union(parts[1])
 
 
-@add("tiff_tags", f"WITH {_FRAMES} SELECT image_id, max(CASE WHEN code = 256 THEN CAST(100 AS DOUBLE) END) AS width, max(CASE WHEN code = 257 THEN CAST(h AS DOUBLE) END) AS height, CAST(10 AS BIGINT) AS n_tags FROM (SELECT image_id, max(y) + 1 AS h FROM f GROUP BY image_id), (SELECT unnest([256, 257]) AS code) GROUP BY image_id")
+@add("tiff_tags", f"WITH {_FRAMES} SELECT image_id, max(CASE WHEN code = 256 THEN CAST(100 AS DOUBLE) END) AS width, max(CASE WHEN code = 257 THEN CAST(h AS DOUBLE) END) AS height, CAST(11 AS BIGINT) AS n_tags FROM (SELECT image_id, max(y) + 1 AS h FROM f GROUP BY image_id), (SELECT unnest([256, 257]) AS code) GROUP BY image_id")
 def tiff_tags(spark, sf):
     """Tags of the frames' containers."""
     from sparkroom.sources import tiff
@@ -163,6 +183,69 @@ def fits_roundtrip(spark, sf):
     return fits.pixels_of(files).groupBy(F.col("path").cast("long").alias("image_id")).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"))
 
 
+_SHOWN = f"""{_FRAMES}, l AS (SELECT image_id, y, x, v / 1023e0 AS v FROM f),
+nb AS (SELECT c.image_id, c.y, c.x, c.v, c.y % 2 * 2 + c.x % 2 AS p,
+  avg(n.v) FILTER (WHERE abs(n.y - c.y) + abs(n.x - c.x) = 1) AS plus, avg(n.v) FILTER (WHERE n.y = c.y AND n.x <> c.x) AS hor,
+  avg(n.v) FILTER (WHERE n.x = c.x AND n.y <> c.y) AS ver, avg(n.v) FILTER (WHERE n.y <> c.y AND n.x <> c.x) AS diag
+  FROM l c JOIN (SELECT image_id, y + dy AS ky, x + dx AS kx, y, x, v FROM l, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)) n ON n.image_id = c.image_id AND n.ky = c.y AND n.kx = c.x
+  GROUP BY ALL),
+rgb AS (SELECT image_id, y, x, CASE p WHEN 0 THEN v WHEN 1 THEN hor WHEN 2 THEN ver ELSE diag END AS r, CASE WHEN p IN (1, 2) THEN v ELSE plus END AS g, CASE p WHEN 3 THEN v WHEN 2 THEN hor WHEN 1 THEN ver ELSE diag END AS b FROM nb),
+shown AS (SELECT image_id, c, CASE WHEN v <= 0.0031308e0 THEN v * 12.92e0 ELSE pow(v, 1 / 2.4e0) * 1.055e0 - 0.055e0 END AS v FROM (UNPIVOT rgb ON r, g, b INTO NAME c VALUE v))"""
+
+
+def _mosaic_files(spark, sf):
+    """The frames as files of mosaics."""
+    from sparkroom.plans import convert
+    from sparkroom.sources import tiff
+
+    tags = {tiff.PHOTOMETRIC: (3, (tiff.CFA,)), convert.CFA_PATTERN: (1, (0, 1, 1, 2)), convert.WHITE: (3, (1023,))}
+    made = tiff.encode_pages([tiff.PageRows(_frames(spark, sf), tags=tags)])
+    return made.select(F.concat(F.lit("/frames/"), F.col("image_id").cast("string"), F.lit(".dng")).alias("path"), "content")
+
+
+_ID_OF = r"(\d+)\.[a-z]+$"
+
+
+def _id():
+    return F.regexp_extract("path", _ID_OF, 1).cast("long").alias("image_id")
+
+
+@add("render_files", f"WITH {_SHOWN} SELECT image_id, c, count(*) AS n, round(avg(v), 6) AS mean FROM shown GROUP BY image_id, c")
+def render_files(spark, sf):
+    """Mosaic files opened and rendered by their tags."""
+    from sparkroom.plans import convert
+
+    px, _ = convert.render_files(_mosaic_files(spark, sf))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in "rgb"]))
+    return px.select(_id(), cells.alias("p")).groupBy("image_id", "p.c").agg(F.count("*").alias("n"), F.round(F.avg("p.v"), 6).alias("mean"))
+
+
+@add("convert_files", f"WITH {_SHOWN} SELECT image_id, 'written' AS status, count(*) AS n, CAST(sum(floor(v * 255 + 0.5e0)) AS BIGINT) AS total FROM shown GROUP BY image_id")
+def convert_files(spark, sf):
+    """Mosaic files rendered into a folder of 8-bit files, which are then read."""
+    from sparkroom.plans import convert
+    from sparkroom.sources import files, tiff
+
+    folder, status = files.scratch_path(spark, "converted"), files.scratch_path(spark, "converted-status")
+    convert.convert(_mosaic_files(spark, sf), folder).write.parquet(status)
+    back = tiff.pixels_of(spark.read.format("binaryFile").load(folder).select("path", "content"))
+    sums = back.groupBy(_id()).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"))
+    return spark.read.parquet(status).select(_id(), "status").join(sums, "image_id")
+
+
+@add("copy_pages", f"WITH {_FRAMES}, l AS (SELECT image_id, ((max(v) FILTER (WHERE y % 2 = 0 AND x % 2 = 0) / 65535e0 + max(v) FILTER (WHERE y % 2 = 0 AND x % 2 = 1) / 65535e0) + (max(v) FILTER (WHERE y % 2 = 1 AND x % 2 = 0) / 65535e0 + max(v) FILTER (WHERE y % 2 = 1 AND x % 2 = 1) / 65535e0)) / 4 AS v FROM f GROUP BY image_id, y // 2, x // 2) SELECT image_id, CAST(0 AS INTEGER) AS page, count(*) * 3 AS n, CAST(sum(v) * 3 AS BIGINT) AS total FROM f GROUP BY image_id UNION ALL SELECT image_id, 1, count(*) * 3, CAST(sum(floor(v * 65535 + 0.5e0)) * 3 AS BIGINT) FROM l GROUP BY image_id")
+def copy_pages(spark, sf):
+    """Linear files copied with a halved page."""
+    from sparkroom.plans import convert
+    from sparkroom.sources import tiff
+
+    linear = tiff.encode_pages([tiff.PageRows(_frames(spark, sf), tags={tiff.PHOTOMETRIC: (3, (tiff.LINEAR_RAW,))})])
+    own = linear.select(F.concat(F.lit("/frames/"), F.col("image_id").cast("string"), F.lit(".dng")).alias("path"), "content")
+    made = convert.copy_pages(own, levels=1, preview=False).withColumn("ifd", F.explode(F.array(F.lit(0), F.lit(1))))
+    parts = [tiff.pixels_of(made.where(F.col("ifd") == i)).groupBy(_id()).agg(F.lit(i).alias("page"), F.count("*").alias("n"), F.sum("v").cast("long").alias("total")) for i in (0, 1)]
+    return parts[0].union(parts[1])
+
+
 @add("hourly_levels", "SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY ALL")
 def hourly_levels(spark, sf):
     """The streaming operator's windows over the whole table."""

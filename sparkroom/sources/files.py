@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,25 @@ SETTINGS = T.StructType(
 )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it
+    is unset, a local session gets a temporary one; a cluster has none to fall back on."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='sparkroom-')}"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def folder(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
     """Files of a folder by lower-cased suffix, without their content; order by path."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")

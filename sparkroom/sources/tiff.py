@@ -20,6 +20,9 @@ TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, SUBIFDS, TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT, SUBTYPE = 256, 257, 258, 259, 262, 273, 277, 278, 279, 330, 322, 323, 324, 325, 339, 254
 CFA, LINEAR_RAW, RGB_KIND, GRAY = 32803, 34892, 2, 1
 
+#: What reading a damaged file may raise; the file's row then has the error.
+BROKEN = (ValueError, struct.error, IndexError, TypeError, KeyError, ZeroDivisionError, OverflowError, MemoryError)
+
 TAG_ROWS = "path string, ifd int, code int, dtype int, count long, value array<double>, text string, error string"
 
 
@@ -119,23 +122,32 @@ def _blocks(a: np.ndarray, bits: int | None, order: str, tile: int | None) -> li
     return [p.astype(p.dtype.newbyteorder(order)).tobytes() for p in parts]
 
 
-def build(images: list[tuple[np.ndarray, dict[int, tuple[int, tuple]]]], bits: int | None = None, order: str = "<", tile: int | None = None) -> bytes:
-    """A container of one main IFD and sub-IFDs for the other images, in strips or
-    tiles of ``tile`` pixels.
+@dataclass
+class Encoded:
+    """A page as bytes: its shape, the bits of a sample, whether samples are floats,
+    its own tags, and the bytes of its strip or of its tiles."""
+
+    height: int
+    width: int
+    samples: int
+    depth: int
+    floating: bool
+    blobs: list[bytes]
+    tags: dict[int, tuple[int, tuple]] = field(default_factory=dict)
+    tile: int | None = None
+
+    def described(self) -> dict[int, tuple[int, tuple]]:
+        sizes = (4, tuple(map(len, self.blobs)))
+        out = {WIDTH: (4, (self.width,)), HEIGHT: (4, (self.height,)), BITS: (3, (self.depth,)), COMPRESSION: (3, (1,)), SAMPLES: (3, (self.samples,)), FORMAT: (3, (3 if self.floating else 1,)), PHOTOMETRIC: (3, (GRAY if self.samples == 1 else RGB_KIND,))}
+        zeros = (4, (0,) * len(self.blobs))
+        out |= {TILE_W: (4, (self.tile,)), TILE_H: (4, (self.tile,)), TILES: zeros, TILE_BYTES: sizes} if self.tile else {ROWS: (4, (self.height,)), STRIPS: zeros, STRIP_BYTES: sizes}
+        return out | self.tags
+
 
-    Each image is an array and its own tags; what describes the page is added."""
-    parts: list[bytes] = [(b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8)]
+def container(made: list[Encoded], order: str = "<") -> bytes:
+    """A container of one main IFD and sub-IFDs for the other pages."""
     at = 8
-    blobs, dirs = [], []
-    for array, own in images:
-        a = array if array.ndim == 3 else array[:, :, None]
-        depth = bits or a.dtype.itemsize * 8
-        data = _blocks(a, bits, order, tile)
-        sizes = (4, tuple(map(len, data)))
-        base = {WIDTH: (4, (a.shape[1],)), HEIGHT: (4, (a.shape[0],)), BITS: (3, (depth,)), COMPRESSION: (3, (1,)), SAMPLES: (3, (a.shape[2],)), FORMAT: (3, (3 if a.dtype.kind == "f" else 1,)), PHOTOMETRIC: (3, (GRAY if a.shape[2] == 1 else RGB_KIND,))}
-        base |= {TILE_W: (4, (tile,)), TILE_H: (4, (tile,)), TILES: (4, (0,) * len(data)), TILE_BYTES: sizes} if tile else {ROWS: (4, (a.shape[0],)), STRIPS: (4, (0,)), STRIP_BYTES: sizes}
-        blobs.append(data)
-        dirs.append(base | own)
+    dirs = [page.described() for page in made]
     if len(dirs) > 1:
         dirs[0][SUBIFDS] = (4, (0,) * (len(dirs) - 1))
 
@@ -150,8 +162,8 @@ def build(images: list[tuple[np.ndarray, dict[int, tuple[int, tuple]]]], bits: i
         out = []
         for k, tags in enumerate(dirs):
             tags = dict(tags)
-            ends = np.cumsum([0, *map(len, blobs[k])])[:-1]
-            tags[TILES if tile else STRIPS] = (4, tuple(int(places[k] + e) for e in ends))
+            ends = np.cumsum([0, *map(len, made[k].blobs)])[:-1]
+            tags[TILES if made[k].tile else STRIPS] = (4, tuple(int(places[k] + e) for e in ends))
             if k == 0 and len(dirs) > 1:
                 tags[SUBIFDS] = (4, tuple(starts[1:]))
             entries, extra, where = [], b"", starts[k] + 2 + 12 * len(tags) + 4
@@ -170,9 +182,19 @@ def build(images: list[tuple[np.ndarray, dict[int, tuple[int, tuple]]]], bits: i
     zero = [0] * len(dirs)
     sizes = [len(d) for d in layout(zero, zero)]
     starts = [at + sum(sizes[:k]) for k in range(len(dirs))]
-    totals = [sum(map(len, b)) for b in blobs]
+    totals = [sum(map(len, page.blobs)) for page in made]
     places = [at + sum(sizes) + sum(totals[:k]) for k in range(len(dirs))]
-    return b"".join([*parts, *layout(starts, places), *[b for blob in blobs for b in blob]])
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8)
+    return b"".join([head, *layout(starts, places), *[blob for page in made for blob in page.blobs]])
+
+
+def build(images: list[tuple[np.ndarray, dict[int, tuple[int, tuple]]]], bits: int | None = None, order: str = "<", tile: int | None = None) -> bytes:
+    """A container of arrays and their own tags, in strips or tiles of ``tile`` pixels."""
+    made = []
+    for array, own in images:
+        a = array if array.ndim == 3 else array[:, :, None]
+        made.append(Encoded(*a.shape, bits or a.dtype.itemsize * 8, a.dtype.kind == "f", _blocks(a, bits, order, tile), own, tile))
+    return container(made, order)
 
 
 def read_tags(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -194,25 +216,31 @@ def tags_of(files: DataFrame) -> DataFrame:
                         for code, (kind, values) in page.tags.items():
                             numbers = [v[0] / v[1] if v[1] else float("nan") for v in values] if kind in (5, 10) else [] if kind == 2 else [float(v) for v in values]
                             out.append((path, ifd, code, kind, len(values[0]) + 1 if kind == 2 else len(values), numbers, values[0] if kind == 2 else None, None))
-                except (ValueError, struct.error) as e:
-                    out.append((path, None, None, None, None, None, None, str(e)))
+                except BROKEN as e:
+                    out.append((path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "ifd", "code", "dtype", "count", "value", "text", "error"]).astype({"ifd": "Int32", "code": "Int32", "dtype": "Int32", "count": "Int64"})
 
     return files.mapInPandas(run, TAG_ROWS)
 
 
 def pixels_of(files: DataFrame, ifd: int = 0) -> DataFrame:
-    """path, y, x, c and v of a page of each file; files are read one by one."""
+    """path, y, x, c, v, status and error of a page of each file: the page ``ifd``,
+    or that of the column ``ifd``. Files are read one by one; one that cannot be
+    read is a row with status "errored" and no pixel."""
+    chosen = files if "ifd" in files.columns else files.withColumn("ifd", F.lit(ifd))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, raw in zip(pdf.path, pdf.content):
-                raw = bytes(raw)
-                a = pixels(raw, pages(raw)[ifd])
-                y, x, c = np.indices(a.shape).reshape(3, -1)
-                yield pd.DataFrame({"path": path, "y": y, "x": x, "c": c.astype(np.int32), "v": a.reshape(-1).astype(float)})
+            for path, raw, page in zip(pdf.path, pdf.content, pdf.ifd):
+                try:
+                    raw = bytes(raw)
+                    a = pixels(raw, pages(raw)[int(page)])
+                    y, x, c = np.indices(a.shape).reshape(3, -1)
+                    yield pd.DataFrame({"path": path, "y": y, "x": x, "c": c.astype(np.int32), "v": a.reshape(-1).astype(float), "status": "ok", "error": None})
+                except BROKEN as e:
+                    yield pd.DataFrame({"path": [path], "y": [None], "x": [None], "c": [None], "v": [None], "status": ["errored"], "error": [f"{type(e).__name__}: {e}"]}).astype({"y": "Int64", "x": "Int64", "c": "Int32", "v": "Float64"})
 
-    return files.mapInPandas(run, "path string, y long, x long, c int, v double")
+    return chosen.select("path", "content", "ifd").mapInPandas(run, "path string, y long, x long, c int, v double, status string, error string")
 
 
 def main_pages(tags: DataFrame) -> DataFrame:
@@ -221,14 +249,61 @@ def main_pages(tags: DataFrame) -> DataFrame:
     return wide.where("coalesce(subtype, 0) = 0").groupBy("path").agg(F.max_by("ifd", F.col("w") * F.col("h")).alias("ifd"))
 
 
-def encode_images(df: DataFrame, bits: int | None = None, dtype: str = "u2") -> DataFrame:
-    """image_id and content of a container for each image of (image_id, y, x, v);
-    an image is the unit of a file, so it is one group."""
-    kind = df.schema["image_id"].dataType.simpleString()
+@dataclass
+class PageRows:
+    """Pixel rows (image_id, y, x and the channels, whole numbers) of one page of
+    each image, their type, and what tags they get."""
+
+    df: DataFrame
+    channels: tuple[str, ...] = ("v",)
+    dtype: str = "u2"
+    bits: int | None = None
+    tags: dict[int, tuple[int, tuple]] = field(default_factory=dict)
+
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), dtype)
-        a[pdf.y.to_numpy(), pdf.x.to_numpy()] = pdf.v.to_numpy()
-        return pd.DataFrame({"image_id": [key[0]], "content": [build([(a, {})], bits)]})
+def _tile_packer(no: int, channels: tuple[str, ...], dtype: str, bits: int | None, tile: int):
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
+        a = np.zeros((tile, tile, len(channels)), dtype)
+        a[y % tile, x % tile] = pdf[list(channels)].to_numpy()
+        return pd.DataFrame({"image_id": [key[0]], "page": [no], "ty": [key[1]], "tx": [key[2]], "h": [int(y.max()) + 1], "w": [int(x.max()) + 1], "blob": [_blocks(a, bits, "<", None)[0]]})
 
-    return df.groupBy("image_id").applyInPandas(one, f"image_id {kind}, content binary")
+    return pack
+
+
+def encode_pages(made: list[PageRows], tile: int = 256) -> DataFrame:
+    """image_id and content of a container for each image, a page of each member of
+    ``made``, the first as the main one.
+
+    Tiles are packed each in a group of its own; a file's header and directories are
+    then built from the tiles' sizes."""
+    kind = made[0].df.schema["image_id"].dataType.simpleString()
+    parts = []
+    at = lambda c: F.floor(F.col(c) / tile).cast("int")
+    for no, page in enumerate(made):
+        dealt = page.df.select("image_id", "y", "x", *page.channels, at("y").alias("ty"), at("x").alias("tx"))
+        pack = _tile_packer(no, page.channels, page.dtype, page.bits, tile)
+        parts.append(dealt.groupBy("image_id", "ty", "tx").applyInPandas(pack, f"image_id {kind}, page int, ty int, tx int, h long, w long, blob binary"))
+    tiles = parts[0]
+    for p in parts[1:]:
+        tiles = tiles.union(p)
+    cells = F.sort_array(F.collect_list(F.struct("page", "ty", "tx", "h", "w", "blob")))
+
+    def build_all(column: pd.Series) -> pd.Series:
+        out = []
+        for cells_ in column:
+            own = []
+            for no in sorted({c["page"] for c in cells_}):
+                page, some = made_[no], [c for c in cells_ if c["page"] == no]
+                dtype = np.dtype(page[1])
+                own.append(Encoded(max(c["h"] for c in some), max(c["w"] for c in some), page[0], page[2] or dtype.itemsize * 8, dtype.kind == "f", [bytes(c["blob"]) for c in some], page[3], tile))
+            out.append(container(own))
+        return pd.Series(out)
+
+    made_ = [(len(p.channels), p.dtype, p.bits, p.tags) for p in made]
+    return tiles.groupBy("image_id").agg(cells.alias("cells")).select("image_id", F.pandas_udf(build_all, "binary")("cells").alias("content"))
+
+
+def encode_images(df: DataFrame, bits: int | None = None, dtype: str = "u2", tile: int = 256) -> DataFrame:
+    """image_id and content of a one-page container for each image of (image_id, y, x, v)."""
+    return encode_pages([PageRows(df, ("v",), dtype, bits)], tile)

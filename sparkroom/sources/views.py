@@ -12,7 +12,7 @@ from sparkroom.functions.points import clamp
 from sparkroom.operators.raster import RGB, Raster
 
 CFA_WIDTH = 100
-RGB_WIDTH = 21
+RGB_WIDTH = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,10 @@ def cfa(spark: SparkSession, sf_dir: str) -> Raster:
 
 
 def rgb(spark: SparkSession, sf_dir: str) -> Raster:
-    """embeddings as an image of 21 columns; three components are a pixel."""
+    """embeddings as an image of 64 columns; a pixel is a component and the two
+    after it, around the end."""
     vectors = table(spark, sf_dir, "embeddings")
-    value = lambda i: clamp(F.get("embedding", F.col("x").cast("int") * 3 + i).cast("double") * 0.5 + 0.5) + 0.0
+    value = lambda i: clamp(F.get("embedding", ((F.col("x") + i) % RGB_WIDTH).cast("int")).cast("double") * 0.5 + 0.5) + 0.0
     rows = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(RGB_WIDTH - 1))).alias("x"))
     df = rows.select(F.lit(0).alias("image_id"), F.col("vec_id").alias("y"), F.col("x").cast("long").alias("x"), *[value(i).alias(c) for i, c in enumerate(RGB)])
     height = (vectors.agg(F.max("vec_id")).first()[0] or 0) + 1

@@ -17,7 +17,7 @@ def one(spark, *columns):
 
 
 def test_shift_parser(spark):
-    cases = {"+1:30": 5400, "-2 04:00:00": -187200, " 00:00:01 ": 1, "1:2": None, "": None, "x": None}
+    cases = {"+1:30": 5400, "-2 04:00:00": -187200, " 00:00:01 ": 1, "1:2": 3720, "178:00": 640800, "5": 18000, "1 2": 93600, "": 0, "x": None, "1:2:3:4": None, "+": None, "1:": None, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", times.shift_seconds(F.col("t")).alias("s"))
     assert {r.t: r.s for r in df.collect()} == cases
 
@@ -100,6 +100,12 @@ def test_files_and_errors(spark, tmp_path):
     (tmp_path / "s.csv").write_text("filename,Temperature,Tint,Exposure2012,orientation\nb.dng,5500,10,0.5,6\n")
     listed = [r.path.rsplit("/", 1)[1] for r in files.folder(spark, str(tmp_path), (".dng",)).collect()]
     assert listed == ["a.DNG", "b.dng"]
+    (tmp_path / "c.dng").write_bytes(tiff.build([(a, {})])[:40])
+    both = spark.read.format("binaryFile").option("pathGlobFilter", "*.{dng,DNG}").load(str(tmp_path)).select("path", "content")
+    px = tiff.pixels_of(both)
+    assert sorted((r.path.rsplit("/", 1)[1], r.status) for r in px.select("path", "status").distinct().collect()) == [("a.DNG", "errored"), ("b.dng", "ok"), ("c.dng", "errored")]
+    assert px.where("status = 'ok'").count() == 6 and px.where("error is null").count() == 6
+    (tmp_path / "c.dng").unlink()
     t = tiff.read_tags(spark, str(tmp_path), "*.{dng,DNG}")
     assert t.where("error is not null").count() == 1 and t.where("code = 256").first()["value"] == [3.0]
     assert tiff.main_pages(t.where("error is null")).first().ifd == 0
@@ -113,8 +119,28 @@ def test_sequence_and_batch(spark, sf):
     assert [r.n for r in got] == list(range(100)) and [(r.name, r.i) for r in got] == sorted((f"f{i % 40:02}", i) for i in range(100))
     left = batch.select_inputs(names, names.where("i < 10").select("name"))
     assert left.count() == 100 - sum(1 for i in range(100) if i % 40 < 10)
-    value, seconds = batch.Job(spark, "job-1").run(lambda: names.count())
-    assert value == 100 and seconds >= 0
+
+
+def test_headers_to_tags(spark):
+    head = {"INSTRUME": " ZWO ASI676MC", "GAIN": "0", "WB_RED": "40", "WB_BLUE": "100", "DATE-OBS": "2024-01-31T23:59:59", "PEDESTAL": "12", "EXPTIME": "0.5", "BAYERPAT": " rggb "}
+    rows = [(1, head, 5, 1.5), (2, {"GAIN": "7.9", "PEDESTAL": ""}, 5, None), (3, {}, None, None)]
+    df = spark.createDataFrame(rows, "image_id int, header map<string,string>, black long, exposure double")
+    got = {(r.image_id, r.name): r.value for r in fits_ops.dng_tags(df, seconds=F.lit(2), zone="+01:00").collect()}
+    own = {n: v for (i, n), v in got.items() if i == 1}
+    assert own["ISOSpeedRatings"] == ["100"] and own["AnalogBalance"] == ["0.5", "1.0", "1.0"] and own["DateTimeOriginal"] == ["2024:02:01 00:00:01"]
+    assert own["BlackLevel"] == ["12"] and own["CFAPattern"] == ["RGGB"] and own["BaselineExposure"] == ["1.5"] and own["OffsetTime"] == ["+01:00"]
+    assert got[2, "ISOSpeedRatings"] == ["7"] and got[2, "BlackLevel"] == ["5"] and (2, "DateTimeOriginal") not in got
+    assert {n for i, n in got if i == 3} == {"OffsetTimeOriginal", "OffsetTimeDigitized", "OffsetTime"}
+    m = spark.createDataFrame([(1, {"OBJCTRA": "05 30 00", "OBJCTDEC": "-10 30 00", "CROTA1": "0", "CROTA2": "4"}), (2, {"RA": "x", "DEC": "5"}), (3, {"RA": "1", "DEC": "91"})], "i int, h map<string,string>").select("i", fits_ops.avm(F.col("h")).alias("m")).orderBy("i").collect()
+    assert [float(v) for v in m[0].m["Spatial.ReferenceValue"]] == [82.5, -10.5] and m[0].m["Spatial.Rotation"] == ["4.0"] and m[0].m["Spatial.CoordinateFrame"] == ["ICRS"]
+    assert set(m[1].m) == set(m[2].m) == {"Type", "MetadataVersion"}
+
+
+def test_operations_on_tag_sets(spark):
+    t = spark.createDataFrame([(1, 0, "A", "1"), (1, 0, "B", "2"), (2, 0, "B", "3")], "image_id int, ifd int, name string, value string")
+    ops = [{"type": "set", "name": "A", "value": "x"}, {"type": "strip", "name": "A"}, {"type": "strip", "name": "B"}, {"type": "shift-time", "value": "1:00"}]
+    assert sorted(map(tuple, tags.apply_ops(t, ops).collect())) == [(1, 0, "A", "x"), (2, 0, "A", "x")]
+    assert tags.apply_ops(t, []).count() == 3 and tags.apply_ops(t.limit(0), ops).count() == 0
 
 
 def test_stream(spark, sf, tmp_path):

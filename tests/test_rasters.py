@@ -117,6 +117,55 @@ def test_colour_science():
     assert np.allclose(colour.prophoto_to_srgb() @ [1, 1, 1], [1, 1, 1], atol=2e-3)
 
 
+def test_matrices_of_files():
+    neutral, m = (0.6, 1.0, 0.7), np.array([[0.9, -0.3, -0.1], [-0.4, 1.2, 0.2], [-0.05, 0.2, 0.6]])
+    # the neutral is white in PCS, by either path
+    white = colour.xyz_of_xy(colour.D50_XY)
+    assert np.allclose(colour.camera_to_pcs(neutral, m) @ neutral, white)
+    forward = np.diag(white)
+    assert np.allclose(colour.camera_to_pcs(neutral, m, forward, (0.9, 1.0, 1.1)) @ neutral, white)
+    two = colour.interpolate_illuminants(4000.0, (2856.0, m), (6504.0, 2 * m))
+    at = lambda k: colour.interpolate_illuminants(k, (2856.0, m), (6504.0, m * [[1.0], [1.1], [0.9]]))
+    xy = colour.white_of_neutral(at(5000.0) @ colour.xyz_of_xy((0.35, 0.36)) / 1.0, at)
+    k, _ = colour.temperature_of_uv(*colour.uv_of_xy(*xy))
+    assert np.allclose(np.cross(at(k) @ colour.xyz_of_xy(xy), at(5000.0) @ colour.xyz_of_xy((0.35, 0.36))), 0, atol=1e-6)
+    assert np.allclose(two, m * (1 + 1 - colour.mired_weight(4000.0, 2856.0, 6504.0)))
+    assert np.array_equal(colour.camera_to_srgb(None), np.eye(3))
+    assert np.allclose(colour.camera_to_srgb(m.reshape(-1), None, (23, 21), neutral) @ neutral, 1, atol=3e-3)
+
+
+def test_warp_of_channels(spark):
+    a = np.random.default_rng(3).random((6, 7, 3))
+    rows = [(0, y, x, *map(float, a[y, x])) for y in range(6) for x in range(7)]
+    r = Raster(spark.createDataFrame(rows, "image_id int, y long, x long, r double, g double, b double"), 6, 7, RGB)
+    for bicubic in (False, True):
+        same = opcodes.apply_opcodes(r, [{"type": "warp_rectilinear", "k": (1.0,), "use_bicubic": bicubic}])
+        half = geometry.warp(r, F.col("y") + 0.0, F.col("x") + 0.5, bicubic)
+        for i, c in enumerate(RGB):
+            assert np.allclose(array(same, c), a[:, :, i])
+            want = (a[:, 2:3, i] + a[:, 3:4, i]) / 2 if not bicubic else (-a[:, 1:2, i] + 9 * a[:, 2:3, i] + 9 * a[:, 3:4, i] - a[:, 4:5, i]) / 16
+            assert np.allclose(array(half, c)[:, 2:3], want)
+
+
+@pytest.mark.parametrize("algorithm", stencil.ALGORITHMS)
+def test_bands_change_nothing(spark, monkeypatch, algorithm):
+    r = raster(spark, np.random.default_rng(4).random((23, 6)))
+    whole = [array(stencil.demosaic(r, "GRBG", algorithm), c) for c in RGB]
+    monkeypatch.setattr(stencil, "BAND", 5)
+    assert all(np.array_equal(array(stencil.demosaic(r, "GRBG", algorithm), c), w) for c, w in zip(RGB, whole))
+
+
+def test_exact_percentile(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(c), float(v)) for c in range(3) for v in np.concatenate((rng.random(97), np.repeat(rng.random(), 60), [50.0] * c))] + [(9, 4.0), (9, None)]
+    df = spark.createDataFrame(rows, "c int, v double")
+    for p in (0.0, 0.37, 0.5, 0.99, 1.0):
+        got = {r.c: r["at"] for r in statistics.exact_percentile(df, "v", p, "c").collect()}
+        for c in (0, 1, 2, 9, None):
+            assert got[c] == pytest.approx(np.quantile([v for k, v in rows if v is not None and c in (k, None)], p))
+    assert statistics.exact_percentile(df.limit(0), "v", 0.5, "c").count() == 0
+
+
 def test_levels_and_scales():
     assert geometry.levels(1024, 768, 5) == [1, 2]
     assert geometry.levels(255, 900, 3) == []
@@ -131,6 +180,9 @@ def test_histogram_edges(spark):
     dark = statistics.histogram(spark.createDataFrame([(1, 50.0)] * 10, "image_id int, v double"), 100.0, 100)
     row = statistics.auto_exposure(dark, 100.0, 100).first()
     assert (row.black, row.median, row.clipped, row.exposure) == (50, 50, False, pytest.approx(np.log2(6 / 50)))
+    assert statistics.auto_exposure(dark.withColumn("p", F.lit(7)), 100.0, 100, "p").first().black == 7
+    assert statistics.auto_exposure(dark.withColumn("bin", F.lit(99)), 100.0, 100).first().exposure is None
+    assert [statistics.clip_bin(w, int(w)) for w in (255.0, 4095.0, 1000.0)] == [249, 3993, 975]
 
 
 def test_resampling_and_nodes(spark):
