@@ -52,6 +52,35 @@ def test_language_edges(spark):
     assert same("the and of " * 50_000)[0] == "b"
 
 
+def test_language_is_plain_compression(spark, sf):
+    """Every prediction of the query against plain zstandard calls."""
+    import zstandard
+
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(queries.learning_rows(whole))
+    taught = "".join(d.decode("utf-8", "ignore") for _, ds in model for d in ds)
+    held = [r.text for r in whole.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and len(r.text or "") > 400]
+    assert held and not any(langid.letters(t[100:200]).decode() in taught for t in held)
+    got = {r.doc_id: r for r in queries.op1_language(spark, sf).collect()}
+    for r in whole.collect():
+        raw = langid.letters(r.text or "")
+        sizes = []
+        for _, dicts in model:
+            total = 0
+            for d in dicts:
+                how = zstandard.ZstdCompressionParameters.from_level(6, source_size=2048, dict_size=len(d), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+                z = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+                total += sum(len(z.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048))
+            sizes.append(total / 2)
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        order = sorted(range(len(sizes)), key=lambda i: sizes[i])
+        assert got[r.doc_id].lang_pred == model[order[0]][0]
+        margin = sizes[order[1]] - sizes[order[0]]
+        assert got[r.doc_id].accepted == (margin >= 1 and margin > 0.002 * sizes[order[0]])
+
+
 # --- SentencePiece
 
 
@@ -79,6 +108,16 @@ def test_pieces_in_spark(spark):
     assert [r.decoded for r in back.orderBy("doc_id").collect()] == [None, None, "Hello  world", "Hello  world"]
 
 
+def test_pieces_query(spark, sf):
+    import sentencepiece as lib
+
+    sp = lib.SentencePieceProcessor(model_file=PIECES)
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op2_sentencepiece(spark, sf).collect()
+    assert got[0].asDict().keys() == {"doc_id", "ids", "n_ids", "round_trip"} and len(got) == len(text)
+    assert all(r.ids == sp.encode(text[r.doc_id]) and r.n_ids == len(r.ids) and r.round_trip for r in got)
+
+
 def test_shared_prefixes_forget_nothing():
     small = sentencepiece.Encoder(PIECES, memory=4)
     large = sentencepiece.Encoder(PIECES)
@@ -172,6 +211,66 @@ def test_secrets_brute_force(spark, sf):
     assert [odd[s.start : s.end] for s in row.spans] == ["Zx9qT7Lk2Rv8mB3nC5pW1yH4"]
 
 
+def plain_spans(text, weights, least=16, nats=12.0):
+    """Every run of identifier characters by plain sums over its pairs."""
+    n, out = len(secrets.ALPHABET), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{%d,}" % least, text):
+        at = [secrets.ALPHABET.index(c) for c in m[0]]
+        if sum(weights[a * n + b] for a, b in zip(at, at[1:])) >= nats:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def planted(seed=6):
+    """Random strings and ordinary identifiers with their label and length."""
+    import base64
+
+    rng = random.Random(seed)
+    parts = "invoice shipment customer ledger warehouse gradient tensor lattice voltage turbine orchard pantry meadow compass lantern harbor quarry bridge cabinet mirror get set name count http json".split()
+    out = []
+    for n in (16, 20, 24, 32, 40, 64):
+        for _ in range(60):
+            raw = bytes(rng.randrange(256) for _ in range(n))
+            base62 = "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+            mixed = base64.b64encode(raw).decode()[:n]
+            lower = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+            out += [(base62, True, n), (mixed, True, n), (lower, True, n)]
+            words = []
+            while len("_".join(words)) < n:
+                words.append(rng.choice(parts))
+            for plain in ("_".join(words), "".join(w.capitalize() for w in words), "-".join(words), "/".join(words)):
+                if len(plain) >= 16:
+                    out.append((plain, False, n))
+    return out
+
+
+def test_models_on_planted_strings(spark, sf):
+    """Recall of random strings and false alarms on identifiers, by length."""
+    weights = secrets.train(spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet"))
+    cases = planted()
+    found = secrets.find_secrets(docs(spark, [f"see {t} here" for t, _, _ in cases]), weights).collect()
+    hit = {r.row.doc_id: any(s.kind == 3 or s.kind < 3 for s in r.spans) for r in found}
+    for n in sorted({n for _, _, n in cases}):
+        real = [hit[i] for i, (_, label, k) in enumerate(cases) if label and k == n]
+        false = [hit[i] for i, (_, label, k) in enumerate(cases) if not label and k == n]
+        print(n, sum(real) / len(real), sum(false) / len(false))
+        assert sum(real) / len(real) >= 0.9 and sum(false) / len(false) <= 0.02
+
+
+def test_model_spans_brute_force(spark, sf):
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    weights = secrets.train(whole)
+    texts = [r.text or "" for r in whole.collect()] + [f"a {x} b,{y}; token={x}" for (x, _, _), (y, _, _) in zip(planted()[::40], planted(9)[::40])]
+    got = {r.row.doc_id: r.spans for r in secrets.find_secrets(docs(spark, texts), weights).collect()}
+    seen = 0
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        want = [s for s in plain_spans(t, weights) if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        assert [tuple(s) for s in got[i]] == sorted(base + want)
+        seen += len(want)
+    assert seen > 20
+
+
 def test_secrets_digest_and_redaction(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     row = next(r for r in queries.op10_secrets(spark, sf).collect() if r.n_assign)
@@ -226,25 +325,55 @@ def test_fingerprints_and_components(spark):
     assert [got[i].component_id for i in range(len(texts))] == brute_components(want)
 
 
-def test_trie_walk_finds_every_link(spark, monkeypatch):
+@pytest.mark.parametrize("leaves, frontier, task_rows, crowded", [(64, 1 << 18, 1024, 20_000), (1, 16, 1024, 20_000), (64, 1 << 18, 64, 100)])
+def test_trie_walk_finds_every_link(spark, monkeypatch, leaves, frontier, task_rows, crowded):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**64, 30, np.uint64)
     near = [int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for c in centres for _ in range(25)]
     chain = [int(centres[0]) ^ ((1 << k) - 1) for k in range(0, 40, 3)]
-    prints = sorted({*near, *chain, 0, 2**64 - 1, *map(int, rng.integers(0, 2**64, 500, np.uint64))})
-    signed = [(int(np.uint64(p).view(np.int64)),) for p in prints]
+    # most fingerprints share 20 leading bits
+    crowd = [int(centres[1]) >> 44 << 44 | int(x) >> 20 for x in rng.integers(0, 2**64, 600, np.uint64)]
+    prints = sorted({*near, *chain, *crowd, 0, 2**64 - 1, *map(int, rng.integers(0, 2**64, 300, np.uint64))})
+    signed = [(int(np.uint64(p).view(np.int64)), i) for i, p in enumerate(prints)]
     root = brute_components(prints)
     want = {frozenset(i for i, r in enumerate(root) if r == k) for k in set(root)}
-    for leaves, frontier in ((64, 1 << 18), (1, 16)):
-        monkeypatch.setattr(simhash, "LEAVES", leaves)
-        monkeypatch.setattr(simhash, "FRONTIER", frontier)
-        found = simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()
-        of = {p[0]: i for i, p in enumerate(signed)}
-        up = {of[r.u]: of[r.root] for r in found}
-        groups = {}
-        for i in range(len(prints)):
-            groups.setdefault(up.get(i, i), set()).add(i)
-        assert {frozenset(g) for g in groups.values()} == want
+    monkeypatch.setattr(simhash, "LEAVES", leaves)
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
+    found = simhash.components(simhash.links(spark.createDataFrame(signed, "fp long, id long"), task_rows, crowded)).collect()
+    up = {r.u.id: r.root.id for r in found}
+    groups = {}
+    for i in range(len(prints)):
+        groups.setdefault(up.get(i, i), set()).add(i)
+    assert {frozenset(g) for g in groups.values()} == want
+    assert all(min(g) == r for r, g in groups.items())
+
+
+def test_simhash_query(spark, sf):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(text)
+    prints = [fingerprint(text[i]) for i in ids]
+    root = brute_components(prints)
+    got = {r.doc_id: r for r in queries.op6_simhash(spark, sf).collect()}
+    assert len(got) == len(ids)
+    for k, i in enumerate(ids):
+        assert (got[i].fingerprint, got[i].component_id) == (f"{prints[k]:016x}", ids[root[k]])
+
+
+def test_one_component_of_most_rows(spark, monkeypatch):
+    """Hubs are joined by broadcast; the result is the same."""
+    monkeypatch.setattr(simhash, "SMALL", 10)
+    monkeypatch.setattr(simhash, "HOT_LEAST", 5)
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 460)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(80)]
+    edges = [(max(a, b), min(a, b)) for a, b in edges if a != b]
+    root = {i: i for e in edges for i in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.u: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: r for i, r in root.items() if r != i}
+    copies = docs(spark, ["same words stand in here"] * 200 + [f"text number {i} of its own kind {i * i}" for i in range(30)])
+    assert {r.component_id for r in simhash.near_duplicates(copies).collect() if r.doc_id < 200} == {0}
 
 
 def test_simhash_edges(spark):
@@ -256,9 +385,11 @@ def test_simhash_edges(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in simhash.near_duplicates(nulls).collect() if r.component_id is not None) == [(False, 4), (True, 4)]
 
 
-@pytest.mark.parametrize("all_pairs", [32, 2])
-def test_similar_documents_brute_force(spark, monkeypatch, all_pairs):
-    monkeypatch.setattr(simhash, "ALL_PAIRS", all_pairs)
+@pytest.mark.parametrize("sure_least, task_rows", [(64, 2048), (10**9, 2048), (64, 8)])
+def test_similar_documents_brute_force(spark, monkeypatch, sure_least, task_rows):
+    monkeypatch.setattr(simhash, "SURE_LEAST", sure_least)
+    monkeypatch.setattr(simhash, "RECALL", 0.99999)
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (task_rows,))
     rng = random.Random(8)
     texts = [None, "", "lone", "two words", "Two  WORDS"]
     for _ in range(12):
@@ -270,13 +401,28 @@ def test_similar_documents_brute_force(spark, monkeypatch, all_pairs):
             texts.append(" ".join(w))
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
     root = list(range(len(texts)))
-    wide = 0
     for i in range(len(texts)):
         for j in range(i):
             if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                wide += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > simhash.MAX_BITS
                 root = [root[j] if r == root[i] else r for r in root]
     groups = lambda of: {frozenset(i for i, r in of.items() if r == k) for k in set(of.values())}
     got = {r.doc_id: r.root for r in simhash.similar_documents(docs(spark, texts)).collect()}
-    assert groups(got) == groups(dict(enumerate(root))) and wide
+    assert groups(got) == groups(dict(enumerate(root)))
     assert simhash.similar_documents(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_limits_and_closest_links():
+    sure, at, small = simhash._limits(0.8)
+    assert sure < at < small
+    rng = np.random.default_rng(1)
+    share = []
+    for _ in range(60):
+        both, a, b = (rng.integers(0, 2**64, n, np.uint64) for n in (160, 20, 20))
+        one, two = (simhash.wide_fingerprint(np.unique(np.concatenate((both, x)))) for x in (a, b))
+        share.append(int(np.bitwise_count(one ^ two).sum()))
+    assert sure < min(share) and max(share) <= at  # pairs just at the similarity are compared
+    assert abs(np.mean(share) / simhash.WIDE - simhash._share(2 * 0.8 / 1.8)) < 0.01
+    forest = simhash.Forest(6)
+    forest.link(np.array([0]), np.array([1]))
+    i, j, d = np.array([0, 1, 2, 3, 4]), np.array([2, 2, 3, 4, 3]), np.array([9, 3, 5, 7, 6])
+    assert sorted(simhash._closest(forest, i, j, d).tolist()) == [1, 2, 4]
