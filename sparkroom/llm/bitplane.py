@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkroom.llm.common import scratch_path
+from sparkroom.llm.memory import PieceMemory
 
 BLOCK = 65_536
 END_ID = 2
@@ -111,13 +112,7 @@ class WordEncoder:
         line, words = (self.lib.encode(t, add_special_tokens=False).ids for t in ("\n", " a b,c"))
         self.line = line[0] if line else -1
         self.cuts = len(line) == 1 and self.opens[words].tolist() == [True, True, False, False]
-        self.memory = memory
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool, self.used = np.zeros(4096, np.uint32), 0
+        self.known = PieceMemory(memory)
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -128,24 +123,9 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Remember the ids of pieces, which lie one after another."""
-        n, m = len(self.slot), len(self.slot) + len(pieces)
-        self.slot.update(zip(pieces, range(n, m)))
-        while len(self.start) < m:
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.start[n:m], self.size[n:m] = self.used + np.cumsum(sizes) - sizes, sizes
-        while len(self.pool) < self.used + len(ids):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
     def learn(self, pieces: list[str]) -> bool:
         """Work out the pieces not met before; False if they can't be told apart."""
-        missing = set(pieces).difference(self.slot)
-        if len(self.slot) + len(missing) > self.memory:
-            self._forget()
-            missing = set(pieces)
+        missing = self.known.missing(pieces)
         for blank in (True, False):
             new = [w for w in missing if (w[0] == " ") == blank and w != "\n"]
             if not new:
@@ -158,9 +138,9 @@ class WordEncoder:
             sizes = np.diff(starts, append=len(ids))
             if not blank:
                 ids, sizes = np.delete(ids, starts), sizes - 1
-            self._keep(new, ids, sizes)
+            self.known.keep(new, ids, sizes)
         if "\n" in missing:
-            self._keep(["\n"], np.array([self.line], np.uint32), np.array([1]))
+            self.known.keep(["\n"], np.array([self.line], np.uint32), np.array([1]))
         return True
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -175,19 +155,12 @@ class WordEncoder:
         pieces = named.dictionary.to_pylist()
         if not self.learn(pieces):
             return [np.array(x, np.uint32) for x in self.whole(texts.to_pylist())]
-        slot = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))[named.indices.to_numpy()]
-        size = self.size[slot]
-        ids = self.pool[_spread(self.start[slot], size)]
-        found = iter(np.split(ids, np.cumsum(np.add.reduceat(size, lists.offsets.to_numpy()[:-1]))[:-1]))
+        ids, ends = self.known.ids(pieces, named.indices.to_numpy(), lists.offsets.to_numpy())
+        found = iter(np.split(ids, ends[1:-1]))
         others = iter(self.whole(texts.filter(pa.array(odd)).to_pylist()))
         return [np.array(next(others), np.uint32) if o else next(found) for o in odd.tolist()]
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each stretch of the given sizes."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block: int = BLOCK, parts: int | None = None) -> None:
     """Encode whole texts and write their ids, in order of ``key``, under ``path``.
 

@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding with a shared-prefix Viterbi search.
 
 Texts are marked (a blank becomes "▁", one goes before the text) and cut into
-marked words before each run of marks. The distinct new words of a batch are
-sorted, which is the depth-first order of their trie; going from one word to the
-next, the forward states of the prefix they share are kept and only the rest is
-computed.
+marked words before each run of marks, and inside words between a letter or digit
+and a mark that no piece of the model holds side by side, so that no piece can
+cross the cut. The distinct new words of a batch are sorted, which is the
+depth-first order of their trie; going from one word to the next, the forward
+states of the prefix they share are kept and only the rest is computed.
 
 Unigram models: a forward state is the best score of a prefix and the piece it
 ends with. BPE models: the best sum of scores isn't what the library gives, as
@@ -15,8 +16,7 @@ cross a boundary would also cross it in the pair alone). The forward state is
 then the last piece of that path.
 
 A Python worker remembers the words it has met, ``MEMORY_WORDS`` at most, for all
-tasks that it runs: when the younger half is full, the older one is forgotten,
-save what has been asked for since.
+tasks that it runs; when the memory is full it starts anew.
 
 Defined results: a null or empty text has no ids; decoding drops the mark put
 before the text; characters without a piece are their bytes' pieces, or the
@@ -28,22 +28,29 @@ are replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkroom.llm.memory import PieceMemory
+
 MARK = "▁"
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 800_000
 MEMORY_PAIRS = 300_000
 #: Texts encoded together.
 TEXTS = 256
+#: Latin letters and digits, and ASCII marks that may stand after them.
+_LETTER = re.compile("[0-9A-Za-zÀ-ÖØ-öø-ɏ]")
+_ASCII_MARKS = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
 _CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 
 
@@ -74,31 +81,26 @@ class Pieces:
         self.bpe = bool(own) and all(float(s).is_integer() for s in own)
 
 
-class _PieceBytes(dict):
-    """The ids of a piece as bytes, worked out when first asked for."""
-
-    def __init__(self, ids_of: Callable[[str], list[int]]) -> None:
-        self.ids_of = ids_of
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = np.array(self.ids_of(piece), np.int32).tobytes()
-        return found
-
-
 class Encoder:
     def __init__(self, path: str, memory: int = MEMORY_WORDS) -> None:
         self.pieces = p = Pieces(path)
-        self.half = memory // 2
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = PieceMemory(memory)
         self.pairs: dict[str, bool] = {}
-        self.bytes_of = _PieceBytes(self.ids_of)
         self.floor = min(p.score, default=0.0) - 10.0
+        joined = {piece[i] for piece in p.id for i in range(1, len(piece)) if _LETTER.match(piece[i - 1])}
+        apart = [c for c in _ASCII_MARKS if c not in joined]
+        self.ends = f"({_LETTER.pattern})([{re.escape(''.join(apart))}])" if apart else None
         # finds the pieces that end at a place, the longest first
         self.finder = ahocorasick.Automaton()
         for piece in p.id:
             self.finder.add_word(piece, piece)
         self.finder.make_automaton()
+        self.special = np.zeros(len(p.text), bool)
+        # bytes of ASCII are characters; others need their neighbours
+        self.special[[p.unknown, *p.silent, *(i for i, b in p.byte_of.items() if b > 127)]] = True
+        # pieces as they show inside a text, then as they show at its start
+        plain = [chr(p.byte_of[i]) if i in p.byte_of else t.replace(MARK, " ") for i, t in enumerate(p.text)]
+        self.shown = pa.array(plain + [t.removeprefix(" ") for t in plain], pa.string())
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -137,17 +139,21 @@ class Encoder:
         return found
 
     def _extend_bpe(self, word: str, last: list[str]) -> None:
-        """The last piece of the one allowed path to every end that ``last``
-        lacks; ``last`` begins with the empty path."""
-        allowed = self.allowed
+        """The last piece of the one allowed path to every end that ``last`` lacks;
+        ``last`` begins with the empty path. Ends of the shared prefix are there
+        already and are passed over."""
+        allowed, have = self.allowed, len(last)
         for end, piece in self.finder.iter(word):
             end += 1
-            while len(last) < end:  # no piece fits there: a character without one
-                last.append(word[len(last) - 1])
-            if len(last) == end and allowed(last[end - len(piece)], piece):
+            if end < have:
+                continue
+            while have < end:  # no piece fits there: a character without one
+                last.append(word[have - 1])
+                have += 1
+            if have == end and allowed(last[end - len(piece)], piece):
                 last.append(piece)
-        while len(last) <= len(word):
-            last.append(word[len(last) - 1])
+                have += 1
+        last.extend(word[have - 1 :])
 
     def _step_unigram(self, word: str, end: int, last: list, best: list[float]) -> str:
         known, score = self.pieces.id, self.pieces.score
@@ -186,28 +192,52 @@ class Encoder:
             yield word, out[::-1]
             before = word
 
-    def learn(self, words: set[str]) -> None:
-        """Work out the words not met before; a word is named without its first mark."""
-        if len(self.words) > self.half:
-            self.words, self.older = {}, self.words
-        new = words.difference(self.words)
-        again = new.intersection(self.older)
-        self.words.update((w, self.older[w]) for w in again)
-        for word, parts in self.segment([MARK + w for w in sorted(new - again)]):
-            self.words[word[1:]] = b"".join(map(self.bytes_of.__getitem__, parts))
+    def learn(self, words: list[str]) -> None:
+        """Work out the marked words not met before."""
+        new = sorted(self.known.missing(words))
+        if new:
+            found = [list(chain.from_iterable(map(self.ids_of, parts))) for _, parts in self.segment(new)]
+            self.known.keep(new, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def marked(self, texts: pa.Array) -> pa.ListArray:
+        """The marked words of texts without null."""
+        odd = pc.match_substring_regex(texts, f"^$|^ | $|  |[\0{MARK}]")
+        cut = pc.replace_substring_regex(texts, self.ends, "\\1\0\\2") if self.ends else texts
+        lists = pc.split_pattern(pc.binary_join_element_wise(MARK, pc.replace_substring(cut, " ", f"\0{MARK}"), ""), "\0")
+        if not pc.any(odd).as_py():
+            return lists
+        # runs of marks belong to the word after them; an empty text has no word
+        some = [_CUT.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts.filter(odd).to_pylist()]
+        whole = pa.concat_arrays([lists.filter(pc.invert(odd)), pa.array(some, lists.type)])
+        odd = odd.to_numpy(zero_copy_only=False)
+        return whole.take(pa.array(np.argsort(np.argsort(odd, kind="stable"), kind="stable")))
+
+    def encode_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the place where each begins, the
+        end of the last one included."""
+        lists = self.marked(pc.fill_null(texts, ""))
+        named = lists.flatten().dictionary_encode()
+        words = named.dictionary.to_pylist()
+        self.learn(words)
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+        ids, at = self.known.ids(words, named.indices.to_numpy(), ends)
+        return ids.view(np.int32), at
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut: list[list[str]] = []
-        words: set[str] = set()
-        for t in texts:
-            c = t.split(" ") if t else []
-            if "" in c or t and MARK in t:  # runs of marks belong to the word after them
-                c = [w[1:] for w in _CUT.split(MARK + t.replace(" ", MARK))]
-            cut.append(c)
-            words.update(c)
-        self.learn(words)
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
+        ids, at = self.encode_arrow(pa.array(texts, pa.string()))
+        return np.split(ids, at[1:-1]) if texts else []
+
+    def decode_arrow(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of ids as ``encode_arrow`` gives them."""
+        odd = np.concatenate(([0], np.cumsum(self.special[ids])))
+        odd = odd[at[1:]] != odd[at[:-1]]
+        first = ids.copy()
+        first[at[:-1][at[:-1] < at[1:]]] += len(self.special)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), self.shown.take(pa.array(first))), "")
+        if not odd.any():
+            return text
+        own = pa.array([self.decode(ids[at[i] : at[i + 1]]) for i in np.flatnonzero(odd)], pa.string())
+        return pc.replace_with_mask(text, pa.array(odd), own)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces and runs of byte pieces, without the first mark."""
@@ -242,11 +272,9 @@ def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(at, TEXTS)
-                ids = encoder.encode(some.column(text).to_pylist())
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                decoded = pa.array([encoder.decode(x) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([*[some.column(n) for n in names], lists, decoded], [*names, "ids", "decoded"])
+                ids, ends = encoder.encode_arrow(some.column(text))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*[some.column(n) for n in names], lists, encoder.decode_arrow(ids, ends)], [*names, "ids", "decoded"])
 
     return df.mapInArrow(run, schema)
 
