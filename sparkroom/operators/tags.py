@@ -166,15 +166,22 @@ def encode(dtype: Column, number: Column, text: Column, limit: int = 1_000_000)
 def validate(tags: DataFrame, reg: DataFrame) -> DataFrame:
     """Tags with a problem: unknown name, wrong type, count or place.
 
-    ``tags`` has image_id, ifd (0 is the first), name, dtype and count."""
+    ``tags`` has image_id, ifd (0 is the first), name, dtype, count and, where it is
+    known, kinds: what the tag's IFD is (of ifd0, raw and exif, several at once for a
+    first IFD that holds the raw image). Without that column only the first IFD is
+    told from others, and tags of raw or EXIF directories are not judged by place."""
     r = F.broadcast(reg)
     joined = tags.join(r, "name", "left")
     fits = F.exists("types", lambda t: (t == F.col("dtype")) | compatible(t, F.col("dtype")))
+    if "kinds" in tags.columns:
+        misplaced = (F.col("place") != "any") & ~F.array_contains("kinds", F.col("place"))
+    else:
+        misplaced = (F.col("place") == "ifd0") & (F.col("ifd") != 0)
     issue = (
         F.when(F.col("code").isNull(), F.lit("unknown tag"))
         .when(~fits, F.lit("wrong type"))
         .when((F.col("need") > 0) & (F.col("count") != F.col("need")), F.lit("wrong count"))
-        .when((F.col("place") == "ifd0") & (F.col("ifd") != 0), F.lit("wrong place"))
+        .when(misplaced, F.concat(F.lit("belongs in "), F.col("place")))
     )
     return joined.withColumn("issue", issue).where("issue is not null").select("image_id", "ifd", "name", "issue")
 

@@ -97,6 +97,21 @@ def linear_raw(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _wide(files, linear, RGB).select("path", "y", "x", *RGB), _with_status(files, linear, "no linear page", pages)
 
 
+def mosaics(files: DataFrame, stage: str = "linearized") -> tuple[DataFrame, DataFrame]:
+    """Mosaic values (path, y, x, v, pattern) of each file's largest mosaic page, as
+    stored ("raw") or between black and white ("linearized"), and each file's status."""
+    if stage not in ("raw", "linearized"):
+        raise ValueError(f"no stage {stage!r}")
+    pages = pages_of(files)
+    chosen = _largest(pages.where("role = 'cfa'"))
+    px = tiff.pixels_of(files.join(chosen.select("path", "ifd"), "path")).where("status = 'ok'")
+    levels = px.join(chosen.select("path", "pattern", "black", "white"), "path")
+    # four levels repeat in blocks of two by two
+    place = F.when(F.size("black") == 4, (F.col("y") % 2) * 2 + F.col("x") % 2).otherwise(F.lit(0)).cast("int")
+    v = F.col("v") if stage == "raw" else points.normalize(F.col("v"), F.get("black", place), F.col("white"))
+    return levels.select("path", "y", "x", v.alias("v"), "pattern"), _with_status(files, chosen, "no mosaic page", pages)
+
+
 def _wide(files: DataFrame, chosen: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Pixels of the chosen pages, black and white applied, a column for each channel
     (a single sample fills all)."""

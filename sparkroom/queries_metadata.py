@@ -13,9 +13,13 @@ ORACLE_SQL: dict = {}
 
 TAGS = """t AS (SELECT o_orderkey AS image_id, CAST(o_orderkey % 3 AS INTEGER) AS ifd, unnest(['Status', 'Priority', 'Owner']) AS name, unnest([o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR)]) AS value FROM orders)"""
 NEW = "n AS (SELECT image_id, ifd, CASE WHEN name = 'Owner' THEN 'Artist' ELSE name END AS name, value || '!' AS value FROM t WHERE name <> 'Priority')"
-PART = """p AS (SELECT p_partkey AS image_id, CAST(p_partkey % 2 AS INTEGER) AS ifd, unnest(['Make', 'Model', 'ImageWidth', 'ExposureTime', 'ColorMatrix1', 'Orientation', 'x-type']) AS name,
-  unnest(['ASCII', 'ASCII', 'LONG', 'RATIONAL', 'SRATIONAL', 'DOUBLE', 'ASCII']) AS dtype,
-  unnest([strlen(p_brand) + 1, strlen(p_name) + 1, 1, 1, p_size % 10, 1, strlen(p_type) + 1]) AS count FROM part)"""
+PART = """p AS (SELECT p_partkey AS image_id, CAST(p_partkey % 4 AS INTEGER) AS ifd, [['ifd0'], ['raw'], ['exif'], ['ifd0', 'raw']][CAST(p_partkey % 4 + 1 AS INTEGER)] AS kinds,
+  unnest(['Make', 'Model', 'ImageWidth', 'ExposureTime', 'ColorMatrix1', 'Orientation', 'BlackLevel', 'x-type']) AS name,
+  unnest(['ASCII', 'ASCII', 'LONG', 'RATIONAL', 'SRATIONAL', 'DOUBLE', 'SHORT', 'ASCII']) AS dtype,
+  unnest([strlen(p_brand) + 1, strlen(p_name) + 1, 1, 1, p_size % 10, 1, 1, strlen(p_type) + 1]) AS count FROM part)"""
+#: The registry and the groups of types that stand for each other, as SQL tables.
+REGISTRY = "reg(name, types, need, place) AS (VALUES " + ", ".join(f"('{n}', string_split('{types}', ' '), {count}, '{place}')" for n, _, types, count, place in tags.REGISTRY) + ")"
+KINDS = "kind(dtype, fraction) AS (SELECT unnest(string_split('BYTE SHORT LONG SBYTE UNDEFINED SSHORT SLONG IFD LONG8 SLONG8 IFD8 ASCII', ' ')), false UNION ALL SELECT unnest(string_split('RATIONAL SRATIONAL FLOAT DOUBLE', ' ')), true)"
 
 
 def add(name: str, sql: str | None = None):
@@ -96,7 +100,11 @@ def tag_encode(spark, sf):
     return p.select("p_partkey", "dtype", tags.encode(F.col("dtype"), F.col("p_retailprice"), F.col("p_brand")).alias("e")).select("p_partkey", "dtype", "e.*")
 
 
-@add("tag_validate", f"WITH {PART}, i AS (SELECT image_id, ifd, name, CASE WHEN name = 'x-type' THEN 'unknown tag' WHEN name = 'Orientation' THEN 'wrong type' WHEN name = 'ColorMatrix1' AND count <> 9 THEN 'wrong count' WHEN name IN ('Make', 'Model', 'ColorMatrix1') AND ifd <> 0 THEN 'wrong place' END AS issue FROM p) SELECT * FROM i WHERE issue IS NOT NULL")
+@add("tag_validate", f"""WITH {PART}, {REGISTRY}, {KINDS},
+t AS (SELECT r.name, bool_or(k.fraction) AS has_fraction, bool_or(NOT k.fraction) AS has_whole FROM (SELECT name, unnest(types) AS dtype FROM reg) r JOIN kind k USING (dtype) GROUP BY r.name),
+i AS (SELECT image_id, ifd, p.name, CASE WHEN reg.name IS NULL THEN 'unknown tag' WHEN NOT (CASE WHEN k.fraction THEN has_fraction ELSE has_whole END) THEN 'wrong type' WHEN need > 0 AND p.count <> need THEN 'wrong count' WHEN place <> 'any' AND NOT list_contains(kinds, place) THEN 'belongs in ' || place END AS issue
+  FROM p LEFT JOIN reg USING (name) LEFT JOIN t USING (name) JOIN kind k ON k.dtype = p.dtype)
+SELECT * FROM i WHERE issue IS NOT NULL""")
 def tag_validate(spark, sf):
     return tags.validate(views.part_tags(spark, sf), tags.registry(spark))
 

@@ -65,6 +65,9 @@ def part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         cell("ExposureTime", F.col("p_retailprice"), "RATIONAL", F.lit(1)),
         cell("ColorMatrix1", F.col("p_size"), "SRATIONAL", F.col("p_size") % 10),
         cell("Orientation", F.col("p_size"), "DOUBLE", F.lit(1)),
+        cell("BlackLevel", F.col("p_size"), "SHORT", F.lit(1)),
         cell("x-type", F.col("p_type"), "ASCII", F.octet_length("p_type") + 1),
     )
-    return p.select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 2).cast("int").alias("ifd"), F.explode(cells).alias("t")).select("image_id", "ifd", "t.*")
+    ifd = (F.col("p_partkey") % 4).cast("int")
+    kinds = F.when(ifd == 0, F.array(F.lit("ifd0"))).when(ifd == 1, F.array(F.lit("raw"))).when(ifd == 2, F.array(F.lit("exif"))).otherwise(F.array(F.lit("ifd0"), F.lit("raw")))
+    return p.select(F.col("p_partkey").alias("image_id"), ifd.alias("ifd"), kinds.alias("kinds"), F.explode(cells).alias("t")).select("image_id", "ifd", "kinds", "t.*")

@@ -52,6 +52,16 @@ def test_previews_and_linear_pages(spark, folder):
     assert {name(r.path) for r in status.collect() if r.status == "ok"} == {"linear.dng"}
 
 
+def test_mosaics(spark, folder):
+    path, _, _ = folder
+    px, status = convert.mosaics(files(spark, path), "raw")
+    rows = px.where(F.endswith("path", F.lit("raw.dng"))).collect()
+    assert len(rows) == 48 and {(r.v, r.pattern) for r in rows} == {(544.0, "RGGB")}
+    px, _ = convert.mosaics(files(spark, path))
+    assert {round(r.v, 9) for r in px.collect()} == {round(480 / 959, 9)}
+    assert {name(r.path) for r in status.collect() if r.status == "ok"} == {"raw.dng", "turned.dng"}
+
+
 def test_render_of_files(spark, folder):
     path, small, linear = folder
     own = files(spark, path)
