@@ -8,6 +8,10 @@ join the benchmark on kept hashes; each hit carries the words around it and is
 extended to every window that holds the k-gram, which is then compared as a
 string. So hashes select candidates and never decide.
 
+Most kept hashes of a document meet none of the benchmark's. While the benchmark is
+small enough to be broadcast, one bit for each of ``SIEVE_BITS`` remainders of its
+hashes, a literal of fixed size, tells that before a row is made.
+
 The benchmark's side of both joins is broadcast only if it has at most
 ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes; beyond that Spark shuffles
 the fingerprint rows. The row that stands for a document itself has join keys of
@@ -30,25 +34,42 @@ WINDOW = 10
 # Fixed value: the word pattern that the task states.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+SIEVE_BITS = 1 << 20
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
 
 
-def _kept(ws: Column, hashes: Column, length: int) -> Column:
+def _sieve(kept: DataFrame) -> Column:
+    """Bits of the hashes' remainders, 64 in a number."""
+    at = F.shiftright("hash", 32).bitwiseAND(F.lit(SIEVE_BITS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words_ = [0] * (SIEVE_BITS // 64)
+    for r in kept.groupBy(F.shiftright(at, 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).collect():
+        words_[r["at"]] = r.bits
+    return F.split(F.lit(",".join(map(str, words_))), ",").cast("array<bigint>")
+
+
+def _passes(v: Column, sieve: Column) -> Column:
+    word = F.get(sieve, F.shiftright(v, 38).bitwiseAND(F.lit(SIEVE_BITS // 64 - 1)).cast("int"))
+    return F.call_function("shiftright", word, F.shiftright(v, 32).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _kept(ws: Column, hashes: Column, length: int, sieve: Column | None) -> Column:
     """Length, k-gram place (from 1), hash and surrounding words of what
-    winnowing keeps for windows of ``length`` words."""
+    winnowing keeps for windows of ``length`` words, if ``sieve`` lets it pass."""
     k = (length + 1) // 2
     n = F.size(ws)
 
     def grams(h: Column) -> Column:
         # hash above, place below and counted down: the minimum is the rightmost of equal hashes
         low = lambda g, i: F.shiftleft(g.bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.lit(0xFFFFFFFF) - i.cast("long"))
-        return F.transform(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(h, i, k))), low)
+        return F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: low(F.xxhash64(F.slice(h, i, k)), i - 1))
 
     def least(packed: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.array_min(F.slice(packed, i, length - k + 1))))
+        every = F.array_distinct(F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.array_min(F.slice(packed, i, length - k + 1))))
+        return every if sieve is None else F.filter(every, lambda v: _passes(v, sieve))
 
     def one(v: Column) -> Column:
         place = (F.lit(0xFFFFFFFF) - v.bitwiseAND(F.lit(0xFFFFFFFF)) + 1).cast("int")
@@ -60,11 +81,11 @@ def _kept(ws: Column, hashes: Column, length: int) -> Column:
     return F.when(n >= length, F.transform(let(grams(hashes), least), one)).otherwise(none)
 
 
-def _fingerprints(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+def _fingerprints(df: DataFrame, lengths: list[int], *keep: str, sieve: Column | None = None) -> DataFrame:
     """A row for every kept k-gram, and one of length 0 for each row itself."""
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
     mark = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("first"), F.col("__id").alias("hash"), F.lit(None).cast("array<string>").alias("around")))
-    every = let(F.col("__w"), lambda w: let(hashes(w), lambda h: F.concat(mark, *[_kept(w, h, n) for n in lengths])))
+    every = let(F.col("__w"), lambda w: let(hashes(w), lambda h: F.concat(mark, *[_kept(w, h, n, sieve) for n in lengths])))
     return df.select(*keep, F.explode(every).alias("f")).select(*keep, "f.*")
 
 
@@ -87,8 +108,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
     side = F.broadcast if small else (lambda x: x)
     lengths = sorted(r.wlen for r in sizes)
     base = docs.select(F.monotonically_increasing_id().alias("__id"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), words(F.col(text)).alias("__w")).withColumn("n_words", F.size("__w").cast("long"))
-    marks = _fingerprints(base, lengths, "__id", "row", "n_words").withColumn("row", F.when(F.col("len") == 0, F.col("row")))
     kept = _fingerprints(wins.select(F.lit(0).cast("long").alias("__id"), F.split("win", " ").alias("__w")), lengths).where("len > 0").select("len", "hash").distinct().withColumn("hit", F.lit(True))
+    marks = _fingerprints(base, lengths, "__id", "row", "n_words", sieve=_sieve(kept) if small else None).withColumn("row", F.when(F.col("len") == 0, F.col("row")))
     near = marks.join(side(kept), ["len", "hash"], "left").where("len = 0 or hit")
     starts = F.when(F.col("len") > 0, F.sequence(F.lit(1), F.size("around") - F.col("len") + 1)).otherwise(F.array(F.lit(0)))
     tried = near.select("__id", "row", "n_words", "len", "first", "around", F.explode(starts).alias("s")).select(

@@ -44,7 +44,7 @@ RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
 #: Nats by which the random model must be ahead.
 MIN_LLR = 12.0
 #: Training reads about so many documents, chosen by the hash of their number.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 5_000
 #: Training words of the ordinary model have so many letters at least.
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
 SMOOTHING = 0.5
@@ -104,12 +104,15 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: i
     whole = F.coalesce(F.col(text), F.lit(""))
     total = df.count()
     chosen = df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(max(total, 1))) < sample_docs).select(whole.alias("t"))
+    # the whole patterns are tried on the few texts that show a part of them
+    shows = [F.rlike("t", F.lit(p)) for p in (ASSIGN_HINT, ACCESS, HEX)]
+    none = F.array().cast("array<string>")
     found = [
-        F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda s: F.length(s) >= ASSIGN_LEAST),
-        F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)),
-        F.regexp_extract_all("t", F.lit(HEX), F.lit(0)),
+        F.when(shows[0], F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda s: F.length(s) >= ASSIGN_LEAST)).otherwise(none),
+        F.when(shows[1], F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0))).otherwise(none),
+        F.when(shows[2], F.regexp_extract_all("t", F.lit(HEX), F.lit(0))).otherwise(none),
     ]
-    bare = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
+    bare = F.when(shows[0] | shows[1] | shows[2], F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")).otherwise(F.col("t"))
     samples = chosen.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), F.concat(*found).alias("s")), F.struct(F.lit(0).alias("random"), F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)).alias("s")))).alias("x")).select("x.random", F.explode("x.s").alias("s"))
     of = lambda c: F.transform(F.sequence(F.lit(2), F.size(c)), lambda i: F.element_at(c, i - 1) * n + F.element_at(c, i))
     # words repeat: each is taken apart once, with its count as weight

@@ -44,8 +44,8 @@ from pyspark.sql import types as T
 from sparkroom.llm.memory import PieceMemory
 
 MARK = "▁"
-MEMORY_WORDS = 800_000
-MEMORY_PAIRS = 300_000
+MEMORY_WORDS = 500_000
+MEMORY_PAIRS = 150_000
 #: Texts encoded together.
 TEXTS = 256
 #: Latin letters and digits, and ASCII marks that may stand after them.

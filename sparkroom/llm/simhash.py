@@ -67,7 +67,7 @@ FRONTIER, LEAVES = 1 << 18, 64
 HOT_KEYS, HOT_LEAST, SMALL = 10_000, 100, 5_000
 
 #: Bits of a wide fingerprint, texts in a task on average, and the walk's bits and budget.
-WIDE, WIDE_TASK, WALK_BITS, WALK_BUDGET = 1024, 2048, 14, 3
+WIDE, WIDE_TASK, WALK_BITS, WALK_BUDGET = 1024, 4096, 14, 3
 RECALL = 0.995
 #: Standard deviations between the limit and a distance that needs no comparing, and shingles that this takes.
 SURE_BY, SURE_LEAST = 3.5, 64
