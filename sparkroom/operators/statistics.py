@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkroom.sources.files import shared_dir
+
 MAX_BINS = 10_000
 CLIP_LEVEL, CLIP_PART, MIDDLE = 0.975, 0.25, 0.06
 
@@ -115,7 +117,9 @@ def diff_stats(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("image_id",
     """mean, p99 and max of the absolute difference in percent, for each ``by``
     and for all (null)."""
     joined = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), list(keys))
-    d = joined.select(by, (F.abs(F.col("_a") - F.col("_b")) * 100).alias("d"))
+    shared_dir(a.sparkSession)
+    # several passes read the differences, so the join is done once
+    d = joined.select(by, (F.abs(F.col("_a") - F.col("_b")) * 100).alias("d")).checkpoint()
     sums = d.groupingSets([[by], []], by).agg(F.avg("d").alias("mean"), F.max("d").alias("max"))
     high = exact_percentile(d, "d", 0.99, by).select(F.col(by).alias("_by"), F.col("at").alias("p99"))
     return sums.join(F.broadcast(high), F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "mean", "p99", "max")
