@@ -131,19 +131,25 @@ def camera_to_prophoto(camera_to_pcs_: np.ndarray) -> np.ndarray:
 ILLUMINANT_KELVIN = {17: 2856.0, 20: 5503.0, 21: 6504.0, 22: 7504.0, 23: 5003.0, 24: 3200.0}
 
 
-def camera_to_srgb(colour1: Sequence[float] | None, colour2: Sequence[float] | None = None, illuminants: tuple[int, int] = (17, 21), neutral: Sequence[float] | None = None, forward: Sequence[float] | None = None, balance: Sequence[float] | None = None) -> np.ndarray:
+def camera_to_srgb(colour1: Sequence[float] | None, colour2: Sequence[float] | None = None, illuminants: tuple[int, int] = (17, 21), neutral: Sequence[float] | None = None, forward: Sequence[float] | None = None, balance: Sequence[float] | None = None, white: tuple[float, float] | None = None) -> np.ndarray:
     """Camera values to linear sRGB by a file's tags: colour matrices of nine numbers
-    at two illuminants, the neutral (or none: D50), a forward matrix, and the analog
-    balance. Without a colour matrix camera values are display values."""
+    at two illuminants, the neutral (or none: D50), a forward matrix, the analog
+    balance, and a ``white`` point that goes before the neutral. Without a colour
+    matrix camera values are display values."""
     if colour1 is None:
         return np.eye(3)
     gain = np.diag(balance if balance is not None else (1.0, 1.0, 1.0))
     one, two = (gain @ np.reshape(m, (3, 3)) for m in (colour1, colour2 if colour2 is not None else colour1))
     k1, k2 = (ILLUMINANT_KELVIN.get(int(c), 5003.0) for c in illuminants)
     matrix_at = lambda kelvin: interpolate_illuminants(kelvin, (k1, one), (k2, two))
-    if neutral is None:
-        neutral = neutral_of_white(D50_XY, matrix_at(5003.0))
-    kelvin, _ = temperature_of_uv(*uv_of_xy(*white_of_neutral(neutral, matrix_at)))
+    if white is None and neutral is None:
+        white = D50_XY
+    if white is None:
+        white = white_of_neutral(neutral, matrix_at)
+        kelvin, _ = temperature_of_uv(*uv_of_xy(*white))
+    else:
+        kelvin, _ = temperature_of_uv(*uv_of_xy(*white))
+        neutral = neutral_of_white(white, matrix_at(kelvin))
     pcs = camera_to_pcs(neutral, matrix_at(kelvin), None if forward is None else np.reshape(forward, (3, 3)), np.diag(gain))
     return prophoto_to_srgb() @ camera_to_prophoto(pcs)
 

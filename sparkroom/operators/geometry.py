@@ -104,6 +104,16 @@ def pick_level(sizes: list[tuple[int, int]], scale: float) -> int:
     return max(fitting, key=lambda i: (-sizes[i][0], i)) if fitting else 0
 
 
+def scale(r: Raster, part: float, kind: str = "catmull_rom") -> Raster:
+    """The image at a part of its size: halved while that still reaches it, then
+    resampled to the exact size."""
+    h, w = max(1, round(r.height * part)), max(1, round(r.width * part))
+    wanted = max(0, int(math.log2(1 / part) + 1e-9)) if part < 1 else 0
+    made = pyramid(r, wanted)
+    level = pick_level([(x.height, x.width) for x in made.values()], part)
+    return made[level] if (made[level].height, made[level].width) == (h, w) else resize(made[level], h, w, kind)
+
+
 def preview_scale(height: int, width: int, unit: int = 128) -> str:
     """FULL, HALF or QUARTER by the smaller side."""
     small = min(height, width)

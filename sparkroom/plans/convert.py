@@ -123,30 +123,48 @@ def _wide(files: DataFrame, chosen: DataFrame, names: tuple[str, ...]) -> DataFr
     return v.groupBy("path", "y", "x").agg(*[at(i).alias(n) for i, n in enumerate(names)])
 
 
-def _matrices(colour1: pd.Series, colour2: pd.Series, k1: pd.Series, k2: pd.Series, neutral: pd.Series, forward: pd.Series, balance: pd.Series) -> pd.Series:
+def _matrices(colour1: pd.Series, colour2: pd.Series, k1: pd.Series, k2: pd.Series, neutral: pd.Series, forward: pd.Series, balance: pd.Series, kelvin: pd.Series, tint: pd.Series) -> pd.Series:
     out = []
-    for c1, c2, a, b, n, f, g in zip(colour1, colour2, k1.fillna(17), k2.fillna(21), neutral, forward, balance):
-        out.append(colour.camera_to_srgb(c1, c2, (a, b), n, f, g).reshape(-1).tolist())
+    for c1, c2, a, b, n, f, g, k, t in zip(colour1, colour2, k1.fillna(17), k2.fillna(21), neutral, forward, balance, kelvin, tint.fillna(0)):
+        white = None if pd.isna(k) else colour.xy_of_uv(*colour.uv_of_temperature(k, t))
+        out.append(colour.camera_to_srgb(c1, c2, (a, b), n, f, g, white).reshape(-1).tolist())
     return pd.Series(out)
 
 
 def camera_matrix() -> Column:
-    """Nine numbers, camera to linear sRGB, of the columns of ``pages_of``; files are
-    few against pixels, so this is the one Python step."""
-    return F.pandas_udf(_matrices, "array<double>")("colour1", "colour2", "illuminant1", "illuminant2", "neutral", "forward", "balance")
+    """Nine numbers, camera to linear sRGB, of the columns of ``pages_of`` and of
+    Temperature and Tint; files are few against pixels, so this is the one Python step."""
+    return F.pandas_udf(_matrices, "array<double>")("colour1", "colour2", "illuminant1", "illuminant2", "neutral", "forward", "balance", "Temperature", "Tint")
+
+
+# Columns of a settings file and their types.
+SETTINGS = {"Temperature": "double", "Tint": "double", "Exposure2012": "double", "orientation": "int"}
+
+
+def _with_settings(mains: DataFrame, settings: DataFrame | None) -> DataFrame:
+    """Pages with their settings: by path, or by file name where ``settings`` has
+    ``filename``. What a file has no setting for is as its tags say."""
+    if settings is None:
+        return mains.withColumns({k: F.lit(None).cast(t) for k, t in SETTINGS.items() if k in ("Temperature", "Tint")})
+    own = [(F.col(k) if k in settings.columns else F.lit(None)).cast(t).alias(f"_{k}") for k, t in SETTINGS.items()]
+    if "filename" in settings.columns:
+        named = mains.withColumn("_name", F.regexp_extract("path", r"([^/]*)$", 1))
+        joined = named.join(settings.select(F.col("filename").alias("_name"), *own), "_name", "left").drop("_name")
+    else:
+        joined = mains.join(settings.select("path", *own), "path", "left")
+    given = {"exposure": F.coalesce("_Exposure2012", "exposure"), "orientation": F.coalesce("_orientation", "orientation"), "Temperature": F.col("_Temperature"), "Tint": F.col("_Tint")}
+    return joined.withColumns(given).drop(*[f"_{k}" for k in SETTINGS])
 
 
 def render_files(files: DataFrame, settings: DataFrame | None = None, algorithm: str = "bilinear") -> tuple[DataFrame, DataFrame]:
     """Display values (path, y, x, r, g, b in [0, 1]) of the main page of each file,
     and path, status and error of every file.
 
-    ``settings`` overrides by ``path``: columns Exposure2012 and orientation, where
-    not null. Pages that are no raw ones are shown as they are."""
+    ``settings`` overrides by ``path`` or ``filename``: columns Temperature, Tint,
+    Exposure2012 and orientation, where not null. Pages that are no raw ones are
+    shown as they are."""
     pages = pages_of(files)
-    mains = main_pages(pages)
-    if settings is not None:
-        own = settings.select("path", F.col("Exposure2012").alias("_e"), F.col("orientation").alias("_o"))
-        mains = mains.join(own, "path", "left").withColumns({"exposure": F.coalesce("_e", "exposure"), "orientation": F.coalesce("_o", "orientation")}).drop("_e", "_o")
+    mains = _with_settings(main_pages(pages), settings)
     layouts = [r.asDict() for r in mains.select(*LAYOUT).distinct().collect()]
     own = mains.select(F.col("path").alias("image_id"), camera_matrix().alias("m"), F.coalesce("exposure", F.lit(0.0)).alias("ev"))
     done = [_render_layout(files, mains, own, layout, algorithm) for layout in layouts]
@@ -186,23 +204,26 @@ def encode_rgb(pixels: DataFrame, bits: int = 8) -> DataFrame:
     return tiff.encode_pages([page]).withColumnRenamed("image_id", "path")
 
 
-def copy_pages(files: DataFrame, levels: int = 0, preview: bool = True) -> DataFrame:
-    """path and content of copies of one layout's linear pages: 16 bits, ``levels``
-    halvings as further raw pages, and a rendered preview of the last one's size."""
+def copy_pages(files: DataFrame, levels: int = 0, preview: bool = True, least: int = geometry.MIN_LEVEL, source: int = geometry.MIN_SOURCE) -> DataFrame:
+    """path and content of copies of one layout's linear pages: 16 bits, up to
+    ``levels`` halvings as further raw pages (of sources of ``source`` pixels, down to
+    ``least``), and a rendered preview, full, half or a quarter of the size."""
     pages = pages_of(files)
     linear = _largest(pages.where("role = 'linear'"))
     shapes = linear.select("height", "width").distinct().collect()
     if len(shapes) != 1:
         raise ValueError(f"expected files of one size, got {len(shapes)}")
-    r = Raster(_wide(files, linear, RGB).withColumnRenamed("path", "image_id"), shapes[0].height, shapes[0].width, RGB)
+    h, w = shapes[0].height, shapes[0].width
+    r = Raster(_wide(files, linear, RGB).withColumnRenamed("path", "image_id"), h, w, RGB)
+    kept = geometry.levels(h, w, levels, least, source)
+    shown = {"FULL": 0, "HALF": 1, "QUARTER": 2}[geometry.preview_scale(h, w, least)]
+    sizes = geometry.pyramid(r, max([shown if preview else 0, *kept]))
     raw = {tiff.PHOTOMETRIC: (3, (tiff.LINEAR_RAW,))}
-    made = [tiff.PageRows(_quantized(r.df.withColumnRenamed("image_id", "path"), RGB, 65535), RGB, "u2", tags=raw)]
-    for _ in range(levels):
-        r = geometry.halve(r)
-        made.append(tiff.PageRows(_quantized(r.df.withColumnRenamed("image_id", "path"), RGB, 65535), RGB, "u2", tags=raw | {tiff.SUBTYPE: (4, (PREVIEW_SUBTYPE,))}))
+    page = lambda r, top, dtype, tags: tiff.PageRows(_quantized(r.df.withColumnRenamed("image_id", "path"), RGB, top), RGB, dtype, tags=tags)
+    made = [page(r, 65535, "u2", raw)]
+    made += [page(sizes[level], 65535, "u2", raw | {tiff.SUBTYPE: (4, (PREVIEW_SUBTYPE,))}) for level in kept]
     if preview:
-        shown = r.map(points.srgb_gamma)
-        made.append(tiff.PageRows(_quantized(shown.df.withColumnRenamed("image_id", "path"), RGB, 255), RGB, "u1", tags={tiff.SUBTYPE: (4, (PREVIEW_SUBTYPE,))}))
+        made.append(page(sizes[shown].map(points.srgb_gamma), 255, "u1", {tiff.SUBTYPE: (4, (PREVIEW_SUBTYPE,))}))
     return tiff.encode_pages(made).withColumnRenamed("image_id", "path")
 
 

@@ -270,11 +270,11 @@ def opcode_list(spark, sf):
     return out(opcodes.apply_opcodes(views.cfa(spark, sf), ops))
 
 
-def _resize_sql(weight: str, reach: int) -> str:
+def _resize_sql(weight: str, reach: int, source: str = "cfa", before: str = "", height: str = "h", width: int = 100, to_height: str = "h // 2", to_width: int = 60) -> str:
     """Every target pixel as weighted mean of the source pixels in reach."""
     axis = lambda t, sc, s: weight.format(d=f"((({t} + 0.5e0) * {sc} - 0.5e0 - {s}) / greatest(1e0, {sc}))")
-    return f"""WITH {CFA}, t AS (SELECT h // 2 AS th, h / CAST(h // 2 AS DOUBLE) AS sy, 100 / 60e0 AS sx FROM dim),
-px AS (SELECT c.y, tx.x, c.v, {axis('tx.x', 'sx', 'c.x')} AS w FROM cfa c, t, (SELECT unnest(range(0, 60)) AS x) tx WHERE abs((tx.x + 0.5e0) * sx - 0.5e0 - c.x) <= {reach} * sx),
+    return f"""WITH {CFA}, {before}t AS (SELECT CAST({to_height} AS BIGINT) AS th, ({height}) / CAST(CAST({to_height} AS BIGINT) AS DOUBLE) AS sy, {width} / {to_width}e0 AS sx FROM dim),
+px AS (SELECT c.y, tx.x, c.v, {axis('tx.x', 'sx', 'c.x')} AS w FROM {source} c, t, (SELECT unnest(range(0, {to_width})) AS x) tx WHERE abs((tx.x + 0.5e0) * sx - 0.5e0 - c.x) <= {reach} * sx),
 hx AS (SELECT y, x, sum(v * w) / sum(w) AS v FROM px GROUP BY y, x),
 ty AS (SELECT unnest(range(0, th)) AS y FROM t),
 py AS (SELECT ty.y, hx.x, hx.v, {axis('ty.y', 'sy', 'hx.y')} AS w FROM hx, t, ty WHERE abs((ty.y + 0.5e0) * sy - 0.5e0 - hx.y) <= {reach} * sy)
@@ -295,6 +295,12 @@ for _kind, _weight, _reach in (("catmull_rom", _CUBIC, 2), ("lanczos", _LANCZOS,
 
 
 _LIN = "lin AS (SELECT y, x, least(greatest((v - b) / (1e0 - b), 0e0), 1e0) AS v FROM (SELECT *, CASE WHEN y % 2 = 0 THEN CASE WHEN x % 2 = 0 THEN 0.01e0 ELSE 0.02e0 END ELSE CASE WHEN x % 2 = 0 THEN 0.03e0 ELSE 0.015e0 END END AS b FROM cfa))"
+@add("scaled", _resize_sql(_CUBIC, 2, "half", "half AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM cfa, dim WHERE y < h // 2 * 2 GROUP BY ALL), ", "h // 2", 50, "round(h * 0.3e0)", 30))
+def scaled(spark, sf):
+    """The image at 0.3 of its size: halved once, then resampled."""
+    return out(geometry.scale(views.cfa(spark, sf), 0.3), 9)
+
+
 _STAGE_SQL = f"""
 WITH {CFA}, {_LIN}, k AS ({MASK.replace('FROM cfa', 'FROM lin')}), rgb AS (SELECT f.y, f.x, r, g, b FROM {_fill_sql('k', {'r': 'kr', 'g': 'kg', 'b': 'kb'})} f JOIN cfa USING (y, x)),
 cam AS (UNPIVOT (SELECT r, g, b FROM rgb) ON r, g, b INTO NAME c VALUE v),

@@ -241,7 +241,7 @@ def copy_pages(spark, sf):
 
     linear = tiff.encode_pages([tiff.PageRows(_frames(spark, sf), tags={tiff.PHOTOMETRIC: (3, (tiff.LINEAR_RAW,))})])
     own = linear.select(F.concat(F.lit("/frames/"), F.col("image_id").cast("string"), F.lit(".dng")).alias("path"), "content")
-    made = convert.copy_pages(own, levels=1, preview=False).withColumn("ifd", F.explode(F.array(F.lit(0), F.lit(1))))
+    made = convert.copy_pages(own, levels=1, preview=False, least=2, source=4).withColumn("ifd", F.explode(F.array(F.lit(0), F.lit(1))))
     parts = [tiff.pixels_of(made.where(F.col("ifd") == i)).groupBy(_id()).agg(F.lit(i).alias("page"), F.count("*").alias("n"), F.sum("v").cast("long").alias("total")) for i in (0, 1)]
     return parts[0].union(parts[1])
 

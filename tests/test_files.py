@@ -80,6 +80,12 @@ def test_colour_of_files(spark, tmp_path):
     fractions = lambda values: tuple((round(v * 10000), 10000) for v in values)
     tags = {tiff.PHOTOMETRIC: (3, (tiff.LINEAR_RAW,)), convert.COLOUR1: (10, fractions(matrix)), convert.NEUTRAL: (5, fractions((0.6, 1.0, 0.7))), convert.ILLUMINANT1: (3, (21,))}
     (tmp_path / "c.dng").write_bytes(tiff.build([(np.full((2, 2, 3), (6000, 10000, 7000), np.uint16), tags)]))
+    settings = spark.createDataFrame([("c.dng", 3200.0, 10.0), ("other.dng", 9000.0, None)], "filename string, Temperature double, Tint double")
+    px, _ = convert.render_files(files(spark, tmp_path), settings)
+    white = colour.xy_of_uv(*colour.uv_of_temperature(3200.0, 10.0))
+    other = colour.camera_to_srgb(matrix, None, (21, 21), (0.6, 1.0, 0.7), white=white) @ (np.array((6000, 10000, 7000)) / 65535)
+    show = lambda v: np.where(v <= 0.0031308, v * 12.92, v.clip(1e-9, 1) ** (1 / 2.4) * 1.055 - 0.055)
+    assert np.allclose(image(px, "c.dng")[0, 0], show(other.clip(0, 1)), atol=1e-6)
     px, _ = convert.render_files(files(spark, tmp_path))
     want = colour.camera_to_srgb(matrix, None, (21, 21), (0.6, 1.0, 0.7)) @ (np.array((6000, 10000, 7000)) / 65535)
     got = image(px, "c.dng")[0, 0]
@@ -88,10 +94,12 @@ def test_colour_of_files(spark, tmp_path):
 
 def test_copies_with_levels_and_preview(spark, folder):
     path, _, linear = folder
-    made = convert.copy_pages(files(spark, path).where(F.endswith("path", F.lit("linear.dng"))), levels=2).first().content
+    made = convert.copy_pages(files(spark, path).where(F.endswith("path", F.lit("linear.dng"))), levels=3, least=2, source=4).first().content
     pages = tiff.pages(bytes(made))
     assert [(p.first(tiff.HEIGHT), p.first(tiff.WIDTH), p.first(tiff.SUBTYPE, 0), p.first(tiff.BITS)) for p in pages] == [(8, 12, 0, 16), (4, 6, 1, 16), (2, 3, 1, 16), (2, 3, 1, 8)]
     assert np.array_equal(tiff.pixels(bytes(made), pages[0]), linear)
+    small = convert.copy_pages(files(spark, path).where(F.endswith("path", F.lit("linear.dng"))), levels=3).first().content
+    assert [(p.first(tiff.HEIGHT), p.first(tiff.SUBTYPE, 0)) for p in tiff.pages(bytes(small))] == [(8, 0), (8, 1)]  # too small for a pyramid
     half = linear.reshape(4, 2, 6, 2, 3).mean((1, 3))
     assert np.abs(tiff.pixels(bytes(made), pages[1]).astype(float) - half).max() <= 0.5
 

@@ -173,6 +173,15 @@ def test_levels_and_scales():
     assert [geometry.preview_scale(n, 999) for n in (200, 256, 512)] == ["FULL", "HALF", "QUARTER"]
 
 
+def test_scaled_images(spark):
+    flat = raster(spark, np.full((16, 24), 0.3))
+    for part, size in ((1.0, (16, 24)), (0.5, (8, 12)), (0.3, (5, 7)), (0.125, (2, 3))):
+        r = geometry.scale(flat, part)
+        assert (r.height, r.width) == size and array(r).shape == size and np.allclose(array(r), 0.3)
+    cut = geometry.crop_fraction(raster(spark, np.arange(40.0).reshape(5, 8)), 0.25, 0.2, 0.75, 1.0)
+    assert np.array_equal(array(cut), np.arange(40.0).reshape(5, 8)[1:, 2:6])
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(1, v) for v in (-1.0, 0.0, 5.0, 9.99, 10.0, 11.0)], "image_id int, v double")
     got = {r.bin: r.n for r in statistics.histogram(df, 10.0, 10).collect()}
