@@ -5,13 +5,15 @@ text, reduced to lower-case letters and single blanks. A text, reduced alike, is
 cut into blocks of ``BLOCK`` bytes, each block is compressed with each
 dictionary, and the language whose sizes add up to least wins. Blocks keep the
 dictionary in reach through a long text and bound memory; all blocks of a text
-count. ``WAYS`` dictionaries of disjoint samples for each language give a finer
-scale where one byte decides. Texts of all lengths are compressed alike.
+count. Texts of all lengths are compressed alike, at a level that takes matches
+of three bytes where they pay: faster ones leave most texts of a few words as they
+are, whatever the dictionary, and can't tell them apart.
 
 A text is accepted if the runner-up needs more than ``MIN_MARGIN`` of the
-winner's bytes in addition, and ``MIN_BYTES`` at least (sizes are means over the
-ways, so half a byte is the least difference there is); others are rejected. The
-score is the winner's share when sizes are turned into likelihoods.
+winner's bytes in addition, and ``MIN_BYTES`` at least; others are rejected. The
+score is the winner's share when sizes are turned into likelihoods. ``WAYS`` is
+the number of dictionaries of disjoint samples for each language, whose sizes are
+averaged.
 
 The sample is bounded: about ``SAMPLE_DOCS`` documents of each language, chosen
 by the hash of their number, give ``PIECE`` characters each, and all of them stand
@@ -37,10 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
-SAMPLE_DOCS, PIECE = 400, 256
-WAYS, BLOCK = 2, 2048
+SAMPLE_DOCS, PIECE = 700, 256
+WAYS, BLOCK = 1, 2048
 #: Level and least match length of zstandard.
-LEVEL, MATCH = 6, 3
+LEVEL, MATCH = 11, 3
 MIN_MARGIN, MIN_BYTES = 0.002, 1.0
 #: Nats that a byte of difference counts in the score.
 BYTE_NATS = 0.6
