@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkroom.llm import bitplane, decontam, htmldiff, langid, secrets, sentencepiece, sharding, simhash, topk, urlfilter
+from sparkroom.llm import bitplane, centroids, decontam, htmldiff, langid, secrets, sentencepiece, sharding, simhash, topk, turns, urlfilter, vectordup
 from sparkroom.llm.common import table
 
 
@@ -131,6 +131,143 @@ def op8_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH RECURSIVE r AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x,
+         embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fits
+  FROM embeddings),
+v AS (SELECT rid, vec_id, x, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS norm FROM r WHERE fits),
+e AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b
+  FROM v a JOIN v b ON a.rid <> b.rid AND len(a.x) = len(b.x)
+  WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT rid AS a, rid AS b FROM r UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+root AS (SELECT a AS rid, min(vec_id) AS component_id FROM reach JOIN r ON reach.b = r.rid GROUP BY a),
+links AS (SELECT a AS rid, count(*) AS n_links FROM e GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM r JOIN root USING (rid) LEFT JOIN links USING (rid)
+"""
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centres = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    named = centroids.with_inertia(rows, centres)
+    return named.select(F.col("key").alias("vec_id"), "cluster", F.col("exact").alias("distance"), "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op12_sql() -> str:
+    """Rounds of plain comparison, one after the other."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': d, 'cluster': cluster}}) AS best
+  FROM (SELECT rid, vec_id, x, cluster, CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{b})
+  GROUP BY rid)"""
+    means = """c{r} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.c, o.c) AS c
+  FROM c{b} o LEFT JOIN (
+    SELECT cluster, list(e ORDER BY j) AS c
+    FROM (SELECT cluster, j, CAST((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) / count(*) AS BIGINT) AS e
+          FROM (SELECT best.cluster AS cluster, CAST(unnest(x) AS BIGINT) AS e, generate_subscripts(x, 1) AS j FROM a{r}) GROUP BY cluster, j)
+    GROUP BY cluster) m USING (cluster))"""
+    rounds = ",\n".join(part.format(r=r, b=r - 1) for r in range(1, 6) for part in (nearest, means))
+    return (
+        """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), vec_id, x) - 1 AS INTEGER) AS cluster, x AS c
+  FROM v QUALIFY cluster < 40),
+"""
+        + rounds
+        + ",\n"
+        + nearest.format(r=6, b=5)
+        + """
+SELECT vec_id, best.cluster AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.c, ',')) AS centroid_sha256
+FROM a6 JOIN c5 ON a6.best.cluster = c5.cluster
+"""
+    )
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damage(table(spark, sf_dir, "conversations")), dropped=F.col("dropped"))
+
+
+# the least cost and edits of each place in the pattern, turn by turn
+OP13_SQL = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_reduce(
+           flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                  lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+           CAST(4294967295 AS BIGINT)) AS crc
+  FROM conversations),
+fated AS (SELECT *, xor(crc, 4294967295) % 20 AS fate FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN fate = 0 THEN 0 WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fated),
+placed AS (
+  SELECT conv_id, turn, role, text, substring(role, 1, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open_end
+  FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN blank THEN 'blank' WHEN again THEN 'duplicate' WHEN open_end THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM faults GROUP BY conv_id),
+given(f, t, role) AS (VALUES ('0', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+inserted AS (
+  SELECT f, t, 2 AS cost, 'I' AS edits, [role || ':'] AS lines FROM given
+  UNION ALL SELECT a.f, b.t, 4, 'II', [a.role || ':', b.role || ':'] FROM given a JOIN given b ON a.t = b.f
+  UNION ALL SELECT unnest(['0', 's', 'u', 'a']), unnest(['0', 's', 'u', 'a']), 0, '', CAST([] AS VARCHAR[])),
+follow(f, t) AS (VALUES ('0', 's'), ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+steps AS (
+  SELECT conv_id, i, f, unnest([
+    {'t': f, 'cost': 3, 'edit': 'D', 'lines': CAST([] AS VARCHAR[])},
+    {'t': CASE WHEN fault NOT IN ('blank', 'duplicate') AND (f, initial) IN (SELECT (f, t) FROM follow) THEN initial END, 'cost': CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'edit': 'K', 'lines': [role || ':' || text]},
+    {'t': CASE WHEN fault NOT IN ('blank', 'duplicate') THEN CASE WHEN f = 'u' THEN 'a' ELSE 'u' END END, 'cost': CASE WHEN fault = 'truncated' THEN 3 ELSE 2 END, 'edit': 'R',
+     'lines': [CASE WHEN f = 'u' THEN 'assistant:' ELSE 'user:' END || text]}]) AS s
+  FROM faults, (SELECT unnest(['0', 's', 'u', 'a']) AS f)),
+state AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '0' AS g, {'cost': CAST(0 AS BIGINT), 'edits': '', 'lines': CAST([] AS VARCHAR[])} AS best FROM counts
+  UNION ALL
+  SELECT conv_id, i, g, best FROM (
+    SELECT state.conv_id, steps.i, steps.s.t AS g,
+           min({'cost': CAST(state.best.cost + inserted.cost + steps.s.cost AS BIGINT), 'edits': state.best.edits || inserted.edits || steps.s.edit, 'lines': list_concat(list_concat(state.best.lines, inserted.lines), steps.s.lines)}) AS best
+    FROM state JOIN inserted ON state.g = inserted.f
+    JOIN steps ON steps.conv_id IS NOT DISTINCT FROM state.conv_id AND steps.i = state.i + 1 AND steps.f = inserted.t
+    WHERE steps.s.t IS NOT NULL
+    GROUP BY state.conv_id, steps.i, steps.s.t)),
+ended AS (
+  SELECT s.conv_id, min({'cost': s.best.cost + x.cost, 'edits': s.best.edits || x.edits, 'lines': list_concat(s.best.lines, x.lines)}) AS best
+  FROM state s JOIN counts k ON k.conv_id IS NOT DISTINCT FROM s.conv_id AND k.n = s.i JOIN inserted x ON x.f = s.g
+  WHERE x.t IN ('0', 'a') GROUP BY s.conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.edits, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM every LEFT JOIN counts ON every.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN ended ON every.conv_id IS NOT DISTINCT FROM ended.conv_id
+"""
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_sentencepiece": op2_sentencepiece,
@@ -142,6 +279,9 @@ QUERIES = {
     "op8_bitplane": op8_bitplane,
     "op9_top_k": op9_top_k,
     "op10_secrets": op10_secrets,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_clustering": op12_clustering,
+    "op13_conversations": op13_conversations,
 }
 
-ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op9_top_k": OP9_SQL}
+ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op9_top_k": OP9_SQL, "op11_embedding_dedup": OP11_SQL, "op12_clustering": OP12_SQL, "op13_conversations": OP13_SQL}
