@@ -110,16 +110,20 @@ def camera_to_pcs(camera_neutral: Sequence[float], xyz_to_camera: np.ndarray, fo
 def white_of_neutral(neutral: Sequence[float], matrix_at, tries: int = 30) -> tuple[float, float]:
     """The white point whose camera neutral is ``neutral``: ``matrix_at`` gives the
     XYZ-to-camera matrix at a temperature, and temperature follows from the white,
-    so both are found by turns, from D50 on."""
-    xy = D50_XY
+    so both are found by turns, from D50 on, as the public DNG specification describes
+    (chapter 6, translating camera neutral coordinates to white balance xy).
+
+    Each turn shrinks the difference by the part that the matrices differ between two
+    temperatures, as a rule to a tenth; ``tries`` turns are for matrices far apart. If
+    turns go back and forth for good, the middle of the last two is the result."""
+    xy = last = D50_XY
     for _ in range(tries):
         kelvin, _ = temperature_of_uv(*uv_of_xy(*xy))
         white = np.linalg.solve(np.array(matrix_at(kelvin), float), np.asarray(neutral, float))
-        new = tuple(white[:2] / white.sum())
-        if max(abs(a - b) for a, b in zip(new, xy)) < 1e-9:
-            return new
-        xy = new
-    return xy
+        last, xy = xy, tuple(float(v) for v in white[:2] / white.sum())
+        if max(abs(a - b) for a, b in zip(last, xy)) < 1e-9:
+            return xy
+    return tuple((a + b) / 2 for a, b in zip(last, xy))
 
 
 def camera_to_prophoto(camera_to_pcs_: np.ndarray) -> np.ndarray:
@@ -131,27 +135,37 @@ def camera_to_prophoto(camera_to_pcs_: np.ndarray) -> np.ndarray:
 ILLUMINANT_KELVIN = {17: 2856.0, 20: 5503.0, 21: 6504.0, 22: 7504.0, 23: 5003.0, 24: 3200.0}
 
 
-def camera_to_srgb(colour1: Sequence[float] | None, colour2: Sequence[float] | None = None, illuminants: tuple[int, int] = (17, 21), neutral: Sequence[float] | None = None, forward: Sequence[float] | None = None, balance: Sequence[float] | None = None, white: tuple[float, float] | None = None) -> np.ndarray:
-    """Camera values to linear sRGB by a file's tags: colour matrices of nine numbers
-    at two illuminants, the neutral (or none: D50), a forward matrix, the analog
-    balance, and a ``white`` point that goes before the neutral. Without a colour
-    matrix camera values are display values."""
+def working_matrix(colour1: Sequence[float] | None, colour2: Sequence[float] | None = None, illuminants: tuple[int, int] = (17, 21), neutral: Sequence[float] | None = None, forward: Sequence[float] | None = None, balance: Sequence[float] | None = None, white: tuple[float, float] | None = None, calibrations: tuple = (None, None), forward2: Sequence[float] | None = None) -> np.ndarray:
+    """Camera values to linear ProPhoto RGB by a file's tags: colour matrices of nine
+    numbers at two illuminants with their cameras' calibrations, the neutral (or none:
+    D50), forward matrices, the analog balance, and a ``white`` point that goes before
+    the neutral. Without a colour matrix camera values are taken for linear sRGB."""
     if colour1 is None:
-        return np.eye(3)
+        return np.linalg.inv(prophoto_to_srgb())
+    square = lambda m: np.reshape(np.asarray(m, float), (3, 3))
+    given = lambda m, other: m if m is not None else other
     gain = np.diag(balance if balance is not None else (1.0, 1.0, 1.0))
-    one, two = (gain @ np.reshape(m, (3, 3)) for m in (colour1, colour2 if colour2 is not None else colour1))
+    own = [square(c) if c is not None else np.eye(3) for c in calibrations]
+    one, two = (gain @ c @ square(m) for c, m in zip(own, (colour1, given(colour2, colour1))))
     k1, k2 = (ILLUMINANT_KELVIN.get(int(c), 5003.0) for c in illuminants)
-    matrix_at = lambda kelvin: interpolate_illuminants(kelvin, (k1, one), (k2, two))
+    between = lambda kelvin, a, b: interpolate_illuminants(kelvin, (k1, a), (k2, b))
     if white is None and neutral is None:
         white = D50_XY
     if white is None:
-        white = white_of_neutral(neutral, matrix_at)
+        white = white_of_neutral(neutral, lambda kelvin: between(kelvin, one, two))
         kelvin, _ = temperature_of_uv(*uv_of_xy(*white))
     else:
         kelvin, _ = temperature_of_uv(*uv_of_xy(*white))
-        neutral = neutral_of_white(white, matrix_at(kelvin))
-    pcs = camera_to_pcs(neutral, matrix_at(kelvin), None if forward is None else np.reshape(forward, (3, 3)), np.diag(gain))
-    return prophoto_to_srgb() @ camera_to_prophoto(pcs)
+        neutral = neutral_of_white(white, between(kelvin, one, two))
+    ahead = None
+    if forward is not None or forward2 is not None:
+        ahead = between(kelvin, square(given(forward, forward2)), square(given(forward2, forward)))
+    return camera_to_prophoto(camera_to_pcs(neutral, between(kelvin, one, two), ahead, np.diag(gain)))
+
+
+def camera_to_srgb(colour1: Sequence[float] | None, *tags, **more) -> np.ndarray:
+    """Camera values to linear sRGB by a file's tags (``working_matrix``)."""
+    return np.eye(3) if colour1 is None else prophoto_to_srgb() @ working_matrix(colour1, *tags, **more)
 
 
 def mired_weight(kelvin: float, low: float, high: float) -> float:

@@ -67,9 +67,17 @@ def radial_gain(x: Column, y: Column, k: Sequence[float], cx: float, cy: float,
     return 1.0 + polynomial(r2, k) * r2
 
 
-def exposure_ramp(v: Column, exposure: float | Column, shadows: float = 5.0, shadow_scale: float = 1.0, toe: float | None = None) -> Column:
+def exposure_ramp(v: Column, exposure: float | Column, shadows: float | Column = 5.0, shadow_scale: float = 1.0, toe: float | None = None) -> Column:
     """Linear between black and white, with a quadratic toe that meets the line
-    with equal slope; the toe's radius is black unless given."""
+    with equal slope; the toe's radius is black unless given. ``shadows`` may be a
+    column, then scaled already."""
+    if isinstance(shadows, Column):
+        e = exposure if isinstance(exposure, Column) else F.lit(float(exposure))
+        white = F.lit(1.0) / F.pow(F.lit(2.0), F.greatest(e, F.lit(0.0)))
+        black = F.least(shadows * 0.001, white * 0.99)
+        line = (v - black) / (white - black)
+        foot = v * v / ((white - black) * 4 * F.nullif(black, F.lit(0.0)))
+        return clamp(F.when(black <= 0, line).when(v <= 0, F.lit(0.0)).when(v < black * 2, foot).otherwise(line))
     level = shadows * shadow_scale * 0.001
     if isinstance(exposure, Column):
         white = F.lit(1.0) / F.pow(F.lit(2.0), F.greatest(exposure, F.lit(0.0)))
@@ -86,6 +94,25 @@ def exposure_ramp(v: Column, exposure: float | Column, shadows: float = 5.0, sha
     return clamp(F.when(v <= black - r, F.lit(0.0)).when(v < black + r, foot).otherwise(line))
 
 
+def exposure_tone(v: Column, exposure: float | Column) -> Column:
+    """Darkening by an exposure below 0: a line of slope 2^exposure up to a quarter,
+    and from there the parabola that goes on smoothly and ends at 1."""
+    e = exposure if isinstance(exposure, Column) else F.lit(float(exposure))
+    slope = F.pow(F.lit(2.0), e)
+    a = (1 - slope) * (16 / 9)
+    b = slope - a / 2
+    dark = F.when(v <= 0.25, v * slope).otherwise((v * a + b) * v + (1 - a - b))
+    return F.when(e < 0, dark).otherwise(v)
+
+
+def lut_column(v: Column, table: Column) -> Column:
+    """``lut`` with a table of its own in each row; a null table changes nothing."""
+    last = F.size(table) - 1
+    at = clamp(v) * last
+    i = F.least(F.floor(at), last - 1).cast("int")
+    return F.when(table.isNull(), v).otherwise(F.get(table, i) + (F.get(table, i + 1) - F.get(table, i)) * (at - i))
+
+
 def srgb_gamma(v: Column) -> Column:
     return F.when(v <= 0.0031308, v * 12.92).otherwise(F.pow(v, F.lit(1 / 2.4)) * 1.055 - 0.055)
 

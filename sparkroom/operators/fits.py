@@ -93,12 +93,14 @@ def avm(header: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def dng_tags(frames: DataFrame, header: str = "header", seconds: Column | None = None, zone: str | None = None, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def dng_tags(frames: DataFrame, header: str = "header", seconds: Column | None = None, zone: str | None = None, keys: Sequence[str] = ("image_id",), exposure: float | None = None, linear: bool = False, white_xy: tuple[float, float] | None = None) -> DataFrame:
     """``keys``, name and value (a list of texts) of the tags that a header, and the
     columns black and exposure of the frame's statistics, give.
 
     A pedestal in the header goes before a measured black level, and shifts move
-    the time of capture, not its zone."""
+    the time of capture, not its zone. An ``exposure`` given by hand goes before
+    statistics, of exposure and of black (0 gives no tag); ``linear`` adds a straight
+    tone curve, and ``white_xy`` a white point."""
     get = lambda k: F.nullif(F.trim(F.try_element_at(header, F.lit(k))), F.lit(""))
     one = lambda v: F.when(v.isNotNull(), F.array(v.cast("string")))
     whole = lambda k: F.floor(get(k).try_cast("double")).cast("long")
@@ -115,10 +117,14 @@ def dng_tags(frames: DataFrame, header: str = "header", seconds: Column | None =
         "Software": one(get("SWCREATE")),
         "ExposureTime": one(get("EXPTIME").try_cast("double")),
         "DateTimeOriginal": one(stamp),
-        "BlackLevel": one(F.coalesce(whole("PEDESTAL"), F.col("black").cast("long"))),
+        "BlackLevel": one(F.coalesce(whole("PEDESTAL"), F.col("black").cast("long") if exposure is None else F.lit(None))),
         "WhiteLevel": one(whole("CWHITE")),
-        "BaselineExposure": one(F.col("exposure")),
+        "BaselineExposure": one(F.col("exposure") if exposure is None else F.lit(float(exposure) or None)),
     }
+    if linear:
+        given["ProfileToneCurve"] = F.array(*map(F.lit, ("0.0", "0.0", "1.0", "1.0")))
+    if white_xy is not None:
+        given["AsShotWhiteXY"] = F.array(*[F.lit(str(float(v))) for v in white_xy])
     if zone:
         given |= {k: F.array(F.lit(zone)) for k in ("OffsetTimeOriginal", "OffsetTimeDigitized", "OffsetTime")}
     cells = F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in given.items()])

@@ -81,6 +81,20 @@ def auto_exposure(hist: DataFrame, white: float, bins: int, pedestal: str | None
     return agg.select(image, black.alias("black"), "median", "clipped", exposure.alias("exposure"))
 
 
+def auto_exposure_of(hist: DataFrame, pedestal: str | None = None, image: str = "image_id") -> DataFrame:
+    """``auto_exposure`` where each image has white and bins of its own, as columns of
+    ``hist``."""
+    c = cdf(hist, image)
+    left = F.col("bin") * F.col("white") / F.col("bins")
+    edge = lambda p: F.floor(F.min(F.when(F.col("cdf") >= p, F.col("bin"))) * F.max(F.col("white") / F.col("bins")))
+    below = F.coalesce(F.max(F.when(left < F.col("white") * CLIP_LEVEL, F.col("cdf"))), F.lit(0.0))
+    given = F.max(pedestal) if pedestal else F.lit(None)
+    agg = c.groupBy(image).agg(edge(0.01).alias("p1"), edge(0.5).alias("median"), ((1 - below) > CLIP_PART).alias("clipped"), given.cast("long").alias("given"), F.max("white").alias("white"))
+    black = F.coalesce("given", F.when(F.col("p1") > 0, F.col("p1")))
+    exposure = F.when(~F.col("clipped") & (F.col("median") > 0), F.log2(F.col("white") * MIDDLE / F.col("median")))
+    return agg.select(image, black.alias("black"), "median", "clipped", exposure.alias("exposure"))
+
+
 #: Bins of the first pass of an exact percentile.
 DIFF_BINS = 4096
 

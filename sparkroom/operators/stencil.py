@@ -24,8 +24,10 @@ ALGORITHMS = ("bilinear", "ea", "ea_fast")
 BAND, HALO = 1024, 3
 
 
-def colour_at(pattern: str, y: Column, x: Column) -> Column:
-    """Colour letter of a pixel."""
+def colour_at(pattern: str | Column, y: Column, x: Column) -> Column:
+    """Colour letter of a pixel; the pattern may be a column."""
+    if isinstance(pattern, Column):
+        return F.substring(pattern, ((y % 2) * 2 + x % 2 + 1).cast("int"), F.lit(1))
     if pattern not in PATTERNS:
         raise ValueError(f"no pattern {pattern!r}")
     return F.get(F.lit(list(pattern)), ((y % 2) * 2 + x % 2).cast("int"))
@@ -79,17 +81,18 @@ def _fill(df: DataFrame, planes: dict[str, str], rows_first: bool = True) -> Dat
     return df.withColumns({new: value(src) for new, src in planes.items()})
 
 
-def _planes(df: DataFrame, pattern: str) -> DataFrame:
+def _planes(df: DataFrame, pattern: str | Column) -> DataFrame:
     colour = colour_at(pattern, F.col("y"), F.col("x"))
     return df.withColumn("colour", colour)
 
 
-def demosaic(r: Raster, pattern: str = "RGGB", algorithm: str = "bilinear") -> Raster:
-    """One-channel mosaic to r, g and b."""
+def demosaic(r: Raster, pattern: str | Column = "RGGB", algorithm: str = "bilinear") -> Raster:
+    """One-channel mosaic to r, g and b; images may have patterns of their own, then a
+    column of ``r``."""
     r.need(1)
     if algorithm not in ALGORITHMS:
         raise TypeError(f"no algorithm {algorithm!r}")
-    df = _planes(_banded(r.df.select("image_id", "y", "x", "v"), r.height), pattern)
+    df = _planes(_banded(r.df, r.height), pattern).select("image_id", "band", "y", "x", "v", "colour")
     if algorithm == "bilinear":
         known = df.withColumns({f"_{c}": F.when(F.col("colour") == c.upper(), F.col("v")) for c in RGB})
         full = _fill(known, {c: f"_{c}" for c in RGB})

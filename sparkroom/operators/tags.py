@@ -45,7 +45,14 @@ REGISTRY = (
     ("ExifVersion", 36864, "UNDEFINED", 4, "exif"),
     ("DateTimeOriginal", 36867, "ASCII", 20, "exif"),
     ("OffsetTime", 36880, "ASCII", 7, "exif"),
+    ("DateTimeDigitized", 36868, "ASCII", 20, "exif"),
+    ("OffsetTimeOriginal", 36881, "ASCII", 7, "exif"),
+    ("OffsetTimeDigitized", 36882, "ASCII", 7, "exif"),
+    ("XMP", 700, "BYTE", 0, "ifd0"),
     ("DNGVersion", 50706, "BYTE", 4, "ifd0"),
+    ("UniqueCameraModel", 50708, "ASCII", 0, "ifd0"),
+    ("AsShotWhiteXY", 50729, "RATIONAL", 2, "ifd0"),
+    ("ProfileToneCurve", 50940, "FLOAT", 0, "ifd0"),
     ("BlackLevel", 50714, "SHORT LONG RATIONAL", 0, "raw"),
     ("WhiteLevel", 50717, "SHORT LONG", 0, "raw"),
     ("DefaultCropOrigin", 50719, "SHORT LONG RATIONAL", 2, "raw"),
@@ -212,6 +219,51 @@ def xmp_packet(values: Column) -> Column:
     return F.concat(F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF><rdf:Description'), body, F.lit("/></rdf:RDF></x:xmpmeta>"))
 
 
+# The namespaces of a packet's own elements and of the prefixes that are known.
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+NAMESPACES = {
+    "avm": "http://www.communicatingastronomy.org/avm/1.0/",
+    "crs": "http://ns.adobe.com/camera-raw-settings/1.0/",
+    "dc": "http://purl.org/dc/elements/1.1/",
+    "exif": "http://ns.adobe.com/exif/1.0/",
+    "photoshop": "http://ns.adobe.com/photoshop/1.0/",
+    "tiff": "http://ns.adobe.com/tiff/1.0/",
+    "xmp": "http://ns.adobe.com/xap/1.0/",
+}
+
+
+def xmp_document(values: Column) -> Column:
+    """A map of namespaced keys to lists of texts as a packet: single texts as attributes,
+    longer lists as elements with an ``rdf:Seq``; empty lists are left out."""
+    entries = F.filter(F.array_sort(F.map_entries(values)), lambda e: F.size(e["value"]) > 0)
+    one = lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escape(F.get(e["value"], F.lit(0))), F.lit('"'))
+    item = lambda v: F.concat(F.lit("<rdf:li>"), _escape(v), F.lit("</rdf:li>"))
+    many = lambda e: F.concat(F.lit("<"), e["key"], F.lit("><rdf:Seq>"), F.array_join(F.transform(e["value"], item), ""), F.lit("</rdf:Seq></"), e["key"], F.lit(">"))
+    attributes = F.array_join(F.transform(F.filter(entries, lambda e: F.size(e["value"]) == 1), one), "")
+    elements = F.array_join(F.transform(F.filter(entries, lambda e: F.size(e["value"]) > 1), many), "")
+    spaces = "".join(f' xmlns:{k}="{v}"' for k, v in NAMESPACES.items())
+    start = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="{RDF}"><rdf:Description rdf:about=""{spaces}'
+    return F.concat(F.lit(start), attributes, F.lit(">"), elements, F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>"))
+
+
+def xmp_lists(packet: Column) -> Column:
+    """The keys of all descriptions of a packet and their lists of texts: attributes and
+    plain elements of one, and the items of Seq, Bag and Alt elements. Namespaces and
+    structure's own attributes are left out; of repeated keys the last counts."""
+    name = r"((?!rdf:|xmlns:|xml:|x:)[A-Za-z][\w.-]*:[\w.-]+)"
+    opening = F.regexp_extract_all(packet, F.lit(r"<rdf:Description([^>]*)>"), F.lit(1))
+    head = F.array_join(opening, " ")
+    attribute = r"""(?<=\s)""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    texts = F.transform(F.arrays_zip(F.regexp_extract_all(head, F.lit(attribute), F.lit(1)).alias("k"), F.regexp_extract_all(head, F.lit(attribute), F.lit(2)).alias("a"), F.regexp_extract_all(head, F.lit(attribute), F.lit(3)).alias("b")), lambda z: F.struct(z["k"].alias("key"), F.array(_plain(F.concat(z["a"], z["b"]))).alias("value")))
+    element = r"(?s)<" + name + r"(?:\s[^>]*)?(?<!/)>(.*?)</\1\s*>"
+    items = lambda body: F.regexp_extract_all(body, F.lit(r"(?s)<rdf:li(?:\s[^>]*)?(?<!/)>(.*?)</rdf:li\s*>"), F.lit(1))
+    whole = lambda body: F.when(F.rlike(body, F.lit(r"<rdf:(?:Seq|Bag|Alt)\b")), items(body)).otherwise(F.array(F.regexp_replace(body, r"^\s+|\s+$", "")))
+    lists = F.transform(F.arrays_zip(F.regexp_extract_all(packet, F.lit(element), F.lit(1)).alias("k"), F.regexp_extract_all(packet, F.lit(element), F.lit(2)).alias("v")), lambda z: F.struct(z["k"].alias("key"), F.transform(whole(z["v"]), _plain).alias("value")))
+    found = F.concat(texts, lists)
+    last = lambda e, i: F.exists(F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0))), lambda o: o["key"] == e["key"])
+    return F.map_from_entries(F.filter(found, lambda e, i: ~last(e, i)))
+
+
 # Characters that attributes write as entities; "&" comes first.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 

@@ -5,13 +5,13 @@ columns, fuses projections and picks the exchanges of the stencils."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkroom.functions import points
+from sparkroom.functions import colour, points
 from sparkroom.operators import geometry, opcodes, stencil
 from sparkroom.operators.raster import Raster
 from sparkroom.sources import views
@@ -29,10 +29,13 @@ class Settings:
     opcodes2: Sequence[dict] = ()
     opcodes3: Sequence[dict] = ()
     crop: tuple[int, int, int, int] | None = None
-    camera_to_display: Sequence[Sequence[float]] = ((1, 0, 0), (0, 1, 0), (0, 0, 1))
+    camera_to_prophoto: Sequence[Sequence[float]] = ((1, 0, 0), (0, 1, 0), (0, 0, 1))
+    hue_map: Callable[[Raster], Raster] | None = None
     exposure: float = 0.0
-    shadows: float = 0.0
-    curve: Sequence[tuple[float, float]] = ((0, 0), (1, 1))
+    shadows: float = 5.0
+    look: Callable[[Raster], Raster] | None = None
+    #: Samples over [0, 1]; None for a straight line.
+    curve: Sequence[float] | None = field(default_factory=colour.default_tone)
     orientation: int = 1
     extra: dict = field(default_factory=dict)
 
@@ -56,17 +59,23 @@ def render(r: Raster, s: Settings, until: str = "display") -> Raster:
 
 
 def show(r: Raster, s: Settings) -> Raster:
-    """Camera values to display values; matrix and exposure may be columns."""
-    if len(r.channels) == 3:
-        r = r.map_rgb(lambda a, b, c: points.matrix3(s.camera_to_display, a, b, c)).map(points.clamp)
-    r = r.map(lambda v: points.exposure_ramp(v, s.exposure, s.shadows))
-    if tuple(map(tuple, s.curve)) != ((0, 0), (1, 1)):
-        tone = lambda v: points.curve(v, s.curve)
-        r = r.map_rgb(lambda a, b, c: points.hue_tone(a, b, c, tone)) if len(r.channels) == 3 else r.map(tone)
-    return geometry.orient(r.map(points.srgb_gamma), s.orientation)
-
-
-FLAGSHIP = Settings(black=((0.01, 0.02), (0.03, 0.015)), camera_to_display=((1.6, -0.4, -0.2), (-0.3, 1.5, -0.2), (0.05, -0.45, 1.4)))
+    """Camera values to display values: ProPhoto, the profile's map, exposure, its look,
+    the tone curve, and only then the display's gamut."""
+    tone = (lambda v: points.lut(v, s.curve)) if s.curve is not None else (lambda v: v)
+    expose = lambda v: points.exposure_ramp(v, s.exposure, s.shadows)
+    darken = (lambda v: points.exposure_tone(v, s.exposure)) if s.exposure < 0 else (lambda v: v)
+    if len(r.channels) != 3:
+        return geometry.orient(r.map(lambda v: points.srgb_gamma(tone(darken(expose(v))))), s.orientation)
+    r = r.map_rgb(lambda a, b, c: points.matrix3(s.camera_to_prophoto, a, b, c))
+    r = s.hue_map(r) if s.hue_map else r
+    r = r.map(expose)
+    r = s.look(r) if s.look else r
+    r = r.map(darken).map_rgb(lambda a, b, c: points.hue_tone(a, b, c, tone))
+    r = r.map_rgb(lambda a, b, c: points.matrix3(colour.prophoto_to_srgb().tolist(), a, b, c))
+    return geometry.orient(r.map(lambda v: points.srgb_gamma(points.clamp(v))), s.orientation)
+
+
+FLAGSHIP = Settings(black=((0.01, 0.02), (0.03, 0.015)), camera_to_prophoto=((1.6, -0.4, -0.2), (-0.3, 1.5, -0.2), (0.05, -0.45, 1.4)), exposure=-0.25)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

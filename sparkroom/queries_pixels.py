@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkroom import sql_render
 from sparkroom.functions import points
 from sparkroom.operators import geometry, opcodes, stencil
 from sparkroom.operators.raster import Raster
-from sparkroom.plans.render import flagship
+from sparkroom.plans.render import FLAGSHIP, flagship
 from sparkroom.queries_colour import RGB_SQL
 from sparkroom.sources import views
 
@@ -44,8 +45,8 @@ nb AS (SELECT c.y, c.x, c.v, c.y % 2 * 2 + c.x % 2 AS p,
   FROM lin c JOIN (SELECT y + dy AS ky, x + dx AS kx, y, x, v FROM lin, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)) n ON n.ky = c.y AND n.kx = c.x
   GROUP BY ALL),
 rgb AS (SELECT y, x, CASE p WHEN 0 THEN v WHEN 1 THEN hor WHEN 2 THEN ver ELSE diag END AS r, CASE WHEN p IN (1, 2) THEN v ELSE plus END AS g, CASE p WHEN 3 THEN v WHEN 2 THEN hor WHEN 1 THEN ver ELSE diag END AS b FROM nb),
-m AS (SELECT least(greatest(r * 1.6e0 + g * -0.4e0 + b * -0.2e0, 0e0), 1e0) AS r, least(greatest(r * -0.3e0 + g * 1.5e0 + b * -0.2e0, 0e0), 1e0) AS g, least(greatest(r * 0.05e0 + g * -0.45e0 + b * 1.4e0, 0e0), 1e0) AS b FROM rgb),
-q AS (SELECT c, CAST(floor(CASE WHEN v <= 0.0031308e0 THEN v * 12.92e0 ELSE pow(v, 1 / 2.4e0) * 1.055e0 - 0.055e0 END * 255 + 0.5e0) AS BIGINT) AS u FROM (UNPIVOT m ON r, g, b INTO NAME c VALUE v))
+{sql_render.look("rgb", "y, x", "-0.25e0", FLAGSHIP.camera_to_prophoto)},
+q AS (SELECT c, CAST(floor(v * 255 + 0.5e0) AS BIGINT) AS u FROM (UNPIVOT (SELECT r, g, b FROM shown) ON r, g, b INTO NAME c VALUE v))
 SELECT c, count(*) AS n, round(avg(u), 6) AS mean, CAST(max(u) AS INTEGER) AS top FROM q GROUP BY c""")(flagship)
 
 
@@ -304,9 +305,8 @@ def scaled(spark, sf):
 _STAGE_SQL = f"""
 WITH {CFA}, {_LIN}, k AS ({MASK.replace('FROM cfa', 'FROM lin')}), rgb AS (SELECT f.y, f.x, r, g, b FROM {_fill_sql('k', {'r': 'kr', 'g': 'kg', 'b': 'kb'})} f JOIN cfa USING (y, x)),
 cam AS (UNPIVOT (SELECT r, g, b FROM rgb) ON r, g, b INTO NAME c VALUE v),
-m AS (SELECT least(greatest(r * 1.6e0 + g * -0.4e0 + b * -0.2e0, 0e0), 1e0) AS r, least(greatest(r * -0.3e0 + g * 1.5e0 + b * -0.2e0, 0e0), 1e0) AS g, least(greatest(r * 0.05e0 + g * -0.45e0 + b * 1.4e0, 0e0), 1e0) AS b FROM rgb),
-shown AS (SELECT c, CASE WHEN v <= 0.0031308e0 THEN v * 12.92e0 ELSE pow(v, 1 / 2.4e0) * 1.055e0 - 0.055e0 END AS v FROM (UNPIVOT m ON r, g, b INTO NAME c VALUE v)),
-u AS (SELECT 'raw' AS stage, 'v' AS c, v FROM cfa UNION ALL SELECT s, 'v', v FROM lin, (SELECT unnest(['linearized', 'linearized-plus-ops']) AS s) UNION ALL SELECT s, c, v FROM cam, (SELECT unnest(['camera-rgb', 'cropped']) AS s) UNION ALL SELECT 'display', c, v FROM shown)
+{sql_render.look("rgb", "y, x", "-0.25e0", FLAGSHIP.camera_to_prophoto)},
+u AS (SELECT 'raw' AS stage, 'v' AS c, v FROM cfa UNION ALL SELECT s, 'v', v FROM lin, (SELECT unnest(['linearized', 'linearized-plus-ops']) AS s) UNION ALL SELECT s, c, v FROM cam, (SELECT unnest(['camera-rgb', 'cropped']) AS s) UNION ALL SELECT 'display', c, v FROM (UNPIVOT (SELECT r, g, b FROM shown) ON r, g, b INTO NAME c VALUE v))
 SELECT stage, c, count(*) AS n, round(avg(v), 6) AS mean FROM u GROUP BY stage, c"""
 
 
@@ -314,7 +314,7 @@ SELECT stage, c, count(*) AS n, round(avg(v), 6) AS mean FROM u GROUP BY stage,
 def stage_levels(spark, sf):
     """Mean and count of every channel after every stage of rendering, one
     aggregate for each stage."""
-    from sparkroom.plans.render import FLAGSHIP, STAGES, render
+    from sparkroom.plans.render import STAGES, render
 
     parts = []
     for stage in STAGES:

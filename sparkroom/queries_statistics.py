@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkroom import sql_render
 from sparkroom.operators import batch, statistics
 from sparkroom.sources import views
 
@@ -169,18 +170,12 @@ def tiff_tags(spark, sf):
 @add("fits_roundtrip", f"WITH {_FRAMES} SELECT image_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM f GROUP BY image_id")
 def fits_roundtrip(spark, sf):
     """Frames written as FITS files and read again."""
-    import numpy as np
-    import pandas as pd
-
     from sparkroom.sources import fits
 
-    def one(key, pdf):
-        a = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), np.uint16)
-        a[pdf.y.to_numpy(), pdf.x.to_numpy()] = pdf.v.to_numpy()
-        return pd.DataFrame({"path": [str(key[0])], "content": [fits.build(a, {"OBJECT": "frame"})]})
-
-    files = _frames(spark, sf).groupBy("image_id").applyInPandas(one, "path string, content binary")
-    return fits.pixels_of(files).groupBy(F.col("path").cast("long").alias("image_id")).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"))
+    px = _frames(spark, sf)
+    heads = px.select("image_id").distinct().select("image_id", F.col("image_id").cast("string").alias("path"), F.create_map(F.lit("OBJECT"), F.lit("frame")).alias("header"))
+    back = fits.pixels_of(fits.encode_frames(px, heads))
+    return back.groupBy(F.col("path").cast("long").alias("image_id")).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"))
 
 
 _SHOWN = f"""{_FRAMES}, l AS (SELECT image_id, y, x, v / 1023e0 AS v FROM f),
@@ -190,7 +185,8 @@ nb AS (SELECT c.image_id, c.y, c.x, c.v, c.y % 2 * 2 + c.x % 2 AS p,
   FROM l c JOIN (SELECT image_id, y + dy AS ky, x + dx AS kx, y, x, v FROM l, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)) n ON n.image_id = c.image_id AND n.ky = c.y AND n.kx = c.x
   GROUP BY ALL),
 rgb AS (SELECT image_id, y, x, CASE p WHEN 0 THEN v WHEN 1 THEN hor WHEN 2 THEN ver ELSE diag END AS r, CASE WHEN p IN (1, 2) THEN v ELSE plus END AS g, CASE p WHEN 3 THEN v WHEN 2 THEN hor WHEN 1 THEN ver ELSE diag END AS b FROM nb),
-shown AS (SELECT image_id, c, CASE WHEN v <= 0.0031308e0 THEN v * 12.92e0 ELSE pow(v, 1 / 2.4e0) * 1.055e0 - 0.055e0 END AS v FROM (UNPIVOT rgb ON r, g, b INTO NAME c VALUE v))"""
+{sql_render.look("rgb", "image_id, y, x", "0e0")},
+flat AS (SELECT image_id, c, v FROM (UNPIVOT (SELECT image_id, r, g, b FROM shown) ON r, g, b INTO NAME c VALUE v))"""
 
 
 def _mosaic_files(spark, sf):
@@ -210,7 +206,7 @@ def _id():
     return F.regexp_extract("path", _ID_OF, 1).cast("long").alias("image_id")
 
 
-@add("render_files", f"WITH {_SHOWN} SELECT image_id, c, count(*) AS n, round(avg(v), 6) AS mean FROM shown GROUP BY image_id, c")
+@add("render_files", f"WITH {_SHOWN} SELECT image_id, c, count(*) AS n, round(avg(v), 6) AS mean FROM flat GROUP BY image_id, c")
 def render_files(spark, sf):
     """Mosaic files opened and rendered by their tags."""
     from sparkroom.plans import convert
@@ -220,7 +216,7 @@ def render_files(spark, sf):
     return px.select(_id(), cells.alias("p")).groupBy("image_id", "p.c").agg(F.count("*").alias("n"), F.round(F.avg("p.v"), 6).alias("mean"))
 
 
-@add("convert_files", f"WITH {_SHOWN} SELECT image_id, 'written' AS status, count(*) AS n, CAST(sum(floor(v * 255 + 0.5e0)) AS BIGINT) AS total FROM shown GROUP BY image_id")
+@add("convert_files", f"WITH {_SHOWN} SELECT image_id, 'written' AS status, count(*) AS n, CAST(sum(floor(v * 255 + 0.5e0)) AS BIGINT) AS total FROM flat GROUP BY image_id")
 def convert_files(spark, sf):
     """Mosaic files rendered into a folder of 8-bit files, which are then read."""
     from sparkroom.plans import convert

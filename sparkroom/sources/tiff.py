@@ -1,35 +1,47 @@
 """TIFF and DNG containers: parse and build, uncompressed pages only.
 
 Small helpers over one file's bytes; Spark reads the files (``binaryFile``),
-spreads them over tasks, and keeps a damaged file's error in its row."""
+spreads them over tasks, and keeps a damaged file's error in its row. A page's EXIF
+and GPS directories are read and written with it; rows of tags say in ``place`` which
+directory (ifd, exif or gps) a tag stands in."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkroom.sources import opcode_lists
+
 # Sizes and struct letters of TIFF types, by code.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I")}
 # Codes of the tags that describe a page, and photometric kinds.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, SUBIFDS, TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT, SUBTYPE = 256, 257, 258, 259, 262, 273, 277, 278, 279, 330, 322, 323, 324, 325, 339, 254
 CFA, LINEAR_RAW, RGB_KIND, GRAY = 32803, 34892, 2, 1
 
+# Tags that point to a page's own further directories, and the packet of XMP.
+PLACES = {34665: "exif", 34853: "gps"}
+XMP = 700
+#: Tags that say how and where a page is stored; a copy has its own.
+STRUCTURE = (WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, SUBIFDS, TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT, SUBTYPE, *PLACES, 284, 317)
+
 #: What reading a damaged file may raise; the file's row then has the error.
 BROKEN = (ValueError, struct.error, IndexError, TypeError, KeyError, ZeroDivisionError, OverflowError, MemoryError)
 
-TAG_ROWS = "path string, ifd int, code int, dtype int, count long, value array<double>, text string, error string"
+TAG_ROWS = "path string, ifd int, place string, code int, dtype int, count long, value array<double>, text string, raw binary, error string"
 
 
 @dataclass
 class Page:
     tags: dict[int, tuple[int, tuple]] = field(default_factory=dict)
     order: str = "<"
+    places: dict[str, dict[int, tuple[int, tuple]]] = field(default_factory=dict)
 
     def first(self, code: int, default=None):
         return self.tags[code][1][0] if code in self.tags and len(self.tags[code][1]) else default
@@ -46,28 +58,35 @@ def pages(raw: bytes) -> list[Page]:
     out: list[Page] = []
     seen: set[int] = set()
 
+    def directory(at: int) -> tuple[dict[int, tuple[int, tuple]], int]:
+        """Tags of the directory there, and where its list of entries ends."""
+        (n,) = struct.unpack_from(order + "H", raw, at)
+        tags: dict[int, tuple[int, tuple]] = {}
+        for i in range(n):
+            code, kind, count, _ = struct.unpack_from(order + "HHII", raw, at + 2 + 12 * i)
+            if kind not in TYPES:
+                continue
+            size, letter = TYPES[kind]
+            where = at + 2 + 12 * i + 8
+            if size * count > 4:
+                (where,) = struct.unpack_from(order + "I", raw, where)
+            if kind == 2:
+                tags[code] = (kind, (raw[where : where + count].split(b"\0")[0].decode("utf-8", "replace"),))
+            else:
+                values = struct.unpack_from(order + letter * count, raw, where)
+                tags[code] = (kind, tuple(zip(values[::2], values[1::2])) if kind in (5, 10) else values)
+        return tags, at + 2 + 12 * n
+
     def walk(at: int) -> None:
         while at and at not in seen:
             seen.add(at)
-            (n,) = struct.unpack_from(order + "H", raw, at)
-            page = Page(order=order)
-            for i in range(n):
-                code, kind, count, _ = struct.unpack_from(order + "HHII", raw, at + 2 + 12 * i)
-                if kind not in TYPES:
-                    continue
-                size, letter = TYPES[kind]
-                where = at + 2 + 12 * i + 8
-                if size * count > 4:
-                    (where,) = struct.unpack_from(order + "I", raw, where)
-                if kind == 2:
-                    page.tags[code] = (kind, (raw[where : where + count].split(b"\0")[0].decode("utf-8", "replace"),))
-                else:
-                    values = struct.unpack_from(order + letter * count, raw, where)
-                    page.tags[code] = (kind, tuple(zip(values[::2], values[1::2])) if kind in (5, 10) else values)
+            tags, end = directory(at)
+            page = Page(tags, order)
+            page.places = {name: directory(page.first(code))[0] for code, name in PLACES.items() if page.first(code)}
             out.append(page)
             for sub in page.all(SUBIFDS):
                 walk(sub)
-            (at,) = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)
+            (at,) = struct.unpack_from(order + "I", raw, end)
 
     walk(struct.unpack_from(order + "I", raw, 4)[0])
     return out
@@ -124,8 +143,8 @@ def _blocks(a: np.ndarray, bits: int | None, order: str, tile: int | None) -> li
 
 @dataclass
 class Encoded:
-    """A page as bytes: its shape, the bits of a sample, whether samples are floats,
-    its own tags, and the bytes of its strip or of its tiles."""
+    """A page as bytes: its shape, the bits of a sample, whether samples are floats, its
+    own tags, those of its further directories, and the bytes of its strip or tiles."""
 
     height: int
     width: int
@@ -135,6 +154,7 @@ class Encoded:
     blobs: list[bytes]
     tags: dict[int, tuple[int, tuple]] = field(default_factory=dict)
     tile: int | None = None
+    places: dict[str, dict[int, tuple[int, tuple]]] = field(default_factory=dict)
 
     def described(self) -> dict[int, tuple[int, tuple]]:
         sizes = (4, tuple(map(len, self.blobs)))
@@ -150,6 +170,11 @@ def container(made: list[Encoded], order: str = "<") -> bytes:
     dirs = [page.described() for page in made]
     if len(dirs) > 1:
         dirs[0][SUBIFDS] = (4, (0,) * (len(dirs) - 1))
+    # the pages' further directories come behind all pages
+    further = [(k, code, page.places[name]) for k, page in enumerate(made) for code, name in PLACES.items() if page.places.get(name)]
+    for k, code, _ in further:
+        dirs[k][code] = (4, (0,))
+    own = [*dirs, *[tags for _, _, tags in further]]
 
     def encoded(kind: int, values: tuple) -> tuple[int, bytes]:
         if kind == 2:
@@ -160,12 +185,16 @@ def container(made: list[Encoded], order: str = "<") -> bytes:
 
     def layout(starts: list[int], places: list[int]) -> list[bytes]:
         out = []
-        for k, tags in enumerate(dirs):
+        for k, tags in enumerate(own):
             tags = dict(tags)
-            ends = np.cumsum([0, *map(len, made[k].blobs)])[:-1]
-            tags[TILES if made[k].tile else STRIPS] = (4, tuple(int(places[k] + e) for e in ends))
-            if k == 0 and len(dirs) > 1:
-                tags[SUBIFDS] = (4, tuple(starts[1:]))
+            if k < len(made):
+                ends = np.cumsum([0, *map(len, made[k].blobs)])[:-1]
+                tags[TILES if made[k].tile else STRIPS] = (4, tuple(int(places[k] + e) for e in ends))
+                if k == 0 and len(dirs) > 1:
+                    tags[SUBIFDS] = (4, tuple(starts[1 : len(dirs)]))
+                for n, (page, code, _) in enumerate(further):
+                    if page == k:
+                        tags[code] = (4, (starts[len(dirs) + n],))
             entries, extra, where = [], b"", starts[k] + 2 + 12 * len(tags) + 4
             for code in sorted(tags):
                 kind, values = tags[code]
@@ -179,11 +208,11 @@ def container(made: list[Encoded], order: str = "<") -> bytes:
             out.append(struct.pack(order + "H", len(tags)) + b"".join(entries) + struct.pack(order + "I", 0) + extra)
         return out
 
-    zero = [0] * len(dirs)
+    zero = [0] * len(own)
     sizes = [len(d) for d in layout(zero, zero)]
-    starts = [at + sum(sizes[:k]) for k in range(len(dirs))]
+    starts = [at + sum(sizes[:k]) for k in range(len(own))]
     totals = [sum(map(len, page.blobs)) for page in made]
-    places = [at + sum(sizes) + sum(totals[:k]) for k in range(len(dirs))]
+    places = [at + sum(sizes) + sum(totals[:k]) for k in range(len(made))]
     head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8)
     return b"".join([head, *layout(starts, places), *[blob for page in made for blob in page.blobs]])
 
@@ -204,23 +233,64 @@ def read_tags(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return tags_of(files)
 
 
-def tags_of(files: DataFrame) -> DataFrame:
-    """``read_tags`` of rows of path and content."""
+def problem(raw: bytes, page: Page) -> str | None:
+    """Why a page's pixels cannot be read, as far as its tags and the file's size tell."""
+    try:
+        if page.first(COMPRESSION, 1) != 1:
+            return "compressed pages need a codec that is not here"
+        h, w, s, bits = page.first(HEIGHT), page.first(WIDTH), page.first(SAMPLES, 1), page.first(BITS, 8)
+        tiled = TILES in page.tags
+        th, tw = (page.first(TILE_H), page.first(TILE_W)) if tiled else (min(page.first(ROWS, h), h), w)
+        offsets, sizes = page.all(TILES if tiled else STRIPS), page.all(TILE_BYTES if tiled else STRIP_BYTES)
+        down, across = -(-h // th), -(-w // tw)
+        if min(len(offsets), len(sizes)) < down * across:
+            return f"{min(len(offsets), len(sizes))} of {down * across} blocks of pixels are there"
+        for i in range(down * across):
+            rows = th if tiled else min(th, h - i * th)
+            if min(sizes[i], len(raw) - offsets[i]) < rows * (-(-tw * s * bits // 8)):
+                return f"block {i} of the pixels ends early"
+    except BROKEN as e:
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
+# Tags that hold opcode lists.
+OPCODE_LISTS = (51009, 51022)
+
+
+def tags_of(files: DataFrame, check: bool = False) -> DataFrame:
+    """``read_tags`` of rows of path and content; with ``check``, opcode lists are parsed
+    into a further column ``ops``, and pages whose pixels or opcodes cannot be read have
+    a row with the reason."""
+
+    def rows(path: str, ifd: int, place: str, tags: dict[int, tuple[int, tuple]]) -> Iterator[tuple]:
+        for code, (kind, values) in tags.items():
+            numbers = [v[0] / v[1] if v[1] else float("nan") for v in values] if kind in (5, 10) else [] if kind == 2 else [float(v) for v in values]
+            raw = bytes(values) if kind in (1, 7) else None
+            row = (path, ifd, place, code, kind, len(values[0].encode()) + 1 if kind == 2 else len(values), numbers, values[0] if kind == 2 else None, raw, None)
+            yield row if not check else (*row, opcode_lists.parse(raw) if code in OPCODE_LISTS and raw else None)
+
+    more = [None] if check else []
+    schema = TAG_ROWS + (f", ops {opcode_lists.LIST}" if check else "")
+    names = [*[c.split()[0] for c in TAG_ROWS.split(", ")], *(["ops"] if check else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for path, raw in zip(pdf.path, pdf.content):
                 try:
+                    own: list[tuple] = []
                     for ifd, page in enumerate(pages(bytes(raw))):
-                        for code, (kind, values) in page.tags.items():
-                            numbers = [v[0] / v[1] if v[1] else float("nan") for v in values] if kind in (5, 10) else [] if kind == 2 else [float(v) for v in values]
-                            out.append((path, ifd, code, kind, len(values[0]) + 1 if kind == 2 else len(values), numbers, values[0] if kind == 2 else None, None))
+                        for place, tags in {"ifd": page.tags, **page.places}.items():
+                            own += rows(path, ifd, place, tags)
+                        if check and (why := problem(bytes(raw), page)):
+                            own.append((path, ifd, *[None] * 7, why, *more))
+                    out += own
                 except BROKEN as e:
-                    out.append((path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "ifd", "code", "dtype", "count", "value", "text", "error"]).astype({"ifd": "Int32", "code": "Int32", "dtype": "Int32", "count": "Int64"})
+                    out.append((path, *[None] * 8, f"{type(e).__name__}: {e}", *more))
+            yield pd.DataFrame(out, columns=names).astype({"ifd": "Int32", "code": "Int32", "dtype": "Int32", "count": "Int64"})
 
-    return files.mapInPandas(run, TAG_ROWS)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def pixels_of(files: DataFrame, ifd: int = 0) -> DataFrame:
@@ -243,6 +313,32 @@ def pixels_of(files: DataFrame, ifd: int = 0) -> DataFrame:
     return chosen.select("path", "content", "ifd").mapInPandas(run, "path string, y long, x long, c int, v double, status string, error string")
 
 
+#: Rows of pixels that reading hands on at once.
+LINES = 256
+
+
+def samples_of(files: DataFrame) -> DataFrame:
+    """path, ifd, y, x and up to three samples a, b and c of the page ``ifd`` of each
+    file, one row a pixel; a page that cannot be read is one row with its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, raw, ifd in zip(pdf.path, pdf.content, pdf.ifd):
+                try:
+                    raw = bytes(raw)
+                    a = pixels(raw, pages(raw)[int(ifd)])
+                except BROKEN as e:
+                    yield pd.DataFrame({"path": [path], "ifd": [int(ifd)], "y": [None], "x": [None], "a": [None], "b": [None], "c": [None], "error": [f"{type(e).__name__}: {e}"]}).astype({"y": "Int64", "x": "Int64", "a": "Float64", "b": "Float64", "c": "Float64"})
+                    continue
+                for top in range(0, a.shape[0], LINES):
+                    part = a[top : top + LINES].astype(float)
+                    y, x = np.indices(part.shape[:2]).reshape(2, -1)
+                    planes = {n: part[:, :, i].reshape(-1) if i < part.shape[2] else None for i, n in enumerate("abc")}
+                    yield pd.DataFrame({"path": path, "ifd": int(ifd), "y": y + top, "x": x, **planes, "error": None})
+
+    return files.select("path", "content", "ifd").mapInPandas(run, "path string, ifd int, y long, x long, a double, b double, c double, error string")
+
+
 def main_pages(tags: DataFrame) -> DataFrame:
     """path and ifd of each file's main page: sub-file type 0, the largest."""
     wide = tags.groupBy("path", "ifd").agg(*[F.max(F.when(F.col("code") == code, F.element_at("value", 1))).alias(name) for name, code in (("subtype", SUBTYPE), ("w", WIDTH), ("h", HEIGHT))])
@@ -252,7 +348,7 @@ def main_pages(tags: DataFrame) -> DataFrame:
 @dataclass
 class PageRows:
     """Pixel rows (image_id, y, x and the channels, whole numbers) of one page of
-    each image, their type, and what tags they get."""
+    each image, their type, and what tags they all get."""
 
     df: DataFrame
     channels: tuple[str, ...] = ("v",)
@@ -271,12 +367,31 @@ def _tile_packer(no: int, channels: tuple[str, ...], dtype: str, bits: int | Non
     return pack
 
 
-def encode_pages(made: list[PageRows], tile: int = 256) -> DataFrame:
+#: Rows of tags to be written: where they go, their type, and numbers or a text.
+NEW_TAGS = ("image_id", "page", "place", "code", "dtype", "value", "text")
+#: Denominators of fractions are no larger.
+DENOMINATOR = 1_000_000
+
+
+def stored(dtype: int, value: list[float] | None, text: str | None) -> tuple[int, tuple]:
+    """A row's tag as a directory holds it."""
+    if dtype == 2:
+        return dtype, (text or "",)
+    if dtype in (5, 10):
+        parts = [Fraction(float(v)).limit_denominator(DENOMINATOR) for v in value]
+        return dtype, tuple((f.numerator, f.denominator) for f in parts)
+    if dtype in (1, 7) and value is None:
+        return dtype, tuple((text or "").encode())
+    return dtype, tuple(float(v) if dtype in (11, 12) else int(v) for v in value)
+
+
+def encode_pages(made: list[PageRows], tile: int = 256, tags: DataFrame | None = None) -> DataFrame:
     """image_id and content of a container for each image, a page of each member of
     ``made``, the first as the main one.
 
     Tiles are packed each in a group of its own; a file's header and directories are
-    then built from the tiles' sizes."""
+    then built from the tiles' sizes. ``tags`` has rows (``NEW_TAGS``) of tags that
+    images have of their own; they go over those that a page's images share."""
     kind = made[0].df.schema["image_id"].dataType.simpleString()
     parts = []
     at = lambda c: F.floor(F.col(c) / tile).cast("int")
@@ -287,21 +402,41 @@ def encode_pages(made: list[PageRows], tile: int = 256) -> DataFrame:
     tiles = parts[0]
     for p in parts[1:]:
         tiles = tiles.union(p)
-    cells = F.sort_array(F.collect_list(F.struct("page", "ty", "tx", "h", "w", "blob")))
-
-    def build_all(column: pd.Series) -> pd.Series:
+    specs = [(len(p.channels), np.dtype(p.dtype).str, p.bits, p.tags) for p in made]
+    described = tiles.withColumn("spec", F.col("page"))
+    return containers(described, specs, tile, tags)
+
+
+def containers(tiles: DataFrame, specs: list[tuple[int, str, int | None, dict]], tile: int, tags: DataFrame | None = None) -> DataFrame:
+    """Containers of packed tiles (image_id, page, spec, ty, tx, h, w, blob): ``spec`` is
+    a place in ``specs`` (samples, type, bits and tags of the page), h and w are the
+    image's edge so far as the tile knows it."""
+    cells = F.sort_array(F.collect_list(F.struct("page", "ty", "tx", "h", "w", "spec", "blob")))
+    whole = tiles.groupBy("image_id").agg(cells.alias("cells"))
+    if tags is None:
+        whole = whole.withColumn("tags", F.array().cast("array<struct<page:int,place:string,code:int,dtype:int,value:array<double>,text:string>>"))
+    else:
+        own = tags.groupBy("image_id").agg(F.collect_list(F.struct(*NEW_TAGS[1:])).alias("tags"))
+        whole = whole.join(own, "image_id", "left")
+
+    def build_all(column: pd.Series, given: pd.Series) -> pd.Series:
         out = []
-        for cells_ in column:
-            own = []
+        for cells_, tags_ in zip(column, given):
+            made: list[Encoded] = []
             for no in sorted({c["page"] for c in cells_}):
-                page, some = made_[no], [c for c in cells_ if c["page"] == no]
-                dtype = np.dtype(page[1])
-                own.append(Encoded(max(c["h"] for c in some), max(c["w"] for c in some), page[0], page[2] or dtype.itemsize * 8, dtype.kind == "f", [bytes(c["blob"]) for c in some], page[3], tile))
-            out.append(container(own))
+                some = [c for c in cells_ if c["page"] == no]
+                samples, dtype, bits, shared = specs[some[0]["spec"]]
+                dtype = np.dtype(dtype)
+                places: dict[str, dict] = {"ifd": dict(shared)}
+                for t in [] if tags_ is None else tags_:
+                    if t["page"] == no:
+                        places.setdefault(t["place"], {})[t["code"]] = stored(t["dtype"], t["value"], t["text"])
+                top = places.pop("ifd")
+                made.append(Encoded(max(c["h"] for c in some), max(c["w"] for c in some), samples, bits or dtype.itemsize * 8, dtype.kind == "f", [bytes(c["blob"]) for c in some], top, tile, places))
+            out.append(container(made))
         return pd.Series(out)
 
-    made_ = [(len(p.channels), p.dtype, p.bits, p.tags) for p in made]
-    return tiles.groupBy("image_id").agg(cells.alias("cells")).select("image_id", F.pandas_udf(build_all, "binary")("cells").alias("content"))
+    return whole.select("image_id", F.pandas_udf(build_all, "binary")("cells", "tags").alias("content"))
 
 
 def encode_images(df: DataFrame, bits: int | None = None, dtype: str = "u2", tile: int = 256) -> DataFrame:
