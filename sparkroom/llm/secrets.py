@@ -6,12 +6,17 @@ random strings, the other those inside ordinary identifiers. Both are counted fr
 labelled samples, half of each from the documents (what the patterns found, and
 the other words of the same texts) and half from a table of its own: strings drawn
 from the usual alphabets of keys, and identifiers put together from common words.
-A run whose log-likelihood ratio reaches ``MIN_LLR`` is a span of kind "markov". A span of the patterns always stays; a markov span that meets one is
-left out.
+The table's ordinary strings are also rules of repeated marks, formulas, sequences,
+paths, dates, serial and version numbers, equations and UUIDs. A run is judged by its
+parts between marks, of which those of ``PART_LEAST`` characters or more add up: short
+parts joined by marks say nothing. Runs of one class of characters (capitals, small
+letters or digits) and runs in the shape of a UUID or a chemical formula are passed over. A run whose log-likelihood ratio reaches ``MIN_LLR``
+is a span of kind "markov". A span of the patterns always stays; a markov span that
+meets one is left out.
 
 Positions come without Python: ``split`` gives the stretches between matches and
-``regexp_extract_all`` the matches, and a running sum over their lengths gives
-code points. Texts without a match cross the shuffle as one thin row.
+``regexp_extract_all`` the matches, and running sums over their lengths, in blocks,
+give code points. All happens within a row; nothing is shuffled.
 
 Defined results: a null or empty text has no spans; rows that repeat are each
 scanned for themselves; an empty table gives no rows and, for training, a
@@ -24,7 +29,7 @@ import math
 import random
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkroom.llm.common import let
@@ -41,8 +46,13 @@ ASSIGN_LEAST = 6
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 MIN_RUN = 16
 RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
+#: Marks within runs, and characters between two of them from which a part counts.
+MARKS = "+/_=-"
+PART_LEAST = 8
+#: Matches of a text whose places are summed up at once.
+PLACES = 256
 #: Nats by which the random model must be ahead.
-MIN_LLR = 12.0
+MIN_LLR = 11.0
 #: Training reads about so many documents, chosen by the hash of their number.
 SAMPLE_DOCS = 5_000
 #: Training words of the ordinary model have so many letters at least.
@@ -82,11 +92,44 @@ def labelled_strings() -> tuple[list[str], list[str]]:
         for join in (lambda w: "_".join(w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: "_".join(w).upper()):
             words = [first, *draw.sample(WORDS, draw.randint(1, 3))]
             plain.append(join(words) + (str(draw.randrange(10 ** draw.randint(1, 4))) if i % 4 == 0 else ""))
+    plain += [t for kind in range(len(ORDINARY)) if kind not in SHAPED for t in _ordinary(draw, len(plain) // 26, kind)]
     sets = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.hexdigits[:16])
     keys = ["".join(draw.choices(sets[i % len(sets)], k=draw.randint(16, 48))) for i in range(len(plain))]
     return plain, keys
 
 
+#: Kinds of ordinary strings; the ones whose shape alone tells them teach nothing.
+ORDINARY = ("rule", "marks", "formula", "bases", "acids", "path", "date", "serial", "equation", "uuid", "number", "letter", "version")
+SHAPED = tuple(map(ORDINARY.index, ("formula", "acids", "serial", "uuid")))
+# Common chemical symbols, and the shapes of formulas and of UUIDs.
+ELEMENTS = "C H O N S P F K I B Na Cl Ca Mg Fe Br Si Al Zn Cu Li Mn Ag Pb".split()
+FORMULA = r"(?:(?:" + "|".join(sorted(ELEMENTS, key=len, reverse=True)) + r")\d{0,3})+"
+UUID = r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})"
+PLAIN = rf"^(?:[A-Z+/_=-]+|[a-z+/_=-]+|[0-9+/_=-]+|{UUID}|[+/_=-]*{FORMULA}(?:[+/_=-]+{FORMULA})*[+/_=-]*)$"
+
+
+def _ordinary(draw: random.Random, n: int, kind: int) -> list[str]:
+    """Strings of a kind (a place in ORDINARY) that are no identifiers and no secrets either."""
+    some = lambda letters, k: "".join(draw.choices(letters, k=k))
+    number = lambda k: some(string.digits, draw.randint(1, k))
+    kinds = (
+        lambda: draw.choice("-=_+/") * draw.randint(16, 40),
+        lambda: draw.choice(("-=", "=-", "+-", "-_", "/-")) * draw.randint(8, 20),
+        lambda: "".join(draw.choice(ELEMENTS) + (number(2) if draw.random() < 0.7 else "") for _ in range(draw.randint(8, 14))),
+        lambda: some("ACGT", draw.randint(16, 60)),
+        lambda: some("ACDEFGHIKLMNPQRSTVWY", draw.randint(16, 40)),
+        lambda: "/" + "/".join(draw.choice((draw.choice(WORDS), number(4), draw.choice(string.ascii_lowercase) + number(2))) for _ in range(draw.randint(4, 7))),
+        lambda: f"{draw.randint(1990, 2040)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}T{draw.randint(0, 23):02}{draw.randint(0, 59):02}{draw.randint(0, 59):02}Z",
+        lambda: "-".join(some(string.ascii_uppercase + string.digits, draw.randint(3, 6)) for _ in range(4)),
+        lambda: "".join(draw.choice(string.ascii_lowercase) + draw.choice("=+-") for _ in range(draw.randint(8, 16))),
+        lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+        lambda: some(string.digits, draw.randint(16, 30)),
+        lambda: draw.choice(string.ascii_letters) * draw.randint(16, 30),
+        lambda: "v" + "-".join(number(3) for _ in range(6)),
+    )
+    return [kinds[kind]() for _ in range(n)]
+
+
 def _codes(text: Column) -> Column:
     """Places of the characters in ALPHABET, from 0."""
     place = {ord(c): i for i, c in enumerate(ALPHABET)}
@@ -142,31 +185,54 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: i
 
 
 def llr(run: Column, weights: list[float]) -> Column:
-    """Sum of the ratios of a run's pairs of characters."""
+    """Sum of the ratios of pairs of characters, over the run's parts between marks that
+    are long enough."""
     n, w = len(ALPHABET), F.lit(weights)
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
-    step = lambda a, c: F.struct(
-        c.alias("last"), (a["sum"] + F.when((a["last"] >= 0) & (c >= 0), F.get(w, a["last"] * n + c)).otherwise(F.lit(0.0))).alias("sum")
-    )
-    return F.aggregate(_codes(run), start, step, lambda a: a["sum"])
+    first_mark = n - len(MARKS)
+    counted = lambda a: a["sum"] + F.when(a["size"] >= PART_LEAST, a["part"]).otherwise(F.lit(0.0))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("size"), F.lit(0.0).alias("part"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, c: Column) -> Column:
+        mark = (c >= first_mark) | (c < 0)
+        closed = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("size"), F.lit(0.0).alias("part"), counted(a).alias("sum"))
+        more = a["part"] + F.when(a["last"] >= 0, F.get(w, a["last"] * n + c)).otherwise(F.lit(0.0))
+        return F.when(mark, closed).otherwise(F.struct(c.alias("last"), (a["size"] + 1).alias("size"), more.alias("part"), a["sum"].alias("sum")))
+
+    return F.aggregate(_codes(run), start, step, counted)
+
+
+SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _places(kind: int, pattern: str, keep) -> Column:
-    """Kind, number, gap before, length and keep flag of every match."""
-    matches = F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))
-    gaps = F.split("__t", pattern, -1)
-    none = F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,ok:boolean>>")
-    hits = F.transform(
-        F.arrays_zip(gaps.alias("g"), matches.alias("m")),
-        lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(z["g"]).alias("gap"), F.length(z["m"]).alias("len"), keep(z["m"]).alias("ok")),
-    )
-    return F.when(F.col(f"__has{kind}"), F.filter(hits, lambda h: h["len"].isNotNull())).otherwise(none)
+    """Spans of the matches that are kept, by running sums over the gaps and matches.
+
+    Sums run in blocks, whose spans are then moved by what lies before them."""
+    none = F.array().cast(SPAN)
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    span = lambda a, b: F.array(F.struct(a.cast("int").alias("start"), F.lit(kind).alias("kind"), b.cast("int").alias("end")))
+
+    def step(a: Column, z: Column) -> Column:
+        begin = a["at"] + F.length(z["g"])
+        end = begin + F.coalesce(F.length(z["m"]), F.lit(0))
+        return F.struct(end.alias("at"), F.when(z["m"].isNotNull() & keep(z["m"]), F.concat(a["out"], span(begin, end))).otherwise(a["out"]).alias("out"))
+
+    def join(a: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + a["at"]).alias("end")))
+        return F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], moved).alias("out"))
+
+    def spans(z: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / PLACES).cast("int"))
+        return F.aggregate(F.transform(blocks, lambda b: F.aggregate(F.slice(z, b * PLACES + 1, F.lit(PLACES)), start, step)), start, join, lambda a: a["out"])
+
+    matches = F.arrays_zip(F.split("__t", pattern, -1).alias("g"), F.regexp_extract_all("__t", F.lit(pattern), F.lit(0)).alias("m"))
+    return F.when(F.col(f"__has{kind}"), let(matches, spans)).otherwise(none)
 
 
 def find_secrets(df: DataFrame, weights: list[float], text: str = "text", carry: tuple[str, ...] = ("doc_id",), min_llr: float = MIN_LLR) -> DataFrame:
     """The ``carry`` columns of every row as ``row``, and ``spans``: its sorted
     spans, each with start, kind (a place in KINDS) and end."""
-    base = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("__t"), F.monotonically_increasing_id().alias("__id"))
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
     for kind, pattern in enumerate((ASSIGN_HINT, ACCESS, HEX, RUN)):
         base = base.withColumn(f"__has{kind}", F.rlike("__t", F.lit(pattern)))
     yes = lambda m: F.lit(True)
@@ -174,18 +240,11 @@ def find_secrets(df: DataFrame, weights: list[float], text: str = "text", carry:
         _places(0, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST),
         _places(1, ACCESS, yes),
         _places(2, HEX, yes),
-        _places(3, RUN, lambda m: llr(m, weights) >= min_llr),
+        _places(3, RUN, lambda m: ~F.rlike(m, F.lit(PLAIN)) & (llr(m, weights) >= min_llr)),
     ]
-    mark = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("len"), F.lit(True).alias("ok")))
-    rows = base.select("__id", "row", F.explode(F.concat(mark, *kinds)).alias("h")).select("__id", F.when(F.col("h.kind") < 0, F.col("row")).alias("row"), "h.*")
-    before = Window.partitionBy("__id", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.col("len")).over(before).cast("int")
-    spans = rows.repartition("__id").withColumn("end", end).where("ok")
-    span = F.when(F.col("kind") >= 0, F.struct((F.col("end") - F.col("len")).alias("start"), F.col("kind"), F.col("end")))
-    found = spans.groupBy("__id").agg(F.first("row", ignorenulls=True).alias("row"), F.sort_array(F.collect_list(span)).alias("spans"))
     meets = lambda s, base: F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    clear = let(F.filter("spans", lambda s: s["kind"] < 3), lambda base: F.filter("spans", lambda s: (s["kind"] < 3) | ~meets(s, base)))
-    return found.select("row", clear.alias("spans"))
+    clear = lambda found: F.filter(found, lambda s: (s["kind"] < 3) | ~meets(s, F.filter(found, lambda b: b["kind"] < 3)))
+    return base.select("row", F.when(F.col("__has0") | F.col("__has1") | F.col("__has2") | F.col("__has3"), let(F.sort_array(F.concat(*kinds)), clear)).otherwise(F.array().cast(SPAN)).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
