@@ -19,9 +19,9 @@ every line outside of menus and the like. ``extract`` counts what decided.
 
 Pages are dealt into ranges of the sorted order by a sample of it, so a host with
 a third of all pages is many ranges. Each range is handed the pages across its
-borders that its first and last run need, by a table of the ranges' ends: at most
-four pages of each range, as hashes of their lines, reach the driver. A task holds
-a run of copies at a time, a range at most.
+borders that its first and last run need, as a row of its own that comes before its
+pages: at most four pages of each range, as hashes of their lines, reach the driver. A
+task holds a run of copies at a time, a range at most.
 
 Defined results: null html is empty and gives an empty text; a null URL, or one
 without "://", has an empty host and path; rows that repeat are each extracted;
@@ -64,7 +64,11 @@ CHROME_WORDS = frozenset(
 )
 NOT_ABOUT_ITSELF = frozenset("has no with without".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S | re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag without angle brackets in quotes, and what changes how it goes on.
+_REST = re.compile(r"(?:\"[^\"<>]*\"|'[^'<>]*'|[^'\"<>])*+>")
+_EVENT = re.compile(r"[\"'>]")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split("|")}
 _MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HUMP = re.compile(r"([a-z])([A-Z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -85,12 +89,72 @@ def _chrome(tag: str, attrs: str) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, known: dict[int, int], last: int) -> int:
+    """Where the tag ends that goes on at ``at``, or -1: behind the first ">" outside of
+    quotes. ``known`` holds the answer for each quote or bracket that was met before, so
+    that a page of unbalanced quotes takes no longer than another; ``last`` is the place
+    of its last ">"."""
+    met = []
+    end = -1
+    while at <= last:
+        m = _EVENT.search(page, at)
+        if not m:
+            break
+        i = m.start()
+        if i in known:
+            end = known[i]
+            break
+        met.append(i)
+        if m[0] == ">":
+            end = i + 1
+            break
+        closing = page.find(m[0], i + 1)
+        if closing < 0:
+            break
+        at = closing + 1
+    for i in met:
+        known[i] = end
+    return end
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of the tags of a page; raw
+    elements, comments and the like have no name."""
+    at, last = 0, page.rfind(">")
+    known: dict[int, int] = {}
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            at = len(page) if j < 0 else j + 3
+            yield i, at, False, "", ""
+            continue
+        at = i + 1
+        if m := _NAME.match(page, i):
+            rest = _REST.match(page, m.end()) if i < last else None
+            end = rest.end() if rest else _tag_end(page, m.end(), known, last)
+            if end < 0:
+                continue
+            tag, at = m[2].lower(), end
+            if tag in _RAW_END and not m[1]:
+                closed = _RAW_END[tag].search(page, end)
+                at = closed.end() if closed else len(page)
+                yield i, at, False, "", ""
+            else:
+                yield i, end, bool(m[1]), tag, page[m.end() : end - 1]
+        elif page[at : at + 1] in ("!", "?", "/") and i < last:
+            at = page.find(">", i) + 1
+            yield i, at, False, "", ""
+
+
 def lines(page: str | None) -> list[tuple[int, str]]:
-    """Region and text of the blocks of a page, in order."""
+    """Region and text of the blocks of a page, in order. Of several article elements
+    that do not stand in each other, the one with the most text is the article (the first
+    of equal ones); the others, as cards of further ones, are no part of it."""
     out: list[tuple[int, str]] = []
+    article_of: list[int] = []
     stack: list[tuple[str, int]] = []
     held: list[str] = []
-    region = OPEN
+    region, article = OPEN, 0
 
     def flush() -> None:
         if held:
@@ -98,6 +162,7 @@ def lines(page: str | None) -> list[tuple[int, str]]:
             held.clear()
             if text:
                 out.append((region, text))
+                article_of.append(article)
 
     def close(depth: int) -> None:
         nonlocal region
@@ -106,14 +171,13 @@ def lines(page: str | None) -> list[tuple[int, str]]:
         region = stack[-1][1] if stack else OPEN
 
     at, page = 0, page or ""
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    for start, end, closing, tag, attrs in _tokens(page):
+        if start > at:
+            held.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag, attrs = m[3].lower(), m[4]
-        if m[2]:
+        if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if depth >= 0:
                 close(depth)
@@ -135,10 +199,18 @@ def lines(page: str | None) -> list[tuple[int, str]]:
         if chrome or region == CHROME:
             region = CHROME
         else:
+            article += tag == "article" and region != ARTICLE
             region = min(region, MAIN_TAGS.get(tag, OPEN))
         stack.append((tag, region))
     held.append(page[at:])
     flush()
+    sizes: dict[int, int] = {}
+    for (r, text), n in zip(out, article_of):
+        if r == ARTICLE:
+            sizes[n] = sizes.get(n, 0) + len(text)
+    if len(sizes) > 1:
+        largest = max(sizes, key=lambda n: (sizes[n], -n))
+        out = [(CHROME if r == ARTICLE and n != largest else r, text) for (r, text), n in zip(out, article_of)]
     return out
 
 
@@ -266,12 +338,12 @@ def _borders(ends: dict[int, list]) -> dict[int, tuple[list, list]]:
     return {part: (before[part], after[part]) for part in ends}
 
 
-def _differenced(borders: dict[int, tuple[list, list]]):
+def _differenced():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: _Page | None = None
         before: _Page | None = None
         held: list[tuple] = []  # pages of the run: key, url, path, lines, their hashes
-        part = None
+        part, borders = None, ([], [])
 
         def end(after: _Page | None) -> list[tuple]:
             out = []
@@ -287,14 +359,17 @@ def _differenced(borders: dict[int, tuple[list, list]]):
 
         for pdf in batches:
             out = []
-            for p, key, url, host, path, page in zip(pdf["part"], pdf["key"].astype(object).where(pdf["key"].notna(), None), pdf["url"], pdf["host"], pdf["path"], pdf["html"]):
+            for p, key, url, host, path, page, border in zip(pdf["part"], pdf["key"].astype(object).where(pdf["key"].notna(), None), pdf["url"], pdf["host"], pdf["path"], pdf["html"], pdf["border"]):
+                if border is not None:  # comes before its range's pages
+                    if last is not None:
+                        out += end(_different(last, borders[1]))
+                    last, part, borders = None, None, json.loads(border)
+                    continue
                 own = lines(page)
                 every, body = _line_hashes(own)
                 now = (host, path, body, every)
                 if p != part:
-                    if last is not None:
-                        out += end(_different(last, borders[part][1]))
-                    part, before = p, _different(now, borders[p][0])
+                    part, before = p, _different(now, borders[0])
                 elif (host, body) != (last[0], last[2]):
                     out += end(_different(last, [now]))
                     before = _different(now, [last])
@@ -303,7 +378,7 @@ def _differenced(borders: dict[int, tuple[list, list]]):
             if out:
                 yield done(out)
         if last is not None:
-            yield done(end(_different(last, borders[part][1])))
+            yield done(end(_different(last, borders[1])))
 
     return run
 
@@ -334,6 +409,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     thin = rows.select(*order, "html").mapInPandas(hashed, "host string, path string, h long, s long, part int, every array<long>, body long")
     sorted_ = lambda df: df.repartition(ranges, "part").sortWithinPartitions("part", *order)
     ends = {r.part: json.loads(r.ends) for r in sorted_(thin).select("part", "host", "path", "body", "every").mapInPandas(_ends, "part int, ends string").collect()}
-    placed = sorted_(rows.mapInPandas(_placed(bounds), named))
-    found = placed.select("part", "key", "url", "host", "path", "html").mapInPandas(_differenced(_borders(ends)), f"key {kind}, url string, text string, {DECIDED}")
+    # each range gets the pages across its own borders as a row before its pages
+    across = pages.sparkSession.createDataFrame([(p, json.dumps(b)) for p, b in _borders(ends).items()], "part int, border string")
+    own = rows.mapInPandas(_placed(bounds), named).withColumn("border", F.lit(None).cast("string"))
+    empty = across.select(*[F.col(c) if c in ("part", "border") else F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns])
+    placed = own.unionByName(empty).repartition(ranges, "part").sortWithinPartitions("part", F.asc_nulls_last("border"), *order)
+    found = placed.select("part", "key", "url", "host", "path", "html", "border").mapInPandas(_differenced(), f"key {kind}, url string, text string, {DECIDED}")
     return found.withColumnRenamed("key", key)
