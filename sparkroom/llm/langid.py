@@ -16,8 +16,9 @@ the number of dictionaries of disjoint samples for each language, whose sizes ar
 averaged.
 
 The sample is bounded: about ``SAMPLE_DOCS`` documents of each language, chosen
-by the hash of their number, give ``PIECE`` characters each, and all of them stand
-in the dictionaries.
+by the hash of number and text (so that null or equal numbers are no matter, and equal
+rows are one), give ``PIECE`` characters each, and all of them stand in the
+dictionaries. Four times as many rows are the most that the driver takes.
 
 Defined results: a text that is null or has no letter is "und" with score 0 and
 rejected; so is every text if there is nothing to learn from; ties go to the
@@ -63,7 +64,7 @@ def letters(text: str) -> bytes:
 def train(df: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, piece: int = PIECE) -> Model:
     """Dictionaries from labelled rows. One count for each language and a sample
     whose expected size the parameters bound reach the driver."""
-    rows = df.where(F.col(label).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(label).alias("label"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("text"))
+    rows = df.where(F.col(label).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(label).alias("label"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), F.col(text).alias("text"))
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
@@ -74,7 +75,7 @@ def train(df: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - piece + 1, F.lit(1)).cast("long")).cast("int") + 1
     pieces = rows.where(share).select("label", "h", F.substring("text", start, F.lit(piece)).alias("s"))
     sample: dict[str, set[tuple[int, str]]] = {name: set() for name in counts}
-    for r in pieces.distinct().collect():
+    for r in pieces.distinct().orderBy("h", "label", "s").limit(4 * sample_docs * len(counts)).collect():
         sample[r.label].add((r.h, r.s))
     model = []
     for name in sorted(counts, key=lambda x: (-counts[x], x)):

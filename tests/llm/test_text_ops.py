@@ -179,6 +179,15 @@ def test_decontamination_edges(spark):
     assert [r.n_hit for r in decontam.decontaminate(twice, some).collect()] == [2, 2]
 
 
+def test_language_sample_is_bounded_whatever_the_keys(spark):
+    """Null, equal and repeated keys and rows: texts are chosen, and few of them."""
+    text = lambda i: f"word{i} other{i * 7} thing{i * 13} " * 4
+    rows = [(None, text(i), "xx") for i in range(6000)] + [(5, text(i + 10_000), "yy") for i in range(6000)] + [(i, "one text for all of them", "zz") for i in range(6000)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=50)
+    size = {name: sum(map(len, dicts)) for name, dicts in model}
+    assert 2_000 < size["xx"] < 12_000 and 2_000 < size["yy"] < 12_000 and size.get("zz", 0) < 100
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
