@@ -62,11 +62,67 @@ def _angle(text: Column) -> Column:
     return F.when(whole, F.when(F.rlike(text, F.lit(r"^\s*-")), -size).otherwise(size))
 
 
+WCS = ("ra", "dec", "px", "py", "cd11", "cd12", "cd21", "cd22")
+
+
+def wcs(header: Column) -> Column:
+    """The linear part of a header's world coordinates, or null: reference point on the
+    sky and in pixels (from 1), and the matrix of degrees a pixel, by the CD matrix, else by
+    PC and CDELT, else by CDELT and CROTA2 (the published FITS convention). Axes must be
+    right ascension and declination of one projection, and the matrix invertible."""
+    number = lambda k: F.try_element_at(header, F.lit(k)).try_cast("double")
+    kind = lambda i: F.upper(F.trim(F.try_element_at(header, F.lit(f"CTYPE{i}"))))
+    has_cd = F.coalesce(*[number(f"CD{i}_{j}") for i in (1, 2) for j in (1, 2)]).isNotNull()
+    has_pc = F.coalesce(*[number(f"PC{i}_{j}") for i in (1, 2) for j in (1, 2)]).isNotNull()
+    step = [number("CDELT1"), number("CDELT2")]
+    turn = F.radians(F.coalesce(number("CROTA2"), F.lit(0.0)))
+    turned = [[step[0] * F.cos(turn), -step[1] * F.sin(turn)], [step[0] * F.sin(turn), step[1] * F.cos(turn)]]
+
+    def cell(i: int, j: int) -> Column:
+        cd = F.coalesce(number(f"CD{i + 1}_{j + 1}"), F.lit(0.0))
+        pc = F.coalesce(number(f"PC{i + 1}_{j + 1}"), F.lit(float(i == j))) * step[i]
+        return F.when(has_cd, cd).when(has_pc, pc).otherwise(turned[i][j])
+
+    cells = {f"cd{i + 1}{j + 1}": cell(i, j) for i in (0, 1) for j in (0, 1)}
+    determinant = cells["cd11"] * cells["cd22"] - cells["cd12"] * cells["cd21"]
+    values = {"ra": number("CRVAL1"), "dec": number("CRVAL2"), "px": number("CRPIX1"), "py": number("CRPIX2")} | cells
+    whole = F.startswith(kind(1), F.lit("RA--")) & F.startswith(kind(2), F.lit("DEC-")) & (F.substring(kind(1), 6, 3) == F.substring(kind(2), 6, 3)) & (determinant != 0)
+    for v in values.values():
+        whole = whole & v.isNotNull()
+    struct = F.struct(*[v.alias(k) for k, v in values.items()], F.substring(kind(1), 6, 3).alias("projection"))
+    return F.when(F.coalesce(whole, F.lit(False)), struct)
+
+
+def wcs_scale(w: Column) -> Column:
+    """Degrees a pixel across (negative where right ascension grows to the left) and up."""
+    across = F.hypot(w["cd11"], w["cd21"])
+    left = w["cd11"] * w["cd22"] - w["cd12"] * w["cd21"] < 0
+    return F.array(F.when(left, -across).otherwise(across), F.hypot(w["cd12"], w["cd22"]))
+
+
+def wcs_rotation(w: Column) -> Column:
+    """Position angle of the image's upward axis, degrees east of north."""
+    return F.degrees(F.atan2(w["cd12"], w["cd22"]))
+
+
+def sky_of_pixel(w: Column, x: Column, y: Column) -> Column:
+    """Right ascension and declination, in degrees, of a pixel (from 1) under the tangent
+    plane's projection."""
+    dx, dy = x - w["px"], y - w["py"]
+    xi, eta = F.radians(w["cd11"] * dx + w["cd12"] * dy), F.radians(w["cd21"] * dx + w["cd22"] * dy)
+    d0 = F.radians(w["dec"])
+    below = F.cos(d0) - eta * F.sin(d0)
+    right = F.pmod(w["ra"] + F.degrees(F.atan2(xi, below)), F.lit(360.0))
+    up = F.degrees(F.atan2(F.sin(d0) + eta * F.cos(d0), F.hypot(xi, below)))
+    return F.struct(right.alias("ra"), up.alias("dec"))
+
+
 def avm(header: Column) -> Column:
     """A header map's fields, each a list of texts; absent ones are left out.
 
-    Keywords are tried in order; blank texts and, for numbers, zeros before the
-    last one are passed over."""
+    World coordinates that a header states whole (``wcs``) go before single keywords.
+    Those are tried in order; blank texts and, for numbers, zeros before the last one
+    are passed over."""
     get = lambda k: F.nullif(F.trim(F.try_element_at(header, F.lit(k))), F.lit(""))
     number = lambda k: get(k).try_cast("double")
     some = lambda k: F.nullif(number(k), F.lit(0.0))
@@ -74,16 +130,18 @@ def avm(header: Column) -> Column:
     pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.array(a.cast("string"), b.cast("string")))
     right = F.pmod(_angle(F.coalesce(get("RA"), get("OBJCTRA"))) * 15.0, F.lit(360.0))
     up = _angle(F.coalesce(get("DEC"), get("OBJCTDEC")))
-    place = pair(F.when(F.abs(up) <= 90.0, right), up)
+    w = wcs(header)
+    known = w.isNotNull()
+    place = F.when(known, pair(w["ra"], w["dec"])).otherwise(pair(F.when(F.abs(up) <= 90.0, right), up))
     scale = F.coalesce(some("SCALE"), some("CDELT2"))
     fields = {
         "Spatial.ReferenceValue": place,
         "Spatial.CoordinateFrame": F.when(place.isNotNull(), F.array(F.lit("ICRS"))),
         "Spatial.CoordinateDimension": F.when(place.isNotNull(), F.array(F.lit("2"), F.lit("2"))),
-        "Spatial.CoordsystemProjection": F.when(place.isNotNull(), F.array(F.lit("TAN"))),
-        "Spatial.Scale": F.when(scale.isNotNull(), F.transform(spatial_scale(scale), lambda v: v.cast("string"))),
-        "Spatial.Rotation": text(F.coalesce(some("CROTA1"), some("CROTA2"), number("ROTATANG"))),
-        "Spatial.ReferencePixel": pair(F.coalesce(some("NAXIS1"), some("IMAGEW")) / 2.0, F.coalesce(some("NAXIS2"), some("IMAGEH")) / 2.0),
+        "Spatial.CoordsystemProjection": F.when(place.isNotNull(), F.array(F.coalesce(w["projection"], F.lit("TAN")))),
+        "Spatial.Scale": F.when(known, F.transform(wcs_scale(w), lambda v: v.cast("string"))).when(scale.isNotNull(), F.transform(spatial_scale(scale), lambda v: v.cast("string"))),
+        "Spatial.Rotation": F.when(known, text(wcs_rotation(w))).otherwise(text(F.coalesce(some("CROTA1"), some("CROTA2"), number("ROTATANG")))),
+        "Spatial.ReferencePixel": F.when(known, pair(w["px"], w["py"])).otherwise(pair(F.coalesce(some("NAXIS1"), some("IMAGEW")) / 2.0, F.coalesce(some("NAXIS2"), some("IMAGEH")) / 2.0)),
         "TemporalStartTime": text(F.trim(F.try_element_at(header, F.lit("DATE-OBS")))),
         "TemporalIntegrationTime": text(number("EXPTIME")),
     }

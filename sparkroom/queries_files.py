@@ -236,3 +236,63 @@ def xmp_lists(spark, sf):
     packet = F.replace(registry.xmp_document(values), F.lit("</rdf:Description>"), bag)
     read = p.select("p_partkey", F.explode(registry.xmp_lists(packet)).alias("key", "values"))
     return read.select("p_partkey", "key", F.posexplode("values").alias("i", "value"))
+
+
+@add("avm_wcs", """WITH h AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, p_partkey % 360 + 0.5e0 AS ra, p_partkey % 170 - 84.5e0 AS dec, p_size * 1e0 AS px, p_size + 3e0 AS py, (p_size % 9 + 1) / 3600e0 AS s, radians(p_partkey % 90 + 0.0e0) AS t FROM part),
+c AS (SELECT k, kind, ra, dec, px, py, -s * cos(t) AS a, CASE WHEN kind < 2 THEN s * sin(t) ELSE -s * sin(t) END AS b, CASE WHEN kind = 0 THEN s * sin(t) WHEN kind = 1 THEN s * sin(t) ELSE -s * sin(t) END AS c, s * cos(t) AS d FROM h),
+q AS (SELECT *, radians(a * (10 - px) + b * (20 - py)) AS xi, radians(c * (10 - px) + d * (20 - py)) AS eta, cos(radians(dec)) AS cd, sin(radians(dec)) AS sd FROM c)
+SELECT k AS p_partkey, CASE WHEN kind < 3 THEN ra END AS ra, CASE WHEN kind < 3 THEN dec END AS dec, round(CASE WHEN kind < 3 THEN -sqrt(a * a + c * c) END, 9) AS across, round(CASE WHEN kind < 3 THEN sqrt(b * b + d * d) END, 9) AS up,
+  round(CASE WHEN kind < 3 THEN degrees(atan2(b, d)) END, 6) + 0e0 AS rotation,
+  round(CASE WHEN kind < 3 THEN (ra + degrees(atan2(xi, cd - eta * sd)) + 360) % 360 END, 7) AS sky_ra, round(CASE WHEN kind < 3 THEN degrees(atan2(sd + eta * cd, sqrt(xi * xi + (cd - eta * sd) * (cd - eta * sd)))) END, 7) AS sky_dec FROM q""")
+def avm_wcs(spark, sf):
+    """Headers with world coordinates by a CD matrix, by PC and CDELT, and by CDELT and
+    CROTA2 (and some with axes of another kind): fields of AVM, and a pixel's place."""
+    from sparkroom.operators import fits as rules
+
+    p = views.table(spark, sf, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    kind = key % 4
+    s, t = (size % 9 + 1) / 3600.0, F.radians((key % 90).cast("double"))
+    cos, sin = F.cos(t), F.sin(t)
+    pick = lambda cond, name, value: F.when(cond, F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")))
+    cd, pc, old = kind == 0, kind == 1, kind == 2
+    entries = F.array(
+        pick(F.lit(True), "CTYPE1", F.when(kind == 3, F.lit("GLON-TAN")).otherwise(F.lit("RA---TAN"))), pick(F.lit(True), "CTYPE2", F.when(kind == 3, F.lit("GLAT-TAN")).otherwise(F.lit("DEC--TAN"))),
+        pick(F.lit(True), "CRVAL1", key % 360 + 0.5), pick(F.lit(True), "CRVAL2", key % 170 - 84.5), pick(F.lit(True), "CRPIX1", size * 1.0), pick(F.lit(True), "CRPIX2", size + 3.0),
+        pick(cd, "CD1_1", -s * cos), pick(cd, "CD1_2", s * sin), pick(cd, "CD2_1", s * sin), pick(cd, "CD2_2", s * cos),
+        pick(pc, "PC1_1", cos), pick(pc, "PC1_2", -sin), pick(pc, "PC2_1", sin), pick(pc, "PC2_2", cos), pick(pc | old, "CDELT1", -s), pick(pc | old, "CDELT2", s), pick(old, "CROTA2", key % 90),
+    )
+    h = p.select("p_partkey", F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())).alias("header"))
+    made = h.select("p_partkey", rules.avm(F.col("header")).alias("m"), rules.wcs(F.col("header")).alias("w")).withColumn("sky", F.when(F.col("w").isNotNull(), rules.sky_of_pixel(F.col("w"), F.lit(10.0), F.lit(20.0))))
+    number = lambda k, i: F.get(F.try_element_at("m", F.lit(k)), F.lit(i)).cast("double")
+    return made.select("p_partkey", number("Spatial.ReferenceValue", 0).alias("ra"), number("Spatial.ReferenceValue", 1).alias("dec"), F.round(F.when(F.col("w").isNotNull(), number("Spatial.Scale", 0)), 9).alias("across"), F.round(F.when(F.col("w").isNotNull(), number("Spatial.Scale", 1)), 9).alias("up"), (F.round(number("Spatial.Rotation", 0), 6) + 0.0).alias("rotation"), F.round("sky.ra", 7).alias("sky_ra"), F.round("sky.dec", 7).alias("sky_dec"))
+
+
+@add("cct_both_ways", "SELECT p_partkey, 2000e0 + p_partkey % 13001 AS kelvin, CAST(p_size % 161 - 80 AS DOUBLE) AS tint, true AS near FROM part")
+def cct_both_ways(spark, sf):
+    """Temperature and tint of each row to a point and back, to 0.2 K and 0.002, on columns."""
+    from sparkroom.functions import colour_columns
+
+    k = views.table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 13001 + 2000.0).alias("kelvin"), (F.col("p_size") % 161 - 80).cast("double").alias("tint"))
+    there = k.withColumn("uv", colour_columns.uv_of_temperature("kelvin", "tint")).select("*", "uv.u", "uv.v")
+    back = there.withColumn("t", colour_columns.temperature_of_uv("u", "v"))
+    near = (F.abs(F.col("t.kelvin") - F.col("kelvin")) <= 0.2) & (F.abs(F.col("t.tint") - F.col("tint")) <= 0.002)
+    return back.select("p_partkey", "kelvin", "tint", near.alias("near"))
+
+
+_M = [f"(CAST(embedding[{i + 1}] AS DOUBLE) + {2 if i % 4 == 0 else 0})" for i in range(9)]
+_COFACTOR = lambda i, j: "(m[{0}] * m[{1}] - m[{2}] * m[{3}])".format(*[3 * (r % 3) + c % 3 + 1 for r, c in ((i + 1, j + 1), (i + 2, j + 2), (i + 1, j + 2), (i + 2, j + 1))])
+
+
+@add("matrix_columns", f"""WITH t AS (SELECT vec_id, [{', '.join(_M)}] AS m FROM embeddings), d AS (SELECT *, m[1] * {_COFACTOR(0, 0)} + m[2] * {_COFACTOR(0, 1)} + m[3] * {_COFACTOR(0, 2)} AS det FROM t),
+i AS (SELECT vec_id, m, [{', '.join(_COFACTOR(j, i) for i in range(3) for j in range(3))}] AS a, det FROM d)
+SELECT vec_id, CAST(k - 1 AS INTEGER) AS k, round(a[k] / det, 6) AS inverse, round((m[(k - 1) // 3 * 3 + 1] * m[(k - 1) % 3 + 1] + m[(k - 1) // 3 * 3 + 2] * m[(k - 1) % 3 + 4] + m[(k - 1) // 3 * 3 + 3] * m[(k - 1) % 3 + 7]), 6) AS square, (k - 1) % 4 = 0 AS one FROM i, (SELECT unnest(range(1, 10)) AS k)""")
+def matrix_columns(spark, sf):
+    """Inverse and square of a matrix of each row, and whether inverse times matrix is 1."""
+    from sparkroom.functions import colour_columns
+
+    m = F.array(*[F.get("embedding", F.lit(i)).cast("double") + (2.0 if i % 4 == 0 else 0.0) for i in range(9)])
+    t = views.table(spark, sf, "embeddings").select("vec_id", m.alias("m")).withColumn("i", colour_columns.inverse("m"))
+    made = t.withColumns({"s": colour_columns.product("m", "m"), "e": colour_columns.product("i", "m")})
+    cells = made.select("vec_id", F.posexplode(F.arrays_zip("i", "s", "e")).alias("k", "c"))
+    return cells.select("vec_id", "k", F.round("c.i", 6).alias("inverse"), F.round("c.s", 6).alias("square"), (F.abs(F.col("c.e") - 1.0) < 1e-9).alias("one"))
