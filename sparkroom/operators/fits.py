@@ -224,3 +224,14 @@ def compression(dtype: Column, wanted: Column) -> Column:
 
 # Presets of compression as codec, distance and effort.
 PRESETS = {"uncompressed": ("none", None, None), "lossless_jpeg": ("jpeg", 0.0, None), "jxl_lossless": ("jxl", 0.0, 4), "jxl_lossy": ("jxl", 1.0, 4)}
+
+
+def dump(headers: DataFrame) -> DataFrame:
+    """hdu, name, n, low and high of every keyword of every unit of the files whose headers
+    could be read (rows of ``sources.fits.headers_of``): how many files have it, and its
+    least and greatest value, as numbers where all are."""
+    cells = headers.where("status = 'ok'").select("hdu", F.explode("header").alias("name", "value"))
+    number = F.col("value").try_cast("double")
+    numeric = F.count(number) == F.count("*")
+    least = lambda f, pick: F.when(numeric, f(number).cast("string")).otherwise(pick("value"))
+    return cells.groupBy("hdu", "name").agg(F.count("*").alias("n"), least(F.min, F.min).alias("low"), least(F.max, F.max).alias("high"))

@@ -296,3 +296,16 @@ def matrix_columns(spark, sf):
     made = t.withColumns({"s": colour_columns.product("m", "m"), "e": colour_columns.product("i", "m")})
     cells = made.select("vec_id", F.posexplode(F.arrays_zip("i", "s", "e")).alias("k", "c"))
     return cells.select("vec_id", "k", F.round("c.i", 6).alias("inverse"), F.round("c.s", 6).alias("square"), (F.abs(F.col("c.e") - 1.0) < 1e-9).alias("one"))
+
+
+@add("header_dump_files", f"""WITH {_FRAMES}, k AS (SELECT image_id AS k, max(y) + 1 AS h FROM f WHERE image_id % 10 NOT IN (3, 6) GROUP BY image_id),
+c AS (SELECT unnest(['SIMPLE', 'BITPIX', 'NAXIS', 'NAXIS1', 'NAXIS2', 'BZERO', 'BAYERPAT', 'INSTRUME', 'GAIN', 'PEDESTAL', 'CWHITE', 'EXPTIME', 'DATE-OBS', 'OBJECT']) AS name,
+  unnest(['T', NULL, NULL, NULL, NULL, NULL, CASE WHEN k % 2 = 0 THEN 'grbg' END, CASE WHEN k % 3 < 2 THEN 'ZWO ASI676MC' ELSE 'other' END, NULL, NULL, NULL, NULL, '2024-02-28T23:59:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0'), 'M' || k]) AS t,
+  unnest([NULL, 16e0, 2e0, 100e0, h, 32768e0, NULL, NULL, k % 220 + 0.5e0, CASE WHEN k % 4 = 1 THEN k % 50 END, 1023e0, CASE WHEN k % 5 < 4 THEN (k % 8 + 1) / 8e0 END, NULL, NULL]) AS v FROM k)
+SELECT CAST(0 AS INTEGER) AS hdu, name, count(*) AS n, coalesce(min(t), CAST(min(v) AS VARCHAR)) AS low, coalesce(max(t), CAST(max(v) AS VARCHAR)) AS high FROM c WHERE t IS NOT NULL OR v IS NOT NULL GROUP BY name""")
+def header_dump_files(spark, sf):
+    """Every keyword of every unit of the FITS files that can be read."""
+    from sparkroom.operators import fits as rules
+    from sparkroom.sources import fits
+
+    return rules.dump(fits.headers_of(_fits_files(spark, sf)))
