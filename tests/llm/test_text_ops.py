@@ -185,7 +185,7 @@ def test_language_sample_is_bounded_whatever_the_keys(spark):
     rows = [(None, text(i), "xx") for i in range(6000)] + [(5, text(i + 10_000), "yy") for i in range(6000)] + [(i, "one text for all of them", "zz") for i in range(6000)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=50)
     size = {name: sum(map(len, dicts)) for name, dicts in model}
-    assert 2_000 < size["xx"] < 12_000 and 2_000 < size["yy"] < 12_000 and size.get("zz", 0) < 100
+    assert 2_000 < size["xx"] < 12_000 and 2_000 < size["yy"] < 12_000 and size.get("zz", 0) < 2_500
 
 
 # --- secrets
