@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkroom.functions import points
-from sparkroom.operators.geometry import warp
+from sparkroom.operators.lens import warp_lens
 from sparkroom.operators.raster import Raster
 from sparkroom.operators.stencil import gain_map
 
@@ -51,23 +51,11 @@ def fix_vignette(r: Raster, k: Sequence[float], centre: tuple[float, float] = (0
     return r.map(lambda v: points.clamp(v * gain))
 
 
-def warp_rectilinear(r: Raster, k: Sequence[float], tangential: tuple[float, float] = (0.0, 0.0), centre: tuple[float, float] = (0.5, 0.5), use_bicubic: bool = False) -> Raster:
-    """Resampling by the published lens model: in offsets from the centre, where the
-    farthest corner has radius 1, the source lies at k0 + k1 r^2 + ... times the
-    offset (dx, dy), plus t0 2 dx dy + t1 (r^2 + 2 dx^2) across, and
-    t1 2 dx dy + t0 (r^2 + 2 dy^2) down."""
-    cx, cy = centre[0] * (r.width - 1), centre[1] * (r.height - 1)
-    radius = max(((x - cx) ** 2 + (y - cy) ** 2) ** 0.5 for x in (0, r.width - 1) for y in (0, r.height - 1)) or 1.0
-    dx, dy = F.col("x") - cx, F.col("y") - cy
-    r2 = (dx * dx + dy * dy) / float(radius * radius)
-    factor = points.polynomial(r2, k)
-    t0, t1 = (float(t) * radius for t in tangential)
-    sx, sy = dx * factor, dy * factor
-    if t0 or t1:
-        ux, uy = dx / float(radius), dy / float(radius)
-        sx = sx + (ux * uy * (2 * t0) + (r2 + ux * ux * 2) * t1)
-        sy = sy + (ux * uy * (2 * t1) + (r2 + uy * uy * 2) * t0)
-    return warp(r, sy + cy, sx + cx, use_bicubic)
+def warp_rectilinear(r: Raster, k: Sequence[float] = (), tangential: tuple[float, float] = (0.0, 0.0), centre: tuple[float, float] = (0.5, 0.5), use_bicubic: bool = False, planes: Sequence[Sequence[float]] | None = None, edge: bool = False) -> Raster:
+    """Resampling by the published lens model (``lens.Lens.source``), with radial numbers
+    ``k`` and two tangential ones for all channels, or a set of both for each channel in
+    ``planes``. Pixels that point outside take the border's with ``edge``, else are left out."""
+    return warp_lens(r, planes if planes is not None else [(*k, *tangential)], centre, use_bicubic, edge)
 
 
 APPLY = {"gain_map": gain_map, "map_polynomial": map_polynomial, "fix_vignette": fix_vignette, "warp_rectilinear": warp_rectilinear}

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkroom.functions import colour, points
-from sparkroom.operators import geometry, stencil
+from sparkroom.operators import geometry, lens, stencil
 from sparkroom.operators.raster import RGB, Raster
 from sparkroom.sources import opcode_lists, tiff
 from sparkroom.sources.files import shared_dir
@@ -101,6 +101,11 @@ def _with_status(files: DataFrame, chosen: DataFrame, missing: str, pages: DataF
     return joined.select("path", F.when(error.isNull(), "ok").otherwise("errored").alias("status"), error.alias("error"))
 
 
+def _warps() -> Column:
+    """Number of lens warps in the third list of opcodes of a page."""
+    return F.coalesce(F.size(F.filter("ops3", lambda o: o["id"] == opcode_lists.WARP)), F.lit(0))
+
+
 @dataclass
 class Chosen:
     """Rows of parameters, one a file, kept in the shared folder, and what is known of all."""
@@ -111,6 +116,9 @@ class Chosen:
     cfa: bool
     other: bool
     opcodes: bool
+    #: The most lens warps of any file's third list, and whether some file has none.
+    warps: int
+    unwarped: bool
 
     def side(self, *columns: str) -> DataFrame:
         """The rows as the small side of a join."""
@@ -122,13 +130,13 @@ def settled(rows: DataFrame) -> Chosen:
     """``rows`` with a number for each file, computed once."""
     shared_dir(rows.sparkSession)
     kept = rows.withColumn("image_id", F.monotonically_increasing_id()).checkpoint(eager=True)
-    s = kept.agg(F.count("*").alias("n"), F.max("height").alias("h"), F.coalesce(F.bool_or(F.col("role") == "cfa"), F.lit(False)).alias("cfa"), F.coalesce(F.bool_or(F.col("role") != "cfa"), F.lit(False)).alias("other"), F.coalesce(F.bool_or(F.col("ops2").isNotNull() | F.col("ops3").isNotNull()), F.lit(False)).alias("ops")).first()
-    return Chosen(kept, s.n, s.h or 0, s.cfa, s.other, s.ops)
+    s = kept.agg(F.count("*").alias("n"), F.max("height").alias("h"), F.coalesce(F.bool_or(F.col("role") == "cfa"), F.lit(False)).alias("cfa"), F.coalesce(F.bool_or(F.col("role") != "cfa"), F.lit(False)).alias("other"), F.coalesce(F.bool_or(F.col("ops2").isNotNull() | F.col("ops3").isNotNull()), F.lit(False)).alias("ops"), F.max(F.when(F.col("error").isNull(), _warps())).alias("warps"), F.coalesce(F.bool_or(_warps() == 0), F.lit(False)).alias("unwarped")).first()
+    return Chosen(kept, s.n, s.h or 0, s.cfa, s.other, s.ops, s.warps or 0, s.unwarped)
 
 
 def with_opcodes(pages: DataFrame) -> DataFrame:
     """Pages whose opcode lists need what is not here get that as their error."""
-    refused = F.concat(*[F.coalesce(opcode_lists.refused(F.col(c)), F.array().cast("array<int>")) for c in ("ops2", "ops3")])
+    refused = F.concat(*[F.coalesce(opcode_lists.refused(F.col(c), taken), F.array().cast("array<int>")) for c, taken in (("ops2", opcode_lists.POINTWISE), ("ops3", (*opcode_lists.POINTWISE, opcode_lists.WARP)))])
     needs = F.when(F.size(refused) > 0, F.concat(F.lit("opcodes not taken: "), F.array_join(refused.cast("array<string>"), ", ")))
     return pages.withColumn("error", F.coalesce("error", needs))
 
@@ -211,6 +219,56 @@ def camera_rgb(files: DataFrame, chosen: Chosen, algorithm: str = "bilinear") ->
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def corrected_rgb(files: DataFrame, chosen: Chosen, algorithm: str = "bilinear") -> DataFrame:
+    """image_id, y, x, r, g, b: ``camera_rgb`` after the opcodes of the third list, in their
+    order. Images with lens warps are resampled tile by tile, once for each warp; the
+    others are not moved. Places outside of an image are those of its border."""
+    if not chosen.warps:
+        px = camera_rgb(files, chosen, algorithm)
+        return _pointwise(px, chosen, F.col("ops3")) if chosen.opcodes else px.select("image_id", "y", "x", *RGB)
+    warped = replace(chosen, rows=chosen.rows.where(_warps() > 0), unwarped=False)
+    px = _pointwise(camera_rgb(files, warped, algorithm), warped, _segment(0))
+    for i in range(chosen.warps):
+        here = _warps() > i
+        op = F.get(F.filter("ops3", lambda o: o["id"] == opcode_lists.WARP), F.lit(i))
+        lenses = warped.rows.where(here & F.col("error").isNull()).select("image_id", "height", "width", F.get(op["grid"], F.lit(0)).alias("sets"), op["k"].alias("k"), op["centre"].alias("centre"))
+        if i:  # images whose warps are done stay as they are
+            px = px.checkpoint()
+            which = warped.side("image_id", here.alias("_more"))
+            flagged = px.join(which, "image_id")
+            rest = flagged.where("not _more").drop("_more")
+            px = rest.unionByName(_pointwise(lens.warp_by(flagged.where("_more"), lenses, RGB, edge=True), warped, _segment(i + 1)))
+        else:
+            px = _pointwise(lens.warp_by(px, lenses, RGB, edge=True), warped, _segment(1))
+    if chosen.unwarped:
+        others = replace(chosen, rows=chosen.rows.where(_warps() == 0), warps=0)
+        px = px.unionByName(corrected_rgb(files, others, algorithm))
+    return px
+
+
+def _segment(i: int) -> Column:
+    """The opcodes of the third list between warp i - 1 and warp i; none beyond the last."""
+    places = f"filter(transform(ops3, (o, j) -> if(o.id = {opcode_lists.WARP}, j, null)), j -> j is not null)"
+    start = f"coalesce(get({places}, {i - 1}), -1)" if i else "-1"
+    there = f"size({places}) >= {i}"
+    return F.expr(f"case when {there} then slice(ops3, {start} + 2, coalesce(get({places}, {i}), size(ops3)) - {start} - 1) end")
+
+
+def _pointwise(px: DataFrame, chosen: Chosen, ops: Column) -> DataFrame:
+    """Pixels through opcodes that change values where they stand."""
+    side = px.select("image_id", "y", "x", *RGB).join(chosen.side("image_id", "height", "width", ops.alias("_ops")), "image_id")
+    return side.select("image_id", "y", "x", *[opcode_lists.apply(c, "_ops", i).alias(c) for i, c in enumerate(RGB)])
+
+
+def camera_images(files: DataFrame, algorithm: str = "bilinear") -> tuple[DataFrame, DataFrame]:
+    """Camera values (path, y, x, r, g, b) of the main page of each file after all its
+    opcodes, and the status of each file."""
+    pages = pages_of(files)
+    chosen = settled(with_opcodes(main_pages(pages)))
+    px = corrected_rgb(files, chosen, algorithm).join(chosen.side("image_id", "path"), "image_id")
+    return px.select("path", "y", "x", *RGB), _with_status(files, chosen.rows, "no page to show", pages)
+
+
 def _looks(rows: pd.DataFrame) -> pd.DataFrame:
     at = np.linspace(0, 1, TONE_SIZE)
     out = []
@@ -296,11 +354,9 @@ def render_files(files: DataFrame, settings: DataFrame | None = None, algorithm:
     straight = F.lit([float(v) for v in default]) if default is not None else F.lit(None).cast("array<double>")
     mains = with_opcodes(_with_settings(main_pages(pages), settings)).withColumns({"look": file_looks(), "shadows": level})
     chosen = settled(mains)
-    px = camera_rgb(files, chosen, algorithm).join(chosen.side("image_id", "role", "height", "width", "ops3", "crop", "orientation", "look", "exposure", "shadows"), "image_id")
+    px = corrected_rgb(files, chosen, algorithm).join(chosen.side("image_id", "path", "role", "height", "width", "crop", "orientation", "look", "exposure", "shadows"), "image_id")
     px = px.withColumns({"m": F.col("look.m"), "tone": F.coalesce("look.tone", straight)}).drop("look")
     h, w, y, x = (F.col(c) for c in ("height", "width", "y", "x"))
-    if chosen.opcodes:
-        px = px.withColumns({c: opcode_lists.apply(c, "ops3", i) for i, c in enumerate(RGB)})
     left, top, cw, ch = (F.get("crop", F.lit(i)) for i in range(4))
     inside = F.col("crop").isNull() | ((x >= left) & (x < left + cw) & (y >= top) & (y < top + ch))
     cut = px.where(inside).withColumns({"y": y - F.coalesce(top, F.lit(0)), "x": x - F.coalesce(left, F.lit(0)), "height": F.coalesce(ch, h), "width": F.coalesce(cw, w)})
@@ -367,7 +423,7 @@ def copy_pages(files: DataFrame, levels: int = 0, preview: bool = True, least: i
     if preview:
         views = [of(level, shown_at == level).select("path", "y", "x", *[points.srgb_gamma(F.col(c)).alias(c) for c in RGB]) for level in range(3)]
         made.append(page(views[0].unionByName(views[1]).unionByName(views[2]), 255, "u1", {tiff.SUBTYPE: (4, (PREVIEW_SUBTYPE,))}))
-    tags = kept_tags(files, (*LEVEL_TAGS, *((33421, CFA_PATTERN, OPCODES3) if demosaic else ()), *drop))
+    tags = kept_tags(files, (*LEVEL_TAGS, *((33421, CFA_PATTERN) if demosaic else ()), *drop))
     if extra is not None:
         tags = tags.join(extra.select("image_id", "page", "place", "code"), ["image_id", "page", "place", "code"], "left_anti").select(*tiff.NEW_TAGS).unionByName(extra.select(*tiff.NEW_TAGS))
     return tiff.encode_pages(made, tags=tags).withColumnRenamed("image_id", "path")

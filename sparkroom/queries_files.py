@@ -193,6 +193,42 @@ def opcode_files(spark, sf):
     return px.groupBy(F.col("path").cast("long").alias("image_id")).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.sum(weight), 3).alias("weighted"))
 
 
+_LENS_AT = "least(greatest({c} + d{a} * (k + k2 * r2) + rad * ({t0} * (2 * ux * uy) * 1e0 + {t1} * (r2 + 2 * u{a} * u{a})), 0e0), {s} - 1)"
+
+
+@add("lens_files", f"""WITH {_FRAMES}, h AS (SELECT image_id, max(y) + 1 AS h FROM f GROUP BY image_id), v AS (SELECT image_id, y, x, h, v / 1023e0 AS v FROM f JOIN h USING (image_id)),
+c AS (SELECT *, unnest([0, 1, 2]) AS c FROM v),
+p AS (SELECT *, 49.5e0 AS cx, (h - 1) * 0.5e0 AS cy, sqrt(49.5e0 * 49.5e0 + (h - 1) * 0.5e0 * (h - 1) * 0.5e0) AS rad, x - 49.5e0 AS dx, y - (h - 1) * 0.5e0 AS dy, 0.97e0 + CASE WHEN image_id % 4 = 2 THEN c / 100e0 ELSE 0e0 END AS k, 0.02e0 AS k2, 0.002e0 AS t0, 0.001e0 AS t1 FROM c WHERE image_id % 4 IN (1, 2)),
+q AS (SELECT *, dx / rad AS ux, dy / rad AS uy, (dx * dx + dy * dy) / (rad * rad) AS r2 FROM p),
+s AS (SELECT *, {_LENS_AT.format(c="cy", a="y", t0="t1", t1="t0", s="h")} AS sy, {_LENS_AT.format(c="cx", a="x", t0="t0", t1="t1", s="100")} AS sx FROM q),
+i AS (SELECT *, CAST(greatest(least(floor(sy), h - 2), 0) AS BIGINT) AS iy, CAST(greatest(least(floor(sx), 98), 0) AS BIGINT) AS ix FROM s),
+w AS (SELECT i.image_id, i.y, i.x, i.c, i.h, i.r2, sum(n.v * greatest(1 - abs(sy - iy - ey), 0) * greatest(1 - abs(sx - ix - ex), 0)) AS v FROM i, (SELECT unnest([0, 1]) AS ey), (SELECT unnest([0, 1]) AS ex), v n WHERE n.image_id = i.image_id AND n.y = least(iy + ey, i.h - 1) AND n.x = ix + ex GROUP BY ALL),
+o AS (SELECT image_id, y, x, c, CASE WHEN image_id % 4 = 2 THEN least(v * (1 + 0.1e0 * r2), 1e0) ELSE v END AS v FROM w UNION ALL
+  SELECT image_id, y, x, c, CASE WHEN image_id % 4 = 3 THEN least(0.05e0 + v * 0.9e0, 1e0) ELSE v END FROM c WHERE image_id % 4 IN (0, 3))
+SELECT image_id, c, count(*) AS n, round(avg(v), 6) AS mean, round(sum(v * (y * 100 + x + 1)), 3) AS weighted FROM o GROUP BY image_id, c""")
+def lens_files(spark, sf):
+    """Linear files whose third opcode list differs: none, a lens warp, a warp with a set of
+    coefficients for each channel and gains after it, or a polynomial."""
+    from sparkroom.plans import convert
+    from sparkroom.sources import opcode_lists, tiff
+
+    own = lambda c: [0.97 + c / 100, 0.02, 0, 0, 0.002, 0.001]
+    lists = [
+        [{"id": opcode_lists.WARP, "grid": [1], "k": own(0), "centre": [0.5, 0.5]}],
+        [{"id": opcode_lists.WARP, "grid": [3], "k": [v for c in range(3) for v in own(c)], "centre": [0.5, 0.5]}, {"id": opcode_lists.VIGNETTE, "k": [0.1, 0, 0, 0, 0], "centre": [0.5, 0.5]}],
+        [{"id": opcode_lists.POLYNOMIAL, "area": [0, 0, 100_000, 100, 0, 3, 1, 1], "k": [0.05, 0.9]}],
+    ]
+    k = F.col("image_id")
+    blobs = F.create_map(*[x for i, ops in enumerate(lists) for x in (F.lit(i + 1), F.lit([float(b) for b in opcode_lists.build(ops)]))])
+    cell = F.struct(F.lit("ifd").alias("place"), F.lit(convert.OPCODES3).alias("code"), F.lit(7).alias("dtype"), F.try_element_at(blobs, (k % 4).cast("int")).alias("value"), F.lit(None).cast("string").alias("text"))
+    tags = _tags(_ids(spark, sf), F.when(k % 4 > 0, cell))
+    made = tiff.encode_pages([tiff.PageRows(_frames(spark, sf), tags={tiff.PHOTOMETRIC: (3, (tiff.LINEAR_RAW,)), convert.WHITE: (3, (1023,))})], tags=tags)
+    px, _ = convert.camera_images(made.select(k.cast("string").alias("path"), "content"))
+    cells = px.select(F.col("path").cast("long").alias("image_id"), "y", "x", F.posexplode(F.array("r", "g", "b")).alias("c", "v"))
+    weight = F.col("v") * (F.col("y") * 100 + F.col("x") + 1)
+    return cells.groupBy("image_id", "c").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.sum(weight), 3).alias("weighted"))
+
+
 @add("copy_tags", f"""WITH {_FRAMES}, k AS (SELECT DISTINCT image_id FROM f), t AS (
   SELECT image_id, unnest([271, 272, 50728, 50730, 33434, 34855, 1]) AS code, unnest(['ifd', 'ifd', 'ifd', 'ifd', 'exif', 'exif', 'gps']) AS place,
     unnest(['maker', 'Copy ' || image_id, NULL, NULL, NULL, NULL, 'N']) AS text, unnest([NULL, NULL, 0.5e0 + image_id % 4 / 8e0, image_id % 5 / 4e0, (image_id % 6 + 1) / 64e0, image_id % 220, NULL]) AS first FROM k)

@@ -265,6 +265,16 @@ for _bicubic, _name, _offsets, _at in ((False, "warp_rgb", "[0, 1]", _LINEAR_AT)
     add(_name, f"WITH {RGB_SQL}, {_LENS}, w AS (SELECT i.y, i.x, {_at.format(d='(sy - iy - dy)')} AS wy, {_at.format(d='(sx - ix - dx)')} AS wx, least(greatest(iy + dy, 0), h - 1) AS ny, least(greatest(ix + dx, 0), 63) AS nx FROM i, (SELECT unnest({_offsets}) AS dy), (SELECT unnest({_offsets}) AS dx)) SELECT w.y, w.x, {_sum} FROM w JOIN rgb n ON n.y = ny AND n.x = nx GROUP BY w.y, w.x")(_warped)
 
 
+PLANES = ((0.97, 0.02, 0.002, 0.003), (0.975, 0.018, 0.002, 0.003), (0.98, 0.016, 0.0, 0.0))
+_SETS = "p AS (SELECT rgb.*, x - 31.5e0 AS dx, y - (h - 1) * 0.5e0 AS dy, h, sqrt(31.5e0 * 31.5e0 + (h - 1) * 0.5e0 * (h - 1) * 0.5e0) AS rad FROM rgb, dim), q AS (SELECT *, dx / rad AS ux, dy / rad AS uy, (dx * dx + dy * dy) / (rad * rad) AS r2, unnest([0, 1, 2]) AS c, unnest([0.97e0, 0.975e0, 0.98e0]) AS k0, unnest([0.02e0, 0.018e0, 0.016e0]) AS k1, unnest([0.002e0, 0.002e0, 0e0]) AS t0, unnest([0.003e0, 0.003e0, 0e0]) AS t1 FROM p), s AS (SELECT y, x, h, c, dx * (k0 + k1 * r2) + rad * (t0 * 2 * ux * uy + t1 * (r2 + 2 * ux * ux)) + 31.5e0 AS sx, dy * (k0 + k1 * r2) + rad * (t1 * 2 * ux * uy + t0 * (r2 + 2 * uy * uy)) + (h - 1) * 0.5e0 AS sy FROM q), i AS (SELECT *, CAST(least(floor(sy), h - 2) AS BIGINT) AS iy, CAST(least(floor(sx), 62) AS BIGINT) AS ix FROM s WHERE sy >= 0 AND sx >= 0 AND sy <= h - 1 AND sx <= 63)"
+
+
+@add("warp_planes", f"WITH {RGB_SQL}, {_SETS}, w AS (SELECT i.y, i.x, i.c, greatest(1 - abs(sy - iy - dy), 0) AS wy, greatest(1 - abs(sx - ix - dx), 0) AS wx, iy + dy AS ny, ix + dx AS nx FROM i, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)), v AS (SELECT w.y, w.x, w.c, sum(CASE w.c WHEN 0 THEN n.r WHEN 1 THEN n.g ELSE n.b END * wy * wx) AS v FROM w JOIN rgb n ON n.y = ny AND n.x = nx GROUP BY ALL) SELECT y, x, " + ", ".join(f"round(max(v) FILTER (WHERE c = {i}), 6) AS {c}" for i, c in enumerate("rgb")) + " FROM v GROUP BY y, x HAVING count(*) = 3")
+def warp_planes(spark, sf):
+    """Lateral colour error: a set of coefficients for each channel."""
+    return out(opcodes.warp_rectilinear(views.rgb(spark, sf), planes=PLANES))
+
+
 @add("opcode_list", f"WITH {CFA}, p AS (SELECT y, x, v, ((x - 49.5e0) * (x - 49.5e0) + (y - (h - 1) * 0.5e0) * (y - (h - 1) * 0.5e0)) / (49.5e0 * 49.5e0 + (h - 1) * 0.5e0 * (h - 1) * 0.5e0) AS q FROM cfa, dim), a AS (SELECT y, x, least(greatest(v * (1 + 0.1e0 * q), 0e0), 1e0) AS v FROM p) SELECT y, x, round(least(greatest(0.02e0 + v * 0.9e0, 0e0), 1e0), 6) AS v FROM a")
 def opcode_list(spark, sf):
     ops = [{"type": "fix_vignette", "k": (0.1,)}, {"type": "map_polynomial", "coefficients": (0.02, 0.9)}]

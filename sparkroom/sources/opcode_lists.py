@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Numbers of the opcodes that are taken, and the flag of an optional one.
 WARP, VIGNETTE, POLYNOMIAL, GAIN = 1, 3, 8, 9
 OPTIONAL = 1
+#: Those that change samples where they stand.
+POINTWISE = (VIGNETTE, POLYNOMIAL, GAIN)
 
 #: area: top, left, bottom, right, first plane, planes, row and column pitch; k: the
 #: coefficients, or the gains; centre: x and y; grid: rows, columns and planes; step and
@@ -70,9 +72,11 @@ def build(opcodes: list[dict]) -> bytes:
     return b"".join(out)
 
 
-def refused(ops: Column, taken: tuple[int, ...] = (VIGNETTE, POLYNOMIAL, GAIN)) -> Column:
-    """Numbers of opcodes that are neither taken nor optional."""
-    return F.transform(F.filter(ops, lambda o: ~o["id"].isin(*taken) & ~o["optional"]), lambda o: o["id"])
+def refused(ops: Column, taken: tuple[int, ...] = POINTWISE) -> Column:
+    """Numbers of opcodes that are neither taken nor optional, and of warps whose sets of
+    coefficients are neither one nor three."""
+    odd = lambda o: (o["id"] == WARP) & ~F.get(o["grid"], F.lit(0)).isin(1, 3)
+    return F.transform(F.filter(ops, lambda o: (~o["id"].isin(*taken) & ~o["optional"]) | (o["id"].isin(*taken) & odd(o))), lambda o: o["id"])
 
 
 def _clamp(v: str) -> str:
