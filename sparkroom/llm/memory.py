@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Characters of all pieces that a memory holds (up to 4 bytes each, and 4 for each id).
+LETTERS = 1 << 25
+
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each stretch of the given sizes."""
@@ -11,22 +14,24 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class PieceMemory:
-    """Ids of up to ``most`` distinct pieces in one growing array; a piece is known by
-    its slot. When it is full it starts anew."""
+    """Ids of up to ``most`` distinct pieces, of up to ``letters`` characters together, in
+    one growing array; a piece is known by its slot. When it is full it starts anew, so
+    that long unbroken words do not outgrow a worker."""
 
-    def __init__(self, most: int) -> None:
-        self.most = most
+    def __init__(self, most: int, letters: int = LETTERS) -> None:
+        self.most, self.letters = most, letters
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
+        self.held = 0
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def missing(self, pieces: list[str]) -> set[str]:
         """Those that are not known; with too many, all of them after a new start."""
         new = set(pieces).difference(self.slot)
-        if len(self.slot) + len(new) > self.most:
+        if len(self.slot) + len(new) > self.most or self.held + sum(map(len, new)) > self.letters:
             self.clear()
             new = set(pieces)
         return new
@@ -35,6 +40,7 @@ class PieceMemory:
         """Remember the ids of new pieces, which lie one after another."""
         n, m = len(self.slot), len(self.slot) + len(pieces)
         self.slot.update(zip(pieces, range(n, m)))
+        self.held += sum(map(len, pieces))
         while len(self.start) < m:
             self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
         self.start[n:m], self.size[n:m] = self.used + np.cumsum(sizes) - sizes, sizes
