@@ -31,7 +31,7 @@ class PieceMemory:
     def missing(self, pieces: list[str]) -> set[str]:
         """Those that are not known; with too many, all of them after a new start."""
         new = set(pieces).difference(self.slot)
-        if len(self.slot) + len(new) > self.most or self.held + sum(map(len, new)) > self.letters:
+        if new and (len(self.slot) + len(new) > self.most or self.held + sum(map(len, new)) > self.letters):
             self.clear()
             new = set(pieces)
         return new
