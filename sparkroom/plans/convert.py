@@ -504,11 +504,12 @@ def without_existing(files: DataFrame, names: DataFrame, existing: DataFrame | N
     return files.join(there, "path", "left_anti"), skipped
 
 
-def convert(files: DataFrame, folder: str, settings: DataFrame | None = None, existing: DataFrame | None = None, algorithm: str = "bilinear", bits: int = 8, root: str | None = None, **look) -> DataFrame:
+def convert(files: DataFrame, folder: str, settings: DataFrame | None = None, existing: DataFrame | None = None, algorithm: str = "bilinear", bits: int = 8, root: str | None = None, names: DataFrame | None = None, **look) -> DataFrame:
     """Open, render, encode and write every file: path, status (written, skipped or
     errored) and error of each. Outputs keep their place below ``root`` and the tags that
-    still hold; names in ``existing`` are skipped; ``look`` goes to ``render_files``."""
-    names = output_names(files, ".tif", root)
+    still hold, or have the ``names`` given (of ``output_names``' kind); names in
+    ``existing`` are skipped; ``look`` goes to ``render_files``."""
+    names = output_names(files, ".tif", root) if names is None else names
     todo, skipped = without_existing(files, names, existing)
     shown, status = render_files(todo, settings, algorithm, **look)
     encoded = encode_rgb(shown, bits, kept_tags(todo, USED, RAW_FROM - 1))

@@ -229,6 +229,45 @@ def lens_files(spark, sf):
     return cells.groupBy("image_id", "c").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.sum(weight), 3).alias("weighted"))
 
 
+@add("tiff_source", f"""WITH {_FRAMES} SELECT image_id, CAST(0 AS INTEGER) AS ifd, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y * 100 + x + 1)) AS BIGINT) AS weighted FROM f GROUP BY image_id""")
+def tiff_source(spark, sf):
+    """The frames as files, written by the data source in two phases and read by it in
+    ranges of a few kilobytes."""
+    from sparkroom.sources import files, tiff
+    from sparkroom.sources import tiff_source as source
+
+    source.register(spark)
+    folder = files.scratch_path(spark, "tiff")
+    made = tiff.encode_pages([tiff.PageRows(_frames(spark, sf), tags={tiff.PHOTOMETRIC: (3, (tiff.GRAY,))})])
+    made.select(F.concat(F.col("image_id") % 3, F.lit("/"), F.col("image_id"), F.lit(".tif")).alias("name"), "content").write.format("tiff").mode("append").save(folder)
+    back = spark.read.format("tiff").option("splitBytes", 1 << 14).load(folder)
+    key = F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("image_id")
+    return back.groupBy(key, "ifd").agg(F.count("a").alias("n"), F.sum("a").cast("long").alias("total"), F.sum(F.col("a") * (F.col("y") * 100 + F.col("x") + 1)).cast("long").alias("weighted"))
+
+
+@add("arriving_files", f"""WITH {_FRAMES}, k AS (SELECT image_id, max(y) + 1 AS h FROM f GROUP BY image_id)
+SELECT CASE WHEN image_id % 2 = 0 THEN 'a' ELSE 'b' END || '/' || (image_id // 2) || '.dng.tif' AS name, CASE WHEN image_id % 10 IN (7, 8) THEN 'errored' ELSE 'written' END AS status, CAST(image_id % 2 AS INTEGER) AS batch, CAST(1 AS BIGINT) AS times,
+  CASE WHEN image_id % 10 NOT IN (7, 8) THEN CASE WHEN image_id % 3 = 0 THEN 60 * 8 ELSE 100 * h END END * 3 AS n FROM k""")
+def arriving_files(spark, sf):
+    """The files of ``mixed_files`` arrive folder by folder; the job runs after each and once
+    more: the manifest's rows of each file, and the samples of its output."""
+    from sparkroom.plans import convert
+    from sparkroom.sources import files, tiff
+    from sparkroom.streaming import jobs
+
+    source, folder, manifest, state = (files.scratch_path(spark, f"arriving-{w}") for w in ("in", "out", "manifest", "state"))
+    made = _mixed(spark, sf)
+    for part in ("a", "b", None):
+        if part:
+            some = made.where(F.col("path").startswith(f"/in/{part}/"))
+            convert.write_files(some, source, some.select("path", F.substring("path", 5, 1000).alias("name"))).write.format("noop").mode("overwrite").save()
+        jobs.convert_arriving(spark, source, folder, manifest, state).awaitTermination()
+    name = F.regexp_extract("path", r"([ab]/\d+\.dng)", 1).alias("stem")
+    kept = jobs.manifest_of(spark, manifest).groupBy(name).agg(F.max("status").alias("status"), F.max("batch").alias("batch"), F.count("*").alias("times"))
+    back = tiff.pixels_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")).groupBy(name).agg(F.count("*").alias("n"))
+    return kept.join(back, "stem", "left").select(F.concat("stem", F.lit(".tif")).alias("name"), "status", "batch", "times", "n")
+
+
 @add("copy_tags", f"""WITH {_FRAMES}, k AS (SELECT DISTINCT image_id FROM f), t AS (
   SELECT image_id, unnest([271, 272, 50728, 50730, 33434, 34855, 1]) AS code, unnest(['ifd', 'ifd', 'ifd', 'ifd', 'exif', 'exif', 'gps']) AS place,
     unnest(['maker', 'Copy ' || image_id, NULL, NULL, NULL, NULL, 'N']) AS text, unnest([NULL, NULL, 0.5e0 + image_id % 4 / 8e0, image_id % 5 / 4e0, (image_id % 6 + 1) / 64e0, image_id % 220, NULL]) AS first FROM k)

@@ -50,30 +50,34 @@ class Page:
         return self.tags[code][1] if code in self.tags else ()
 
 
-def pages(raw: bytes) -> list[Page]:
-    """All pages: the chain of IFDs, each followed by its sub-IFDs."""
+def pages(raw) -> list[Page]:
+    """All pages: the chain of IFDs, each followed by its sub-IFDs. ``raw`` is bytes, or
+    gives bytes for slices."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
         raise ValueError("not a TIFF container")
     out: list[Page] = []
     seen: set[int] = set()
 
+    def unpack(form: str, at: int) -> tuple:
+        return struct.unpack(order + form, raw[at : at + struct.calcsize(order + form)])
+
     def directory(at: int) -> tuple[dict[int, tuple[int, tuple]], int]:
         """Tags of the directory there, and where its list of entries ends."""
-        (n,) = struct.unpack_from(order + "H", raw, at)
+        (n,) = unpack("H", at)
         tags: dict[int, tuple[int, tuple]] = {}
         for i in range(n):
-            code, kind, count, _ = struct.unpack_from(order + "HHII", raw, at + 2 + 12 * i)
+            code, kind, count, _ = unpack("HHII", at + 2 + 12 * i)
             if kind not in TYPES:
                 continue
             size, letter = TYPES[kind]
             where = at + 2 + 12 * i + 8
             if size * count > 4:
-                (where,) = struct.unpack_from(order + "I", raw, where)
+                (where,) = unpack("I", where)
             if kind == 2:
                 tags[code] = (kind, (raw[where : where + count].split(b"\0")[0].decode("utf-8", "replace"),))
             else:
-                values = struct.unpack_from(order + letter * count, raw, where)
+                values = unpack(f"{count}s" if letter == "s" else f"{count * len(letter)}{letter[0]}", where)
                 tags[code] = (kind, tuple(zip(values[::2], values[1::2])) if kind in (5, 10) else values)
         return tags, at + 2 + 12 * n
 
@@ -86,27 +90,46 @@ def pages(raw: bytes) -> list[Page]:
             out.append(page)
             for sub in page.all(SUBIFDS):
                 walk(sub)
-            (at,) = struct.unpack_from(order + "I", raw, end)
+            (at,) = unpack("I", end)
 
-    walk(struct.unpack_from(order + "I", raw, 4)[0])
+    walk(unpack("I", 4)[0])
     return out
 
 
+def extent(page: Page, i: int) -> tuple[int, int]:
+    """Where the bytes of a strip or tile begin and end."""
+    tiled = TILES in page.tags
+    at = page.all(TILES if tiled else STRIPS)[i]
+    return at, at + page.all(TILE_BYTES if tiled else STRIP_BYTES)[i]
+
+
+def decoded(data: bytes, page: Page, rows: int, cols: int) -> np.ndarray:
+    """(rows, cols, samples) of the bytes of an uncompressed strip or tile."""
+    s, bits = page.first(SAMPLES, 1), page.first(BITS, 8)
+    kind = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (16, 3): "f2", (32, 3): "f4"}.get((bits, page.first(FORMAT, 1)))
+    if kind is None:
+        return unpack_bits(data, rows, cols * s, bits).reshape(rows, cols, s)
+    return np.frombuffer(data, np.dtype(kind).newbyteorder(page.order), rows * cols * s).reshape(rows, cols, s)
+
+
+def blocks(page: Page) -> list[tuple[int, int, int, int]]:
+    """Each strip or tile of a page in order: its first row and column, and the rows and
+    columns that it stores; a tile's may reach beyond the page."""
+    h, w = page.first(HEIGHT), page.first(WIDTH)
+    if TILES in page.tags:
+        th, tw = page.first(TILE_H), page.first(TILE_W)
+        return [(y, x, th, tw) for y in range(0, h, th) for x in range(0, w, tw)]
+    step = min(page.first(ROWS, h), h)
+    return [(y, 0, min(step, h - y), w) for y in range(0, h, step)]
+
+
 def pixels(raw: bytes, page: Page) -> np.ndarray:
     """(height, width, samples) of an uncompressed page, in strips or tiles."""
     if page.first(COMPRESSION, 1) != 1:
         raise ValueError("compressed pages need a codec that is not here")
-    h, w, s, bits = page.first(HEIGHT), page.first(WIDTH), page.first(SAMPLES, 1), page.first(BITS, 8)
-    kind = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (16, 3): "f2", (32, 3): "f4"}.get((bits, page.first(FORMAT, 1)))
+    h, w, s = page.first(HEIGHT), page.first(WIDTH), page.first(SAMPLES, 1)
     tiled = TILES in page.tags
-    offsets, sizes = page.all(TILES if tiled else STRIPS), page.all(TILE_BYTES if tiled else STRIP_BYTES)
-
-    def block(i: int, rows: int, cols: int) -> np.ndarray:
-        data = raw[offsets[i] : offsets[i] + sizes[i]]
-        if kind is None:
-            return unpack_bits(data, rows, cols * s, bits).reshape(rows, cols, s)
-        return np.frombuffer(data, np.dtype(kind).newbyteorder(page.order), rows * cols * s).reshape(rows, cols, s)
-
+    block = lambda i, rows, cols: decoded(raw[slice(*extent(page, i))], page, rows, cols)
     if not tiled:
         step = page.first(ROWS, h)
         return np.concatenate([block(i, min(step, h - i * step), w) for i in range(-(-h // step))])
