@@ -4,7 +4,8 @@ A file stream finds new files; each batch of them goes through a batch job, and
 job's rows (path, status, error) are kept in a manifest, a Parquet folder with a part for
 each batch. A batch whose part is whole is not done again, though the stream asks for it
 after a restart; one that was interrupted is, and its outputs, which have fixed names,
-are replaced. So each file has one row and one output, however often the job stops."""
+are replaced. So each file has one row and one output, however often the job stops.
+Empty files are passed over, as Spark's file sources do."""
 
 from __future__ import annotations
 

@@ -31,11 +31,11 @@ def test_each_file_once(spark, place):
     (root / "in" / "x.txt").write_bytes(b"1")
     run()
     run()
-    (root / "in" / "y.dng").write_bytes(b"")
+    (root / "in" / "y.dng").write_bytes(b"1")
     run()
     assert calls == [["a/x.dng.tif", "x.dng.tif"], ["y.dng.tif"]]
     rows = jobs.manifest_of(spark, at["manifest"]).collect()
-    assert sorted((r.path.rsplit("/in/", 1)[1], r.error, r.batch) for r in rows) == [("a/x.dng", "3", 0), ("x.dng", "2", 0), ("y.dng", "0", 1)]
+    assert sorted((r.path.rsplit("/in/", 1)[1], r.error, r.batch) for r in rows) == [("a/x.dng", "3", 0), ("x.dng", "2", 0), ("y.dng", "1", 1)]
 
 
 def test_a_batch_asked_for_again(spark, place):
