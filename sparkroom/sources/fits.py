@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkroom.sources.files import by_bytes
+from sparkroom.sources.tiff import tile_edge
+
 BLOCK, CARD = 2880, 80
 # Pixel types by BITPIX, big-endian.
 PIXELS = {8: ">u1", 16: ">i2", 32: ">i4", -32: ">f4", -64: ">f8"}
@@ -102,7 +105,7 @@ def headers_of(files: DataFrame) -> DataFrame:
                     out.append((path, 0, {}, "errored", str(e)))
             yield pd.DataFrame(out, columns=["path", "hdu", "header", "status", "error"])
 
-    return files.mapInPandas(run, "path string, hdu int, header map<string,string>, status string, error string")
+    return by_bytes(files).mapInPandas(run, "path string, hdu int, header map<string,string>, status string, error string")
 
 
 def pixels_of(files: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def pixels_of(files: DataFrame) -> DataFrame:
                 except (ValueError, KeyError) as e:
                     yield pd.DataFrame({"path": [path], "y": [None], "x": [None], "v": [None], "status": ["errored"], "error": [str(e)]}).astype({"y": "Int64", "x": "Int64", "v": "Float64"})
 
-    return files.mapInPandas(run, "path string, y long, x long, v double, status string, error string")
+    return by_bytes(files).mapInPandas(run, "path string, y long, x long, v double, status string, error string")
 
 
 def read_headers(spark: SparkSession, path: str, glob: str = "*.fit*") -> DataFrame:
@@ -162,7 +165,7 @@ def scan(files: DataFrame) -> DataFrame:
             rows = [(path, *one(bytes(raw))) for path, raw in zip(pdf.path, pdf.content)]
             yield pd.DataFrame(rows, columns=["path", "header", "white", "bins", "hist", "error"]).astype({"white": "Float64", "bins": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, SCAN)
+    return by_bytes(files.select("path", "content")).mapInPandas(run, SCAN)
 
 
 #: Types that an image's samples may have, by place in this list.
@@ -186,12 +189,12 @@ def tiles_of(files: DataFrame, tile: int = 256) -> DataFrame:
                     rows = []
                     for tx in range(-(-w // tile)):
                         part = a[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile]
-                        full = np.zeros((tile, tile), STORED[spec])
+                        full = np.zeros([tile_edge(n, tile) for n in part.shape], STORED[spec])
                         full[: part.shape[0], : part.shape[1]] = part
                         rows.append((path, 0, spec, ty, tx, ty * tile + part.shape[0], tx * tile + part.shape[1], full.tobytes()))
                     yield pd.DataFrame(rows, columns=["image_id", "page", "spec", "ty", "tx", "h", "w", "blob"])
 
-    return files.select("path", "content").mapInPandas(run, "image_id string, page int, spec int, ty int, tx int, h long, w long, blob binary")
+    return by_bytes(files.select("path", "content")).mapInPandas(run, "image_id string, page int, spec int, ty int, tx int, h long, w long, blob binary")
 
 
 def encode_frames(pixels: DataFrame, headers: DataFrame) -> DataFrame:
