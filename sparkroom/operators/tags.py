@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkroom.functions import points
+
 KEY = ("image_id", "ifd", "name")
 
 # TIFF type codes and names.
@@ -239,11 +241,11 @@ def xmp_document(values: Column) -> Column:
     one = lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escape(F.get(e["value"], F.lit(0))), F.lit('"'))
     item = lambda v: F.concat(F.lit("<rdf:li>"), _escape(v), F.lit("</rdf:li>"))
     many = lambda e: F.concat(F.lit("<"), e["key"], F.lit("><rdf:Seq>"), F.array_join(F.transform(e["value"], item), ""), F.lit("</rdf:Seq></"), e["key"], F.lit(">"))
-    attributes = F.array_join(F.transform(F.filter(entries, lambda e: F.size(e["value"]) == 1), one), "")
-    elements = F.array_join(F.transform(F.filter(entries, lambda e: F.size(e["value"]) > 1), many), "")
+    attributes = lambda es: F.array_join(F.transform(F.filter(es, lambda e: F.size(e["value"]) == 1), one), "")
+    elements = lambda es: F.array_join(F.transform(F.filter(es, lambda e: F.size(e["value"]) > 1), many), "")
     spaces = "".join(f' xmlns:{k}="{v}"' for k, v in NAMESPACES.items())
     start = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="{RDF}"><rdf:Description rdf:about=""{spaces}'
-    return F.concat(F.lit(start), attributes, F.lit(">"), elements, F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>"))
+    return points.let(entries, lambda es: F.concat(F.lit(start), attributes(es), F.lit(">"), elements(es), F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>")))
 
 
 def xmp_lists(packet: Column) -> Column:
@@ -251,17 +253,18 @@ def xmp_lists(packet: Column) -> Column:
     plain elements of one, and the items of Seq, Bag and Alt elements. Namespaces and
     structure's own attributes are left out; of repeated keys the last counts."""
     name = r"((?!rdf:|xmlns:|xml:|x:)[A-Za-z][\w.-]*:[\w.-]+)"
-    opening = F.regexp_extract_all(packet, F.lit(r"<rdf:Description([^>]*)>"), F.lit(1))
-    head = F.array_join(opening, " ")
     attribute = r"""(?<=\s)""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    texts = F.transform(F.arrays_zip(F.regexp_extract_all(head, F.lit(attribute), F.lit(1)).alias("k"), F.regexp_extract_all(head, F.lit(attribute), F.lit(2)).alias("a"), F.regexp_extract_all(head, F.lit(attribute), F.lit(3)).alias("b")), lambda z: F.struct(z["k"].alias("key"), F.array(_plain(F.concat(z["a"], z["b"]))).alias("value")))
     element = r"(?s)<" + name + r"(?:\s[^>]*)?(?<!/)>(.*?)</\1\s*>"
+    groups = lambda text, pattern, *names: F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(names, 1)])
+    head = lambda p: F.array_join(F.regexp_extract_all(p, F.lit(r"<rdf:Description([^>]*)>"), F.lit(1)), " ")
+    texts = lambda p: points.let(head(p), lambda h: F.transform(groups(h, attribute, "k", "a", "b"), lambda z: F.struct(z["k"].alias("key"), F.array(_plain(F.concat(z["a"], z["b"]))).alias("value"))))
     items = lambda body: F.regexp_extract_all(body, F.lit(r"(?s)<rdf:li(?:\s[^>]*)?(?<!/)>(.*?)</rdf:li\s*>"), F.lit(1))
     whole = lambda body: F.when(F.rlike(body, F.lit(r"<rdf:(?:Seq|Bag|Alt)\b")), items(body)).otherwise(F.array(F.regexp_replace(body, r"^\s+|\s+$", "")))
-    lists = F.transform(F.arrays_zip(F.regexp_extract_all(packet, F.lit(element), F.lit(1)).alias("k"), F.regexp_extract_all(packet, F.lit(element), F.lit(2)).alias("v")), lambda z: F.struct(z["k"].alias("key"), F.transform(whole(z["v"]), _plain).alias("value")))
-    found = F.concat(texts, lists)
-    last = lambda e, i: F.exists(F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0))), lambda o: o["key"] == e["key"])
-    return F.map_from_entries(F.filter(found, lambda e, i: ~last(e, i)))
+    lists = lambda p: F.transform(groups(p, element, "k", "v"), lambda z: F.struct(z["k"].alias("key"), F.transform(whole(z["v"]), _plain).alias("value")))
+    # a key's last place among the keys is that of the entry that counts
+    last = lambda found, keys: F.filter(found, lambda e, i: F.size(keys) - F.array_position(keys, e["key"]) == i)
+    found = points.let(packet, lambda p: F.concat(texts(p), lists(p)))
+    return points.let(found, lambda e: F.map_from_entries(points.let(F.reverse(e["key"]), lambda keys: last(e, keys))))
 
 
 # Characters that attributes write as entities; "&" comes first.
