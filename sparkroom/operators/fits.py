@@ -56,8 +56,12 @@ def analog_balance(instrument: Column, red: Column, blue: Column) -> Column:
 
 def _angle(text: Column) -> Column:
     """Degrees, or hours, of "d m s" or a single number, with a sign before."""
+    return points.let(text, _angle_of)
+
+
+def _angle_of(text: Column) -> Column:
     parts = F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d*)?"), F.lit(0)), lambda n: n.try_cast("double"))
-    size = F.get(parts, F.lit(0)) + F.coalesce(F.get(parts, F.lit(1)), F.lit(0.0)) / 60.0 + F.coalesce(F.get(parts, F.lit(2)), F.lit(0.0)) / 3600.0
+    size = points.let(parts, lambda p: F.get(p, F.lit(0)) + F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)) / 60.0 + F.coalesce(F.get(p, F.lit(2)), F.lit(0.0)) / 3600.0)
     whole = F.rlike(text, F.lit(r"^\s*[+-]?\d+(?:\.\d*)?(?:[\s:hdm°'’]+\d+(?:\.\d*)?){0,2}[\s\"s]*$"))
     return F.when(whole, F.when(F.rlike(text, F.lit(r"^\s*-")), -size).otherwise(size))
 
@@ -70,27 +74,36 @@ def wcs(header: Column) -> Column:
     sky and in pixels (from 1), and the matrix of degrees a pixel, by the CD matrix, else by
     PC and CDELT, else by CDELT and CROTA2 (the published FITS convention). Axes must be
     right ascension and declination of one projection, and the matrix invertible."""
-    number = lambda k: F.try_element_at(header, F.lit(k)).try_cast("double")
-    kind = lambda i: F.upper(F.trim(F.try_element_at(header, F.lit(f"CTYPE{i}"))))
-    has_cd = F.coalesce(*[number(f"CD{i}_{j}") for i in (1, 2) for j in (1, 2)]).isNotNull()
-    has_pc = F.coalesce(*[number(f"PC{i}_{j}") for i in (1, 2) for j in (1, 2)]).isNotNull()
-    step = [number("CDELT1"), number("CDELT2")]
-    turn = F.radians(F.coalesce(number("CROTA2"), F.lit(0.0)))
-    turned = [[step[0] * F.cos(turn), -step[1] * F.sin(turn)], [step[0] * F.sin(turn), step[1] * F.cos(turn)]]
-
-    def cell(i: int, j: int) -> Column:
-        cd = F.coalesce(number(f"CD{i + 1}_{j + 1}"), F.lit(0.0))
-        pc = F.coalesce(number(f"PC{i + 1}_{j + 1}"), F.lit(float(i == j))) * step[i]
-        return F.when(has_cd, cd).when(has_pc, pc).otherwise(turned[i][j])
-
-    cells = {f"cd{i + 1}{j + 1}": cell(i, j) for i in (0, 1) for j in (0, 1)}
-    determinant = cells["cd11"] * cells["cd22"] - cells["cd12"] * cells["cd21"]
-    values = {"ra": number("CRVAL1"), "dec": number("CRVAL2"), "px": number("CRPIX1"), "py": number("CRPIX2")} | cells
-    whole = F.startswith(kind(1), F.lit("RA--")) & F.startswith(kind(2), F.lit("DEC-")) & (F.substring(kind(1), 6, 3) == F.substring(kind(2), 6, 3)) & (determinant != 0)
-    for v in values.values():
-        whole = whole & v.isNotNull()
-    struct = F.struct(*[v.alias(k) for k, v in values.items()], F.substring(kind(1), 6, 3).alias("projection"))
-    return F.when(F.coalesce(whole, F.lit(False)), struct)
+    cells = [(i, j) for i in (1, 2) for j in (1, 2)]
+    names = [*(f"{k}{i}_{j}" for k in ("CD", "PC") for i, j in cells), "CDELT1", "CDELT2", "CROTA2", "CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2"]
+
+    def stated(h: Column) -> Column:
+        kind = lambda i: F.upper(F.trim(F.try_element_at(h, F.lit(f"CTYPE{i}"))))
+        return F.struct(*[F.try_element_at(h, F.lit(k)).try_cast("double").alias(k) for k in names], kind(1).alias("kind1"), kind(2).alias("kind2"))
+
+    def matrix(n: Column) -> Column:
+        has = lambda k: F.coalesce(*[n[f"{k}{i}_{j}"] for i, j in cells]).isNotNull()
+        turn = F.radians(F.coalesce(n["CROTA2"], F.lit(0.0)))
+        step = [n["CDELT1"], n["CDELT2"]]
+        turned = [[step[0] * F.cos(turn), -step[1] * F.sin(turn)], [step[0] * F.sin(turn), step[1] * F.cos(turn)]]
+
+        def cell(i: int, j: int) -> Column:
+            cd = F.coalesce(n[f"CD{i}_{j}"], F.lit(0.0))
+            pc = F.coalesce(n[f"PC{i}_{j}"], F.lit(float(i == j))) * step[i - 1]
+            return F.when(has("CD"), cd).when(has("PC"), pc).otherwise(turned[i - 1][j - 1])
+
+        values = {"ra": n["CRVAL1"], "dec": n["CRVAL2"], "px": n["CRPIX1"], "py": n["CRPIX2"]} | {f"cd{i}{j}": cell(i, j) for i, j in cells}
+        fit = F.startswith(n["kind1"], F.lit("RA--")) & F.startswith(n["kind2"], F.lit("DEC-")) & (F.substring(n["kind1"], 6, 3) == F.substring(n["kind2"], 6, 3))
+        return F.struct(*[v.alias(k) for k, v in values.items()], F.substring(n["kind1"], 6, 3).alias("projection"), fit.alias("fit"))
+
+    def whole(m: Column) -> Column:
+        fit = m["fit"] & (m["cd11"] * m["cd22"] - m["cd12"] * m["cd21"] != 0)
+        for k in WCS:
+            fit = fit & m[k].isNotNull()
+        return F.when(F.coalesce(fit, F.lit(False)), F.struct(*[m[k].alias(k) for k in (*WCS, "projection")]))
+
+    # each step's values once, however often the next one names them
+    return points.let(points.let(points.let(header, stated), matrix), whole)
 
 
 def wcs_scale(w: Column) -> Column:
@@ -123,25 +136,43 @@ def avm(header: Column) -> Column:
     World coordinates that a header states whole (``wcs``) go before single keywords.
     Those are tried in order; blank texts and, for numbers, zeros before the last one
     are passed over."""
-    get = lambda k: F.nullif(F.trim(F.try_element_at(header, F.lit(k))), F.lit(""))
+    return points.let(header, lambda h: points.let(_place(h), lambda p: _avm(h, p)))
+
+
+def _texts(header: Column):
+    return lambda k: F.nullif(F.trim(F.try_element_at(header, F.lit(k))), F.lit(""))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.when(a.isNotNull() & b.isNotNull(), F.array(a.cast("string"), b.cast("string")))
+
+
+def _place(header: Column) -> Column:
+    """w (of ``wcs``) and the place on the sky of a header."""
+    get = _texts(header)
+    right = F.pmod(_angle(F.coalesce(get("RA"), get("OBJCTRA"))) * 15.0, F.lit(360.0))
+    single = F.struct(right.alias("right"), _angle(F.coalesce(get("DEC"), get("OBJCTDEC"))).alias("up"))
+    keywords = points.let(single, lambda s: _pair(F.when(F.abs(s["up"]) <= 90.0, s["right"]), s["up"]))
+    return points.let(wcs(header), lambda w: F.struct(w.alias("w"), F.when(w.isNotNull(), _pair(w["ra"], w["dec"])).otherwise(keywords).alias("place")))
+
+
+def _avm(header: Column, at: Column) -> Column:
+    get = _texts(header)
     number = lambda k: get(k).try_cast("double")
     some = lambda k: F.nullif(number(k), F.lit(0.0))
-    text = lambda v: F.when(v.isNotNull(), F.array(v.cast("string")))
-    pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.array(a.cast("string"), b.cast("string")))
-    right = F.pmod(_angle(F.coalesce(get("RA"), get("OBJCTRA"))) * 15.0, F.lit(360.0))
-    up = _angle(F.coalesce(get("DEC"), get("OBJCTDEC")))
-    w = wcs(header)
+    text = lambda v: points.let(v, lambda t: F.when(t.isNotNull(), F.array(t.cast("string"))))
+    w, place = at["w"], at["place"]
     known = w.isNotNull()
-    place = F.when(known, pair(w["ra"], w["dec"])).otherwise(pair(F.when(F.abs(up) <= 90.0, right), up))
-    scale = F.coalesce(some("SCALE"), some("CDELT2"))
+    scale = points.let(F.coalesce(some("SCALE"), some("CDELT2")), lambda s: F.when(s.isNotNull(), F.transform(spatial_scale(s), lambda v: v.cast("string"))))
+    middle = F.struct((F.coalesce(some("NAXIS1"), some("IMAGEW")) / 2.0).alias("x"), (F.coalesce(some("NAXIS2"), some("IMAGEH")) / 2.0).alias("y"))
     fields = {
         "Spatial.ReferenceValue": place,
         "Spatial.CoordinateFrame": F.when(place.isNotNull(), F.array(F.lit("ICRS"))),
         "Spatial.CoordinateDimension": F.when(place.isNotNull(), F.array(F.lit("2"), F.lit("2"))),
         "Spatial.CoordsystemProjection": F.when(place.isNotNull(), F.array(F.coalesce(w["projection"], F.lit("TAN")))),
-        "Spatial.Scale": F.when(known, F.transform(wcs_scale(w), lambda v: v.cast("string"))).when(scale.isNotNull(), F.transform(spatial_scale(scale), lambda v: v.cast("string"))),
+        "Spatial.Scale": F.when(known, F.transform(wcs_scale(w), lambda v: v.cast("string"))).otherwise(scale),
         "Spatial.Rotation": F.when(known, text(wcs_rotation(w))).otherwise(text(F.coalesce(some("CROTA1"), some("CROTA2"), number("ROTATANG")))),
-        "Spatial.ReferencePixel": F.when(known, pair(w["px"], w["py"])).otherwise(pair(F.coalesce(some("NAXIS1"), some("IMAGEW")) / 2.0, F.coalesce(some("NAXIS2"), some("IMAGEH")) / 2.0)),
+        "Spatial.ReferencePixel": F.when(known, _pair(w["px"], w["py"])).otherwise(points.let(middle, lambda m: _pair(m["x"], m["y"]))),
         "TemporalStartTime": text(F.trim(F.try_element_at(header, F.lit("DATE-OBS")))),
         "TemporalIntegrationTime": text(number("EXPTIME")),
     }
