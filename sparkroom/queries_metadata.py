@@ -210,8 +210,9 @@ def camera_tags(spark, sf):
 
 
 def _headers(spark, sf):
-    """One header for each part, with keywords that some lack, leave blank or set to 0."""
-    p = views.table(spark, sf, "part")
+    """One header for each part, with keywords that some lack, leave blank or set to 0;
+    dealt by part, so that work is spread before rows are many and large."""
+    p = views.table(spark, sf, "part").repartition("p_partkey")
     key = F.col("p_partkey")
     pick = lambda cond, name, value: F.when(cond, F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")))
     two = lambda n: F.lpad((F.col("p_partkey") % n).cast("string"), 2, "0")
