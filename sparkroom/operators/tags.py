@@ -121,9 +121,11 @@ def apply_ops(tags: DataFrame, ops: Sequence[dict], keys: Sequence[str] = KEY) -
 
 def difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Keys that only one side has; side is missing (from b) or extra."""
-    mine, theirs = a.select(*keys), b.select(*keys)
-    missing = mine.exceptAll(theirs).withColumn("side", F.lit("missing"))
-    return missing.unionByName(theirs.exceptAll(mine).withColumn("side", F.lit("extra")))
+    both = a.select(*keys, F.lit(1).alias("_n")).unionByName(b.select(*keys, F.lit(-1).alias("_n")))
+    # dealt by key first: keys hardly repeat within a task, whose whole input would stand in its map
+    more = both.repartition(*keys).groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    each = F.explode(F.array_repeat(F.when(F.col("_n") > 0, "missing").otherwise("extra"), F.abs("_n").cast("int")))
+    return more.select(*keys, each.alias("side"))
 
 
 def compare(a: DataFrame, b: DataFrame, skip: Sequence[str] = (), keys: Sequence[str] = KEY) -> DataFrame:
