@@ -21,7 +21,10 @@ stretches of them: a task holds the texts that agree in a stretch's first bits
 and walks the next ones with a budget. As many stretches are walked as find a
 pair just at the similarity with a chance of ``RECALL``; closer pairs are found
 more surely. Distances far under the limit are links; distances around it are
-compared set by set, exactly.
+compared set by set, exactly. Links that the tries leave out come from a prefix
+filter (``left_out``), which is exact: two sets of a link share one of the first
+shingles of each in any one order of all shingles. Only pairs of different groups
+are looked at there, so that families that the tries have linked cost nothing.
 
 Tasks give a spanning forest of the links that they find, no pairs. Vertices are
 named by their least document, so that components, which grow from the links by
@@ -73,6 +76,11 @@ RECALL = 0.995
 SURE_BY, SURE_LEAST = 3.5, 64
 #: Compared texts up to which their names are broadcast.
 BROADCAST_ROWS = 500_000
+#: Texts whose shingles are counted, and counts from which a shingle comes late in
+#: the order of all shingles (the order decides the work alone), and how many do.
+ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 10_000, 3, 200_000
+#: Rows of a prefix-filter task on average, of one shingle in a task, and pairs in memory at once.
+PREFIX_ROWS, PREFIX_CROWD, PREFIX_PAIRS = 1 << 20, 1 << 18, 1 << 22
 #: Stands for a null doc_id, the last of all.
 NO_ID = 2**63 - 1
 
@@ -457,6 +465,105 @@ def similar_links(sets: DataFrame, similarity: float, task_rows: int = WIDE_TASK
     return both.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("sure").alias("sure"))
 
 
+def _prefix_column(text: Column, shingle: int, similarity: float, late: np.ndarray, counts: np.ndarray) -> Column:
+    """The set's name and size, its first shingles in the order of all (of shingles in
+    the sorted ``late`` by their counts, after all others), and the last of them."""
+
+    def prefix(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            out = []
+            for t in batch:
+                one = np.unique(shingle_hashes(t, shingle))
+                name = np.uint64(xxhash.xxh64_intdigest(one.tobytes())).astype(np.int64)
+                own, rank = one.view(np.int64), np.zeros(len(one), np.int64)
+                if len(late):
+                    at = np.minimum(np.searchsorted(late, own), len(late) - 1)
+                    rank = np.where(late[at] == own, counts[at], 0)
+                order = np.lexsort((own, rank))[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1]
+                first = own[order]
+                out.append((name, len(own), first, int(rank[order[-1]]) if len(own) else 0, int(first[-1]) if len(own) else 0))
+            yield pd.DataFrame(out, columns=["name", "size", "prefix", "rank", "last"], index=batch.index)
+
+    return F.pandas_udf(prefix, "name long, size int, prefix array<long>, rank long, last long")(text)
+
+
+def _meetings(pdf: pd.DataFrame) -> pd.DataFrame:
+    """u < v, names of different groups that share a shingle, and how many of these rows they share."""
+    token, root, name, block = (pdf[c].to_numpy() for c in ("token", "group", "name", "block"))
+    cross = len(pdf) and pdf.lo.iloc[0] != pdf.hi.iloc[0]
+    order = np.lexsort((root, token))
+    token, root, name, block = (x[order] for x in (token, root, name, block))
+    ends = lambda new: np.repeat(e := np.append(np.flatnonzero(new) + 1, len(token)), np.diff(e, prepend=0))
+    other = np.diff(token) != 0
+    stop, start = ends(other), ends(other | (np.diff(root) != 0))  # those after the rows of one's own group
+    many = np.cumsum(stop - start)
+    out, at = [np.empty((3, 0), np.int64)], 0
+    while at < len(token):
+        to = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + PREFIX_PAIRS, "right")))
+        i, j = _pairs(np.arange(at, to), np.arange(at, to) + 1, start[at:to], stop[at:to])
+        if cross:
+            i, j = (x[block[i] != block[j]] for x in (i, j))
+        if len(i):
+            u, v = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+            sort = np.lexsort((v, u))
+            u, v = u[sort], v[sort]
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(u) != 0) | (np.diff(v) != 0))))
+            out.append(np.stack((u[new], v[new], np.diff(new, append=len(u)))))
+        at = to
+    return pd.DataFrame(dict(zip(("u_name", "v_name", "shared"), np.concatenate(out, axis=1))))
+
+
+def left_out(hashed: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """u > v, vertices: all pairs of sets of different groups that may be similar, by
+    the shingles that their prefixes share. ``hashed`` has text_hash and text,
+    ``grouped`` a row for each set: name, id, and group (the name of its root)."""
+    n = grouped.count()
+    some = hashed.where(F.pmod(F.xxhash64("text_hash"), F.lit(max(1, n // ORDER_TEXTS))) == 0).dropDuplicates(["text_hash"])
+    seen = some.select(F.explode(_set_column(F.col("text"), shingle)).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST)
+    often = seen.orderBy(F.desc("n"), "token").limit(ORDER_MOST).toPandas().sort_values("token")
+    late, counts = often.token.to_numpy(np.int64), often.n.to_numpy(np.int64)
+    made = hashed.select(_prefix_column(F.col("text"), shingle, similarity, late, counts).alias("p")).select("p.*")
+    one = made.groupBy("name").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "rank", "last")])
+    known = cut(one.join(grouped.select("name", "id", "group"), "name"))
+    rows = known.select(F.explode("prefix").alias("token"), "name", "group")
+    # a shingle of very many sets is dealt as pairs of blocks of them; it is one of the frequent ones
+    spark = hashed.sparkSession
+    frequent = spark.createDataFrame(pd.DataFrame({"token": late}), "token long")
+    crowd = rows.join(F.broadcast(frequent), "token").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > PREFIX_CROWD).select("token", F.ceil(F.col("n") / PREFIX_CROWD).cast("int").alias("blocks")).collect()
+    total = known.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    plain = F.pmod(F.xxhash64("token"), F.lit(max(1, total // PREFIX_ROWS)))
+    zero = F.lit(0)
+    if crowd:
+        side = F.broadcast(spark.createDataFrame(crowd, "token long, blocks int"))
+        own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+        hot = rows.join(side, "token").select("token", "name", "group", own.alias("block"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("with"))
+        dealt = rows.join(side, "token", "left_anti").select(plain.alias("part"), zero.alias("lo"), zero.alias("hi"), "token", "name", "group", zero.alias("block"))
+        dealt = dealt.unionByName(hot.select(F.xxhash64("token").alias("part"), F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "token", "name", "group", "block"))
+    else:
+        dealt = rows.select(plain.alias("part"), zero.alias("lo"), zero.alias("hi"), "token", "name", "group", zero.alias("block"))
+    met = dealt.groupBy("part", "lo", "hi").applyInPandas(_meetings, "u_name long, v_name long, shared long")
+    pairs = met.groupBy("u_name", "v_name").agg(F.sum("shared").alias("shared"))
+    a, b = (known.select(F.col("name").alias(f"{c}_name"), F.struct("id", "name").alias(c), F.struct("rank", "last").alias(f"{c}_last"), F.col("size").alias(f"{c}_size"), F.size("prefix").alias(f"{c}_first")) for c in "uv")
+    both = pairs.join(a, "u_name").join(b, "v_name")
+    need = F.ceil(similarity / (1 + similarity) * (F.col("u_size") + F.col("v_size")) - 1e-6)
+    # all shared shingles up to the earlier of the two prefixes' ends are counted; beyond it are so many of one set
+    beyond = F.when(F.col("u_last") <= F.col("v_last"), F.col("u_size") - F.col("u_first")).otherwise(F.col("v_size") - F.col("v_first"))
+    fits = (F.least("u_size", "v_size") + 1e-6 >= similarity * F.greatest("u_size", "v_size")) & (F.col("shared") + beyond >= need)
+    return both.where(fits).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def _true_links(doubt: DataFrame, hashed: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs of vertices among ``doubt`` whose sets are similar."""
+    # the sets of the texts in doubt, once
+    asked = cut(doubt.select(F.explode(F.array("u.name", "v.name")).alias("name")).distinct().join(sets.select("name", "text_hash"), "name"))
+    side = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda x: x)
+    held = cut(hashed.select("text_hash", "text").join(side(asked), "text_hash").dropDuplicates(["name"]).select("name", _set_column(F.col("text"), shingle).alias("set")))
+    a, b = (held.select(F.col("name").alias(f"{c}_name"), F.col("set").alias(f"{c}_set")) for c in "uv")
+    pairs = doubt.withColumns({"u_name": F.col("u.name"), "v_name": F.col("v.name")}).join(a, "u_name").join(b, "v_name")
+    both = pairs.select("u", "v", (F.size("u_set") + F.size("v_set")).alias("all"), F.size(F.array_intersect("u_set", "v_set")).alias("both"))
+    return both.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("u", "v")
+
+
 def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, name (of the text's set of shingles) and root of every
     row: equal roots for texts that links of at least ``similarity`` between sets
@@ -465,16 +572,13 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     thin = cut(hashed.select("doc_id", "text_hash", _sketch_column(F.col("text"), shingle).alias("s")).select("doc_id", "text_hash", "s.*"))
     sets = cut(thin.groupBy("name").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.count("*").alias("n")))
     found = cut(similar_links(sets.select("name", "id", "size", "fp"), similarity))
-    doubt = found.where("not sure").select("u", "v")
-    # the sets of the texts in doubt, once
-    asked = cut(doubt.select(F.explode(F.array("u.name", "v.name")).alias("name")).distinct().join(sets.select("name", "text_hash"), "name"))
-    side = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda x: x)
-    held = cut(hashed.select("text_hash", "text").join(side(asked), "text_hash").dropDuplicates(["name"]).select("name", _set_column(F.col("text"), shingle).alias("set")))
-    a, b = (held.select(F.col("name").alias(f"{c}_name"), F.col("set").alias(f"{c}_set")) for c in "uv")
-    pairs = doubt.withColumns({"u_name": F.col("u.name"), "v_name": F.col("v.name")}).join(a, "u_name").join(b, "v_name")
-    both = pairs.select("u", "v", (F.size("u_set") + F.size("v_set")).alias("all"), F.size(F.array_intersect("u_set", "v_set")).alias("both"))
-    true = both.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("u", "v")
+    true = _true_links(found.where("not sure").select("u", "v"), hashed, sets, shingle, similarity)
     grown = components(found.where("sure").select("u", "v").union(true))
+    group = grown.select(F.col("u.name").alias("name"), F.col("root.name").alias("group"))
+    grouped = sets.select("name", "id").join(group, "name", "left").select("name", "id", F.coalesce("group", "name").alias("group"))
+    more = cut(left_out(hashed, grouped, shingle, similarity))
+    if not more.isEmpty():
+        grown = components(grown.select("u", F.col("root").alias("v")).union(_true_links(more, hashed, sets, shingle, similarity)))
     roots = grown.select(F.col("u.name").alias("name"), "root")
     named = sets.join(roots, "name", "left").select("name", F.coalesce("root", F.struct("id", "name")).alias("root"), "n")
     return _by_key(thin.drop("size", "fp"), cut(named), "name", thin.count()).select("doc_id", "text_hash", "name", "root")
