@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from sparkroom.llm.common import cut
+from sparkroom.llm.common import cut, small_batches
 
 SHINGLE = 4
 SEED = 42
@@ -80,7 +80,7 @@ BROADCAST_ROWS = 500_000
 #: the order of all shingles (the order decides the work alone), and how many do.
 ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 10_000, 3, 200_000
 #: Rows of a prefix-filter task on average, of one shingle in a task, and pairs in memory at once.
-PREFIX_ROWS, PREFIX_CROWD, PREFIX_PAIRS = 1 << 20, 1 << 18, 1 << 22
+PREFIX_ROWS, PREFIX_CROWD, PREFIX_PAIRS = 1 << 17, 1 << 17, 1 << 19
 #: Stands for a null doc_id, the last of all.
 NO_ID = 2**63 - 1
 
@@ -487,30 +487,36 @@ def _prefix_column(text: Column, shingle: int, similarity: float, late: np.ndarr
     return F.pandas_udf(prefix, "name long, size int, prefix array<long>, rank long, last long")(text)
 
 
-def _meetings(pdf: pd.DataFrame) -> pd.DataFrame:
-    """u < v, names of different groups that share a shingle, and how many of these rows they share."""
-    token, root, name, block = (pdf[c].to_numpy() for c in ("token", "group", "name", "block"))
-    cross = len(pdf) and pdf.lo.iloc[0] != pdf.hi.iloc[0]
-    order = np.lexsort((root, token))
-    token, root, name, block = (x[order] for x in (token, root, name, block))
-    ends = lambda new: np.repeat(e := np.append(np.flatnonzero(new) + 1, len(token)), np.diff(e, prepend=0))
-    other = np.diff(token) != 0
-    stop, start = ends(other), ends(other | (np.diff(root) != 0))  # those after the rows of one's own group
-    many = np.cumsum(stop - start)
-    out, at = [np.empty((3, 0), np.int64)], 0
-    while at < len(token):
-        to = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + PREFIX_PAIRS, "right")))
-        i, j = _pairs(np.arange(at, to), np.arange(at, to) + 1, start[at:to], stop[at:to])
-        if cross:
-            i, j = (x[block[i] != block[j]] for x in (i, j))
-        if len(i):
-            u, v = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
-            sort = np.lexsort((v, u))
-            u, v = u[sort], v[sort]
-            new = np.flatnonzero(np.concatenate(([True], (np.diff(u) != 0) | (np.diff(v) != 0))))
-            out.append(np.stack((u[new], v[new], np.diff(new, append=len(u)))))
-        at = to
-    return pd.DataFrame(dict(zip(("u_name", "v_name", "shared"), np.concatenate(out, axis=1))))
+def _meetings(similarity: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """u < v, names of different groups that share a shingle and whose sizes allow the
+    similarity, and how many of these rows they share. Pairs go out as they are made, so
+    that a task holds its rows and ``PREFIX_PAIRS`` pairs, or those of one row."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ("token", "group", "name", "size", "block", "lo", "hi")
+        token, root, name, size, block, lo, hi = (np.concatenate(x) for x in zip(*([p[c].to_numpy() for c in columns] for p in parts)))
+        cross = lo[0] != hi[0]
+        order = np.lexsort((root, token))
+        token, root, name, size, block = (x[order] for x in (token, root, name, size, block))
+        names, place = np.unique(name, return_inverse=True)
+        ends = lambda new: np.repeat(e := np.append(np.flatnonzero(new) + 1, len(token)), np.diff(e, prepend=0))
+        other = np.diff(token) != 0
+        stop, start = ends(other), ends(other | (np.diff(root) != 0))  # those after the rows of one's own group
+        many = np.cumsum(stop - start)
+        at = 0
+        while at < len(token):
+            to = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + PREFIX_PAIRS, "right")))
+            i, j = _pairs(np.arange(at, to), np.arange(at, to) + 1, start[at:to], stop[at:to])
+            fits = np.minimum(size[i], size[j]) + 1e-6 >= similarity * np.maximum(size[i], size[j])
+            if cross:
+                fits &= block[i] != block[j]
+            i, j = place[i[fits]], place[j[fits]]
+            if len(i):
+                pair, shared = np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j), return_counts=True)
+                yield pd.DataFrame({"u_name": names[pair // len(names)], "v_name": names[pair % len(names)], "shared": shared})
+            at = to
+
+    return run
 
 
 def left_out(hashed: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -525,7 +531,7 @@ def left_out(hashed: DataFrame, grouped: DataFrame, shingle: int, similarity: fl
     made = hashed.select(_prefix_column(F.col("text"), shingle, similarity, late, counts).alias("p")).select("p.*")
     one = made.groupBy("name").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "rank", "last")])
     known = cut(one.join(grouped.select("name", "id", "group"), "name"))
-    rows = known.select(F.explode("prefix").alias("token"), "name", "group")
+    rows = known.select(F.explode("prefix").alias("token"), "name", "group", "size")
     # a shingle of very many sets is dealt as pairs of blocks of them; it is one of the frequent ones
     spark = hashed.sparkSession
     frequent = spark.createDataFrame(pd.DataFrame({"token": late}), "token long")
@@ -536,12 +542,12 @@ def left_out(hashed: DataFrame, grouped: DataFrame, shingle: int, similarity: fl
     if crowd:
         side = F.broadcast(spark.createDataFrame(crowd, "token long, blocks int"))
         own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-        hot = rows.join(side, "token").select("token", "name", "group", own.alias("block"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("with"))
-        dealt = rows.join(side, "token", "left_anti").select(plain.alias("part"), zero.alias("lo"), zero.alias("hi"), "token", "name", "group", zero.alias("block"))
-        dealt = dealt.unionByName(hot.select(F.xxhash64("token").alias("part"), F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "token", "name", "group", "block"))
+        hot = rows.join(side, "token").select("token", "name", "group", "size", own.alias("block"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("with"))
+        dealt = rows.join(side, "token", "left_anti").select(plain.alias("part"), zero.alias("lo"), zero.alias("hi"), "token", "name", "group", "size", zero.alias("block"))
+        dealt = dealt.unionByName(hot.select(F.xxhash64("token").alias("part"), F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "token", "name", "group", "size", "block"))
     else:
-        dealt = rows.select(plain.alias("part"), zero.alias("lo"), zero.alias("hi"), "token", "name", "group", zero.alias("block"))
-    met = dealt.groupBy("part", "lo", "hi").applyInPandas(_meetings, "u_name long, v_name long, shared long")
+        dealt = rows.select(plain.alias("part"), zero.alias("lo"), zero.alias("hi"), "token", "name", "group", "size", zero.alias("block"))
+    met = dealt.groupBy("part", "lo", "hi").applyInPandas(_meetings(similarity), "u_name long, v_name long, shared long")
     pairs = met.groupBy("u_name", "v_name").agg(F.sum("shared").alias("shared"))
     a, b = (known.select(F.col("name").alias(f"{c}_name"), F.struct("id", "name").alias(c), F.struct("rank", "last").alias(f"{c}_last"), F.col("size").alias(f"{c}_size"), F.size("prefix").alias(f"{c}_first")) for c in "uv")
     both = pairs.join(a, "u_name").join(b, "v_name")
@@ -569,16 +575,17 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     row: equal roots for texts that links of at least ``similarity`` between sets
     connect. A root is the group's least vertex: id (``NO_ID`` for null) and name."""
     hashed = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    thin = cut(hashed.select("doc_id", "text_hash", _sketch_column(F.col("text"), shingle).alias("s")).select("doc_id", "text_hash", "s.*"))
-    sets = cut(thin.groupBy("name").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.count("*").alias("n")))
-    found = cut(similar_links(sets.select("name", "id", "size", "fp"), similarity))
-    true = _true_links(found.where("not sure").select("u", "v"), hashed, sets, shingle, similarity)
-    grown = components(found.where("sure").select("u", "v").union(true))
-    group = grown.select(F.col("u.name").alias("name"), F.col("root.name").alias("group"))
-    grouped = sets.select("name", "id").join(group, "name", "left").select("name", "id", F.coalesce("group", "name").alias("group"))
-    more = cut(left_out(hashed, grouped, shingle, similarity))
-    if not more.isEmpty():
-        grown = components(grown.select("u", F.col("root").alias("v")).union(_true_links(more, hashed, sets, shingle, similarity)))
+    with small_batches(df.sparkSession):  # all steps that hand texts or sets to Python run in here
+        thin = cut(hashed.select("doc_id", "text_hash", _sketch_column(F.col("text"), shingle).alias("s")).select("doc_id", "text_hash", "s.*"))
+        sets = cut(thin.groupBy("name").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.count("*").alias("n")))
+        found = cut(similar_links(sets.select("name", "id", "size", "fp"), similarity))
+        true = _true_links(found.where("not sure").select("u", "v"), hashed, sets, shingle, similarity)
+        grown = components(found.where("sure").select("u", "v").union(true))
+        group = grown.select(F.col("u.name").alias("name"), F.col("root.name").alias("group"))
+        grouped = sets.select("name", "id").join(group, "name", "left").select("name", "id", F.coalesce("group", "name").alias("group"))
+        more = cut(left_out(hashed, grouped, shingle, similarity))
+        if not more.isEmpty():
+            grown = components(grown.select("u", F.col("root").alias("v")).union(_true_links(more, hashed, sets, shingle, similarity)))
     roots = grown.select(F.col("u.name").alias("name"), "root")
     named = sets.join(roots, "name", "left").select("name", F.coalesce("root", F.struct("id", "name")).alias("root"), "n")
     return _by_key(thin.drop("size", "fp"), cut(named), "name", thin.count()).select("doc_id", "text_hash", "name", "root")
